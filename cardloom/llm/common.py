@@ -183,3 +183,47 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int):
         else:
             yield np.zeros(0, np.uint64)
         at += c
+
+
+# ---------------------------------------------------------------- texts cut where a byte-level tokenizer cuts them too
+
+
+class Pieces:
+    """Values of a text's pieces, kept from text to text.
+
+    Where a single space or line feed stands between other characters, the byte-level pattern always begins a new
+    pre-token at it, and merges never cross pre-tokens; so a text is cut there and a piece's value does not depend on
+    its surroundings. ``split`` gives None for a text with any other white space or a special string: the caller then
+    takes the text whole.
+    """
+
+    def __init__(self, compute, specials, most: int = 400_000):
+        self.compute, self.specials, self.most = compute, specials, most
+        self.spaced, self.other = {}, {}
+
+    def split(self, text: str) -> list | None:
+        if not text or len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(s in text for s in self.specials):
+            return None
+        if len(self.spaced) > self.most:
+            self.spaced.clear()
+        if len(self.other) > self.most // 4:
+            self.other.clear()
+        out, lead = [], ""
+        for line in text.split("\n"):
+            first, *words = line.split(" ")
+            out.append(self._get(self.other, lead + first))
+            try:
+                values = list(map(self.spaced.__getitem__, words))
+            except KeyError:
+                new = list(set(words).difference(self.spaced))
+                self.spaced.update(zip(new, self.compute([" " + w for w in new])))
+                values = list(map(self.spaced.__getitem__, words))
+            out += values
+            lead = "\n"
+        return out
+
+    def _get(self, known, piece):
+        value = known.get(piece)
+        if value is None:
+            value = known[piece] = self.compute([piece])[0]
+        return value

@@ -2,14 +2,83 @@
 
 from __future__ import annotations
 
-from cardloom.llm import neardup
+from pyspark.sql import functions as F
+
+from cardloom.llm import bpecount, mixing, neardup, tokenbin, urlfilter
 from cardloom.llm.common import table
 
+#: Target shares of characters; all other sources together have the rest.
+MIX_WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.08, "src3": 0.08, "src4": 0.06, "src5": 0.06}
+MIX_REST, MIX_SEED = 0.52, 20240607
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+LISTED_HOSTS = ["spam-farm.example.org", "spam-farm.example.net", "spam-farm.example.com"]
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_mix_sources(spark, sf_dir):
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_REST, seed=MIX_SEED)
+
+
+def op2_token_shards(spark, sf_dir):
+    return tokenbin.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0).drop("ids")
+
 
 def op3_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {"op3_near_duplicates": op3_near_duplicates}
+def op4_url_filter(spark, sf_dir):
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, LISTED_HOSTS)
+
+
+def op6_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return bpecount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.PATTERN, limit=512)
+
+
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_token_shards": op2_token_shards,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op4_url_filter": op4_url_filter,
+    "op6_token_counts": op6_token_counts,
+}
+
+_WEIGHTS = ", ".join(f"('{s}', CAST({w} AS DOUBLE))" for s, w in MIX_WEIGHTS.items())
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_mix_sources": f"""
+WITH weights(src, w) AS (VALUES {_WEIGHTS}, (NULL, CAST({MIX_REST} AS DOUBLE))),
+d AS (SELECT *, CASE WHEN source IN ({", ".join(f"'{s}'" for s in MIX_WEIGHTS)}) THEN source END AS grp,
+      coalesce(length(text), 0) + 1 AS size, coalesce(CAST(doc_id AS VARCHAR), 'null') AS ident FROM documents),
+g AS (SELECT grp, CAST(sum(size) AS DOUBLE) AS size, min(w) AS w FROM d JOIN weights ON grp IS NOT DISTINCT FROM src GROUP BY grp),
+r AS (SELECT grp, 1.0::DOUBLE * sum(size) OVER () * w / sum(w) OVER () / size AS rate FROM g),
+p AS (SELECT grp, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM r, generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 24) AS BIGINT)) AS t(k)),
+c AS (SELECT grp, list(cdf ORDER BY k) AS cdf FROM (SELECT grp, k, sum(p) OVER (PARTITION BY grp ORDER BY k) AS cdf FROM p) GROUP BY grp),
+n AS (SELECT d.*, len(list_filter(cdf, lambda x: x <= CAST(('0x' || substr(md5('{MIX_SEED}:' || ident), 1, 13)) AS BIGINT) / 4503599627370496.0)) AS n
+      FROM d JOIN c ON d.grp IS NOT DISTINCT FROM c.grp)
+SELECT doc_id, text, lang, source, n_chars, CAST(n AS INTEGER) AS n_copies, CAST(copy AS INTEGER) AS copy,
+       md5('{MIX_SEED}:' || ident || ':' || copy) AS mix_key
+FROM n, unnest(generate_series(1, n)) AS t(copy)""",
+    "op4_url_filter": f"""
+WITH r(rule_host, rule_path, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)}),
+b(listed) AS (VALUES {", ".join(f"('{h}')" for h in LISTED_HOSTS)}),
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+p AS (SELECT page_id, coalesce(translate(raw, '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '') AS host,
+      coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM h),
+m AS (SELECT p.*, rule_host || rule_path AS rule, verdict,
+      row_number() OVER (PARTITION BY p.page_id ORDER BY length(rule_host) + length(rule_path) DESC NULLS LAST, length(rule_host) DESC) AS n
+      FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN EXISTS (SELECT 1 FROM b WHERE host = listed OR ends_with(host, '.' || listed)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM m WHERE n = 1""",
+}
