@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpecount, mixing, neardup, tokenbin, urlfilter
+from cardloom.llm import bpecount, linededup, mixing, neardup, tokenbin, urlfilter
 from cardloom.llm.common import table
 
 #: Target shares of characters; all other sources together have the rest.
@@ -39,6 +39,10 @@ def op4_url_filter(spark, sf_dir):
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, LISTED_HOSTS)
 
 
+def op5_line_dedup(spark, sf_dir):
+    return linededup.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op6_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_token_shards": op2_token_shards,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_url_filter": op4_url_filter,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
 }
 
@@ -81,4 +86,24 @@ m AS (SELECT p.*, rule_host || rule_path AS rule, verdict,
       FROM p LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN EXISTS (SELECT 1 FROM b WHERE host = listed OR ends_with(host, '.' || listed)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM m WHERE n = 1""",
+    "op5_line_dedup": r"""
+WITH a AS (SELECT doc_id, text, string_split(text, chr(10)) AS arr FROM documents),
+l AS (SELECT doc_id, i - 1 AS pos, arr[i] AS line, [CASE WHEN i > 1 THEN arr[i - 1] END, arr[i + 1]] AS ctx,
+      list_filter(string_split_regex(arr[i], '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS tokens
+      FROM a, unnest(range(1, len(arr) + 1)) AS t(i)),
+k AS (SELECT *, len(tokens) || '|' || array_to_string(list_transform(tokens[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS leaf
+      FROM l WHERE len(tokens) > 0),
+h AS (SELECT * FROM k WHERE leaf IN (SELECT leaf FROM k GROUP BY leaf HAVING count(*) >= 20)),
+w AS (SELECT leaf, line, n, p, tokens[p] AS token FROM (SELECT leaf, line, first(tokens) AS tokens, count(*) AS n FROM h GROUP BY leaf, line), unnest(range(1, len(tokens) + 1)) AS t(p)),
+c AS (SELECT leaf, p, token FROM w GROUP BY leaf, p, token HAVING sum(n) >= 20),
+s AS (SELECT w.leaf, line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY w.p) AS shape, count(c.token) * 1.0 / count(*) AS share
+      FROM w LEFT JOIN c ON w.leaf = c.leaf AND w.p = c.p AND w.token = c.token GROUP BY w.leaf, line),
+t AS (SELECT leaf, line, CASE WHEN share >= 0.5 THEN 'T' || shape ELSE 'L' || line END AS template FROM s),
+d AS (SELECT h.leaf, template, doc_id, arg_min(ctx, pos) AS ctx FROM h JOIN t ON h.leaf = t.leaf AND h.line = t.line GROUP BY h.leaf, template, doc_id),
+r AS (SELECT leaf, template FROM d GROUP BY leaf, template HAVING count(*) >= 20 AND count(DISTINCT ctx) >= 0.5 * count(*)),
+g AS (SELECT h.doc_id, h.pos FROM h JOIN t ON h.leaf = t.leaf AND h.line = t.line JOIN r ON t.leaf = r.leaf AND t.template = r.template),
+o AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text, count(*) AS n_lines, count(g.pos) AS n_dropped
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT a.doc_id, CASE WHEN a.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, CAST(coalesce(o.n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(o.n_dropped, 0) AS INTEGER) AS n_dropped
+FROM a LEFT JOIN o ON a.doc_id = o.doc_id""",
 }
