@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpecount, linededup, mixing, neardup, tokenbin, urlfilter
+from cardloom.llm import bpecount, linededup, mixing, neardup, packing, tokenbin, topk, urlfilter, vptree
 from cardloom.llm.common import table
 
 #: Target shares of characters; all other sources together have the rest.
@@ -49,6 +49,18 @@ def op6_token_counts(spark, sf_dir):
     return bpecount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.PATTERN, limit=512)
 
 
+def op7_vantage_point_search(spark, sf_dir):
+    return vptree.nearest_neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_exact_top_k(spark, sf_dir):
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_shards": op2_token_shards,
@@ -56,6 +68,9 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_vantage_point_search": op7_vantage_point_search,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
 _WEIGHTS = ", ".join(f"('{s}', CAST({w} AS DOUBLE))" for s, w in MIX_WEIGHTS.items())
@@ -106,4 +121,9 @@ o AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.
       FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
 SELECT a.doc_id, CASE WHEN a.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, CAST(coalesce(o.n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(o.n_dropped, 0) AS INTEGER) AS n_dropped
 FROM a LEFT JOIN o ON a.doc_id = o.doc_id""",
+    "op10_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
