@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpecount, linededup, mixing, neardup, packing, tokenbin, topk, urlfilter, vptree
+from cardloom.llm import bpecount, linededup, mixing, neardup, packing, tokenbin, topk, toxicity, urlfilter, vptree
 from cardloom.llm.common import table
 
 #: Target shares of characters; all other sources together have the rest.
@@ -14,6 +14,8 @@ MIX_REST, MIX_SEED = 0.52, 20240607
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 LISTED_HOSTS = ["spam-farm.example.org", "spam-farm.example.net", "spam-farm.example.com"]
 
+TOXIC_FROM = 0.3
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -57,6 +59,11 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), threshold=TOXIC_FROM)
+
+
 def op10_exact_top_k(spark, sf_dir):
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -70,6 +77,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_vantage_point_search": op7_vantage_point_search,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_top_k": op10_exact_top_k,
 }
 
