@@ -1,6 +1,6 @@
-"""Registered queries of the analytics operators, each with the SQL that gives the same rows."""
+"""All registered queries of the analytics operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from cardloom.plans import cards, crawl, deals, evals, quality, spend, streams, text  # noqa: F401  each enters its queries
+from cardloom.plans.register import QUERIES, SQL  # noqa: F401
