@@ -63,6 +63,15 @@ VIEWS = {
   CASE WHEN page_id % 6 = 0 THEN 'http_503' WHEN page_id % 6 = 5 THEN 'robots_denied' END AS error_code, page_id % 3 = 0 AS required FROM pages""",
     "observations": """SELECT conv_id AS card_id, turn, 'hash-' || CAST(length(text) % 7 AS STRING) AS semantic_hash, CAST('2001-06-01 00:00:00' AS TIMESTAMP) + CAST(turn * 5 + conv_id % 9 AS INT) * INTERVAL '1' DAY AS observed_at,
   role <> 'assistant' AS crawl_complete, CASE role WHEN 'user' THEN 0 WHEN 'system' THEN 1 ELSE 2 END AS source_priority FROM conversations""",
+    "deal_sources": """SELECT p_partkey AS benefit_id, p_partkey % 44 AS catalog_card_id, p_name AS title, p_size % 5 AS display_priority,
+  CASE p_partkey % 9 WHEN 0 THEN '{"discount_type":"BOGO","max_discount_per_transaction":' || CAST(p_size * 20 AS STRING) || ',"max_usage_per_month":2}'
+    WHEN 1 THEN '{"discount_percent":"' || CAST(p_size AS STRING) || '","max_discount_per_transaction":150}' WHEN 2 THEN '{"discount_percent":' || CAST(p_size * 3 AS STRING) || '}'
+    WHEN 3 THEN '{"threshold_amount":80000,"reward_value":500}' WHEN 4 THEN '{"category":"dining, Movies","multiplier":5,"unit":"points per Rs.150"}' WHEN 5 THEN '{"unit":"Fixed","annual_cap":6000}'
+    WHEN 6 THEN '{"discount_amount":200,"monthly_cap":' || CAST(p_size * 6 AS STRING) || ',"min_transaction":' || CAST(p_size * 40 AS STRING) || '}' WHEN 7 THEN '{"discount_type":"bogo","max_usage_per_period":1}' ELSE '{"note":"none"}' END AS value_config,
+  CASE p_size % 4 WHEN 0 THEN 'BookMyShow' WHEN 1 THEN ' District,Uber' WHEN 2 THEN '' ELSE 'PVR,INOX,cult.fit' END AS partners,
+  CASE WHEN p_partkey % 5 = 0 THEN CAST('2001-07-01' AS DATE) + p_size END AS valid_until, p_partkey % 3 = 0 AS is_owned,
+  CASE WHEN p_partkey % 4 = 0 THEN 'verified' ELSE 'unverified' END AS usage_confidence, CAST(p_partkey % 4 AS INT) AS used_transactions, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 100.0E0 END AS milestone_spend,
+  CASE WHEN p_partkey % 6 = 0 THEN 'bookmyshow' ELSE '' END AS confirmed FROM part""",
     "eval_results": """SELECT d.doc_id AS case_id, d.lang AS feature_key, l.quality = 1 AS baseline_pass, l.quality = 1 AND l.toxic = 0 AS candidate_pass, l.toxic = 1 AS severe, d.n_chars AS latency_ms,
   CAST(d.n_chars % 300 AS DECIMAL(12,2)) / 100 AS cost_usd, CASE WHEN d.doc_id % 7 = 0 THEN 'review' WHEN d.doc_id % 23 = 0 THEN 'execution_error' ELSE 'scored' END AS status
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
@@ -95,6 +104,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                 made[n] = spark.read.parquet(f"{sf_dir}/{n}.parquet")
             else:
                 text, used = VIEWS[n].replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)"), {}  # without a zone on both sides
+                text = text.replace("{", "{{").replace("}", "}}")
                 for other in (*VIEWS, *BASE):
                     if other != n and re.search(rf"(FROM|JOIN) {other}\b", text):
                         used[other] = of(other)
