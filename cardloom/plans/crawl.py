@@ -1 +1,108 @@
-"""Queries."""
+"""Queries of crawls, histories and work queues."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cardloom.operators import crawl as W
+from cardloom.plans.register import query
+from cardloom.sources.tables import view
+
+NOW = "2024-01-20 00:00:00"
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY card_id, semantic_hash ORDER BY observed_at DESC, turn DESC) AS n FROM observations), k AS (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY observed_at DESC, semantic_hash) AS place FROM o WHERE n = 1)
+SELECT card_id, semantic_hash, turn, place FROM k WHERE place <= 24""")
+def win3_history_24(spark, sf_dir):
+    """The newest observation of each meaning, 24 of them at most."""
+    return W.newest_per_key(view(spark, sf_dir, "observations"), "card_id", "semantic_hash", "observed_at", "turn").select("card_id", "semantic_hash", "turn", "place")
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY attempted_at DESC, page_id DESC) AS n, count(*) OVER (PARTITION BY source_key) AS c FROM attempts), d AS (SELECT source_key, count(DISTINCT attempted_at) AS d FROM attempts GROUP BY source_key)
+SELECT l.source_key, CASE WHEN c = d THEN status END AS status, page_id FROM l JOIN d USING (source_key) WHERE n = 1""")
+def win10_terminal_attempt(spark, sf_dir):
+    return W.terminal_attempts(view(spark, sf_dir, "attempts"), "source_key").select("source_key", "status", "page_id")
+
+
+@query("""WITH a AS (SELECT *, page_id % 10 AS crawl FROM attempts), l AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY attempted_at DESC, page_id DESC) AS n, count(*) OVER (PARTITION BY source_key) AS c FROM a), d AS (SELECT source_key, count(DISTINCT attempted_at) AS d FROM a GROUP BY source_key),
+t AS (SELECT l.*, CASE WHEN c = d THEN status END AS st FROM l JOIN d USING (source_key) WHERE n = 1),
+f AS (SELECT crawl, count(*) FILTER (WHERE required) AS required, count(*) FILTER (WHERE required AND NOT coalesce(st = 'fetched' AND http_status BETWEEN 200 AND 299, false)) AS missing, count(*) FILTER (WHERE NOT required AND st = 'blocked') AS blocked FROM t GROUP BY crawl),
+r AS (SELECT crawl, CASE WHEN required = 0 THEN 'missing_primary' WHEN missing > 0 THEN 'required_incomplete' WHEN blocked > 0 THEN 'fallback_blocked' ELSE 'complete' END AS reason FROM f) SELECT crawl, reason = 'complete' AS complete, reason FROM r""")
+def dom29_completeness(spark, sf_dir):
+    return W.completeness(view(spark, sf_dir, "attempts").withColumn("crawl", F.col("page_id") % 10), "crawl", "source_key")
+
+
+@query("""WITH g AS (SELECT card_id, max(CASE WHEN card_id % 5 = 0 THEN DATE '2001-06-15' WHEN card_id % 5 = 1 THEN DATE '2001-12-31' END) AS e, count(DISTINCT observed_at) AS n, min(observed_at) AS f, max(observed_at) AS l FROM observations WHERE crawl_complete GROUP BY card_id),
+r AS (SELECT card_id, CASE WHEN e < DATE '2001-08-15' THEN 'explicit_past_end_date' WHEN e IS NOT NULL THEN 'explicit_end_date_not_past' WHEN l > TIMESTAMP '2001-08-15 12:00:00' THEN 'invalid_observation_history' WHEN n >= 2 AND l >= f + INTERVAL 7 DAY THEN 'two_complete_observations' ELSE 'insufficient_complete_observations' END AS reason FROM g)
+SELECT card_id, reason IN ('explicit_past_end_date', 'two_complete_observations') AS eligible, reason FROM r""")
+def dt11_retirement(spark, sf_dir):
+    end = F.when(F.col("card_id") % 5 == 0, F.lit("2001-06-15").cast("date")).when(F.col("card_id") % 5 == 1, F.lit("2001-12-31").cast("date"))
+    return W.retirement(view(spark, sf_dir, "observations").where("crawl_complete"), "card_id", end, "2001-08-15 12:00:00")
+
+
+@query(f"""SELECT id, CASE WHEN staging_id IS NOT NULL THEN 'staged' WHEN attempt_count >= 3 THEN 'review_required' ELSE 'failed' END AS status,
+CASE WHEN staging_id IS NULL AND attempt_count < 3 THEN TIMESTAMP '{NOW}' + CASE WHEN attempt_count = 1 THEN INTERVAL 15 MINUTE ELSE INTERVAL 60 MINUTE END END AS next_retry_at FROM jobs WHERE status = 'leased' AND lease_expires_at <= TIMESTAMP '{NOW}'""")
+def que1_expired_leases(spark, sf_dir):
+    return W.expired_leases(view(spark, sf_dir, "jobs"), NOW)
+
+
+@query(f"""WITH m AS (SELECT * FROM jobs WHERE parser_version = 'v6'), b AS (SELECT DISTINCT lower(trim(issuer)) AS k FROM m WHERE status = 'leased' AND lease_expires_at > TIMESTAMP '{NOW}' AND id % 211 = 0)
+SELECT id, issuer, card_name FROM m WHERE status IN ('queued', 'failed') AND run_mode = 'manual' AND lower(trim(issuer)) NOT IN (SELECT k FROM b) ORDER BY lower(trim(issuer)), card_name, created_at, id LIMIT 1""")
+def que1_claim_plan(spark, sf_dir):
+    jobs = view(spark, sf_dir, "jobs")
+    return W.claim_plan(jobs.where("NOT (status = 'leased' AND id % 211 <> 0)"), NOW, "manual", "v6")
+
+
+@query("SELECT id, created_at + INTERVAL 7 DAY AS due FROM jobs WHERE status = 'succeeded' AND created_at + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20' ORDER BY created_at, id LIMIT 200")
+def que2_due_requeue(spark, sf_dir):
+    """Jobs due again, oldest first, two hundred at a time."""
+    due = F.col("created_at") + F.expr("INTERVAL '7' DAY")
+    rows = view(spark, sf_dir, "jobs").where((F.col("status") == "succeeded") & (due <= F.lit("2024-01-20").cast("timestamp_ntz")))
+    return rows.orderBy("created_at", "id").limit(200).select("id", due.alias("due"))
+
+
+@query("WITH o AS (SELECT issuer, min(card_name) AS url FROM jobs GROUP BY issuer), n AS (SELECT *, row_number() OVER (ORDER BY issuer) - 1 AS t, count(*) OVER () AS c FROM o) SELECT issuer, url FROM n WHERE t = 17 % c")
+def srt7_rotation(spark, sf_dir):
+    return W.rotation(view(spark, sf_dir, "jobs").select("issuer", F.col("card_name").alias("url")), 17)
+
+
+@query("""WITH c AS (SELECT DISTINCT id, issuer, CASE id % 5 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' WHEN 3 THEN 'd' ELSE 'e' END AS p FROM jobs WHERE id < 60)
+SELECT a.id AS id0, b.id AS id1, c1.id AS id2, d.id AS id3, e.id AS id4 FROM c a, c b, c c1, c d, c e WHERE a.p = 'a' AND b.p = 'b' AND c1.p = 'c' AND d.p = 'd' AND e.p = 'e' AND len(list_distinct([a.issuer, b.issuer, c1.issuer, d.issuer, e.issuer])) >= 3 ORDER BY 1, 2, 3, 4, 5 LIMIT 1""")
+def srt8_pilot(spark, sf_dir):
+    """The first choice of five jobs, one of each profile, from at least three issuers."""
+    k = F.col("id") % 5
+    profile = F.when(k == 0, F.lit("a")).when(k == 1, F.lit("b")).when(k == 2, F.lit("c")).when(k == 3, F.lit("d")).otherwise(F.lit("e"))
+    return W.pilot(view(spark, sf_dir, "jobs").where("id < 60").select("id", "issuer", profile.alias("profile")), ("a", "b", "c", "d", "e"))
+
+
+@query(f"""WITH p AS (SELECT page_id, url, html, page_id % 3 <> 0 AS named FROM pages), k AS (SELECT page_id, CASE WHEN regexp_matches(url, '{W.UNSAFE}') THEN 'not_a_card' WHEN named AND regexp_matches(url, '{W.SUPPORTING}') THEN 'supporting_document' WHEN named AND (regexp_matches(url, '{W.PRODUCT}') OR regexp_matches(html, '{W.PRODUCT}')) THEN 'card_product'
+WHEN named AND regexp_matches(html, '{W.SUPPORTING}') THEN 'supporting_document' ELSE 'ambiguous' END AS kind FROM p) SELECT page_id, kind, CASE kind WHEN 'not_a_card' THEN 0.99 WHEN 'card_product' THEN 0.95 WHEN 'supporting_document' THEN 0.86 ELSE 0.2 END AS confidence FROM k""")
+def dom26_page_class(spark, sf_dir):
+    kind, confidence = W.page_kind(F.col("url"), F.col("html"), F.col("page_id") % 3 != 0)
+    return view(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), confidence.alias("confidence"))
+
+
+@query("""WITH s AS (SELECT page_id, url, CAST(contains(lower(url), 'www') AS INT) + CAST(contains(lower(url), 'en') AS INT) AS h FROM pages) SELECT page_id, h * 100 + CASE WHEN h = 2 THEN 1000 ELSE 0 END - length(url) / 1000.0::DOUBLE AS score FROM s ORDER BY score DESC, page_id LIMIT 50""")
+def srt4_url_rank(spark, sf_dir):
+    rows = view(spark, sf_dir, "pages").select("page_id", W.url_score(F.col("url"), ["www", "en"]).alias("score"))
+    return rows.orderBy(F.desc("score"), "page_id").limit(50)
+
+
+@query("""WITH e AS (SELECT p_partkey AS k, 'fee' AS field, CASE WHEN p_size % 4 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS existing FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part),
+p AS (SELECT p_partkey AS k, 'fee' AS field, CAST(p_size % 20 AS VARCHAR) AS value, CASE WHEN p_partkey % 3 = 0 THEN 0.8 ELSE 0.95 END AS confidence FROM part UNION ALL SELECT p_partkey, 'type', lower(p_type), 0.99 FROM part)
+SELECT * FROM (SELECT p.k, p.field, CASE WHEN coalesce(existing, '') = '' THEN 'backfill' WHEN lower(existing) <> lower(value) THEN 'conflict' END AS change FROM p LEFT JOIN e ON e.k = p.k AND e.field = p.field WHERE confidence >= 0.9) WHERE change IS NOT NULL""")
+def dom25_field_diff(spark, sf_dir):
+    part = view(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))
+    old = part.select("k", F.expr("stack(2, 'fee', CASE WHEN p_size % 4 = 0 THEN '' ELSE CAST(p_size AS STRING) END, 'type', p_type) AS (field, existing)"))
+    new = part.select("k", F.expr("stack(2, 'fee', CAST(p_size % 20 AS STRING), CASE WHEN p_partkey % 3 = 0 THEN 0.8D ELSE 0.95D END, 'type', lower(p_type), 0.99D) AS (field, value, confidence)"))
+    return W.field_changes(old, new, "k")
+
+
+@query(r"""WITH l AS (SELECT doc_id, i - 1 AS line_no, arr[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents), unnest(range(1, len(arr) + 1)) AS t(i))
+SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '(?i)([0-9]+(?:\.[0-9]+)?)\s*%\s*cash\s*back') THEN 'cashback' WHEN regexp_matches(line, '(?i)fee\s+waive[rd][^0-9]*(?:rs\.?|inr|₹)?\s*([0-9][0-9,]*(?:\.[0-9]+)?)') THEN 'fee_waiver' WHEN regexp_matches(line, '(?i)([0-9]+(?:\.[0-9]+)?)x?\s*(?:reward\s+)?points') THEN 'points'
+WHEN regexp_matches(line, '(?i)([0-9]+(?:\.[0-9]+)?)\s*%\s*(?:off|discount)') THEN 'discount' WHEN regexp_matches(line, '(?i)(?:up\s+to|maximum(?:\s+of)?|capped\s+at)\s*(?:rs\.?|inr|₹)?\s*([0-9][0-9,]*(?:\.[0-9]+)?)') THEN 'cap' ELSE 'licence' END AS kind,
+CASE WHEN regexp_matches(line, '(?i)licen[sc]ed\s+under\s+(?:the\s+)?([a-z-]+)') THEN regexp_extract(line, '(?i)licen[sc]ed\s+under\s+(?:the\s+)?([a-z-]+)', 1) END AS value
+FROM l WHERE regexp_matches(line, '(?i)licen[sc]ed\s+under\s+(?:the\s+)?([a-z-]+)') OR regexp_matches(line, '(?i)([0-9]+(?:\.[0-9]+)?)\s*%\s*cash\s*back|fee\s+waive[rd][^0-9]*(?:rs\.?|inr|₹)?\s*[0-9]|([0-9]+(?:\.[0-9]+)?)x?\s*(?:reward\s+)?points|([0-9]+(?:\.[0-9]+)?)\s*%\s*(?:off|discount)|(?:up\s+to|maximum(?:\s+of)?|capped\s+at)\s*(?:rs\.?|inr|₹)?\s*[0-9]')""")
+def dom18_offer_lines(spark, sf_dir):
+    """Lines that state an offer or a licence, by the first pattern that fits."""
+    return W.offer_lines(view(spark, sf_dir, "documents"), "doc_id", "text")

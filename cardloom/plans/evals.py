@@ -1 +1,72 @@
-"""Queries."""
+"""Queries of evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cardloom.operators import evals as E
+from cardloom.operators.quality import histogram
+from cardloom.plans.register import query
+from cardloom.sources.tables import view
+
+
+@query("""SELECT feature_key, count(*) AS cases, round(count(*) FILTER (WHERE baseline_pass) / CAST(count(*) AS DOUBLE), 6) AS baseline_rate, round(count(*) FILTER (WHERE candidate_pass) / CAST(count(*) AS DOUBLE), 6) AS candidate_rate, count(*) FILTER (WHERE status = 'review') AS reviews,
+CAST(sum(cost_usd) AS DOUBLE) AS cost_usd, quantile_disc(latency_ms, 0.95) AS p95_ms,
+array_to_string(list_filter([CASE WHEN count(*) FILTER (WHERE severe AND baseline_pass AND NOT candidate_pass) > 0 THEN 'severe_regression' END, CASE WHEN count(*) FILTER (WHERE status = 'execution_error') > 0 THEN 'execution_errors' END, CASE WHEN count(*) FILTER (WHERE status = 'review') > 0 THEN 'pending_review' END], lambda x: x IS NOT NULL), ',') AS blockers
+FROM eval_results GROUP BY feature_key""")
+def agg24_run_detail(spark, sf_dir):
+    return E.run_summary(view(spark, sf_dir, "eval_results"), "feature_key")
+
+
+@query("WITH c AS (SELECT feature_key, status, count(*) AS n FROM eval_results GROUP BY ALL) SELECT feature_key, string_agg(status || '=' || n, ',' ORDER BY status || '=' || n) AS histogram FROM c GROUP BY feature_key")
+def agg23_run_histogram(spark, sf_dir):
+    return histogram(view(spark, sf_dir, "eval_results"), "feature_key", "status")
+
+
+_FIX = """f AS (SELECT event_id, user_id, '{"a":{"amount":' || CAST(value AS VARCHAR) || ',"id":"c' || user_id % 7 || '"},"kind":"' || event_type || '"}' AS base, '{"a":{"amount":' || CAST(CASE WHEN event_id % 5 = 0 THEN value + 1 ELSE value END AS VARCHAR) || ',"id":"c' || CASE WHEN event_id % 11 = 0 THEN 9 ELSE user_id % 7 END || '"},"kind":"' || event_type || '"}' AS cand, value, event_type FROM events),
+r AS (SELECT event_id, o.op, o.sev, CASE o.op WHEN 'money' THEN abs(CAST(json_extract(b, '$.a.amount') AS DOUBLE) - value) <= 0.01 + 1e-12 WHEN 'catalog_id' THEN json_extract_string(b, '$.a.id') = 'c' || user_id % 7 WHEN 'must_not_claim' THEN NOT contains(lower(b), 'error') ELSE json_extract(b, '$.missing') IS NULL END AS baseline,
+  CASE o.op WHEN 'money' THEN abs(CAST(json_extract(c, '$.a.amount') AS DOUBLE) - value) <= 0.01 + 1e-12 WHEN 'catalog_id' THEN json_extract_string(c, '$.a.id') = 'c' || user_id % 7 WHEN 'must_not_claim' THEN NOT contains(lower(c), 'error') ELSE json_extract(c, '$.missing') IS NULL END AS candidate
+  FROM (SELECT *, base AS b, cand AS c FROM f) x, (VALUES ('money', true), ('catalog_id', true), ('must_not_claim', true), ('must_not_exist', true)) AS o(op, sev))"""
+
+
+def _assertions(spark, sf_dir):
+    """Four assertions of each of two outputs, made of the events."""
+    k, v = F.col("event_id"), F.col("value")
+
+    def output(amount, ident):
+        return F.concat(F.lit('{"a":{"amount":'), amount.cast("string"), F.lit(',"id":"c'), ident.cast("string"), F.lit('"},"kind":"'), F.col("event_type"), F.lit('"}'))
+
+    rows = view(spark, sf_dir, "events").select("event_id", "user_id", "value", output(v, F.col("user_id") % 7).alias("b"), output(F.when(k % 5 == 0, v + 1).otherwise(v), F.when(k % 11 == 0, F.lit(9)).otherwise(F.col("user_id") % 7)).alias("c"))
+    rows = rows.withColumns({"bv": F.try_parse_json("b"), "cv": F.try_parse_json("c"), "op": F.explode(F.array(*[F.lit(o) for o in ("money", "catalog_id", "must_not_claim", "must_not_exist")]))})
+    path = {"money": "$.a.amount", "catalog_id": "$.a.id", "must_not_claim": "$", "must_not_exist": "$.missing"}
+    op = F.col("op")
+    wanted = F.when(op == "money", v.cast("string")).when(op == "catalog_id", F.concat(F.lit('"c'), (F.col("user_id") % 7).cast("string"), F.lit('"')))
+
+    def holds(variant, text):
+        found, actual = F.lit(False), F.lit(None).cast("string")
+        for o, p in path.items():
+            f, a = E.at_path(F.col(variant), p)
+            found, actual = F.when(op == o, f).otherwise(found), F.when(op == o, a).otherwise(actual)
+        return E.held(op, found, actual, wanted, F.col(text), F.lit("error"))
+
+    return rows.select("event_id", "op", holds("bv", "b").alias("baseline"), holds("cv", "c").alias("candidate"), op.isin(*E.SEVERE).alias("severe"))
+
+
+@query(f"WITH {_FIX} SELECT event_id, op, baseline, candidate FROM r")
+def dom35_assertions(spark, sf_dir):
+    return _assertions(spark, sf_dir).select("event_id", "op", "baseline", "candidate")
+
+
+@query(f"WITH {_FIX}, g AS (SELECT event_id, bool_and(baseline) AS bp, bool_and(candidate) AS cp, bool_or(sev AND baseline AND NOT candidate) AS s FROM r GROUP BY event_id) SELECT event_id, bp AS baseline_passed, cp AS passed, bp AND NOT cp AS regression, bp AND NOT cp AND s AS severe_regression, NOT cp AS requires_review FROM g")
+def dom34_eval_verdict(spark, sf_dir):
+    return E.verdicts(_assertions(spark, sf_dir), "event_id")
+
+
+@query("SELECT doc_id, CASE WHEN ('0x' || substr(sha256('run-1:' || doc_id), 1, 2))::INT % 2 = 0 THEN 'baseline_is_a' ELSE 'baseline_is_b' END AS side FROM documents")
+def dom38_blind_side(spark, sf_dir):
+    return view(spark, sf_dir, "documents").select("doc_id", E.blind_side(F.concat(F.lit("run-1:"), F.col("doc_id").cast("string"))).alias("side"))
+
+
+@query("SELECT doc_id, least(0.01::DOUBLE, 0.01::DOUBLE * n_chars / 9216.0::DOUBLE) AS cost FROM documents")
+def mth5_eval_cost(spark, sf_dir):
+    return view(spark, sf_dir, "documents").select("doc_id", F.least(F.lit(0.01), F.lit(0.01) * F.col("n_chars") / 9216.0).alias("cost"))
