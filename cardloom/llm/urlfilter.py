@@ -46,9 +46,8 @@ class Cascade:
 
     def __init__(self, keys: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS):
         self.levels: list[tuple[DataFrame, int]] = []
-        self.fits, side, inside = True, True, keys
+        self.fits, encoded, others = True, keys.where("listed").select("key"), keys.where("NOT listed").select("key")
         while self.fits:
-            encoded = inside.where(F.col("listed") == side).select("key")
             n = encoded.count()
             if not n:
                 break
@@ -63,8 +62,8 @@ class Cascade:
             spine = keys.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
             level = spine.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x["word"]).alias("words"))  # at most max_bits / 64 numbers
             self.levels.append((scratch.put(level, "level"), bits))
-            took = scratch.put(inside.where(F.col("listed") != side).where(self._in(len(self.levels) - 1, F.col("key"))), "took")
-            inside, side = took, not side
+            # the next level holds those of the others that this one takes, and is tested on those that this one holds
+            encoded, others = scratch.put(others.where(self._in(len(self.levels) - 1, F.col("key"))), "took"), encoded
 
     def _in(self, i: int, key: Column) -> Column:
         words, bits = self.levels[i]
