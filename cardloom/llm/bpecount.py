@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from cardloom.llm.common import Pieces
 
 
-def _visible_bytes() -> list[str]:
+def visible_bytes() -> list[str]:
     """The character that byte-level vocabularies write for each byte: itself if printable in Latin-1, else 256 and up."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {b: chr(b) for b in shown}
@@ -36,11 +36,11 @@ class Counter:
         merges = spec["model"]["merges"]
         self.rank = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): i for i, m in enumerate(merges)}
         self.find = regex.compile(pattern).findall
-        self.bytes = _visible_bytes()
+        self.bytes = visible_bytes()
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.cut = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.known: dict[str, int] = {}
-        self.pieces = Pieces(lambda texts: [self._plain(t) for t in texts], self.specials)
+        self.pieces = Pieces(self.of, len(spec["model"]["vocab"]), ids=False)
 
     def merged(self, pretoken: str) -> int:
         """Symbols of one pre-token that are left after all merges."""
@@ -83,15 +83,14 @@ class Counter:
             total += n
         return total
 
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        values = self.pieces.split(text)
-        if values is not None:
-            return sum(values)
+    def of(self, texts: list[str]) -> list[int]:
         if self.cut is None:
-            return self._plain(text)
-        return sum(map(self._plain, self.cut.split(text))) + len(self.cut.findall(text))
+            return [self._plain(t) for t in texts]
+        return [sum(map(self._plain, self.cut.split(t))) + len(self.cut.findall(t)) for t in texts]
+
+    def counts(self, column) -> list[int]:
+        """Tokens of each text of an Arrow array."""
+        return [n for n, _ in self.pieces.of(column)]
 
 
 _counters: dict = {}
@@ -103,9 +102,8 @@ def _counting(path: str, pattern: str):
 
         if path not in _counters:  # stays while the worker lives
             _counters[path] = Counter(path, pattern)
-        count = _counters[path].count
         for batch in batches:
-            n = [count(t) for t in batch.column(2).to_pylist()]
+            n = _counters[path].counts(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run

@@ -188,42 +188,140 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int):
 # ---------------------------------------------------------------- texts cut where a byte-level tokenizer cuts them too
 
 
+_ALPHA, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_ALPHA[[*range(65, 91), *range(97, 123)]] = True
+_STOP[[ord(c) for c in ".,!?;:"]] = True
+_WIDE = ((0xC2, None, (0x85, 0xA0)), (0xE1, 0x9A, (0x80,)), (0xE2, 0x80, (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, 0x81, (0x9F,)), (0xE3, 0x80, (0x80,)))
+
+
 class Pieces:
-    """Values of a text's pieces, kept from text to text.
+    """Token ids of texts by pieces, kept in a table with one place for each hash: a new piece takes the place of an old one.
 
     Where a single space or line feed stands between other characters, the byte-level pattern always begins a new
-    pre-token at it, and merges never cross pre-tokens; so a text is cut there and a piece's value does not depend on
-    its surroundings. ``split`` gives None for a text with any other white space or a special string: the caller then
-    takes the text whole.
+    pre-token at it, and merges never cross pre-tokens; so a text is cut before each, behind a line feed, and between a
+    letter and a stop, where a pre-token ends too, and a piece's ids do not depend on its surroundings. A text with any other white space, with two in a row, at an end, or with ``<|`` is taken whole. Pieces are
+    told apart by a 64-bit hash. The table's size is fixed, and a text with a piece of more than ``WIDTH`` ids is taken whole.
     """
 
-    def __init__(self, compute, specials, most: int = 400_000):
-        self.compute, self.specials, self.most = compute, specials, most
-        self.spaced, self.other = {}, {}
-
-    def split(self, text: str) -> list | None:
-        if not text or len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(s in text for s in self.specials):
-            return None
-        if len(self.spaced) > self.most:
-            self.spaced.clear()
-        if len(self.other) > self.most // 4:
-            self.other.clear()
-        out, lead = [], ""
-        for line in text.split("\n"):
-            first, *words = line.split(" ")
-            out.append(self._get(self.other, lead + first))
-            try:
-                values = list(map(self.spaced.__getitem__, words))
-            except KeyError:
-                new = list(set(words).difference(self.spaced))
-                self.spaced.update(zip(new, self.compute([" " + w for w in new])))
-                values = list(map(self.spaced.__getitem__, words))
-            out += values
-            lead = "\n"
+    WIDTH, BITS, RUN = 16, 21, 1 << 22
+
+    def __init__(self, compute, vocabulary: int, ids: bool = True):
+        """compute: texts -> a list of ids of each, or with ids False the number of them."""
+        self.compute, self.with_ids = compute, ids
+        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+        n = 1 << self.BITS
+        self.keys, self.n = np.zeros(n, np.uint64), np.zeros(n, np.int32)
+        self.ids = np.zeros((n, self.WIDTH), self.kind) if ids else None
+        self.values = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
+
+    def of(self, column):
+        """For each text of an Arrow string array the number of its ids and, if they are kept, the ids as little-endian 32-bit integers."""
+        import pyarrow as pa
+
+        column = column.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        whole = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        i, n = 0, len(column)
+        while i < n:
+            j = max(i + 1, min(n, int(np.searchsorted(offsets, offsets[i] + self.RUN, "right")) - 1))
+            yield from self._run(whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            i = j
+
+    def _apart(self, data: np.ndarray, sep: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Places of bytes that make a text one to be taken whole."""
+        odd = (data < 0x20) & (data != 0x0A) & ((data >= 0x1C) | (data >= 0x09) & (data <= 0x0D))
+        odd[1:] |= sep[1:] & sep[:-1] | (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        at = [np.flatnonzero(odd)]
+        for lead in sorted({w[0] for w in _WIDE}):
+            place = np.flatnonzero(data == lead)
+            second, third = data[np.minimum(place + 1, len(data) - 1)], data[np.minimum(place + 2, len(data) - 1)]
+            for first, middle, last in _WIDE:
+                if first == lead:
+                    at.append(place[np.isin(second, last) if middle is None else (second == middle) & np.isin(third, last)])
+        full = edges[1:] > edges[:-1]
+        starts, ends = edges[:-1][full], edges[1:][full] - 1
+        return np.concatenate([*at, starts[sep[starts]], ends[sep[ends]]])
+
+    @staticmethod
+    def _letter(data: np.ndarray) -> np.ndarray:
+        """Bytes that end an ASCII or Latin-1 letter."""
+        out = _ALPHA[data]
+        at = np.flatnonzero(data[:-1] == 0xC3) + 1
+        out[at] = (data[at] != 0x97) & (data[at] != 0xB7)
         return out
 
-    def _get(self, known, piece):
-        value = known.get(piece)
-        if value is None:
-            value = known[piece] = self.compute([piece])[0]
-        return value
+    def _run(self, data: np.ndarray, edges: np.ndarray):
+        counts = np.zeros(len(edges) - 1, np.int64)
+        out: list = [b""] * len(counts)
+        if len(data):
+            sep = (data == 0x20) | (data == 0x0A)
+            simple = edges[1:] > edges[:-1]
+            simple[np.searchsorted(edges, self._apart(data, sep, edges), "right") - 1] = False
+            cut = sep.copy()
+            cut[1:] |= _STOP[data[1:]] & self._letter(data)[:-1]
+            cut[1:] |= data[:-1] == 0x0A
+            cut[edges[:-1][simple]] = True
+            at = np.flatnonzero(cut)
+            text = np.searchsorted(edges, at, "right") - 1
+            at, text = at[simple[text]], text[simple[text]]
+            if len(at):
+                self._simple(data, edges, at, text, simple, counts, out)
+            rest = np.flatnonzero(~simple & (edges[1:] > edges[:-1]))
+            if len(rest):
+                found = self.compute([data[edges[r] : edges[r + 1]].tobytes().decode() for r in rest])
+                for r, ids in zip(rest, found):
+                    counts[r] = len(ids) if self.with_ids else ids
+                    if self.with_ids:
+                        out[r] = np.array(ids, "<u4").tobytes()
+        return zip(counts.tolist(), out)
+
+    def _simple(self, data, edges, at, text, simple, counts, out):
+        last = np.r_[text[1:] != text[:-1], True]
+        end = np.where(last, edges[text + 1], np.r_[at[1:], 0])
+        terms = self.values[data]
+        power, inverse = _byte_tables()[2:]
+        for k in range(0, len(data), _SEGMENT):
+            terms[k : k + _SEGMENT] *= power[: len(terms[k : k + _SEGMENT])]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        h = total[end] - total[at]  # a piece is summed from its own place on, except where it runs into the next segment
+        h *= inverse[at % _SEGMENT]
+        over = np.flatnonzero(at // _SEGMENT != (end - 1) // _SEGMENT)
+        for o in over.tolist():
+            h[o] = np.uint64(hash(data[at[o] : end[o]].tobytes()) & (2**64 - 1))
+        h = mix(h + _GOLD)
+        h[h == 0] = 1
+        unique, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        slot = (unique >> np.uint64(64 - self.BITS)).astype(np.int64)
+        hit = self.keys[slot] == unique
+        n = np.where(hit, self.n[slot], 0)
+        ids = self.ids[slot] if self.with_ids else None
+        new = np.flatnonzero(~hit)
+        if len(new):
+            pieces = [data[a:b].tobytes().decode() for a, b in zip(at[first[new]].tolist(), end[first[new]].tolist())]
+            got = self.compute(pieces)
+            if self.with_ids:
+                n[new] = np.fromiter(map(len, got), np.int32, len(got))
+                fits = n[new] <= self.WIDTH
+                flat = np.fromiter((x for g, f in zip(got, fits.tolist()) if f for x in g), self.kind)
+                block = np.zeros((len(new), self.WIDTH), self.kind)
+                block[(np.arange(self.WIDTH) < n[new, None]) & fits[:, None]] = flat
+                ids[new] = block
+                kept = new[fits]
+                self.ids[slot[kept]] = ids[kept]
+            else:
+                n[new] = got
+                kept = new
+            self.keys[slot[kept]], self.n[slot[kept]] = unique[kept], n[kept]
+        each = n[inv]
+        begin = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+        own = text[begin]
+        counts[own] = np.add.reduceat(each, begin)
+        if not self.with_ids:
+            return
+        wide = each > self.WIDTH
+        simple[text[wide]] = False
+        block = ids[inv]
+        flat = block[np.arange(self.WIDTH) < np.where(wide, 0, each)[:, None]].astype("<u4").tobytes()
+        done = np.r_[0, np.cumsum(np.add.reduceat(np.where(wide, 0, each), begin))] * 4
+        for t, a, b in zip(own.tolist(), done[:-1].tolist(), done[1:].tolist()):
+            out[t] = flat[a:b]

@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from cardloom.llm.bpecount import visible_bytes
 from cardloom.llm.common import Pieces, Scratch
 
 FRAME_BYTES = 1 << 20
@@ -111,14 +112,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = Pieces(self.batch, [t.content for t in self.tokenizer.get_added_tokens_decoder().values()])
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, text: str) -> bytes:
-        parts = self.pieces.split(text)
-        return b"".join(parts) if parts is not None else self.batch([text])[0]
+        self.model, self.visible = self.tokenizer.model, dict(enumerate(visible_bytes()))
+        self.pieces = Pieces(self.of, self.tokenizer.get_vocab_size())
+
+    def of(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text. Letters alone, with a space before or not, are one pre-token, which the library's model takes as it is."""
+        out, rest = [], []
+        for i, p in enumerate(texts):
+            if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) or p.isalpha():
+                out.append([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.visible))])
+            else:
+                out.append(None)
+                rest.append(i)
+        if rest:
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
+
+    def ids(self, column):
+        """Ids of each text of an Arrow array."""
+        for _, ids in self.pieces.of(column):
+            yield ids
 
 
 _encoders: dict = {}
@@ -141,8 +155,8 @@ def _writing(folder: str, tokenizer: str, end: bytes, frame_bytes: int):
                 out = store.open_output_stream(own, compression=None)
                 shards = ShardWriter(out, frame_bytes)
             rows = []
-            for text in batch.column(1).to_pylist():
-                ids = encode(text) + end
+            for ids in encode(batch.column(1)):
+                ids += end
                 frame, at = shards.add(ids)
                 rows.append((frame, at, start, len(ids) // 4))
                 start += len(ids) // 4
