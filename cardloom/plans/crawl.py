@@ -106,3 +106,34 @@ FROM l WHERE regexp_matches(line, '(?i)licen[sc]ed\s+under\s+(?:the\s+)?([a-z-]+
 def dom18_offer_lines(spark, sf_dir):
     """Lines that state an offer or a licence, by the first pattern that fits."""
     return W.offer_lines(view(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _several(test, value, *keys):
+    over = f"OVER (PARTITION BY card_id, {', '.join(keys)})"
+    v = f"CASE WHEN {test} THEN {value} END"
+    return f"coalesce(min({v}) {over} <> max({v}) {over}, false)"
+
+
+def _n(test, *keys):
+    return f"count(*) FILTER (WHERE {test}) OVER (PARTITION BY card_id, {', '.join(keys)})"
+
+
+_SPREAD = "CASE WHEN o IS NULL AND coalesce(max(CASE WHEN o = 'conflicting_proposed_terms' THEN 1 END) OVER (PARTITION BY card_id, side, dedupe_key), 0) = 1 THEN 'conflicting_proposed_terms' ELSE o END"
+_C, _P, _FIT = "o IS NULL AND side = 'c'", "o IS NULL AND side = 'p'", "side = 'p' AND v6 AND NOT torn"
+
+
+@query(f"""WITH a AS (SELECT *, CASE WHEN {_several("side = 'c'", 'condition', 'dedupe_key')} OR {_several("side = 'p'", 'condition', 'dedupe_key')} THEN 'dedupe_key_condition_mismatch' END AS o,
+  {_several("side = 'p'", 'condition', 'semantic_key')} AND {_several("side = 'p'", 'source', 'semantic_key')} AS torn FROM terms),
+b AS (SELECT * REPLACE (CASE WHEN o IS NULL AND torn THEN 'conflicting_proposed_terms' ELSE o END AS o) FROM a), b2 AS (SELECT * REPLACE ({_SPREAD} AS o) FROM b),
+c AS (SELECT * REPLACE (CASE WHEN o IS NULL AND {_several(_FIT, 'semantic_key', 'subject')} AND {_several(_FIT, 'source', 'subject')} AND (({_FIT}) OR side = 'c') THEN 'conflicting_proposed_terms' ELSE o END AS o) FROM b2), c2 AS (SELECT * REPLACE ({_SPREAD} AS o) FROM c),
+d AS (SELECT * REPLACE (CASE WHEN o IS NULL AND {_n(_C, 'dedupe_key')} > 0 AND {_n(_P, 'dedupe_key')} > 0 THEN CASE WHEN NOT {_several('o IS NULL', 'condition', 'dedupe_key')} THEN 'unchanged' ELSE 'dedupe_key_condition_mismatch' END ELSE o END AS o) FROM c2),
+e AS (SELECT * REPLACE (CASE WHEN o IS NULL AND (side = 'c' AND NOT starts_with(dedupe_key, 'card-benefit-v2:') OR side = 'p' AND v6) AND {_n(_C + " AND NOT starts_with(dedupe_key, 'card-benefit-v2:')", 'condition')} = 1 AND {_n(_P + ' AND v6', 'condition')} = 1 THEN 'identity_migration' ELSE o END AS o) FROM d),
+f AS (SELECT *, {_n(_C, 'semantic_key')} AS nc, {_n(_P, 'semantic_key')} AS np FROM e),
+g AS (SELECT * EXCLUDE (nc, np) REPLACE (CASE WHEN o IS NULL AND nc > 0 AND np > 0 THEN CASE WHEN nc = 1 AND np = 1 THEN 'modification' ELSE 'ambiguous_benefit_match' END ELSE o END AS o) FROM f),
+h AS (SELECT *, CASE WHEN o IS NULL AND side = 'p' AND {_n(_P, 'semantic_key')} > 1 AND {_several(_P, 'source', 'semantic_key')} THEN 'conflicting_proposed_terms' ELSE o END AS p FROM g)
+SELECT side, id, card_id, coalesce(p, CASE WHEN side = 'p' THEN 'addition' ELSE 'possible_removal' END) AS outcome FROM h""")
+def dom23_benefit_diff(spark, sf_dir):
+    """What becomes of every current and proposed benefit."""
+    from cardloom.operators.benefit_diff import diff
+
+    return diff(view(spark, sf_dir, "terms")).select("side", "id", "card_id", "outcome")

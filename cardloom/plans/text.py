@@ -58,8 +58,8 @@ def str13_txn_type(spark, sf_dir):
     return _txns(spark, sf_dir).select("pos", T.transaction_type(F.col("transaction_type"), F.col("description")).alias("type"))
 
 
-_URL = r"""WITH u AS (SELECT page_id, regexp_extract(trim(url), '^(?i)(https?)://([^/?#@\s:]+)(:[0-9]+)?([^?#\s]*)(\?[^#\s]*)?(#.*)?$', ['s', 'h', 'p', 'path', 'q', 'f']) AS x,
-  regexp_matches(trim(url), '^(?i)(https?)://([^/?#@\s:]+)(:[0-9]+)?([^?#\s]*)(\?[^#\s]*)?(#.*)?$') AS ok FROM pages),
+_URL = r"""WITH u AS (SELECT page_id, regexp_extract(trim(url), '^(?i)(https?)://([^/?#@\s:]+)(:[0-9]+)?(/[^?#\s]*)?(\?[^#\s]*)?(#.*)?$', ['s', 'h', 'p', 'path', 'q', 'f']) AS x,
+  regexp_matches(trim(url), '^(?i)(https?)://([^/?#@\s:]+)(:[0-9]+)?(/[^?#\s]*)?(\?[^#\s]*)?(#.*)?$') AS ok FROM pages),
 v AS (SELECT page_id, ok, lower(x.s) || '://' || regexp_replace(lower(x.h), '\.$', '') || CASE WHEN lower(x.s) = 'http' AND x.p = ':80' OR lower(x.s) = 'https' AND x.p = ':443' THEN '' ELSE x.p END AS head,
   '/' || array_to_string(list_filter(string_split(x.path, '/'), lambda p: p <> '' AND p <> '.'), '/') AS path,
   array_to_string(list_sort(list_filter(string_split(substr(x.q, 2), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(split_part(p, '=', 1)), '^(utm_[a-z0-9_]*|gclid|fbclid|ref)$'))), '&') AS q FROM u)
@@ -79,7 +79,7 @@ def str17_display_url(spark, sf_dir):
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)\s*>', ' ', 'g') AS t FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<(br|/p|/div|/li|/h[1-6]|/tr|/section)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM a),
 c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM b)
-SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g')) AS text FROM c""")
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS text FROM c""")
 def str19_page_text(spark, sf_dir):
     return view(spark, sf_dir, "pages").select("page_id", T.page_text(F.col("html")).alias("text"))
 
