@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cardloom.operators.settle import settled
+
 #: Booking platforms by the names that partners have.
 PLATFORMS = {"bookmyshow": "BookMyShow", "district": "Zomato", "zomato": "Zomato", "pvr": "PVR", "inox": "INOX", "cinepolis": "Cinepolis", "moviemax": "Moviemax"}
 #: How much a platform's confidence counts.
@@ -44,11 +46,6 @@ class Config:
         return F.when(is_text & (t != ""), t)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df with its columns computed here: filters on them are not expanded, with all they are made of, into the scan below."""
-    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
-
-
 def normalised_rules(sources: DataFrame) -> DataFrame:
     """Sources with offer_type, its terms, and reason where no offer can be made of the object. Nothing is ever made up."""
     c = Config("value_config")
