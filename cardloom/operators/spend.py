@@ -45,9 +45,13 @@ def first_of(df: DataFrame, key: tuple[str, ...], order: str) -> DataFrame:
     return held.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def purchases(txns: DataFrame, start=None, through=None) -> DataFrame:
-    """Canonical purchases: eligible, of a sound amount, in the period, each natural key once."""
-    return first_of(txns.where(between(F.col("transaction_date"), start, through) & eligible() & sound_amount(F.col("amount"))), NATURAL_KEY, "pos")
+def purchases(txns: DataFrame, start=None, through=None, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Canonical purchases: eligible, of a sound amount, in the period, each natural key once.
+
+    keep: the columns besides the key and pos that are needed; only these are shuffled. Left out, all are.
+    """
+    rows = txns.where(between(F.col("transaction_date"), start, through) & eligible() & sound_amount(F.col("amount")))
+    return first_of(rows if keep is None else rows.select(*NATURAL_KEY, "pos", *keep), NATURAL_KEY, "pos")
 
 
 def reward() -> Column:
@@ -153,7 +157,7 @@ def top_category(bought: DataFrame) -> DataFrame:
 def grouped_ledger(txns: DataFrame, by: str = "user_card_id") -> DataFrame:
     """Headers of the ledger's groups: all rows, and the subtotal over canonical purchases alone."""
     marked = txns.groupBy(by).agg(F.count("*").alias("n_rows"), F.max("transaction_date").alias("latest"))
-    sums = purchases(txns).groupBy(by).agg(total("amount").alias("subtotal"))
+    sums = purchases(txns, keep=() if by in NATURAL_KEY else (by,)).groupBy(by).agg(total("amount").alias("subtotal"))
     return marked.join(sums, by, "left").select(by, "n_rows", "latest", F.coalesce("subtotal", F.lit(0.0)).alias("subtotal"))
 
 

@@ -39,18 +39,18 @@ def src7_uncategorized(spark, sf_dir):
 
 @query(f"WITH {_BOUGHT} SELECT user_id, CAST(sum(amount) AS DOUBLE) AS total_spend, CAST(sum({_REWARD}) AS DOUBLE) AS total_rewards, count(*) AS purchases FROM bought GROUP BY user_id")
 def agg1_retail_totals(spark, sf_dir):
-    return S.retail_totals(S.purchases(_txns(spark, sf_dir)))
+    return S.retail_totals(S.purchases(_txns(spark, sf_dir), keep=("reward_earned",)))
 
 
 @query(f"WITH {_BOUGHT} SELECT user_id, coalesce(category, 'Other') AS category, CAST(sum(amount) AS DOUBLE) AS amount FROM bought GROUP BY ALL")
 def agg1_category_totals(spark, sf_dir):
-    return S.category_totals(S.purchases(_txns(spark, sf_dir)))
+    return S.category_totals(S.purchases(_txns(spark, sf_dir), keep=("category",)))
 
 
 @query(f"WITH {_BOUGHT} SELECT user_id, CAST(CAST(transaction_date + INTERVAL 330 MINUTE AS DATE) AS VARCHAR) AS day, CAST(sum(amount) AS DOUBLE) AS amount FROM bought GROUP BY ALL")
 def agg1_local_days(spark, sf_dir):
     """Day totals in a zone at +05:30."""
-    return S.purchases(_txns(spark, sf_dir)).groupBy("user_id", S.local_date("+05:30").cast("string").alias("day")).agg(S.total("amount").alias("amount"))
+    return S.purchases(_txns(spark, sf_dir), keep=()).groupBy("user_id", S.local_date("+05:30").cast("string").alias("day")).agg(S.total("amount").alias("amount"))
 
 
 @query(f"""WITH {_BOUGHT},
@@ -60,7 +60,7 @@ g AS (SELECT user_id, month_index, CAST(sum(amount) AS DOUBLE) AS spend, CAST(su
 SELECT u.user_id, i.month_index, coalesce(spend, 0) AS spend, coalesce(rewards, 0) AS rewards FROM u CROSS JOIN i LEFT JOIN g ON g.user_id = u.user_id AND g.month_index = i.month_index""")
 def agg5_month_trend(spark, sf_dir):
     """Six-month spend and rewards of every user, with zeros."""
-    return S.month_trend(S.purchases(_txns(spark, sf_dir)), CLOCK)
+    return S.month_trend(S.purchases(_txns(spark, sf_dir), keep=("reward_earned",)), CLOCK)
 
 
 @query(f"""WITH e AS (SELECT *, lower(trim(coalesce(merchant_name, ''))) AS m, trim(merchant_name) AS lab FROM transactions WHERE {_ELIGIBLE} AND transaction_date BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2000-12-31'),
@@ -97,7 +97,7 @@ SELECT user_id, CAST(sum(amount) FILTER (WHERE now) AS DOUBLE) AS total, count(*
   CASE WHEN sum(amount) FILTER (WHERE NOT now) > 0 THEN round((CAST(sum(amount) FILTER (WHERE now) AS DOUBLE) - CAST(sum(amount) FILTER (WHERE NOT now) AS DOUBLE)) / CAST(sum(amount) FILTER (WHERE NOT now) AS DOUBLE) * 100, 4) END AS change_percent
 FROM n GROUP BY user_id HAVING count(*) FILTER (WHERE now) > 0""")
 def agg7_spend_trend(spark, sf_dir):
-    return S.spend_trend(S.purchases(_txns(spark, sf_dir)), "1998-01-01", "1998-12-31").withColumn("peak_day", F.col("peak_day").cast("string"))
+    return S.spend_trend(S.purchases(_txns(spark, sf_dir), keep=()), "1998-01-01", "1998-12-31").withColumn("peak_day", F.col("peak_day").cast("string"))
 
 
 @query("SELECT strftime(transaction_date, '%Y-%m') AS month, coalesce(category, 'Other') AS category, CAST(sum(amount) AS DOUBLE) AS amount FROM transactions WHERE CASE WHEN transaction_type IN ('debit', 'credit', 'refund', 'fee', 'reward') THEN transaction_type ELSE 'debit' END = 'debit' GROUP BY ALL")
@@ -108,7 +108,7 @@ def agg8_monthly_categories(spark, sf_dir):
 @query(f"""WITH {_BOUGHT}, g AS (SELECT user_id, coalesce(category, 'Other') AS category, sum(amount) AS amount, min(pos) AS seen FROM bought GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY amount DESC, seen DESC) AS n FROM g) SELECT user_id, category, CAST(amount AS DOUBLE) AS amount FROM r WHERE n = 1""")
 def agg10_top_category(spark, sf_dir):
-    return S.top_category(S.purchases(_txns(spark, sf_dir)))
+    return S.top_category(S.purchases(_txns(spark, sf_dir), keep=("category",)))
 
 
 @query(f"""WITH {_BOUGHT}, s AS (SELECT user_card_id, CAST(sum(amount) AS DOUBLE) AS subtotal FROM bought GROUP BY user_card_id), h AS (SELECT user_card_id, count(*) AS n_rows, max(transaction_date) AS latest FROM transactions GROUP BY user_card_id)
