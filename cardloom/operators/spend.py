@@ -82,10 +82,12 @@ def month_trend(bought: DataFrame, now: str, months: int = 6, zone: str = "UTC")
     day = local_date(zone)
     back = (F.year(today) * 12 + F.month(today)) - (F.year(day) * 12 + F.month(day))
     index = F.lit(months - 1) - back
-    sums = bought.withColumn("month_index", index).where((index >= 0) & (index < months)).groupBy("user_id", "month_index").agg(total("amount").alias("spend"), total(reward()).alias("rewards"))
-    users = bought.select("user_id").distinct().withColumn("month_index", F.explode(F.sequence(F.lit(0), F.lit(months - 1))))
-    zero = F.lit(0.0)
-    return users.join(sums, ["user_id", "month_index"], "left").select("user_id", "month_index", F.coalesce("spend", zero).alias("spend"), F.coalesce("rewards", zero).alias("rewards"))
+    def of(k: int, c: Column) -> Column:
+        return F.coalesce(F.sum(F.when(index == k, c)).cast("double"), F.lit(0.0))
+
+    # one pass: a user's months are columns of one group, so no calendar is joined
+    per_user = bought.groupBy("user_id").agg(F.array(*[F.struct(of(k, F.col("amount")).alias("spend"), of(k, reward()).alias("rewards")) for k in range(months)]).alias("m"))
+    return per_user.select("user_id", F.posexplode("m").alias("month_index", "x")).select("user_id", "month_index", "x.spend", "x.rewards")
 
 
 # ---------------------------------------------------------------- insights
