@@ -72,6 +72,9 @@ VIEWS = {
   CASE WHEN p_partkey % 5 = 0 THEN CAST('2001-07-01' AS DATE) + p_size END AS valid_until, p_partkey % 3 = 0 AS is_owned,
   CASE WHEN p_partkey % 4 = 0 THEN 'verified' ELSE 'unverified' END AS usage_confidence, CAST(p_partkey % 4 AS INT) AS used_transactions, CASE WHEN p_partkey % 2 = 0 THEN p_partkey * 100.0E0 END AS milestone_spend,
   CASE WHEN p_partkey % 6 = 0 THEN 'bookmyshow' ELSE '' END AS confirmed FROM part""",
+    "terms": """SELECT side, k AS id, k % 23 AS card_id, CASE WHEN k % 4 = 0 THEN 'card-benefit-v2:' ELSE 'old:' END || CAST(k % 23 AS STRING) || ':' || CAST(k % 61 AS STRING) AS dedupe_key, 's' || CAST(k % 37 AS STRING) AS semantic_key,
+  'c' || CAST(k % 61 AS STRING) || CASE WHEN side = 'p' AND k % 17 = 0 THEN 'x' ELSE '' END || CASE WHEN k % 29 = 3 THEN CAST(k % 2 AS STRING) ELSE '' END AS condition, 'u' || CAST(k % 5 AS STRING) AS source, 'j' || CAST(k % 37 % 12 AS STRING) AS subject, k % 3 > 0 AS v6
+  FROM (SELECT 'c' AS side, p_partkey AS k FROM part WHERE p_partkey % 7 > 1 UNION ALL SELECT 'p' AS side, p_partkey + CASE WHEN p_partkey % 11 = 0 THEN 61 ELSE 0 END AS k FROM part WHERE p_partkey % 9 > 1) t""",
     "eval_results": """SELECT d.doc_id AS case_id, d.lang AS feature_key, l.quality = 1 AS baseline_pass, l.quality = 1 AND l.toxic = 0 AS candidate_pass, l.toxic = 1 AS severe, d.n_chars AS latency_ms,
   CAST(d.n_chars % 300 AS DECIMAL(12,2)) / 100 AS cost_usd, CASE WHEN d.doc_id % 7 = 0 THEN 'review' WHEN d.doc_id % 23 = 0 THEN 'execution_error' ELSE 'scored' END AS status
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
