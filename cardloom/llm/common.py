@@ -203,7 +203,7 @@ class Pieces:
     told apart by a 64-bit hash. The table's size is fixed, and a text with a piece of more than ``WIDTH`` ids is taken whole.
     """
 
-    WIDTH, BITS, RUN = 16, 21, 1 << 22
+    WIDTH, BITS, RUN = 16, 21, 1 << 21
 
     def __init__(self, compute, vocabulary: int, ids: bool = True):
         """compute: texts -> a list of ids of each, or with ids False the number of them."""

@@ -19,8 +19,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from cardloom.llm.bpecount import count_tokens
 from cardloom.llm.common import Scratch
+from cardloom.llm.tokenbin import Encoder
 
 LENGTHS = (512, 1024, 2048, 4096)
 DOMAIN_ROWS = 50_000
@@ -120,9 +120,23 @@ def best_fit(lengths: DataFrame, capacities: tuple[int, ...] = LENGTHS, costs: t
     return pieces.repartition(domains).mapInArrow(_packing(capacities, tuple(costs or map(float, capacities))), "doc_id long, piece long, start long, length int, bin_id long, bin_length int, bin_offset int")
 
 
+_encoders: dict = {}
+
+
+def _counting(tokenizer: str):
+    def run(batches):
+        import pyarrow as pa
+
+        if tokenizer not in _encoders:  # stays while the worker lives
+            _encoders[tokenizer] = Encoder(tokenizer, count_only=True)
+        for batch in batches:
+            n = [n + 1 for n, _ in _encoders[tokenizer].pieces.of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "length"])
+
+    return run
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, capacities: tuple[int, ...] = LENGTHS, costs: tuple[float, ...] | None = None, domain_rows: int = DOMAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """best_fit of the token counts of docs; tokenizer: a byte-level file that every executor can open."""
-    import public_tokenizers
-
-    counted = count_tokens(docs, tokenizer, public_tokenizers.PATTERN, id_col=id_col, text_col=text_col)
-    return best_fit(counted.select("doc_id", (F.col("n_tokens") + 1).alias("length")), capacities, costs, domain_rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return best_fit(rows.mapInArrow(_counting(tokenizer), "doc_id long, length long"), capacities, costs, domain_rows)

@@ -107,13 +107,14 @@ class ShardWriter:
 class Encoder:
     """Ids of whole texts as the library gives them, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, count_only: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.visible = self.tokenizer.model, dict(enumerate(visible_bytes()))
-        self.pieces = Pieces(self.of, self.tokenizer.get_vocab_size())
+        compute = (lambda texts: list(map(len, self.of(texts)))) if count_only else self.of
+        self.pieces = Pieces(compute, self.tokenizer.get_vocab_size(), ids=not count_only)
 
     def of(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text. Letters alone, with a space before or not, are one pre-token, which the library's model takes as it is."""
