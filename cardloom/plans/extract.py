@@ -112,3 +112,34 @@ def str30_validators(spark, sf_dir):
 def mth6_confidence(spark, sf_dir):
     k = F.col("id")
     return view(spark, sf_dir, "card_catalog").select("id", T.evidence_confidence(k % 3, k % 4 == 0, k % 3 == 0, k % 2 == 0).alias("confidence"))
+
+
+@query()
+def dt4_recovered_date(spark, sf_dir):
+    """Dates that a page break has split, by the description before them; tested on small texts."""
+    from cardloom.functions.recover import recovered_date
+
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Details\n "), (k % 28 + 1).cast("string"), F.lit("  Corner   shop "), k.cast("string"), F.lit(" 100.00\n Aug 2001 more"))
+    rows = view(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
+    return rows.select("o_orderkey", recovered_date(text, F.concat(F.lit("corner shop "), k.cast("string")), F.lit("2001-09-01").cast("date")).cast("string").alias("day"))
+
+
+@query()
+def str22_secret_urls(spark, sf_dir):
+    """Page urls with those hidden that carry a secret."""
+    from cardloom.functions.recover import without_secret_urls
+
+    return view(spark, sf_dir, "pages").select("page_id", without_secret_urls(F.concat("url", F.when(F.col("page_id") % 5 == 0, F.lit("&to%256ben=1")).otherwise(F.lit("")))).alias("url"))
+
+
+@query()
+def dom21_clusters(spark, sf_dir):
+    """Observations of each card's offers, clustered in order of strength."""
+    from cardloom.operators.cluster import clusters
+
+    k = F.col("p_partkey")
+    rows = view(spark, sf_dir, "part").select(
+        (k % 44).alias("card_id"), (k % 3).alias("subject"), F.concat(F.lit("https://h/"), k.cast("string")).alias("url"), (k % 7).alias("strength"), F.when(k % 2 == 0, (k % 4).cast("double")).alias("rate"),
+        F.lit(None).cast("double").alias("value"), F.when(k % 5 == 0, F.lit(500.0)).alias("cap"), F.lit(None).cast("double").alias("threshold"), F.when(k % 11 == 0, F.lit("month")).alias("period"))
+    return clusters(rows, ["card_id", "subject"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cardloom.functions import dates as D
 from cardloom.functions import money as M
 from cardloom.functions import text as T
-from cardloom.plans.register import query
+from cardloom.plans.register import SQL, query
 from cardloom.sources.tables import CLOCK, view
 
 
@@ -184,3 +184,12 @@ def dt12_rate_buckets(spark, sf_dir):
 def dt13_retry(spark, sf_dir):
     status, when = D.retry_after(F.col("attempt_count"), F.col("created_at"))
     return view(spark, sf_dir, "jobs").where("status = 'failed'").select("id", status.alias("status"), when.alias("next_try"))
+
+
+@query(f"SELECT a.pos, a.category, a.source, b.type, c.currency FROM ({SQL.get('dom1_categorise')}) a JOIN ({SQL.get('str13_txn_type')}) b ON a.pos = b.pos JOIN ({SQL.get('dom4_currency')}) c ON a.pos = c.pos")
+def dom6_normalise(spark, sf_dir):
+    """Type, currency, category and its source of every imported row, in one pass."""
+    category, source = T.categorised(F.col("merchant_name"), F.col("description"), F.col("category"))
+    bank = F.when(F.col("user_id") % 3 == 0, F.lit("FAB")).when(F.col("user_id") % 3 == 1, F.lit("HDFC Bank")).otherwise(F.lit("Unknown"))
+    kind, currency = T.transaction_type(F.col("transaction_type"), F.col("description")), M.transaction_currency(F.col("currency"), M.market_currency(bank))
+    return _txns(spark, sf_dir).select("pos", category.alias("category"), source.alias("source"), kind.alias("type"), currency.alias("currency"))

@@ -71,3 +71,32 @@ def test_json_that_is_none_and_bounds(spark):
     rows = df.select("j", J.canonical_json("j").alias("c"), J.within_bounds("j").alias("b"), J.sensitive_url("j").alias("s"), J.nfkc(F.lit("ＡＢ  c")).alias("n")).collect()
     assert [(x["c"] is None, x["b"], x["s"]) for x in rows] == [(True, None, None), (True, None, None), (False, True, True), (False, False, False)]
     assert rows[0]["n"] == "ab c"
+
+
+def test_dates_that_a_break_has_split():
+    import datetime as dt
+
+    from cardloom.functions.recover import split_date
+
+    text = "Page 1\n 11  CORNER   Shop (Main) 42.00\n August 26 total\n 12 other\nJuly 2026"
+    day = dt.date(2026, 8, 20)
+    assert split_date(text, "Corner shop (main)", day) == dt.date(2026, 8, 11)
+    assert split_date(text, "other", day) == dt.date(2026, 7, 12)
+    assert split_date(text, "missing", day) is None and split_date(None, "other", day) is None and split_date(text, "", day) is None
+    assert split_date("31 x\nFeb 2026", "x", day) is None and split_date("1 x\nJan 2020", "x", day) is None
+
+
+def test_urls_with_secrets_are_hidden():
+    from cardloom.functions.recover import hide_secrets
+
+    assert hide_secrets("see https://h/p?a=1 and https://h/p?tok%2565n=1, http://user@h/ or https%3A%2F%2Fh%2F%3Fapi_key%3D2") == "see https://h/p?a=1 and [redacted-url] [redacted-url] or [redacted-url]"
+    assert hide_secrets(None) is None
+
+
+def test_clusters_join_what_agrees(spark):
+    from cardloom.operators.cluster import clusters
+
+    rows = [(1, "b", 5, 10.0, None), (1, "a", 5, None, 500.0), (1, "c", 4, 12.0, None), (1, "d", 3, None, None), (1, "e", 2, 12.0, 500.0), (2, "f", 1, None, None)]
+    df = spark.createDataFrame([(k, u, s, r, None, c, None, None) for k, u, s, r, c in rows], "k long, url string, strength int, rate double, value double, cap double, threshold double, period string")
+    got = {x["url"]: (x["cluster"], x["strongest"]) for x in clusters(df, ["k"]).collect()}
+    assert got == {"a": (0, True), "b": (0, False), "c": (1, True), "d": (0, False), "e": (1, False), "f": (0, True)}
