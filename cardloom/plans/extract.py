@@ -143,3 +143,27 @@ def dom21_clusters(spark, sf_dir):
         (k % 44).alias("card_id"), (k % 3).alias("subject"), F.concat(F.lit("https://h/"), k.cast("string")).alias("url"), (k % 7).alias("strength"), F.when(k % 2 == 0, (k % 4).cast("double")).alias("rate"),
         F.lit(None).cast("double").alias("value"), F.when(k % 5 == 0, F.lit(500.0)).alias("cap"), F.lit(None).cast("double").alias("threshold"), F.when(k % 11 == 0, F.lit("month")).alias("period"))
     return clusters(rows, ["card_id", "subject"])
+
+
+_PAGE = "'Card page' || chr(10) || 'Joining fee: Rs. ' || p_size || '00' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN 'Annual fee' || chr(10) || 'INR 1,' || (100 + p_size) ELSE 'No fee' END || chr(10) || 'Network ' || CASE p_partkey % 3 WHEN 0 THEN 'Visa' WHEN 1 THEN 'RuPay' ELSE 'other' END"
+
+
+@query("""SELECT p_partkey, 'joining_fee' AS field, p_size || '00' AS value, 0.95::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, 'annual_fee', '1,' || (100 + p_size), 0.95 FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, 'network', CASE p_partkey % 3 WHEN 0 THEN 'Visa' ELSE 'RuPay' END, 0.96 FROM part WHERE p_partkey % 3 < 2""")
+def dom24_page_fields(spark, sf_dir):
+    """Fields of made pages, on the line that names them or the next."""
+    from cardloom.operators.fields import page_fields
+
+    part = view(spark, sf_dir, "part")
+    return page_fields(part.select("p_partkey", F.expr(_PAGE.replace("chr(10)", "char(10)")).alias("t")), "p_partkey", "t")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(1000 + c_custkey % 9000 AS VARCHAR) END AS last_four, CASE WHEN c_custkey % 2 = 0 THEN 'Regalia Gold' END AS product FROM customer")
+def str5_message_fields(spark, sf_dir):
+    """Product and last digits that a message names; null where there are none, or several."""
+    from cardloom.operators.fields import last_four, product_of_subject
+
+    k, four = F.col("c_custkey"), (F.col("c_custkey") % 9000 + 1000).cast("string")
+    body = F.concat(F.lit("card XXXX-XXXX-"), four, F.when(k % 3 == 0, F.lit(" and xx9999 or ** 0123")).otherwise(F.lit(" paid")))
+    subject = F.concat(F.lit("Your HDFC Bank "), F.when(k % 2 == 0, F.lit("Regalia Gold")).otherwise(F.lit("")), F.lit(" Credit Card Statement for Aug 2026"))
+    return view(spark, sf_dir, "customer").select("c_custkey", last_four(body).alias("last_four"), product_of_subject(subject, ("HDFC", "Bank")).alias("product"))

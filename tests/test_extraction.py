@@ -100,3 +100,15 @@ def test_clusters_join_what_agrees(spark):
     df = spark.createDataFrame([(k, u, s, r, None, c, None, None) for k, u, s, r, c in rows], "k long, url string, strength int, rate double, value double, cap double, threshold double, period string")
     got = {x["url"]: (x["cluster"], x["strongest"]) for x in clusters(df, ["k"]).collect()}
     assert got == {"a": (0, True), "b": (0, False), "c": (1, True), "d": (0, False), "e": (1, False), "f": (0, True)}
+
+
+def test_names_in_messages_and_pages(spark):
+    from cardloom.operators import fields as P
+
+    def of(column, x):
+        return spark.createDataFrame([(x,)], "x string").select(column.alias("v")).first()["v"]
+
+    subject = lambda x: of(P.product_of_subject(F.col("x"), ("IndusInd", "Bank")), x)
+    assert [subject(x) for x in ("IndusInd Bank EazyDiner Platinum Credit Card Statement - Aug 2026", "Your statement is here", "Statement for 12")] == ["Eazy Diner Platinum", None, None]
+    assert [of(P.last_four(F.col("x")), x) for x in ("xxxx 1234", "XX12 3456", "**1111 then **1111", "**1111 **2222", "1234")] == ["1234", None, "1111", None, None]
+    assert of(P.card_name(F.col("x"), ("HDFC", "Bank")), "HDFC Bank Regalia gold Credit Card") == "Regalia Gold" and of(P.card_name(F.col("x"), ("HDFC", "Bank")), "HDFC Bank") == "Hdfc"
