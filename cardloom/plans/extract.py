@@ -167,3 +167,21 @@ def str5_message_fields(spark, sf_dir):
     body = F.concat(F.lit("card XXXX-XXXX-"), four, F.when(k % 3 == 0, F.lit(" and xx9999 or ** 0123")).otherwise(F.lit(" paid")))
     subject = F.concat(F.lit("Your HDFC Bank "), F.when(k % 2 == 0, F.lit("Regalia Gold")).otherwise(F.lit("")), F.lit(" Credit Card Statement for Aug 2026"))
     return view(spark, sf_dir, "customer").select("c_custkey", last_four(body).alias("last_four"), product_of_subject(subject, ("HDFC", "Bank")).alias("product"))
+
+
+@query("""SELECT event_id, '{"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || '}' AS kept, '{"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || ',"v":{"a":"x"}}' AS semantic FROM events""")
+def jsn7_stripped(spark, sf_dir):
+    """Observations without what only tells how they came about, and with only the members allowed."""
+    made = F.concat(F.lit('{"etag":"e","v":{"a":"x","headers":{"b":1},"c":[]},"http_status":200,"k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    return view(spark, sf_dir, "events").select("event_id", J.allowed_json({"k": int, "v": {"z": str}, "etag": int})(made).alias("kept"), J.semantic_json(made).alias("semantic"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'index' WHEN c_custkey % 4 = 3 THEN 'invalid' ELSE 'urlset' END AS kind, CASE WHEN c_custkey % 4 < 3 THEN 'https://h/' || c_custkey || '?a=1&b=2' || ',https://h/x' ELSE '' END AS urls FROM customer")
+def src16_sitemap(spark, sf_dir):
+    from cardloom.sources.formats import sitemap
+
+    k = F.col("c_custkey")
+    tag = F.when(k % 4 == 0, F.lit("sitemapindex")).when(k % 4 == 3, F.lit("html")).otherwise(F.lit("urlset"))
+    xml = F.concat(F.lit("<"), tag, F.lit("><url><loc> https://h/"), k.cast("string"), F.lit("?a=1&amp;b=2 </loc></url>\n<url><loc>https://h/x</loc></url></"), tag, F.lit(">"))
+    kind, urls = sitemap(xml)
+    return view(spark, sf_dir, "customer").select("c_custkey", kind.alias("kind"), F.array_join(urls, ",").alias("urls"))

@@ -112,3 +112,19 @@ def test_names_in_messages_and_pages(spark):
     assert [subject(x) for x in ("IndusInd Bank EazyDiner Platinum Credit Card Statement - Aug 2026", "Your statement is here", "Statement for 12")] == ["Eazy Diner Platinum", None, None]
     assert [of(P.last_four(F.col("x")), x) for x in ("xxxx 1234", "XX12 3456", "**1111 then **1111", "**1111 **2222", "1234")] == ["1234", None, "1111", None, None]
     assert of(P.card_name(F.col("x"), ("HDFC", "Bank")), "HDFC Bank Regalia gold Credit Card") == "Regalia Gold" and of(P.card_name(F.col("x"), ("HDFC", "Bank")), "HDFC Bank") == "Hdfc"
+
+
+def test_sources_of_their_own(spark, tmp_path):
+    from cardloom.sources import formats
+
+    (tmp_path / "dump.tsv").write_text("1\tcafé\t\\N\n2\t\\N\t2.50\n")
+    assert [tuple(x) for x in formats.read_dump(spark, f"{tmp_path}/dump.tsv", "id int, name string, fee double").collect()] == [(1, "café", None), (2, None, 2.5)]
+    mails = [(1, [("MITC terms.pdf", "application/pdf"), ("Aug.PDF", "x")]), (2, [("a.pdf", "p"), ("b.pdf", "p")]), (3, [("a.txt", "text/plain")]), (4, None)]
+    df = spark.createDataFrame(mails, "id int, a array<struct<filename:string,mime:string>>")
+    got = {x["id"]: x["f"] for x in df.select("id", formats.statement_attachment(F.col("a"))["filename"].alias("f")).collect()}
+    assert got == {1: "Aug.PDF", 2: "a.pdf", 3: None, 4: None}
+
+
+def test_members_kept_and_stripped():
+    assert J.allowed({"a": 1, "b": True, "c": {"d": "x", "e": 1}, "f": "g"}, {"a": int, "b": int, "c": {"d": str}, "f": int}) == {"a": 1, "c": {"d": "x"}}
+    assert J.without({"etag": "x", "a": {"headers": {}}, "b": [None, ""]}, J.TRANSPORT) is None
