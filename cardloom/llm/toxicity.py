@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from cardloom.llm.common import _GOLD, mix
+from cardloom.llm.common import _GOLD, bound_batches, mix
 
 MOST_DOCS, MOST_CHARS = 2000, 20_000
 WINDOW, STRIDE = 48, 36
@@ -30,7 +30,7 @@ HIDDEN = 12
 WORD_BITS, TRI_BITS, FIVE_BITS = 18, 14, 18
 #: Words and grams of fewer training documents have no log-odds.
 LEAST_DOCS = 4
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 FEATURES = 13
 
 
@@ -274,15 +274,23 @@ class Model:
 # ---------------------------------------------------------------- training
 
 
-def _odds(docs: np.ndarray, slots: np.ndarray, toxic: np.ndarray, bits: int) -> np.ndarray:
-    """Log-odds of a slot from the documents that have it, shrunk where these are few."""
-    pairs = np.unique(docs.astype(np.int64) << 32 | slots)
-    doc, slot = pairs >> 32, pairs & 0xFFFFFFFF
-    n = np.bincount(slot, minlength=1 << bits).astype(float)
-    ones = np.bincount(slot, weights=toxic[doc], minlength=1 << bits)
-    n1, n0 = max(toxic.sum(), 1), max((1 - toxic).sum(), 1)
-    odds = np.log((ones + 0.5) / (n1 + 1)) - np.log((n - ones + 0.5) / (n0 + 1))
-    return np.where(n >= LEAST_DOCS, odds * n / (n + 5), 0).astype(np.float32)
+class _Odds:
+    """Log-odds of slots from the documents that have them, shrunk where these are few; documents come in runs."""
+
+    def __init__(self, bits: int):
+        self.n, self.ones = np.zeros(1 << bits), np.zeros(1 << bits)
+
+    def add(self, docs: np.ndarray, slots: np.ndarray, toxic: np.ndarray) -> None:
+        """docs: place in toxic of the document of each slot."""
+        pairs = np.unique(docs.astype(np.int64) << 32 | slots)
+        slot = pairs & 0xFFFFFFFF
+        self.n += np.bincount(slot, minlength=len(self.n))
+        self.ones += np.bincount(slot, weights=toxic[pairs >> 32], minlength=len(self.n))
+
+    def table(self, toxic: np.ndarray) -> np.ndarray:
+        n1, n0 = max(toxic.sum(), 1), max((1 - toxic).sum(), 1)
+        odds = np.log((self.ones + 0.5) / (n1 + 1)) - np.log((self.n - self.ones + 0.5) / (n0 + 1))
+        return np.where(self.n >= LEAST_DOCS, odds * self.n / (self.n + 5), 0).astype(np.float32)
 
 
 def _gradients(model: Model, x, mask, y, weight):
@@ -327,21 +335,18 @@ def train(texts, toxic: np.ndarray, share: float, rounds: int = 4, epochs: int =
     """texts: Arrow array; toxic: 0 or 1 of each; share: of toxic ones among all labelled documents."""
     toxic = np.asarray(toxic, float)
     runs = list(texts_of(texts))
-    docs, w, gd, g3, g5, at = [], [], [], [], [], 0
+    odds, at = [_Odds(WORD_BITS), _Odds(TRI_BITS), _Odds(FIVE_BITS)], 0
     for data, edges in runs:
         words = Words(data, edges)
-        doc = at + np.repeat(np.arange(len(words.counts)), words.counts)
-        docs.append(doc)
-        w.append(_slot(words.hash, WORD_BITS))
-        key = doc.astype(np.uint64) * _GOLD ^ words.hash
-        once = np.unique(key, return_index=True)[1]
+        doc = np.repeat(np.arange(len(words.counts)), words.counts)
+        own = toxic[at : at + len(words.counts)]
+        odds[0].add(doc, _slot(words.hash, WORD_BITS), own)
+        once = np.unique(doc.astype(np.uint64) * _GOLD ^ words.hash, return_index=True)[1]
         _, three, five, length = words.grams(once)
-        gd.append(np.repeat(doc[once], length))
-        g3.append(three)
-        g5.append(five)
+        odds[1].add(np.repeat(doc[once], length), three, own)
+        odds[2].add(np.repeat(doc[once], length), five, own)
         at += len(words.counts)
-    gd = np.concatenate(gd)
-    model = Model(_odds(np.concatenate(docs), np.concatenate(w), toxic, WORD_BITS), _odds(gd, np.concatenate(g3), toxic, TRI_BITS), _odds(gd, np.concatenate(g5), toxic, FIVE_BITS), 0.0)
+    model = Model(*[o.table(toxic) for o in odds], 0.0)
     r = np.random.default_rng(3)
     moment, square, step = {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}, 0
     balance = np.where(toxic > 0, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max(1 - toxic.mean(), 1e-9))
@@ -374,17 +379,19 @@ def train(texts, toxic: np.ndarray, share: float, rounds: int = 4, epochs: int =
                 W.append(balance[at + text[pick]] * (0.5 if pick is more else 1))
             at += len(edges) - 1
         X, Y, W = np.concatenate(X), np.concatenate(Y), np.concatenate(W).astype(np.float32)
-        for epoch in range(epochs):
+        size = int(np.clip(len(X) // 10, 16, 256))
+        passes = max(epochs, -(-40 * size // len(X)))  # few labels: 40 steps at least
+        for epoch in range(passes):
             order = r.permutation(len(X))
-            for i in range(0, len(order), 256):
-                b = order[i : i + 256]
+            for i in range(0, len(order), size):
+                b = order[i : i + size]
                 x = X[b].transpose(1, 0, 2).copy()
                 mask = (np.arange(WINDOW)[:, None] < Y[b, 1]).astype(np.float32)
                 hide = r.random((WINDOW, len(b))) < 0.4
                 x[hide, :5] = 0
                 _, g = _gradients(model, x, mask, Y[b, 0].astype(np.float32), W[b])
                 step += 1
-                rate = 0.01 * (1 - 0.8 * (turn * epochs + epoch) / (rounds * epochs))
+                rate = 0.01 * (1 - 0.8 * (turn + epoch / passes) / rounds)
                 for k in model.p:
                     moment[k] = 0.9 * moment[k] + 0.1 * g[k]
                     square[k] = 0.99 * square[k] + 0.01 * g[k] ** 2
@@ -432,6 +439,7 @@ def score(docs: DataFrame, model, threshold: float = 0.3, keep: list[str] | None
     from pyspark.sql import types as T
 
     keep = [c for c in keep or [] if c not in ("held_out", "score", "predicted")]
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     fields = [f for f in rows.schema.fields if f.name != "text"] + [T.StructField("score", T.DoubleType())]
