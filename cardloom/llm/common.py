@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Ids that a size-checked broadcast may hold; beyond it a shuffled join does the same work.
 BROADCAST_ROWS = 500_000
+#: Texts in an Arrow batch.
+TEXT_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, most: int = TEXT_ROWS) -> None:
+    """Lowers the session's Arrow batches to most rows: a batch holds whole texts, which may be long, on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
 def pick(big: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
     """Semi or anti join with ids. The ids are broadcast only if they are counted and few; else both sides shuffle."""
     if ids.count() <= BROADCAST_ROWS:
@@ -203,7 +213,7 @@ class Pieces:
     told apart by a 64-bit hash. The table's size is fixed, and a text with a piece of more than ``WIDTH`` ids is taken whole.
     """
 
-    WIDTH, BITS, RUN = 16, 21, 1 << 21
+    WIDTH, BITS, RUN = 16, 21, 1 << 20
 
     def __init__(self, compute, vocabulary: int, ids: bool = True):
         """compute: texts -> a list of ids of each, or with ids False the number of them."""

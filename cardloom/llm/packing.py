@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from cardloom.llm.common import Scratch
+from cardloom.llm.common import Scratch, bound_batches
 from cardloom.llm.tokenbin import Encoder
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -138,5 +138,6 @@ def _counting(tokenizer: str):
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacities: tuple[int, ...] = LENGTHS, costs: tuple[float, ...] | None = None, domain_rows: int = DOMAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """best_fit of the token counts of docs; tokenizer: a byte-level file that every executor can open."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return best_fit(rows.mapInArrow(_counting(tokenizer), "doc_id long, length long"), capacities, costs, domain_rows)

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cardloom.llm.bpecount import visible_bytes
-from cardloom.llm.common import Pieces, Scratch
+from cardloom.llm.common import Pieces, Scratch, bound_batches
 
 FRAME_BYTES = 1 << 20
 #: Fixed values of the public zstandard seekable format: magic of a skippable frame, magic of the seek table, flag "has checksums".
@@ -174,6 +174,7 @@ def _writing(folder: str, tokenizer: str, end: bytes, frame_bytes: int):
 def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards: int | None = None, frame_bytes: int = FRAME_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shards and index under folder and returns the index: (doc_id, shard, frame, at, start, n_tokens), start counted over all shards."""
     spark = docs.sparkSession
+    bound_batches(spark)
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -212,6 +213,7 @@ def _reading(folder: str):
 
 def read_documents(index: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of the index rows given, all or some; only their frames are decompressed."""
+    bound_batches(index.sparkSession)
     n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = index.select("doc_id", "shard", "frame", "at", "start", "n_tokens").repartition(n, "shard", "frame").sortWithinPartitions("shard", "frame", "at")
     return rows.mapInArrow(_reading(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
