@@ -23,10 +23,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cardloom.llm.common import Scratch, mix, pick, shingle_hashes, word_hashes
+from cardloom.llm.common import Scratch, bound_batches, mix, pick, shingle_hashes, word_hashes
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+#: 64-bit words of a set's parities.
+MARKS = 8
 #: A signature agrees in 128 * 0.8 = 102 places on average at the threshold, deviation 4.5; fewer than threshold less this share is no link.
 SLACK = 0.22
 
@@ -141,20 +143,27 @@ def prefix_pairs(docs: DataFrame, nodes: DataFrame, k: int, percent: int, scratc
     """Pairs (a < b) that can be similar, of nodes (node, comp, outside): of two components, at least one of them outside.
 
     Sizes n and m need an overlap of percent (n + m) / (100 + percent); so, in one order of all shingles, the first that
-    both have stands at a place that leaves as many behind it in either set.
+    both have stands at a place that leaves as many behind it in either set. Besides, shingles are dealt to MARKS * 64
+    bits, each holding whether an odd number came: bits that differ tell of as many shingles at least that one set has alone.
     """
     ids = nodes.select(F.col("node").alias("doc_id"))
     tokens = scratch.put(pick(docs, ids, ["doc_id"], "left_semi").mapInArrow(_tokens(k), "node long, n long, token long").dropDuplicates(["node", "token"]), "tokens")
     common = tokens.groupBy("token").agg(F.count("*").alias("f"))
     ranked = tokens.join(common, "token").withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("f", "token")))
     first = ranked.where("f > 1").where(100 * (F.col("n") - F.col("pos") + 1) >= percent * F.col("n"))
-    first = scratch.put(first.join(nodes, "node").select("token", "node", "comp", "outside", "n", "pos"), "prefixes")
+    slot = F.pmod(F.xxhash64("token"), F.lit(64 * MARKS))
+    odd = [F.bit_xor(F.when(F.floor(slot / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(MARKS)]
+    marks = [f"m{i}" for i in range(MARKS)]
+    marked = scratch.put(nodes.join(tokens.groupBy("node").agg(*odd), "node"), "marks")
+    first = scratch.put(first.join(marked, "node").select("token", "node", "comp", "outside", "n", "pos", *marks), "prefixes")
     x, y = first.where("outside").alias("x"), first.alias("y")
     room = (100 + percent) * (1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))) >= percent * (F.col("x.n") + F.col("y.n"))
     apart = (F.col("x.comp") != F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & room)
+    alone = sum((F.bit_count(F.col(f"x.{m}").bitwiseXOR(F.col(f"y.{m}"))) for m in marks), F.lit(0))
+    both = F.col("x.n") + F.col("y.n")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & room & ((100 + percent) * (both - alone) >= 2 * percent * both))
     pairs = scratch.put(met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "met")
-    scratch.drop(tokens, first)
+    scratch.drop(tokens, marked, first)
     return pairs
 
 
@@ -165,31 +174,34 @@ class _Links:
         self.docs, self.classes, self.scratch, self.k, self.percent = docs, classes, scratch, k, percent
         self.links, self.tried, self.comp = [], [], None
 
-    def check(self, pairs: DataFrame) -> bool:
-        """pairs: a < b, distinct. True if some are links."""
+    def check(self, pairs: DataFrame, by_signature: bool = True) -> bool:
+        """pairs: a < b, distinct. True if some are links. Pairs that the prefixes gave go to their full sets at once."""
         s = self.scratch
         for t in self.tried:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = s.put(pairs, "pairs")
-        sig = self.classes.select("node", "sig", "n_shingles")
-        places = F.sequence(F.lit(0), F.lit(HASHES - 1))
-        same = F.size(F.filter(places, lambda i: F.substring(F.col("sa"), i * 4 + 1, F.lit(4)) == F.substring(F.col("sb"), i * 4 + 1, F.lit(4))))
-        with_sigs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-        likely = with_sigs.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).where(same >= int(HASHES * (self.percent / 100 - SLACK)))
-        likely = s.put(likely.select("a", "b").distinct(), "likely")
+        likely = s.put(self._likely(pairs), "likely") if by_signature else pairs
         self.tried.append(pairs)
         if not likely.take(1):
-            s.drop(likely)
             return False
         nodes = s.put(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
         sets = pick(self.docs, nodes, ["doc_id"], "left_semi").mapInArrow(_sets(self.k), "node long, items binary")
         sets = s.put(sets, "sets")
         held = likely.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
         found = s.put(held.select("a", "b", "x", "y").mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "links")
-        s.drop(likely, nodes, sets)
+        s.drop(nodes, sets)
         self.links.append(found)
         return bool(found.take(1))
 
+    def _likely(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes and signatures allow a link."""
+        sig = self.classes.select("node", "sig", "n_shingles")
+        places = F.sequence(F.lit(0), F.lit(HASHES - 1))
+        same = F.size(F.filter(places, lambda i: F.substring(F.col("sa"), i * 4 + 1, F.lit(4)) == F.substring(F.col("sb"), i * 4 + 1, F.lit(4))))
+        with_sigs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b")
+        likely = with_sigs.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).where(same >= int(HASHES * (self.percent / 100 - SLACK)))
+        return likely.select("a", "b").distinct()
+
     def join_up(self):
         edges = self.links[0]
         for t in self.links[1:]:
@@ -201,6 +213,7 @@ class _Links:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+    bound_batches(docs.sparkSession)
     s = Scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = s.put(docs.mapInArrow(_signatures(words), "doc_id long, n_shingles long, hi long, lo long, sig binary"), "signed")
@@ -243,7 +256,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     if rest.take(1):
         nodes = s.put(rest.groupBy("node").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("main")).alias("outside")), "apart")
         met = prefix_pairs(docs, nodes, words, percent, s)
-        if links.check(met):
+        if links.check(met, by_signature=False):
             links.join_up()
         s.drop(met, nodes)
     s.drop(rest, members, *links.tried, *links.links)
