@@ -219,6 +219,8 @@ class Pieces:
         """compute: texts -> a list of ids of each, or with ids False the number of them."""
         self.compute, self.with_ids = compute, ids
         self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+        if not ids:  # counts alone: half the run and the table, as other stages share the worker's memory
+            self.BITS, self.RUN = self.BITS - 1, self.RUN // 2
         n = 1 << self.BITS
         self.keys, self.n = np.zeros(n, np.uint64), np.zeros(n, np.int32)
         self.ids = np.zeros((n, self.WIDTH), self.kind) if ids else None
