@@ -4,12 +4,17 @@ The tree has a fixed depth: a line goes to a leaf by its number of tokens and it
 digit counting as a field. In a leaf a token stays in the template if enough lines have it at its place; the others
 become the field ``<*>``. A line with too few constant tokens is its own template. Nothing depends on the order of lines.
 
-A template recurs if ``min_docs`` documents hold it and it stands in different surroundings: among those documents the
-pairs of neighbouring lines are at least ``min_contexts`` as many. Boilerplate passes that test; the lines of copied
-documents, which bring their neighbours along, do not, so copies are left to near-duplicate removal.
+A template recurs if it stands in ``min_docs`` documents and ``min_docs`` different texts, in at least ``min_contexts`` as
+many surroundings. Surroundings are the nearest lines on both sides that are not blank and do not recur themselves,
+so the lines of a passage count with what stands around the passage. They are compared by their first and by their last
+words, as a copied line with a word changed is no other surrounding. Texts that are copies for the most part count as one:
+those of which lines shared with other texts make up ``COPY`` of the characters, or half of those outside the passage;
+lines found to recur are not counted in a further round.
 
-Lines of leaves with fewer than ``min_docs`` lines are never shuffled. Leaves, templates and cuts are joined by
-broadcast only if counted and few, and else by shuffle, cuts with salted keys as many rows may hold one text.
+A line of ``long_words`` words or more also recurs, as it stands, in two such texts.
+
+Leaves, lines, templates and cuts are joined by broadcast only if counted and few, and else by shuffle, cuts with salted
+keys as many rows may hold one text.
 
 Defined results: a null text stays null with no lines; an empty one has one empty line; lines without tokens are never
 dropped; a document whose every line is dropped stays with an empty text; rows that share a doc_id count as one
@@ -26,17 +31,19 @@ from cardloom.llm.common import BROADCAST_ROWS, Scratch
 BLANK = "[ \\t\\n\\x0B\\f\\r]+"
 SALTS = 16
 FIELD = "<*>"
+COPY = 0.8
+#: Words at either end by which surroundings are compared.
+ENDS = 3
 
 
-def _lines(docs: DataFrame, text_col: str, id_col: str, depth: int) -> DataFrame:
-    """(doc, t1, t2, pos, line, ctx, leaf) for each line that has tokens. t1, t2: hashes of the whole text."""
+def _lines(docs: DataFrame, text_col: str, depth: int, long_words: int) -> DataFrame:
+    """(t1, t2, pos, line, lh, leaf, long) for each line that has tokens. t1, t2: hashes of the whole text; long: the line's hash if it is long."""
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.split(text, "\n", -1).alias("arr"))
-    around = F.transform("arr", lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.get("arr", i - 1), F.lit(0), F.get("arr", i + 1)).alias("ctx")))
-    rows = rows.select("doc", "t1", "t2", F.posexplode(around).alias("pos", "x")).select("doc", "t1", "t2", "pos", "x.line", "x.ctx")
+    rows = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
     rows = rows.withColumn("tokens", tokens(F.col("line"))).where(F.size("tokens") > 0)
     lead = F.transform(F.slice("tokens", 1, depth), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
-    return rows.withColumn("leaf", F.xxhash64(F.size("tokens"), lead)).drop("tokens")
+    rows = rows.withColumns({"leaf": F.xxhash64(F.size("tokens"), lead), "lh": F.xxhash64("line")})
+    return rows.withColumn("long", F.when(F.size("tokens") >= long_words, F.col("lh"))).drop("tokens")
 
 
 def tokens(line: Column) -> Column:
@@ -47,41 +54,96 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, min_contexts: float = 0.5, depth: int = 3, min_constant: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _with_places(rows: DataFrame, places: DataFrame, column: str, how: str, salt: Column) -> DataFrame:
+    """rows with the array that places hold for their text."""
+    if (places.agg(F.sum(F.size(column))).first()[0] or 0) <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(places), ["t1", "t2"], how)
+    salted = places.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("_salt", salt).join(salted, ["t1", "t2", "_salt"], how)
+
+
+def _surroundings(rows: DataFrame) -> DataFrame:
+    """(key, floor, k, v): what each text with candidates counts for: its document, itself, its surroundings by first and by last words."""
+    arr = F.split("_text", "\n", -1)
+    rows = rows.select("doc", "t1", "_c", F.length("_text").alias("chars"), arr.alias("arr"))
+    outside = F.filter(F.array_except(F.sequence(F.lit(0), F.size("arr") - 1), F.col("_c.pos")), lambda i: F.get("arr", i).rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    rows = rows.withColumn("out", outside)
+    near = F.transform("_c", lambda c: F.struct(c.alias("c"), F.coalesce(F.array_max(F.filter("out", lambda o: o < c["pos"])), F.lit(-1)).alias("a"), F.coalesce(F.array_min(F.filter("out", lambda o: o > c["pos"])), F.size("arr")).alias("b")))
+    rows = rows.withColumn("near", near)
+
+    def shared(keep):
+        return F.aggregate(F.filter("_c", keep), F.lit(0), lambda n, c: n + F.when(c["rep"], c["len"]).otherwise(0))
+
+    rows = rows.withColumn("total", shared(lambda c: F.lit(True)))
+    elsewhere = F.transform("near", lambda x: F.struct(
+        x["c"].alias("c"), F.get("arr", F.when(x["a"] >= 0, x["a"])).alias("before"), F.get("arr", x["b"]).alias("after"), shared(lambda c: (c["pos"] < x["a"]) | (c["pos"] > x["b"])).alias("shared"),
+        F.aggregate(F.filter("out", lambda o: (o <= x["a"]) | (o >= x["b"])), F.lit(0), lambda n, o: n + F.length(F.get("arr", o))).alias("own")))
+    rows = rows.withColumn("x", F.explode(elsewhere))
+    rows = rows.select("doc", "t1", "chars", "total", "x.c.keys", "x.before", "x.after", "x.shared", "x.own")
+    copy = (F.col("total") >= COPY * F.col("chars")) | ((F.col("shared") > 0) & (F.col("shared") >= F.col("own")))
+    first = [F.slice(tokens(F.col(c)), 1, ENDS) for c in ("before", "after")]
+    last = [F.slice(F.reverse(tokens(F.col(c))), 1, ENDS) for c in ("before", "after")]
+    none = F.lit(0).cast("long")
+    values = [F.xxhash64("doc"), F.when(copy, none).otherwise(F.col("t1")), F.when(copy, none).otherwise(F.xxhash64(first[0], F.lit(0), first[1])), F.when(copy, none).otherwise(F.xxhash64(last[0], F.lit(0), last[1]))]
+    rows = rows.select(F.explode("keys").alias("key"), F.array(*values).alias("values"))
+    return rows.select("key.key", "key.floor", F.posexplode("values").alias("k", "v"))
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, min_contexts: float = 0.5, depth: int = 3, min_constant: float = 0.5, id_col: str = "doc_id", text_col: str = "text", long_words: int = 1 << 30) -> DataFrame:
     """docs with the text less its recurring lines, and n_lines and n_dropped."""
     s = Scratch(docs.sparkSession, "lines")
-    lines = _lines(docs, text_col, id_col, depth)
-    leaves = s.put(lines.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    held = s.put(lines.join(_small(leaves), "leaf", "left_semi").withColumn("lh", F.xxhash64("line")), "held")
-
-    distinct = held.groupBy("leaf", "lh").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+    lines = _lines(docs, text_col, depth, long_words)
+    both = F.array(F.struct(F.lit(False).alias("whole"), F.col("leaf").alias("h")), F.struct(F.lit(True).alias("whole"), F.col("long").alias("h")))
+    keys = lines.select("t1", F.inline(both)).where("h IS NOT NULL").groupBy("whole", "h").agg(F.count("*").alias("n"), (F.min("t1") != F.max("t1")).alias("differ"))
+    keys = s.put(keys.where(F.when(F.col("whole"), F.col("differ")).otherwise(F.col("n") >= min_docs)).select("whole", "h"), "keys")
+    leaves = keys.where("NOT whole").select(F.col("h").alias("leaf"), F.lit(True).alias("in_leaf"))
+    longs = keys.where("whole").select(F.col("h").alias("long"), F.lit(True).alias("in_long"))
+    held = lines.join(_small(leaves), "leaf", "left").join(_small(longs), "long", "left").where("in_leaf OR in_long")
+    held = s.put(held.select("t1", "t2", "pos", "leaf", "lh", F.length("line").alias("len"), F.when(F.col("in_leaf"), F.col("line")).alias("line"), "in_leaf", "in_long"), "held")
+
+    distinct = held.where("in_leaf").groupBy("leaf", "lh").agg(F.first("line").alias("line"), F.count("*").alias("n"))
     words = s.put(distinct.select("leaf", "lh", "n", F.posexplode(tokens(F.col("line"))).alias("p", "token")), "words")
     common = words.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "p", "token", F.lit(True).alias("stays"))
     common = s.put(common, "common")
     marked = words.join(_small(common), ["leaf", "p", "token"], "left")
     shape = F.transform(F.array_sort(F.collect_list(F.struct("p", F.when(F.col("stays"), F.col("token")).otherwise(F.lit(FIELD)).alias("t")))), lambda x: x["t"])
     templates = marked.groupBy("leaf", "lh").agg(F.xxhash64(F.array_join(shape, " ")).alias("shape"), (F.count("stays") / F.count("*")).alias("share"))
-    templates = templates.select("leaf", "lh", F.when(F.col("share") >= min_constant, F.col("shape")).otherwise(F.col("lh")).alias("template"))
-    templates = s.put(templates, "templates")
-
-    placed = held.select("leaf", "lh", "doc", "pos", "ctx").join(_small(templates), ["leaf", "lh"])
-    by_doc = placed.groupBy("leaf", "template", "doc").agg(F.min_by("ctx", "pos").alias("ctx"))
-    by_ctx = by_doc.groupBy("leaf", "template", "ctx").agg(F.count("*").alias("n"))
-    recurring = by_ctx.groupBy("leaf", "template").agg(F.sum("n").alias("docs"), F.count("*").alias("contexts"))
-    recurring = recurring.where((F.col("docs") >= min_docs) & (F.col("contexts") >= min_contexts * F.col("docs"))).select("leaf", "template")
-    gone = s.put(templates.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "lh"), "gone")
-    cut = held.join(_small(gone), ["leaf", "lh"], "left_semi").groupBy("t1", "t2").agg(F.collect_set("pos").alias("_cut"))
+    templates = templates.select("lh", F.xxhash64("leaf", F.when(F.col("share") >= min_constant, F.col("shape")).otherwise(F.col("lh"))).alias("template"))
+
+    # a line's keys: its template, and itself if it is long; those that enough different texts hold are candidates
+    by_text = held.groupBy("lh", "t1").agg(F.max("in_leaf").alias("in_leaf"), F.max("in_long").alias("in_long"))
+    by_line = by_text.groupBy("lh").agg(F.max("in_leaf").alias("in_leaf"), F.max("in_long").alias("in_long"), (F.count("*") > 1).alias("rep"))
+    kinds = F.array(F.struct(F.col("template").alias("key"), F.lit(min_docs).alias("floor")), F.struct(F.when(F.col("in_long"), F.xxhash64(F.lit("line"), "lh")).alias("key"), F.lit(2).alias("floor")))
+    of_line = s.put(by_line.join(templates, "lh", "left").select("lh", "rep", F.inline(kinds)).where("key IS NOT NULL"), "of_line")
+    texts = held.select("lh", "t1").distinct().join(_small(of_line), "lh").select("key", "floor", "t1").distinct()
+    many = s.put(texts.groupBy("key", "floor").agg(F.count("*").alias("n")).where("n >= floor").select("key"), "many")
+    of_line = of_line.join(_small(many), "key", "left_semi").groupBy("lh", "rep").agg(F.collect_list(F.struct("key", "floor")).alias("keys"))
+    of_line = s.put(of_line, "candidates")
+    text = F.col(f"`{text_col}`").cast("string")
+    hashes = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+    doc = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
+    texts = docs.select(doc.alias("doc"), text.alias("_text"), *hashes)
+    gone, n = of_line.where("false").select("lh"), 0
+    while True:  # lines found to recur make no text a copy, so others may be found; most often none are in the second round
+        shared = of_line.join(_small(gone.withColumn("found", F.lit(True))), "lh", "left").select("lh", (F.col("rep") & F.col("found").isNull()).alias("rep"), "keys")
+        places = held.select("t1", "t2", "pos", "lh", "len").distinct().join(_small(shared), "lh").groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "len", "rep", "keys")).alias("_c"))
+        places = s.put(places, "places")
+        found = _surroundings(_with_places(texts, places, "_c", "inner", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")))
+        counts = found.distinct().groupBy("key", "floor", "k").agg(F.count("*").alias("n"))
+        enough = F.when(F.col("k") < 2, F.col("n") >= F.col("floor")).otherwise(F.col("n") >= F.greatest(F.lit(2), F.col("floor") * min_contexts))
+        recurring = s.put(counts.groupBy("key").agg(F.min(enough).alias("ok")).where("ok").select("key"), "recurring")
+        new = of_line.select("lh", F.explode("keys.key").alias("key")).join(_small(recurring), "key", "left_semi").select("lh")
+        gone = s.put(gone.union(new).distinct(), "gone")  # only grows, so the rounds end
+        before, n = n, gone.count()
+        if n == before:
+            break
+    cut = held.join(_small(gone), "lh", "left_semi").groupBy("t1", "t2").agg(F.collect_set("pos").alias("_cut"))
     cut = s.put(cut, "cut")
 
-    text = F.col(f"`{text_col}`").cast("string")
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in rest], text.alias("_text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
-    if (cut.agg(F.sum(F.size("_cut"))).first()[0] or 0) <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(cut), ["t1", "t2"], "left")
-    else:
-        salt = F.pmod(F.xxhash64(*[F.col(f"`c_{c}`") for c in rest]), F.lit(SALTS)).cast("int") if rest else F.lit(0)
-        salted = cut.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        rows = rows.withColumn("_salt", salt).join(salted, ["t1", "t2", "_salt"], "left")
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in rest], text.alias("_text"), *hashes)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`c_{c}`") for c in rest]), F.lit(SALTS)).cast("int") if rest else F.lit(0)
+    rows = _with_places(rows, cut, "_cut", "left", salt)
     rows = rows.withColumn("arr", F.split("_text", "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("arr") - 1), F.col("_cut"))
     new = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("arr", i)), "\n"))

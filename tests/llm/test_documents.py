@@ -217,6 +217,27 @@ def test_large_cuts_are_joined_by_shuffle(spark, monkeypatch):
     assert sorted((x["doc_id"], x["text"]) for x in linededup.drop_recurring_lines(frame(spark, rows), min_docs=10, min_contexts=0.1).collect()) == want
 
 
+def kept_lines(spark, texts):
+    got = linededup.drop_recurring_lines(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    return {x["doc_id"]: x["text"].split("\n") for x in got.collect()}
+
+
+def test_passages_recur_whatever_stands_around_their_lines(spark):
+    r = random.Random(11)
+    block = ["about us and our pages", "terms of use apply here", "all rights are reserved now", "ask before you copy this"]
+    header = ["home news sport weather", "log in or register today"]
+    own = lambda: words(r, 8, 5000)
+    texts = ["\n".join([*header, own(), *block, own(), "", "share this with friends", "", own()]) for _ in range(40)]
+    mail = ["dear reader of this list", own()]
+    texts += ["\n".join(["please send replies back soon", *mail]) for _ in range(200)] + ["\n".join([own(), "please send replies back soon", own()]) for _ in range(30)]
+    copied = [own() for _ in range(10)]  # near copies, each with a word changed
+    texts += ["\n".join([*copied[: i % 10], copied[i % 10] + f" w{i}", *copied[i % 10 + 1 :]]) for i in range(40)]
+    got = kept_lines(spark, texts)
+    assert all(len(got[i]) == 5 for i in range(40))
+    assert all(got[i] == mail for i in range(40, 240)) and all(len(got[i]) == 2 for i in range(240, 270))
+    assert all("\n".join(got[i]) == texts[i] for i in range(270, 310))
+
+
 # ---------------------------------------------------------------- mixing
 
 
