@@ -89,7 +89,7 @@ def _surroundings(rows: DataFrame) -> DataFrame:
     return rows.select("key.key", "key.floor", F.posexplode("values").alias("k", "v"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, min_contexts: float = 0.5, depth: int = 3, min_constant: float = 0.5, id_col: str = "doc_id", text_col: str = "text", long_words: int = 1 << 30) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, min_contexts: float = 0.5, depth: int = 3, min_constant: float = 0.5, id_col: str = "doc_id", text_col: str = "text", long_words: int = 20) -> DataFrame:
     """docs with the text less its recurring lines, and n_lines and n_dropped."""
     s = Scratch(docs.sparkSession, "lines")
     lines = _lines(docs, text_col, depth, long_words)

@@ -238,6 +238,18 @@ def test_passages_recur_whatever_stands_around_their_lines(spark):
     assert all("\n".join(got[i]) == texts[i] for i in range(270, 310))
 
 
+def test_long_passages_recur_in_few_documents(spark):
+    r = random.Random(12)
+    own = lambda: words(r, 30, 50000)
+    planted = {n: [words(r, 60, 50000), words(r, 25, 50000)] for n in (2, 5, 19)}
+    texts = [(n, "\n".join([own(), own(), *planted[n], own(), own()])) for n in planted for _ in range(n)]
+    copied = [own() for _ in range(10)]
+    texts += [(0, "\n".join([*copied[:k], copied[k] + " x", *copied[k + 1 :]])) for k in (3, 4)]
+    got = kept_lines(spark, [t for _, t in texts])
+    for i, (n, t) in enumerate(texts):
+        assert got[i] == [x for x in t.split("\n") if not n or x not in planted[n]]
+
+
 # ---------------------------------------------------------------- mixing
 
 
