@@ -47,7 +47,7 @@ def src18_values(spark, sf_dir):
 def src19_json_rows(spark, sf_dir):
     """A JSON array of objects as rows."""
     made = F.concat(F.lit("["), "props", F.lit("]"))
-    return view(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", F.inline(F.from_json(made, "array<struct<k:bigint>>")))
+    return view(spark, sf_dir, "events").select("event_id", F.inline(F.from_json(made, "array<struct<k:bigint>>")))
 
 
 @query("SELECT id, card_name FROM card_catalog WHERE NOT is_discontinued AND (contains(lower(card_name), 're') OR contains(lower(bank), 're')) ORDER BY card_name, id LIMIT 20")
@@ -159,7 +159,7 @@ def jn13_any_key(spark, sf_dir):
 SELECT claim, string_agg(DISTINCT CAST(card_id AS VARCHAR), ',' ORDER BY CAST(card_id AS VARCHAR)) AS cards FROM c GROUP BY claim HAVING count(DISTINCT card_id) > 1""")
 def jn16_claim_conflicts(spark, sf_dir):
     a = view(spark, sf_dir, "pages").select((F.col("page_id") % 97).alias("claim"), (F.col("page_id") % 11).alias("card_id"))
-    b = view(spark, sf_dir, "documents").where("doc_id < 400").select((F.col("doc_id") % 97).alias("claim"), (F.col("doc_id") % 3).alias("card_id"))
+    b = view(spark, sf_dir, "documents").select((F.col("doc_id") % 97).alias("claim"), (F.col("doc_id") % 3).alias("card_id"))
     grouped = a.union(b).groupBy("claim").agg(F.collect_set(F.col("card_id").cast("string")).alias("c"))
     return grouped.where(F.size("c") > 1).select("claim", F.array_join(F.array_sort("c"), ",").alias("cards"))
 
@@ -239,7 +239,7 @@ def dom14_entity_match(spark, sf_dir):
     """The one product of the issuer that a text names most specifically; null if several are."""
     catalog = view(spark, sf_dir, "card_catalog").select("id", T.bank_name(F.col("bank")).alias("issuer"), T.product_tokens(F.col("card_name")).alias("label"))
     raw = F.when(F.col("p_partkey") % 3 == 0, F.lit("HDFC")).when(F.col("p_partkey") % 3 == 1, F.lit("icici bank")).otherwise(F.lit("axis"))
-    evidence = view(spark, sf_dir, "part").where("p_partkey < 600").select(F.col("p_partkey").alias("ev"), T.bank_name(raw).alias("issuer"), T.product_tokens(F.concat_ws(" ", F.lower("p_name"), F.lower("p_type"), F.lit("credit card"))).alias("signal"))
+    evidence = view(spark, sf_dir, "part").select(F.col("p_partkey").alias("ev"), T.bank_name(raw).alias("issuer"), T.product_tokens(F.concat_ws(" ", F.lower("p_name"), F.lower("p_type"), F.lit("credit card"))).alias("signal"))
     from cardloom.operators.identity import match_products
 
     return match_products(evidence, catalog)
