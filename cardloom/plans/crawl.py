@@ -49,8 +49,7 @@ def que1_expired_leases(spark, sf_dir):
 @query(f"""WITH m AS (SELECT * FROM jobs WHERE parser_version = 'v6'), b AS (SELECT DISTINCT lower(trim(issuer)) AS k FROM m WHERE status = 'leased' AND lease_expires_at > TIMESTAMP '{NOW}' AND id % 211 = 0)
 SELECT id, issuer, card_name FROM m WHERE status IN ('queued', 'failed') AND run_mode = 'manual' AND lower(trim(issuer)) NOT IN (SELECT k FROM b) ORDER BY lower(trim(issuer)), card_name, created_at, id LIMIT 1""")
 def que1_claim_plan(spark, sf_dir):
-    jobs = view(spark, sf_dir, "jobs")
-    return W.claim_plan(jobs.where("NOT (status = 'leased' AND id % 211 <> 0)"), NOW, "manual", "v6")
+    return W.claim_plan(view(spark, sf_dir, "jobs"), NOW, "manual", "v6")
 
 
 @query("SELECT id, created_at + INTERVAL 7 DAY AS due FROM jobs WHERE status = 'succeeded' AND created_at + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20' ORDER BY created_at, id LIMIT 200")
@@ -72,7 +71,7 @@ def srt8_pilot(spark, sf_dir):
     """The first choice of five jobs, one of each profile, from at least three issuers."""
     k = F.col("id") % 5
     profile = F.when(k == 0, F.lit("a")).when(k == 1, F.lit("b")).when(k == 2, F.lit("c")).when(k == 3, F.lit("d")).otherwise(F.lit("e"))
-    return W.pilot(view(spark, sf_dir, "jobs").where("id < 60").select("id", "issuer", profile.alias("profile")), ("a", "b", "c", "d", "e"))
+    return W.pilot(view(spark, sf_dir, "jobs").select("id", "issuer", profile.alias("profile")), ("a", "b", "c", "d", "e"))
 
 
 @query(f"""WITH p AS (SELECT page_id, url, html, page_id % 3 <> 0 AS named FROM pages), k AS (SELECT page_id, CASE WHEN regexp_matches(url, '{W.UNSAFE}') THEN 'not_a_card' WHEN named AND regexp_matches(url, '{W.SUPPORTING}') THEN 'supporting_document' WHEN named AND (regexp_matches(url, '{W.PRODUCT}') OR regexp_matches(html, '{W.PRODUCT}')) THEN 'card_product'

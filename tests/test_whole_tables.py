@@ -23,6 +23,7 @@ def duck():
 
 CUTS = {
     "dom14_entity_match": " WHERE p_partkey < 600", "jn16_claim_conflicts": " WHERE doc_id < 400", "src19_json_rows": " WHERE event_id % 3 = 0",
+    "que1_claim_plan": " AND id % 211 = 0",
 }
 
 
@@ -31,3 +32,13 @@ def test_whole_tables(spark, duck, name):
     assert CUTS[name] in SQL[name]
     want = duck.execute(SQL[name].replace(CUTS[name], "")).df()
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(want)
+
+
+def test_pilot_may_choose_any_job(spark, monkeypatch):
+    from cardloom.plans import crawl
+
+    jobs = [(i, f"issuer {i % 2 if i < 60 else i % 12}") for i in range(70)]
+    monkeypatch.setattr(crawl, "view", lambda *_: spark.createDataFrame(jobs, "id long, issuer string"))
+    by = [[x for x in jobs if x[0] % 5 == p] for p in range(5)]
+    want = min(tuple(x[0] for x in c) for c in itertools.product(*by) if len({x[1] for x in c}) >= 3)
+    assert tuple(QUERIES["srt8_pilot"](spark, "").first()) == want
