@@ -23,7 +23,7 @@ def duck():
 
 CUTS = {
     "dom14_entity_match": " WHERE p_partkey < 600", "jn16_claim_conflicts": " WHERE doc_id < 400", "src19_json_rows": " WHERE event_id % 3 = 0",
-    "que1_claim_plan": " AND id % 211 = 0",
+    "que1_claim_plan": " AND id % 211 = 0", "jn1_enriched_ledger": "WHERE t.user_id % 10 = 3 ",
 }
 
 
@@ -34,6 +34,10 @@ def test_whole_tables(spark, duck, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(want)
 
 
+def test_dates_of_all_orders(spark, duck):
+    assert QUERIES["dt4_recovered_date"](spark, SF).count() == duck.execute("SELECT count(*) FROM orders").fetchone()[0]
+
+
 def test_pilot_may_choose_any_job(spark, monkeypatch):
     from cardloom.plans import crawl
 
