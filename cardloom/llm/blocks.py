@@ -1,8 +1,9 @@
-"""Vectors against stated queries in blocks: which rows take part, and how shards meet blocks of queries.
+"""Vectors against stated queries: which rows take part, and how shards meet the queries.
 
-Vectors are dealt by a hash of their id to shards of about ``shard_rows``, queries to blocks of about ``query_rows``. Each
-(shard, block) pair is one group of bounded size in one task, and gives each of its queries the shard's best k; a window
-over the shards' bests gives the k of all. Nothing else of either side meets.
+Vectors are dealt by a hash of their id to shards of about ``shard_rows`` and cross the network once. Every shard must see
+every query, so it is the few queries that are copied, once for each shard. A task reads a shard, indexes it once, and then
+takes the queries as they stream in, ``query_rows`` at a time: it never holds more than one shard and one such block. Each
+query gets the shard's best k; a window over the shards' bests gives the k of all.
 """
 
 from __future__ import annotations
@@ -26,41 +27,85 @@ def sound_vectors(df: DataFrame, id_col: str, vec_col: str, allow_zero: bool) ->
     return rows.withColumn("dim", F.size("v"))
 
 
-def search_blocks(rows: DataFrame, every: int, k: int, search, score: str, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for the rows whose vec_id is divisible by every, the k best that search finds.
+class _Side:
+    """Rows of one side as they come: ids and vectors."""
 
-    search(ids, X, query_ids, Q) gets one shard and one block, all of one dimension and without repeated ids, and gives
-    arrays (query_id, vec_id, score) with at most k entries for a query.
-    """
-    per_dim = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()  # a row for each dimension
-    n, q = max([1, *(r["n"] for r in per_dim)]), max([1, *(r["q"] for r in per_dim)])
-    shards, blocks = math.ceil(n / shard_rows), math.ceil(q / query_rows)
-    hashed = rows.withColumn("h", F.xxhash64("vec_id"))
-    shard = F.pmod("h", F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int")
-    data = hashed.select("dim", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"), "vec_id", "v")
-    asked = hashed.where(F.col("vec_id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), F.lit(True).alias("asks"), "vec_id", "v")
-
-    def one(key, group):
-        import pyarrow as pa
+    def __init__(self, dim: int):
+        self.dim, self.ids, self.vectors, self.n = dim, [], [], 0
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.vectors.append(vectors.reshape(-1, self.dim))
+        self.n += len(ids)
 
-        dim = key[0].as_py()
-        asks = np.asarray(group.column("asks").combine_chunks())
-        ids = group.column("vec_id").to_numpy()
-        flat = group.column("v").combine_chunks()
-        X = np.asarray(flat.flatten()).reshape(-1, dim)
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """All rows so far; of rows that share an id the least vector counts."""
+        ids = np.concatenate(self.ids) if self.ids else np.zeros(0, np.int64)
+        at = np.concatenate(self.vectors) if self.vectors else np.zeros((0, self.dim))
+        self.ids, self.vectors, self.n = [], [], 0
+        if len(np.unique(ids)) < len(ids):
+            order = np.lexsort((*at.T[::-1], ids))
+            ids, first = np.unique(ids[order], return_index=True)
+            at = at[order[first]]
+        return ids, np.ascontiguousarray(at)
 
-        def side(mask):
-            own, at = ids[mask], X[mask]
-            order = np.lexsort((*at.T[::-1], own))  # of rows that share an id the least vector counts
-            own, first = np.unique(own[order], return_index=True)
-            return own, np.ascontiguousarray(at[order[first]])
 
-        found = search(*side(~asks), *side(asks)) if asks.any() and not asks.all() else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        kind = pa.int64() if score == "long" else pa.float64()
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2]).cast(kind)})
+def _searching(index, score: str, query_rows: int):
+    """Rows come shard by shard, a shard's vectors before the queries."""
 
-    near = data.union(asked).groupBy("dim", "shard", "block").applyInArrow(one, f"query_id long, vec_id long, score {score}")
+    def run(batches):
+        import pyarrow as pa
+
+        now = side = ready = None
+
+        def table(found):
+            kind = pa.int64() if score == "long" else pa.float64()
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2]).cast(kind)], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            dim, shard, asks, ids = (np.asarray(batch.column(i)) for i in range(4))
+            vectors = batch.column(4)
+            offsets, flat = np.asarray(vectors.offsets), np.asarray(vectors.values)
+            change = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip(np.r_[0, change], np.r_[change, len(ids)]):
+                if a == b:
+                    continue
+                key = int(dim[a]), int(shard[a])
+                if now is None or now[:2] != key or now[2] != bool(asks[a]):
+                    if now is not None and now[2] and side.n and ready is not None:
+                        yield table(ready(*side.take()))
+                    if now is not None and now[:2] == key:  # the vectors are all here
+                        ready = index(*side.take())
+                    else:
+                        side, ready = None, None
+                    now, side = (*key, bool(asks[a])), _Side(key[0])
+                for c in range(a, b, query_rows):
+                    d = min(b, c + query_rows)
+                    side.add(ids[c:d], flat[offsets[c] : offsets[d]])
+                    if now[2] and side.n >= query_rows:
+                        own = side.take()
+                        if ready is not None:
+                            yield table(ready(*own))
+        if now is not None and now[2] and side.n and ready is not None:
+            yield table(ready(*side.take()))
+
+    return run
+
+
+def search_shards(rows: DataFrame, every: int, k: int, index, score: str, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): for the rows whose vec_id is divisible by every, the k best that the index finds.
+
+    index(ids, X) gets a shard, of one dimension and without repeated ids, and gives a function (query_ids, Q) -> arrays
+    (query_id, vec_id, score) with at most k entries for a query, which is called for one block of queries after another.
+    """
+    n = max([1, *(r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect())])  # a row for each dimension
+    shards = math.ceil(n / shard_rows)
+    data = rows.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("dim", "vec_id").agg(F.min("v").alias("v"))
+    asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
+    # a shard of each dimension to each partition
+    dealt = data.union(asked).repartitionById(shards, F.pmod(F.xxhash64("dim") + F.col("shard"), F.lit(shards)).cast("int")).sortWithinPartitions("dim", "shard", "asks")
+    near = dealt.mapInArrow(_searching(index, score, query_rows), f"query_id long, vec_id long, score {score}")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

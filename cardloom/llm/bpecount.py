@@ -16,7 +16,7 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
-from cardloom.llm.common import Pieces, bound_batches
+from cardloom.llm.common import Pieces, slices
 
 
 def visible_bytes() -> list[str]:
@@ -102,7 +102,7 @@ def _counting(path: str, pattern: str):
 
         if path not in _counters:  # stays while the worker lives
             _counters[path] = Counter(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             n = _counters[path].counts(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
@@ -111,7 +111,6 @@ def _counting(path: str, pattern: str):
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit). path: a byte-level tokenizer file that every executor can open; pattern: its pre-token pattern."""
-    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     counted = rows.mapInArrow(_counting(path, pattern), "doc_id long, n_bytes long, n_tokens long")

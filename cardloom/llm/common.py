@@ -1,15 +1,25 @@
-"""What the training-data operators share: scratch tables, hashing of words, cached word splits."""
+"""What the training-data operators share: scratch tables, size-checked joins, hashing of words, cached word splits."""
 
 from __future__ import annotations
 
+import hashlib
+import os
+import secrets
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-#: Ids that a size-checked broadcast may hold; beyond it a shuffled join does the same work.
-BROADCAST_ROWS = 500_000
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: Bytes that a size-checked broadcast may hold, by its rows and the width of its schema; beyond it a shuffled join does the same work.
+BROADCAST_BYTES = 16 << 20
+#: What a string or an array counts as in that width.
+WIDE = 64
+#: Copies of the small side of a salted join: a key with a third of the rows lands in so many tasks.
+SALTS = 16
+#: Rows from which a key is spread over SALTS tasks.
+HOT = 1000
 #: Texts in an Arrow batch.
 TEXT_ROWS = 512
 
@@ -19,10 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a single machine (local[*], as in
+    tests) gets one of its own; a cluster gets an error, as no folder of one machine would do."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cardloom-")
         sc.setCheckpointDir(at)
         at = sc.getCheckpointDir()
@@ -30,11 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run in the shared folder. ``drop`` removes those that the result no longer reads."""
+    """Tables of one run in the shared folder. ``drop`` removes those that the result no longer reads; the rest, which lazy
+    results still read, goes when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        store, path = self._store(self.at)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+
+    def _store(self, at: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -53,32 +74,80 @@ class Scratch:
             self.remove(t.scratch_path)
 
     def remove(self, at: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        store, path = self._store(at)
+        store.delete(path, True)
 
 
-def bound_batches(spark: SparkSession, most: int = TEXT_ROWS) -> None:
-    """Lowers the session's Arrow batches to most rows: a batch holds whole texts, which may be long, on both sides of the pipe."""
+@contextmanager
+def text_batches(spark: SparkSession, most: int = TEXT_ROWS):
+    """Arrow batches of at most most rows for what is computed inside, as a batch holds whole texts, which may be long, on both
+    sides of the pipe. Spark bounds a batch's bytes besides (spark.sql.execution.arrow.maxBytesPerBatch)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > most:
+    before = spark.conf.get(key)
+    if int(before) <= 0 or int(before) > most:
         spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def slices(batches, rows: int = TEXT_ROWS):
+    """The batches in parts of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+# ---------------------------------------------------------------- joins with a side that may be small
+
+
+def row_bytes(df: DataFrame) -> int:
+    """Bytes that a row of df counts as: its fixed-width columns, and WIDE for each other one."""
+    return sum({"bigint": 8, "double": 8, "int": 4, "boolean": 1}.get(f.dataType.simpleString(), WIDE) for f in df.schema.fields)
 
 
-def pick(big: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Semi or anti join with ids. The ids are broadcast only if they are counted and few; else both sides shuffle."""
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return big.join(ids, on, how)
+def small(df: DataFrame) -> bool:
+    return df.count() * row_bytes(df) <= BROADCAST_BYTES
+
+
+def meet(big: DataFrame, few: DataFrame, on: list[str], how: str = "inner", salt: Column | None = None) -> DataFrame:
+    """big joined with few, whose keys are distinct. few is broadcast if it is counted and its bytes are bounded; else both
+    sides shuffle, with salt (a column of big that differs among the rows of a key) spreading a key over SALTS tasks."""
+    if small(few):
+        return big.join(F.broadcast(few), on, how)
+    if salt is None:
+        return big.join(few, on, how)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
+def spread(big: DataFrame, few: DataFrame, on: str, hot: DataFrame, salt: Column) -> DataFrame:
+    """big joined with few on a key that hot rows may crowd: those of the keys in hot are dealt to SALTS tasks by salt."""
+    if not hot.take(1):
+        return big.join(few, on)
+    hot = hot.select(on).withColumn("_hot", F.lit(True))
+    if small(hot):
+        hot = F.broadcast(hot)
+    big = big.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    all_ = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    few = few.join(hot, on, "left").withColumn("_salt", F.explode(all_)).drop("_hot")
+    return big.join(few, [on, "_salt"]).drop("_salt")
 
 
 # ---------------------------------------------------------------- hashes of words and shingles
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_B = np.uint64(0xD6E8FEB86659FD93)
-_SEGMENT = 1 << 20
-_tables: dict = {}
+#: Bytes of texts worked on together, and of a word that is hashed eight bytes at a time; longer words go to BLAKE2.
+_RUN, _SHORT = 1 << 20, 64
+_BLANK, _LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER[65:91] += 32  # A-Z count as a-z
+
+
+def new_key() -> bytes:
+    """A secret for the hashes of one job, so that no text can be written whose words collide."""
+    return secrets.token_bytes(16)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -91,87 +160,85 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _byte_tables():
-    if not _tables:
-        values = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for c in range(65, 91):
-            values[c] = values[c + 32]  # A-Z count as a-z
-        blank = np.zeros(256, bool)
-        blank[[0x20, *range(0x09, 0x0E)]] = True
-        values[blank] = 0
-        power = np.cumprod(np.r_[np.uint64(1), np.full(_SEGMENT - 1, _B)], dtype=np.uint64)
-        inverse = np.cumprod(np.r_[np.uint64(1), np.full(_SEGMENT - 1, np.uint64(pow(int(_B), -1, 2**64)))], dtype=np.uint64)
-        _tables.update(values=values, blank=blank, power=power, inverse=inverse)
-    return _tables["values"], _tables["blank"], _tables["power"], _tables["inverse"]
-
-
-def _segment_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word in at most _SEGMENT bytes. first: positions at which a text begins."""
-    values, blank, power, inverse = _byte_tables()
-    full = ~blank[data]
-    start = full.copy()
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as one number; zeros follow the end."""
+    return np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+
+
+_KEPT = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [2**64 - 1], np.uint64)
+
+
+def span_hashes(data: np.ndarray, at: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """A keyed 64-bit hash of each span of bytes."""
+    k0, k1 = np.frombuffer(key, np.uint64)
+    length = end - at
+    window = eights(data)
+    h = mix(length.astype(np.uint64) * _GOLD + k0)
+    alive, done = np.flatnonzero(length <= _SHORT), 0
+    while len(alive):
+        own = h[alive] ^ (window[at[alive] + done] & _KEPT[np.minimum(length[alive] - done, 8)])
+        h[alive] = mix(own * _GOLD + k1)
+        done += 8
+        alive = alive[length[alive] > done]
+    for i in np.flatnonzero(length > _SHORT).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[at[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return h
+
+
+def word_spans(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word. first: places at which a text begins."""
+    full = ~_BLANK[data]
+    start, stop = full.copy(), full.copy()
     start[1:] &= ~full[:-1]
     first = first[first < len(data)]
     start[first] = full[first]
-    at = np.flatnonzero(start)
-    if not len(at):
-        return np.zeros(0, np.uint64), at
-    terms = values[data]
-    terms *= power[: len(data)]
-    return mix(np.add.reduceat(terms, at) * inverse[at] + _GOLD), at
-
-
-def _long_text_words(data: np.ndarray) -> np.ndarray:
-    """Word hashes of a text of any length, in segments that end at white space; a word longer than a segment is folded."""
-    blank = _byte_tables()[1]
-    out, at, n = [], 0, len(data)
-    while at < n:
-        end = min(n, at + _SEGMENT)
-        if end < n:
-            gaps = np.flatnonzero(blank[data[at:end]])
-            if len(gaps):
-                end = at + gaps[-1] + 1
-            else:  # one word fills the segment: fold its segments into one hash
-                h = np.uint64(0)
-                while at < n:
-                    piece = data[at : at + _SEGMENT]
-                    gaps = np.flatnonzero(blank[piece])
-                    piece = piece[: gaps[0]] if len(gaps) else piece
-                    if len(piece):
-                        h = mix(np.array([h + _segment_words(piece, np.zeros(1, np.int64))[0][0]]))[0]
-                    at += len(piece)
-                    if len(gaps):
-                        break
-                out.append(np.array([h], np.uint64))
-                continue
-        out.append(_segment_words(data[at:end], np.zeros(1, np.int64))[0])
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def word_hashes(texts):
-    """Yields (hashes of all words, number of words of each text) for runs of the Arrow string array's texts, in order.
-    Words are the runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z; a null text has none."""
+    stop[:-1] &= ~full[1:] | start[1:]
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def _runs(texts):
+    """(bytes, edges) of texts that lie together, about _RUN bytes each; a longer text comes in parts that end at white space,
+    the last of them marked: (bytes, edges, goes on)."""
     import pyarrow as pa
 
-    texts = texts.cast(pa.large_binary())
-    if texts.null_count:
-        texts = texts.fill_null(b"")
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     whole = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     i, n = 0, len(texts)
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + _SEGMENT, "right")) - 1
-        if j <= i:
-            words = _long_text_words(whole[offsets[i] : offsets[i + 1]])
-            yield words, np.array([len(words)])
-            i += 1
+        j = int(np.searchsorted(offsets, offsets[i] + _RUN, "right")) - 1
+        if j > i:
+            j = min(j, n)
+            yield whole[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], False
+            i = j
+            continue
+        at, last = int(offsets[i]), int(offsets[i + 1])
+        while at < last:
+            end = min(last, at + _RUN)
+            while end < last and not _BLANK[whole[end - 1]]:  # up to the next blank, however far
+                gap = np.flatnonzero(_BLANK[whole[end : end + _RUN]])
+                end = min(last, end + (int(gap[0]) + 1 if len(gap) else _RUN))
+            yield whole[at:end], np.array([0, end - at]), end < last
+            at = end
+        i += 1
+
+
+def word_hashes(texts, key: bytes):
+    """Yields (hashes of all words, number of words of each text) for runs of the Arrow string array's texts, in order.
+    Words are the runs of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z; a null text has none."""
+    held: list[np.ndarray] = []
+    for data, edges, goes_on in _runs(texts):
+        data = _LOWER[data]
+        at, end = word_spans(data, edges[:-1])
+        words = span_hashes(data, at, end, key)
+        if goes_on or held:
+            held.append(words)
+            if not goes_on:
+                words = np.concatenate(held)
+                held = []
+                yield words, np.array([len(words)])
             continue
-        j = min(j, n)
-        edges = offsets[i : j + 1] - offsets[i]
-        words, at = _segment_words(whole[offsets[i] : offsets[j]], edges[:-1])
         yield words, np.diff(np.searchsorted(at, edges))
-        i = j
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int):
@@ -209,8 +276,10 @@ class Pieces:
 
     Where a single space or line feed stands between other characters, the byte-level pattern always begins a new
     pre-token at it, and merges never cross pre-tokens; so a text is cut before each, behind a line feed, and between a
-    letter and a stop, where a pre-token ends too, and a piece's ids do not depend on its surroundings. A text with any other white space, with two in a row, at an end, or with ``<|`` is taken whole. Pieces are
-    told apart by a 64-bit hash. The table's size is fixed, and a text with a piece of more than ``WIDTH`` ids is taken whole.
+    letter and a stop, where a pre-token ends too, and a piece's ids do not depend on its surroundings. A text with any other
+    white space, with two in a row, at an end, or with ``<|`` is taken whole. Pieces are told apart by all their bytes: up to
+    15 of them and their number are the key itself; longer pieces have a keyed 128-bit BLAKE2 digest in its place. The
+    table's size is fixed, and a text with a piece of more than ``WIDTH`` ids is taken whole.
     """
 
     WIDTH, BITS, RUN = 16, 21, 1 << 20
@@ -222,9 +291,9 @@ class Pieces:
         if not ids:  # counts alone: half the run and the table, as other stages share the worker's memory
             self.BITS, self.RUN = self.BITS - 1, self.RUN // 2
         n = 1 << self.BITS
-        self.keys, self.n = np.zeros(n, np.uint64), np.zeros(n, np.int32)
+        self.one, self.two, self.n = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32)
         self.ids = np.zeros((n, self.WIDTH), self.kind) if ids else None
-        self.values = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64)
+        self.secret = os.urandom(16)
 
     def of(self, column):
         """For each text of an Arrow string array the number of its ids and, if they are kept, the ids as little-endian 32-bit integers."""
@@ -287,24 +356,31 @@ class Pieces:
                         out[r] = np.array(ids, "<u4").tobytes()
         return zip(counts.tolist(), out)
 
+    def _keys(self, data, at, end) -> tuple[np.ndarray, np.ndarray]:
+        """A piece's first bytes, and the rest with its length on top; the two halves of the digest of a longer one."""
+        window, length = eights(data), end - at
+        one = window[at]
+        one &= _KEPT[np.minimum(length, 8)]
+        two = length.astype(np.uint64) << np.uint64(56)
+        more = np.flatnonzero(length > 8)
+        two[more] |= window[at[more] + 8] & _KEPT[np.minimum(length[more] - 8, 7)]
+        for i in np.flatnonzero(length > 15).tolist():
+            digest = hashlib.blake2b(data[at[i] : end[i]].tobytes(), digest_size=16, key=self.secret).digest()
+            one[i], two[i] = np.frombuffer(digest, np.uint64)
+            two[i] |= np.uint64(16 << 56)  # no short piece has this length
+        return one, two
+
     def _simple(self, data, edges, at, text, simple, counts, out):
         last = np.r_[text[1:] != text[:-1], True]
         end = np.where(last, edges[text + 1], np.r_[at[1:], 0])
-        terms = self.values[data]
-        power, inverse = _byte_tables()[2:]
-        for k in range(0, len(data), _SEGMENT):
-            terms[k : k + _SEGMENT] *= power[: len(terms[k : k + _SEGMENT])]
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-        h = total[end] - total[at]  # a piece is summed from its own place on, except where it runs into the next segment
-        h *= inverse[at % _SEGMENT]
-        over = np.flatnonzero(at // _SEGMENT != (end - 1) // _SEGMENT)
-        for o in over.tolist():
-            h[o] = np.uint64(hash(data[at[o] : end[o]].tobytes()) & (2**64 - 1))
-        h = mix(h + _GOLD)
-        h[h == 0] = 1
+        one, two = self._keys(data, at, end)
+        h = mix(one * _GOLD ^ two * _M1)
         unique, first, inv = np.unique(h, return_index=True, return_inverse=True)
+        if (other := np.flatnonzero((one[first][inv] != one) | (two[first][inv] != two))).size:  # pieces whose 64 bits are those of another: their texts are taken whole
+            simple[text[other]] = False
         slot = (unique >> np.uint64(64 - self.BITS)).astype(np.int64)
-        hit = self.keys[slot] == unique
+        one, two = one[first], two[first]
+        hit = (self.one[slot] == one) & (self.two[slot] == two)
         n = np.where(hit, self.n[slot], 0)
         ids = self.ids[slot] if self.with_ids else None
         new = np.flatnonzero(~hit)
@@ -323,7 +399,7 @@ class Pieces:
             else:
                 n[new] = got
                 kept = new
-            self.keys[slot[kept]], self.n[slot[kept]] = unique[kept], n[kept]
+            self.one[slot[kept]], self.two[slot[kept]], self.n[slot[kept]] = one[kept], two[kept], n[kept]
         each = n[inv]
         begin = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
         own = text[begin]

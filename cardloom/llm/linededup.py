@@ -1,149 +1,158 @@
 """Line dedup with a log-template tree: lines whose template recurs across documents are dropped.
 
 The tree has a fixed depth: a line goes to a leaf by its number of tokens and its leading tokens, a leading token with a
-digit counting as a field. In a leaf a token stays in the template if enough lines have it at its place; the others
-become the field ``<*>``. A line with too few constant tokens is its own template. Nothing depends on the order of lines.
+digit counting as a field. In a leaf of ``min_docs`` lines a token stays in the template if as many lines have it at its
+place; the others become the field ``<*>``. A line with too few constant tokens is its own template. Nothing depends on
+the order of lines.
 
-A template recurs if it stands in ``min_docs`` documents and ``min_docs`` different texts, in at least ``min_contexts`` as
-many surroundings. Surroundings are the nearest lines on both sides that are not blank and do not recur themselves,
-so the lines of a passage count with what stands around the passage. They are compared by their first and by their last
-words, as a copied line with a word changed is no other surrounding. Texts that are copies for the most part count as one:
-those of which lines shared with other texts make up ``COPY`` of the characters, or half of those outside the passage;
-lines found to recur are not counted in a further round.
+A template is frequent if it stands in ``min_docs`` different texts, and it recurs if these are not copies of one another:
+if ``min_docs`` of them have something of their own. A text has if at least two thirds of its ends are its own; its ends
+are the first and the last words of its lines outside frequent templates, and one is its own if no other text has it there
+(a line copied with a word changed still has one of the two). Texts without anything of their own count as one together. So a passage goes as a whole, whatever stands around its lines, and
+near copies, be they thousands, are not emptied.
 
-A line of ``long_words`` words or more also recurs, as it stands, in two such texts.
+A line of ``long_words`` words or more also recurs, as it stands, in two texts and more (fewer than ``min_docs``, from which
+on its template decides), if one of them is unlike the first: if less than ``COPY`` of their runs of three words are common.
 
-Leaves, lines, templates and cuts are joined by broadcast only if counted and few, and else by shuffle, cuts with salted
-keys as many rows may hold one text.
+Leaves, lines, templates and cuts are joined by broadcast only if their bytes are counted and few, else by shuffle with
+salted keys, as a third of all rows may hold one leaf, line or text.
 
 Defined results: a null text stays null with no lines; an empty one has one empty line; lines without tokens are never
-dropped; a document whose every line is dropped stays with an empty text; rows that share a doc_id count as one
-document, as do those with a null doc_id; repeated rows are treated alike; other columns are kept as they are; an empty
-table gives none. Result columns that docs has already are replaced.
+dropped; a document whose every line is dropped stays with an empty text; documents with equal texts count as one and are
+treated alike; other columns are kept as they are; an empty table gives none. Result columns that docs has already are
+replaced.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardloom.llm.common import BROADCAST_ROWS, Scratch
+from cardloom.llm.common import BROADCAST_BYTES, SALTS, Scratch, meet
 
-BLANK = "[ \\t\\n\\x0B\\f\\r]+"
-SALTS = 16
+BLANK = "\t\x0b\f\r"
 FIELD = "<*>"
-COPY = 0.8
-#: Words at either end by which surroundings are compared.
+#: Jaccard similarity of runs of RUN words from which two texts are copies.
+COPY, RUN = 0.5, 3
+#: Words of an end.
 ENDS = 3
 
 
+def tokens(line: Column) -> Column:
+    return F.array_remove(F.split(F.translate(line, BLANK + "\n", " " * (len(BLANK) + 1)), " ", -1), "")
+
+
+def text_keys(text: Column) -> list[Column]:
+    """Two numbers of 60 bits that stand for a text: t1, t2."""
+    digest = F.md5(text.cast("binary"))
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(name) for at, name in ((1, "t1"), (16, "t2"))]
+
+
 def _lines(docs: DataFrame, text_col: str, depth: int, long_words: int) -> DataFrame:
-    """(t1, t2, pos, line, lh, leaf, long) for each line that has tokens. t1, t2: hashes of the whole text; long: the line's hash if it is long."""
+    """(t1, t2, pos, line, lh, leaf, long) for each line; leaf: null without tokens; long: the line's hash if it is long."""
     text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    rows = rows.withColumn("tokens", tokens(F.col("line"))).where(F.size("tokens") > 0)
+    rows = docs.select(*text_keys(text), F.split(text, "\n", -1).alias("arr"))  # once a text, not once a line
+    rows = rows.select("t1", "t2", F.posexplode("arr").alias("pos", "line"))
+    rows = rows.withColumn("tokens", tokens(F.col("line")))
     lead = F.transform(F.slice("tokens", 1, depth), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
-    rows = rows.withColumns({"leaf": F.xxhash64(F.size("tokens"), lead), "lh": F.xxhash64("line")})
+    # null for lines without tokens; a filter would be pushed below and split every line twice
+    rows = rows.withColumns({"leaf": F.when(F.size("tokens") > 0, F.xxhash64(F.size("tokens"), lead)), "lh": F.xxhash64("line")})
     return rows.withColumn("long", F.when(F.size("tokens") >= long_words, F.col("lh"))).drop("tokens")
 
 
-def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, BLANK, -1), lambda t: t != "")
+def _with_places(rows: DataFrame, places: DataFrame, column: str, how: str, salt: Column) -> DataFrame:
+    """rows with the array that places hold for their text."""
+    size = places.agg(F.sum(4 * F.size(column) + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(places), ["t1", "t2"], how)
+    salted = places.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salted, ["t1", "t2", "_salt"], how)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _templates(held: DataFrame, s: Scratch, min_docs: int, min_constant: float) -> DataFrame:
+    """(lh, template) for the lines of leaves with min_docs lines."""
+    distinct = held.where("in_leaf").groupBy("leaf", "lh").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+    words = s.put(distinct.select("leaf", "lh", "n", F.posexplode(tokens(F.col("line"))).alias("p", "token")), "words")
+    common = words.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "p", "token", F.lit(True).alias("stays"))
+    common = s.put(common, "common")
+    marked = meet(words, common, ["leaf", "p", "token"], "left", F.col("lh"))
+    shape = F.transform(F.array_sort(F.collect_list(F.struct("p", F.when(F.col("stays"), F.col("token")).otherwise(F.lit(FIELD)).alias("t")))), lambda x: x["t"])
+    shapes = marked.groupBy("leaf", "lh").agg(F.xxhash64(F.array_join(shape, " ")).alias("shape"), (F.count("stays") / F.count("*")).alias("share"))
+    found = s.put(shapes.select("lh", F.xxhash64("leaf", F.when(F.col("share") >= min_constant, F.col("shape")).otherwise(F.col("lh"))).alias("template")), "templates")
+    s.drop(words, common)
+    return found
 
 
-def _with_places(rows: DataFrame, places: DataFrame, column: str, how: str, salt: Column) -> DataFrame:
-    """rows with the array that places hold for their text."""
-    if (places.agg(F.sum(F.size(column))).first()[0] or 0) <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(places), ["t1", "t2"], how)
-    salted = places.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return rows.withColumn("_salt", salt).join(salted, ["t1", "t2", "_salt"], how)
-
-
-def _surroundings(rows: DataFrame) -> DataFrame:
-    """(key, floor, k, v): what each text with candidates counts for: its document, itself, its surroundings by first and by last words."""
-    arr = F.split("_text", "\n", -1)
-    rows = rows.select("doc", "t1", "_c", F.length("_text").alias("chars"), arr.alias("arr"))
-    outside = F.filter(F.array_except(F.sequence(F.lit(0), F.size("arr") - 1), F.col("_c.pos")), lambda i: F.get("arr", i).rlike("[^ \\t\\n\\x0B\\f\\r]"))
-    rows = rows.withColumn("out", outside)
-    near = F.transform("_c", lambda c: F.struct(c.alias("c"), F.coalesce(F.array_max(F.filter("out", lambda o: o < c["pos"])), F.lit(-1)).alias("a"), F.coalesce(F.array_min(F.filter("out", lambda o: o > c["pos"])), F.size("arr")).alias("b")))
-    rows = rows.withColumn("near", near)
-
-    def shared(keep):
-        return F.aggregate(F.filter("_c", keep), F.lit(0), lambda n, c: n + F.when(c["rep"], c["len"]).otherwise(0))
-
-    rows = rows.withColumn("total", shared(lambda c: F.lit(True)))
-    elsewhere = F.transform("near", lambda x: F.struct(
-        x["c"].alias("c"), F.get("arr", F.when(x["a"] >= 0, x["a"])).alias("before"), F.get("arr", x["b"]).alias("after"), shared(lambda c: (c["pos"] < x["a"]) | (c["pos"] > x["b"])).alias("shared"),
-        F.aggregate(F.filter("out", lambda o: (o <= x["a"]) | (o >= x["b"])), F.lit(0), lambda n, o: n + F.length(F.get("arr", o))).alias("own")))
-    rows = rows.withColumn("x", F.explode(elsewhere))
-    rows = rows.select("doc", "t1", "chars", "total", "x.c.keys", "x.before", "x.after", "x.shared", "x.own")
-    copy = (F.col("total") >= COPY * F.col("chars")) | ((F.col("shared") > 0) & (F.col("shared") >= F.col("own")))
-    first = [F.slice(tokens(F.col(c)), 1, ENDS) for c in ("before", "after")]
-    last = [F.slice(F.reverse(tokens(F.col(c))), 1, ENDS) for c in ("before", "after")]
-    none = F.lit(0).cast("long")
-    values = [F.xxhash64("doc"), F.when(copy, none).otherwise(F.col("t1")), F.when(copy, none).otherwise(F.xxhash64(first[0], F.lit(0), first[1])), F.when(copy, none).otherwise(F.xxhash64(last[0], F.lit(0), last[1]))]
-    rows = rows.select(F.explode("keys").alias("key"), F.array(*values).alias("values"))
-    return rows.select("key.key", "key.floor", F.posexplode("values").alias("k", "v"))
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, min_contexts: float = 0.5, depth: int = 3, min_constant: float = 0.5, id_col: str = "doc_id", text_col: str = "text", long_words: int = 20) -> DataFrame:
+def _having_their_own(docs: DataFrame, text_col: str, stands: DataFrame, s: Scratch) -> DataFrame:
+    """(t1, own) for the texts with frequent templates that have something of their own."""
+    places = s.put(stands.groupBy("t1", "t2").agg(F.collect_set("pos").alias("_p")), "places")
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = docs.select(*text_keys(text), text.alias("_text"))
+    rows = _with_places(texts, places, "_p", "inner", F.monotonically_increasing_id()).select("t1", "_p", F.split("_text", "\n", -1).alias("arr"))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("arr") - 1), F.col("_p"))
+    words = rows.select("t1", F.explode(F.transform(rest, lambda i: F.get("arr", i))).alias("line")).select("t1", tokens(F.col("line")).alias("w")).where(F.size("w") > 0)
+    last = F.when(F.size("w") <= ENDS, F.col("w")).otherwise(F.slice("w", -ENDS, ENDS))
+    both = F.array(F.xxhash64(F.lit(0), F.slice("w", 1, ENDS)), F.xxhash64(F.lit(1), last))
+    ends = s.put(words.select("t1", F.explode(both).alias("end")).distinct(), "ends")
+    alone = ends.groupBy("end").agg(F.min("t1").alias("t1"), F.max("t1").alias("other")).where("t1 = other").groupBy("t1").agg(F.count("*").alias("mine"))
+    all_ = ends.groupBy("t1").agg(F.count("*").alias("n"))
+    found = s.put(alone.join(all_, "t1").where("3 * mine >= 2 * n").select("t1", F.lit(True).alias("own")), "own")
+    s.drop(places, ends)
+    return found
+
+
+def _unlike(docs: DataFrame, text_col: str, held: DataFrame, s: Scratch, min_docs: int) -> DataFrame:
+    """(lh) of long lines whose few texts are not all copies of the first."""
+    holds = s.put(held.where("in_long").select("lh", "t1", "t2").distinct(), "holds")
+    per = holds.groupBy("lh").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2")).alias("f")).where(F.col("n") < min_docs).select("lh", F.col("f.t1").alias("f1"), F.col("f.t2").alias("f2"))
+    pairs = s.put(holds.join(per, "lh").where("t1 <> f1 OR t2 <> f2"), "pairs")
+    nodes = pairs.select("t1", "t2").union(pairs.select("f1", "f2")).distinct()
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = meet(docs.select(*text_keys(text), text.alias("x")), s.put(nodes, "nodes"), ["t1", "t2"], "left_semi")
+    texts = s.put(texts.groupBy("t1", "t2").agg(F.first("x").alias("x")).select("t1", "t2", tokens(F.col("x")).alias("x")), "texts")
+    both = pairs.select("f1", "f2", "t1", "t2").distinct().join(texts, ["t1", "t2"]).join(texts.select(F.col("t1").alias("f1"), F.col("t2").alias("f2"), F.col("x").alias("y")), ["f1", "f2"])
+
+    def runs(w: str) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - RUN), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(RUN)])))
+
+    both = both.withColumns({"p": runs("x"), "q": runs("y")})
+    common = F.size(F.array_intersect("p", "q"))
+    unlike = both.where(common < COPY * (F.size("p") + F.size("q") - common)).select("f1", "f2", "t1", "t2")
+    found = s.put(pairs.join(unlike, ["f1", "f2", "t1", "t2"]).select("lh").distinct(), "unlike")
+    s.drop(holds, pairs, texts)
+    return found
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, depth: int = 3, min_constant: float = 0.5, text_col: str = "text", long_words: int = 20) -> DataFrame:
     """docs with the text less its recurring lines, and n_lines and n_dropped."""
     s = Scratch(docs.sparkSession, "lines")
     lines = _lines(docs, text_col, depth, long_words)
     both = F.array(F.struct(F.lit(False).alias("whole"), F.col("leaf").alias("h")), F.struct(F.lit(True).alias("whole"), F.col("long").alias("h")))
     keys = lines.select("t1", F.inline(both)).where("h IS NOT NULL").groupBy("whole", "h").agg(F.count("*").alias("n"), (F.min("t1") != F.max("t1")).alias("differ"))
-    keys = s.put(keys.where(F.when(F.col("whole"), F.col("differ")).otherwise(F.col("n") >= min_docs)).select("whole", "h"), "keys")
+    keys = s.put(keys.where(F.col("differ") & (F.col("whole") | (F.col("n") >= min_docs))).select("whole", "h"), "keys")
     leaves = keys.where("NOT whole").select(F.col("h").alias("leaf"), F.lit(True).alias("in_leaf"))
     longs = keys.where("whole").select(F.col("h").alias("long"), F.lit(True).alias("in_long"))
-    held = lines.join(_small(leaves), "leaf", "left").join(_small(longs), "long", "left").where("in_leaf OR in_long")
-    held = s.put(held.select("t1", "t2", "pos", "leaf", "lh", F.length("line").alias("len"), F.when(F.col("in_leaf"), F.col("line")).alias("line"), "in_leaf", "in_long"), "held")
+    at = F.col("t1") + F.col("pos")
+    held = meet(meet(lines, leaves, ["leaf"], "left", at), longs, ["long"], "left", at).where("in_leaf OR in_long")
+    held = s.put(held.select("t1", "t2", "pos", "leaf", "lh", F.when(F.col("in_leaf"), F.col("line")).alias("line"), "in_leaf", "in_long"), "held")
+
+    templates = _templates(held, s, min_docs, min_constant)
+    stands = s.put(meet(held.where("in_leaf").select("t1", "t2", "pos", "lh"), templates, ["lh"], "inner", at).drop("lh"), "stands")
+    frequent = stands.select("template", "t1").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
+    often = s.put(meet(stands, s.put(frequent, "frequent"), ["template"], "left_semi", at), "often")
+    own = _having_their_own(docs, text_col, often, s)
+    support = meet(often.select("template", "t1").distinct(), own, ["t1"], "left", F.col("template"))
+    support = support.groupBy("template").agg(F.count("own").alias("n"), F.max(F.col("own").isNull().cast("int")).alias("others"))
+    recurring = s.put(support.where(F.col("n") + F.col("others") >= min_docs).select("template"), "recurring")
+    unlike = _unlike(docs, text_col, held, s, min_docs)
+    gone = meet(often, recurring, ["template"], "left_semi", at).select("t1", "t2", "pos")
+    gone = gone.union(meet(held.where("in_long"), unlike, ["lh"], "left_semi", at).select("t1", "t2", "pos"))
+    cut = s.put(gone.groupBy("t1", "t2").agg(F.collect_set("pos").alias("_cut")), "cut")
+    s.drop(keys, held, templates, stands, often, own)
 
-    distinct = held.where("in_leaf").groupBy("leaf", "lh").agg(F.first("line").alias("line"), F.count("*").alias("n"))
-    words = s.put(distinct.select("leaf", "lh", "n", F.posexplode(tokens(F.col("line"))).alias("p", "token")), "words")
-    common = words.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "p", "token", F.lit(True).alias("stays"))
-    common = s.put(common, "common")
-    marked = words.join(_small(common), ["leaf", "p", "token"], "left")
-    shape = F.transform(F.array_sort(F.collect_list(F.struct("p", F.when(F.col("stays"), F.col("token")).otherwise(F.lit(FIELD)).alias("t")))), lambda x: x["t"])
-    templates = marked.groupBy("leaf", "lh").agg(F.xxhash64(F.array_join(shape, " ")).alias("shape"), (F.count("stays") / F.count("*")).alias("share"))
-    templates = templates.select("lh", F.xxhash64("leaf", F.when(F.col("share") >= min_constant, F.col("shape")).otherwise(F.col("lh"))).alias("template"))
-
-    # a line's keys: its template, and itself if it is long; those that enough different texts hold are candidates
-    by_text = held.groupBy("lh", "t1").agg(F.max("in_leaf").alias("in_leaf"), F.max("in_long").alias("in_long"))
-    by_line = by_text.groupBy("lh").agg(F.max("in_leaf").alias("in_leaf"), F.max("in_long").alias("in_long"), (F.count("*") > 1).alias("rep"))
-    kinds = F.array(F.struct(F.col("template").alias("key"), F.lit(min_docs).alias("floor")), F.struct(F.when(F.col("in_long"), F.xxhash64(F.lit("line"), "lh")).alias("key"), F.lit(2).alias("floor")))
-    of_line = s.put(by_line.join(templates, "lh", "left").select("lh", "rep", F.inline(kinds)).where("key IS NOT NULL"), "of_line")
-    texts = held.select("lh", "t1").distinct().join(_small(of_line), "lh").select("key", "floor", "t1").distinct()
-    many = s.put(texts.groupBy("key", "floor").agg(F.count("*").alias("n")).where("n >= floor").select("key"), "many")
-    of_line = of_line.join(_small(many), "key", "left_semi").groupBy("lh", "rep").agg(F.collect_list(F.struct("key", "floor")).alias("keys"))
-    of_line = s.put(of_line, "candidates")
     text = F.col(f"`{text_col}`").cast("string")
-    hashes = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
-    doc = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    texts = docs.select(doc.alias("doc"), text.alias("_text"), *hashes)
-    gone, n = of_line.where("false").select("lh"), 0
-    while True:  # lines found to recur make no text a copy, so others may be found; most often none are in the second round
-        shared = of_line.join(_small(gone.withColumn("found", F.lit(True))), "lh", "left").select("lh", (F.col("rep") & F.col("found").isNull()).alias("rep"), "keys")
-        places = held.select("t1", "t2", "pos", "lh", "len").distinct().join(_small(shared), "lh").groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "len", "rep", "keys")).alias("_c"))
-        places = s.put(places, "places")
-        found = _surroundings(_with_places(texts, places, "_c", "inner", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")))
-        counts = found.distinct().groupBy("key", "floor", "k").agg(F.count("*").alias("n"))
-        enough = F.when(F.col("k") < 2, F.col("n") >= F.col("floor")).otherwise(F.col("n") >= F.greatest(F.lit(2), F.col("floor") * min_contexts))
-        recurring = s.put(counts.groupBy("key").agg(F.min(enough).alias("ok")).where("ok").select("key"), "recurring")
-        new = of_line.select("lh", F.explode("keys.key").alias("key")).join(_small(recurring), "key", "left_semi").select("lh")
-        gone = s.put(gone.union(new).distinct(), "gone")  # only grows, so the rounds end
-        before, n = n, gone.count()
-        if n == before:
-            break
-    cut = held.join(_small(gone), "lh", "left_semi").groupBy("t1", "t2").agg(F.collect_set("pos").alias("_cut"))
-    cut = s.put(cut, "cut")
-
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in rest], text.alias("_text"), *hashes)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`c_{c}`") for c in rest]), F.lit(SALTS)).cast("int") if rest else F.lit(0)
-    rows = _with_places(rows, cut, "_cut", "left", salt)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in rest], text.alias("_text"), *text_keys(text))
+    rows = _with_places(rows, cut, "_cut", "left", F.monotonically_increasing_id())
     rows = rows.withColumn("arr", F.split("_text", "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("arr") - 1), F.col("_cut"))
     new = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("arr", i)), "\n"))

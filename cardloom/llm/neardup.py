@@ -12,7 +12,9 @@
    one among the first fifth of each, at places that leave room for the overlap they need. This leaves out no such pair.
 
 With 32 bands of 4 minima a pair of similarity 0.8 shares no band with a probability of 5e-8; the signature check lets a
-true pair go with one below 1e-9. Everything after it is exact.
+true pair go with one below 1e-9. Words are hashed with a secret of the run, so no text can be made to collide, and a link
+is confirmed on the words of both whole texts, not on hashes. Buckets, leaders and centres of stars with many rows are
+spread over tasks. A batch of texts to confirm is bounded by TEXT_ROWS rows and by Spark's own bound on its bytes.
 
 Defined results: null and empty texts have empty sets and link with nothing; rows that share a doc_id are one document;
 a null doc_id links with nothing and is kept; extra columns are ignored; an empty table gives an empty result.
@@ -23,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cardloom.llm.common import Scratch, bound_batches, mix, pick, shingle_hashes, word_hashes
+from cardloom.llm.common import HOT, Scratch, meet, mix, new_key, shingle_hashes, spread, text_batches, word_hashes
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -38,14 +40,14 @@ def _universal(n: int):
     return r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**64, n, dtype=np.uint64)
 
 
-def _signatures(k: int):
+def _signatures(k: int, key: bytes):
     def run(batches):
         import pyarrow as pa
 
         a, b = _universal(HASHES)
         for batch in batches:
             n_all, hi_all, lo_all, sig_all = [], [], [], []
-            for words, counts in word_hashes(batch.column(1)):
+            for words, counts in word_hashes(batch.column(1), key):
                 sets = list(shingle_hashes(words, counts, k))
                 n = np.array([len(s) for s in sets])
                 hi, lo, sig = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), np.zeros((len(n), HASHES), np.uint32)
@@ -67,29 +69,38 @@ def _signatures(k: int):
     return run
 
 
-def _sets(k: int):
-    def run(batches):
-        import pyarrow as pa
+def _grams(a: bytes, b: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct k-word shingles of two texts of k words and more, numbered alike where their words are alike."""
+    names: dict[bytes, int] = {}
+    both = [[names.setdefault(w, len(names)) for w in t.lower().split()] for t in (a, b)]  # of bytes: A-Z alone, and blanks 0x20, 0x09-0x0D
+    x, y = (np.array(c, np.int64) for c in both)
+    p, q, n = x, y, len(names)
+    for i in range(1, k):
+        codes = np.concatenate([p[:-1] * len(names) + x[i:], q[:-1] * len(names) + y[i:]])  # below 2^63: both factors are below 2^31
+        cut = len(p) - 1
+        codes = np.unique(codes, return_inverse=True)[1]
+        p, q = codes[:cut], codes[cut:]
+    return np.unique(p), np.unique(q)
 
-        for batch in batches:
-            sets = [s for words, counts in word_hashes(batch.column(1)) for s in shingle_hashes(words, counts, k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
 
-    return run
+def similar(a: bytes, b: bytes, k: int, percent: int) -> bool:
+    """Whether the sets of k-word shingles of two texts have the similarity; texts of fewer words are one shingle."""
+    short = [len(t.split(None, k)) < k for t in (a, b)]
+    if any(short):
+        return all(short) and a.lower().split() == b.lower().split() != []
+    p, q = _grams(a, b, k)
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * common >= percent * (len(p) + len(q) - common)
 
 
-def _confirm(percent: int):
-    """Pairs whose full sets are similar enough."""
+def _confirm(k: int, percent: int):
+    """Pairs whose whole texts are similar enough."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            keep = [similar(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes(), k, percent) for x, y in zip(batch.column(2), batch.column(3))]
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
@@ -102,8 +113,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     seen = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = spread(both.where("v > u"), least, "u", least.where(F.col("n") > HOT), F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("p"), F.col("m"), F.col("u"))
@@ -122,14 +133,14 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _tokens(k: int):
+def _tokens(k: int, key: bytes):
     """(node, n, token) for every shingle of every document."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [s for words, counts in word_hashes(batch.column(1)) for s in shingle_hashes(words, counts, k)]
+            sets = [s for words, counts in word_hashes(batch.column(1), key) for s in shingle_hashes(words, counts, k)]
             n = np.array([len(s) for s in sets], np.int64)
             all_ = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             whole = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), n)), pa.array(np.repeat(n, n)), pa.array(all_.view(np.int64))], names=["node", "n", "token"])
@@ -139,7 +150,7 @@ def _tokens(k: int):
     return run
 
 
-def prefix_pairs(docs: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+def prefix_pairs(docs: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: Scratch, key: bytes) -> DataFrame:
     """Pairs (a < b) that can be similar, of nodes (node, comp, outside): of two components, at least one of them outside.
 
     Sizes n and m need an overlap of percent (n + m) / (100 + percent); so, in one order of all shingles, the first that
@@ -147,7 +158,7 @@ def prefix_pairs(docs: DataFrame, nodes: DataFrame, k: int, percent: int, scratc
     bits, each holding whether an odd number came: bits that differ tell of as many shingles at least that one set has alone.
     """
     ids = nodes.select(F.col("node").alias("doc_id"))
-    tokens = scratch.put(pick(docs, ids, ["doc_id"], "left_semi").mapInArrow(_tokens(k), "node long, n long, token long").dropDuplicates(["node", "token"]), "tokens")
+    tokens = scratch.put(meet(docs, ids, ["doc_id"], "left_semi").mapInArrow(_tokens(k, key), "node long, n long, token long").dropDuplicates(["node", "token"]), "tokens")
     common = tokens.groupBy("token").agg(F.count("*").alias("f"))
     ranked = tokens.join(common, "token").withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("f", "token")))
     first = ranked.where("f > 1").where(100 * (F.col("n") - F.col("pos") + 1) >= percent * F.col("n"))
@@ -185,20 +196,26 @@ class _Links:
         if not likely.take(1):
             return False
         nodes = s.put(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
-        sets = pick(self.docs, nodes, ["doc_id"], "left_semi").mapInArrow(_sets(self.k), "node long, items binary")
-        sets = s.put(sets, "sets")
-        held = likely.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        found = s.put(held.select("a", "b", "x", "y").mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "links")
-        s.drop(nodes, sets)
+        texts = meet(self.docs, nodes, ["doc_id"], "left_semi").select("doc_id", F.col("text").cast("binary").alias("x"))
+        texts = s.put(texts, "texts")
+        held = likely.join(texts.select(F.col("doc_id").alias("b"), F.col("x").alias("y")), "b")
+        held = spread(held, texts.withColumnRenamed("doc_id", "a"), "a", self._leaders(likely), F.col("b"))
+        found = s.put(held.select("a", "b", "x", "y").mapInArrow(_confirm(self.k, self.percent), "a long, b long").distinct(), "links")
+        s.drop(nodes, texts)
         self.links.append(found)
         return bool(found.take(1))
 
+    @staticmethod
+    def _leaders(pairs: DataFrame) -> DataFrame:
+        return pairs.groupBy("a").count().where(F.col("count") > HOT)
+
     def _likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and signatures allow a link."""
         sig = self.classes.select("node", "sig", "n_shingles")
         places = F.sequence(F.lit(0), F.lit(HASHES - 1))
         same = F.size(F.filter(places, lambda i: F.substring(F.col("sa"), i * 4 + 1, F.lit(4)) == F.substring(F.col("sb"), i * 4 + 1, F.lit(4))))
-        with_sigs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b")
+        with_sigs = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b")
+        with_sigs = spread(with_sigs, sig.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a", self._leaders(pairs), F.col("b"))
         likely = with_sigs.where(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).where(same >= int(HASHES * (self.percent / 100 - SLACK)))
         return likely.select("a", "b").distinct()
 
@@ -211,19 +228,25 @@ class _Links:
             self.scratch.drop(old)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leader_rounds: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    bound_batches(docs.sparkSession)
-    s = Scratch(docs.sparkSession, "neardup")
+    with text_batches(docs.sparkSession):
+        return _near_duplicates(docs, words, percent, id_col, text_col, leader_rounds, scratch or Scratch(docs.sparkSession, "neardup"))
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, leader_rounds: int, s: Scratch) -> DataFrame:
+    key = new_key()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = s.put(docs.mapInArrow(_signatures(words), "doc_id long, n_shingles long, hi long, lo long, sig binary"), "signed")
+    signed = s.put(docs.mapInArrow(_signatures(words, key), "doc_id long, n_shingles long, hi long, lo long, sig binary"), "signed")
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = s.put(classes, "classes")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS)), i))
     entries = classes.select("node", "n_shingles", F.explode(band).alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high")
-    members = s.put(entries.join(shared.select("bucket", "size", F.col("low").alias("leader")), "bucket"), "members")
+    shared = s.put(shared.select("bucket", "size", F.col("low").alias("leader")), "shared")
+    members = s.put(spread(entries, shared, "bucket", shared.where(F.col("size") > HOT), F.col("node")), "members")
+    s.drop(shared)
 
     links = _Links(docs, classes, s, words, percent)
     any_link = links.check(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
@@ -235,8 +258,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         own = members.where("size > 2").select("bucket", "node", "n_shingles")
         own = own.join(links.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if links.comp is not None else own.withColumn("comp", F.col("node"))
         per = own.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(len(links.tried)))).alias("pick"))
-        top = per.groupBy("bucket").agg(F.max_by(F.struct("comp", "pick"), F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        return own.join(top.select("bucket", F.col("top.comp").alias("main"), F.col("top.pick").alias("pick")), "bucket")
+        top = per.groupBy("bucket").agg(F.max_by(F.struct("comp", "pick"), F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("size")).where("comps > 1")
+        top = s.put(top.select("bucket", F.col("top.comp").alias("main"), F.col("top.pick").alias("pick"), "size"), "top")
+        return spread(own, top, "bucket", top.where(F.col("size") > HOT), F.col("node"))
 
     def ordered(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
@@ -255,7 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         rest = s.put(apart(), "rest")
     if rest.take(1):
         nodes = s.put(rest.groupBy("node").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("main")).alias("outside")), "apart")
-        met = prefix_pairs(docs, nodes, words, percent, s)
+        met = prefix_pairs(docs, nodes, words, percent, s, key)
         if links.check(met, by_signature=False):
             links.join_up()
         s.drop(met, nodes)
@@ -274,12 +298,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group; repeated rows of a kept doc_id count once. Only the ids that go are joined back, not the texts."""
-    s = Scratch(docs.sparkSession, "neardup-keep")
-    found = s.put(near_duplicates(docs, words, percent), "found")
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = pick(docs, gone, ["doc_id"], "left_anti")
-    twice = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """docs with one document of each group; repeated rows of a kept doc_id count once, of unlike texts the least. Only the
+    ids that go are joined back, not the texts."""
+    s, inner = Scratch(docs.sparkSession, "neardup-keep"), Scratch(docs.sparkSession, "neardup")
+    found = s.put(near_duplicates(docs, words, percent, scratch=inner), "found")
+    inner.remove(inner.at)
+    gone = s.put(found.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    twice = s.put(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    s.drop(found)
+    kept = meet(docs, gone, ["doc_id"], "left_anti")
     if twice.take(1):
-        kept = pick(kept, twice, ["doc_id"], "left_anti").unionByName(pick(kept, twice, ["doc_id"], "left_semi").dropDuplicates(["doc_id"]))
+        once = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        one = meet(kept, twice, ["doc_id"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+        kept = meet(kept, twice, ["doc_id"], "left_anti").unionByName(one)
     return kept

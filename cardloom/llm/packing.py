@@ -1,7 +1,7 @@
 """Variable-capacity best-fit packing: documents into sequences of several permitted lengths.
 
-Lengths are dealt to domains of about ``domain_rows`` pieces each, whatever their keys, and every domain is packed by
-best-fit decreasing. A piece goes to the open bin whose free space it leaves smallest. If it fits none, a bin is opened
+Lengths are dealt to domains of about ``domain_rows`` pieces each by a hash of id, length, piece and the number of the
+repeated row, so neither one key nor the layout of files decides, and every domain is packed by best-fit decreasing. A piece goes to the open bin whose free space it leaves smallest. If it fits none, a bin is opened
 at that permitted length whose cost for a token is least when it is filled with the largest pieces still to come that
 fit; lengths so compete jointly. At the end each bin is downsized to the least permitted length that holds its contents.
 
@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from cardloom.llm.common import Scratch, bound_batches
+from cardloom.llm.common import Scratch, text_batches
 from cardloom.llm.tokenbin import Encoder
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -111,13 +111,15 @@ def best_fit(lengths: DataFrame, capacities: tuple[int, ...] = LENGTHS, costs: t
     s = Scratch(lengths.sparkSession, "packing")
     capacities = tuple(sorted(capacities))
     most = capacities[-1]
-    n = F.col("length").cast("long")
-    cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / most).cast("long") - 1))
-    pieces = lengths.select("doc_id", n.alias("n"), cuts.alias("piece"))
+    alike = lengths.select("doc_id", F.col("length").cast("long").alias("n")).groupBy("doc_id", "n").agg(F.count("*").alias("rows"))
+    each = alike.select("doc_id", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("row"))
+    cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / most).cast("long") - 1))
+    pieces = each.select("doc_id", "row", "n", cuts.alias("piece"))
     start = F.col("piece") * most
-    pieces = s.put(pieces.select("doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(most).cast("long")).cast("int").alias("length")), "pieces")
+    pieces = s.put(pieces.select("doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(most).cast("long")).cast("int").alias("length"), "row"), "pieces")
     domains = max(1, math.ceil(pieces.count() / domain_rows))
-    return pieces.repartition(domains).mapInArrow(_packing(capacities, tuple(costs or map(float, capacities))), "doc_id long, piece long, start long, length int, bin_id long, bin_length int, bin_offset int")
+    dealt = pieces.repartition(domains, F.xxhash64("doc_id", "row", "piece", "length")).select("doc_id", "piece", "start", "length")
+    return dealt.mapInArrow(_packing(capacities, tuple(costs or map(float, capacities))), "doc_id long, piece long, start long, length int, bin_id long, bin_length int, bin_offset int")
 
 
 _encoders: dict = {}
@@ -138,6 +140,6 @@ def _counting(tokenizer: str):
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacities: tuple[int, ...] = LENGTHS, costs: tuple[float, ...] | None = None, domain_rows: int = DOMAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """best_fit of the token counts of docs; tokenizer: a byte-level file that every executor can open."""
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return best_fit(rows.mapInArrow(_counting(tokenizer), "doc_id long, length long"), capacities, costs, domain_rows)
+    with text_batches(docs.sparkSession):  # best_fit writes the lengths before it returns
+        return best_fit(rows.mapInArrow(_counting(tokenizer), "doc_id long, length long"), capacities, costs, domain_rows)

@@ -110,25 +110,34 @@ m AS (SELECT p.*, rule_host || rule_path AS rule, verdict,
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN EXISTS (SELECT 1 FROM b WHERE host = listed OR ends_with(host, '.' || listed)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM m WHERE n = 1""",
     "op5_line_dedup": r"""
-WITH a AS (SELECT doc_id, text, string_split(text, chr(10)) AS arr FROM documents),
-l AS (SELECT doc_id, i - 1 AS pos, arr[i] AS line, [CASE WHEN i > 1 THEN arr[i - 1] END, arr[i + 1]] AS ctx,
-      list_filter(string_split_regex(arr[i], '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS tokens
-      FROM a, unnest(range(1, len(arr) + 1)) AS t(i)),
-k AS (SELECT *, len(tokens) || '|' || array_to_string(list_transform(tokens[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS leaf
-      FROM l WHERE len(tokens) > 0),
-h AS (SELECT * FROM k WHERE leaf IN (SELECT leaf FROM k GROUP BY leaf HAVING count(*) >= 20)),
-w AS (SELECT leaf, line, n, p, tokens[p] AS token FROM (SELECT leaf, line, first(tokens) AS tokens, count(*) AS n FROM h GROUP BY leaf, line), unnest(range(1, len(tokens) + 1)) AS t(p)),
-c AS (SELECT leaf, p, token FROM w GROUP BY leaf, p, token HAVING sum(n) >= 20),
-s AS (SELECT w.leaf, line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY w.p) AS shape, count(c.token) * 1.0 / count(*) AS share
-      FROM w LEFT JOIN c ON w.leaf = c.leaf AND w.p = c.p AND w.token = c.token GROUP BY w.leaf, line),
-t AS (SELECT leaf, line, CASE WHEN share >= 0.5 THEN 'T' || shape ELSE 'L' || line END AS template FROM s),
-d AS (SELECT h.leaf, template, doc_id, arg_min(ctx, pos) AS ctx FROM h JOIN t ON h.leaf = t.leaf AND h.line = t.line GROUP BY h.leaf, template, doc_id),
-r AS (SELECT leaf, template FROM d GROUP BY leaf, template HAVING count(*) >= 20 AND count(DISTINCT ctx) >= 0.5 * count(*)),
-g AS (SELECT h.doc_id, h.pos FROM h JOIN t ON h.leaf = t.leaf AND h.line = t.line JOIN r ON t.leaf = r.leaf AND t.template = r.template),
-o AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL) AS text, count(*) AS n_lines, count(g.pos) AS n_dropped
-      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
-SELECT a.doc_id, CASE WHEN a.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, CAST(coalesce(o.n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(o.n_dropped, 0) AS INTEGER) AS n_dropped
-FROM a LEFT JOIN o ON a.doc_id = o.doc_id""",
+WITH x AS (SELECT md5(text) AS m, any_value(string_split(text, chr(10))) AS arr, any_value(text) AS text, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY md5(text)),
+a AS (SELECT m, copies, i - 1 AS pos, arr[i] AS line, list_filter(string_split_regex(arr[i], '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM x, unnest(range(1, len(arr) + 1)) AS t(i)),
+l AS (SELECT *, len(w) || '|' || array_to_string(list_transform(w[1:3], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS leaf FROM a WHERE len(w) > 0),
+h AS (SELECT * FROM l WHERE leaf IN (SELECT leaf FROM l GROUP BY leaf HAVING sum(copies) >= 20 AND min(m) <> max(m))),
+k AS (SELECT leaf, line, n, p, w[p] AS token FROM (SELECT leaf, line, any_value(w) AS w, sum(copies) AS n FROM h GROUP BY leaf, line), unnest(range(1, len(w) + 1)) AS t(p)),
+c AS (SELECT leaf, p, token FROM k GROUP BY leaf, p, token HAVING sum(n) >= 20),
+s AS (SELECT k.leaf, line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY k.p) AS shape, count(c.token) * 2 >= count(*) AS general
+      FROM k LEFT JOIN c ON k.leaf = c.leaf AND k.p = c.p AND k.token = c.token GROUP BY k.leaf, line),
+stands AS (SELECT h.m, h.pos, h.leaf || CASE WHEN general THEN ' T ' || shape ELSE ' L ' || h.line END AS template FROM h JOIN s ON h.leaf = s.leaf AND h.line = s.line),
+often AS (SELECT * FROM stands WHERE template IN (SELECT template FROM stands GROUP BY template HAVING count(DISTINCT m) >= 20)),
+ends AS (SELECT DISTINCT m, unnest(['first ' || array_to_string(w[1:3], ' '), 'last ' || array_to_string(w[greatest(1, len(w) - 2):], ' ')]) AS e
+         FROM l WHERE m IN (SELECT m FROM often) AND NOT EXISTS (SELECT 1 FROM often o WHERE o.m = l.m AND o.pos = l.pos)),
+own AS (SELECT m FROM (SELECT m, count(*) OVER (PARTITION BY e) AS holders FROM ends) GROUP BY m HAVING 3 * count(*) FILTER (WHERE holders = 1) >= 2 * count(*)),
+recurring AS (SELECT template FROM (SELECT DISTINCT template, m FROM often) LEFT JOIN (SELECT m, 1 AS has FROM own) USING (m) GROUP BY template HAVING count(has) + max(CASE WHEN has IS NULL THEN 1 ELSE 0 END) >= 20),
+holds AS (SELECT DISTINCT line, m FROM l WHERE len(w) >= 20),
+few AS (SELECT line, min(m) AS f FROM holds GROUP BY line HAVING count(*) BETWEEN 2 AND 19),
+need AS (SELECT m FROM holds JOIN few USING (line) GROUP BY m),
+words AS (SELECT m, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM x WHERE m IN (SELECT m FROM need)),
+runs AS (SELECT m, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS r FROM words),
+pairs AS (SELECT DISTINCT f, m FROM holds JOIN few USING (line) WHERE f <> m),
+apart AS (SELECT p.f, p.m FROM pairs p JOIN runs a ON p.f = a.m JOIN runs b ON p.m = b.m
+          WHERE len(list_intersect(a.r, b.r)) < 0.5 * (len(a.r) + len(b.r) - len(list_intersect(a.r, b.r)))),
+unlike AS (SELECT DISTINCT line FROM holds JOIN few USING (line) JOIN apart USING (f, m)),
+cut AS (SELECT m, pos FROM often WHERE template IN (SELECT template FROM recurring) UNION SELECT m, pos FROM l WHERE line IN (SELECT line FROM unlike)),
+o AS (SELECT a.m, string_agg(line, chr(10) ORDER BY a.pos) FILTER (WHERE cut.pos IS NULL) AS text, count(*) AS n_lines, count(cut.pos) AS n_dropped
+      FROM a LEFT JOIN cut ON a.m = cut.m AND a.pos = cut.pos GROUP BY a.m)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, CAST(coalesce(o.n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(o.n_dropped, 0) AS INTEGER) AS n_dropped
+FROM documents d LEFT JOIN o ON md5(d.text) = o.m""",
     "op10_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings),
 p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),

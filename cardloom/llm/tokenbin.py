@@ -1,7 +1,7 @@
 """Token ids as binary shards of independent zstandard frames with a seek table.
 
-``write_token_shards`` encodes texts and writes their ids in ascending doc_id order: partitions are doc_id ranges, one
-shard file each. A shard is a run of zstandard frames, each holding the ids (little-endian unsigned 32-bit) of whole
+``write_token_shards`` encodes texts and writes their ids in ascending doc_id order: partitions are ranges of doc_id and a
+hash of the text, so one id may hold many rows; each is one shard file, of ``SHARD_BYTES`` of text or less on average. A shard is a run of zstandard frames, each holding the ids (little-endian unsigned 32-bit) of whole
 documents up to about ``frame_bytes``, followed by the seek table of the public zstandard seekable format: a skippable
 frame with each frame's compressed size, size and checksum. Frames carry zstandard's own checksum too. A Parquet index
 gives each document's shard, frame and place, so ``read_documents`` seeks to the frames asked for and to no others.
@@ -9,8 +9,8 @@ gives each document's shard, frame and place, so ``read_documents`` seeks to the
 Shards and index lie in the shared folder. A task writes under a name of its own attempt and renames at its end; a lost
 task is run again and puts the same bytes in place.
 
-Defined results: a null or empty text holds only the end id; rows with equal doc_id are ordered by their text, repeated
-rows are written each; a null doc_id comes first; extra columns stay out; an empty table gives no documents.
+Defined results: a null or empty text holds only the end id; rows with equal doc_id are ordered by a hash of their text,
+then by the text, repeated rows are written each; a null doc_id comes first; extra columns stay out; an empty table gives no documents.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cardloom.llm.bpecount import visible_bytes
-from cardloom.llm.common import Pieces, Scratch, bound_batches
+from cardloom.llm.common import Pieces, Scratch, slices, text_batches
 
 FRAME_BYTES = 1 << 20
+#: Text of a shard; a table that has less of it for each shuffle partition gets one shard for each of those.
+SHARD_BYTES = 256 << 20
 #: Fixed values of the public zstandard seekable format: magic of a skippable frame, magic of the seek table, flag "has checksums".
 SKIPPABLE, SEEKABLE, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -174,15 +176,18 @@ def _writing(folder: str, tokenizer: str, end: bytes, frame_bytes: int):
 def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, shards: int | None = None, frame_bytes: int = FRAME_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes shards and index under folder and returns the index: (doc_id, shard, frame, at, start, n_tokens), start counted over all shards."""
     spark = docs.sparkSession
-    bound_batches(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    keys = ["doc_id", F.xxhash64("text")]
+    rows = rows.repartitionByRange(shards, *keys).sortWithinPartitions(*keys, "text")
     store, root = open_store(folder)
     store.create_dir(root)
     written = rows.mapInArrow(_writing(folder, tokenizer, struct.pack("<I", end_id), frame_bytes), "doc_id long, shard int, frame long, at long, start long, n_tokens long")
-    written.write.parquet(f"{folder}/index")
+    with text_batches(spark):
+        written.write.parquet(f"{folder}/index")
     index = spark.read.schema(written.schema).parquet(f"{folder}/index")
     sums = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
@@ -196,7 +201,7 @@ def _reading(folder: str):
 
         store, root = open_store(folder)
         now, file, table, raw = (None, None), None, None, b""
-        for batch in batches:
+        for batch in slices(batches):
             ids = []
             for shard, frame, at, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5))):
                 if now != (shard, frame):
@@ -213,7 +218,6 @@ def _reading(folder: str):
 
 def read_documents(index: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of the index rows given, all or some; only their frames are decompressed."""
-    bound_batches(index.sparkSession)
     n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = index.select("doc_id", "shard", "frame", "at", "start", "n_tokens").repartition(n, "shard", "frame").sortWithinPartitions("shard", "frame", "at")
     return rows.mapInArrow(_reading(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

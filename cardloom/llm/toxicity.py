@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from cardloom.llm.common import _GOLD, bound_batches, mix
+from cardloom.llm.common import _GOLD, mix, slices
 
 MOST_DOCS, MOST_CHARS = 2000, 20_000
 WINDOW, STRIDE = 48, 36
@@ -439,14 +439,13 @@ def score(docs: DataFrame, model, threshold: float = 0.3, keep: list[str] | None
     from pyspark.sql import types as T
 
     keep = [c for c in keep or [] if c not in ("held_out", "score", "predicted")]
-    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     fields = [f for f in rows.schema.fields if f.name != "text"] + [T.StructField("score", T.DoubleType())]
 
     def run(batches):
         own = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.num_columns - 1)
             s = np.full(batch.num_rows, own, float) if isinstance(own, float) else own.scores(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=[f.name for f in fields])

@@ -15,7 +15,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from cardloom.llm import bpecount, linededup, mixing, neardup, packing, tokenbin, toxicity
-from cardloom.llm.common import Scratch
+from cardloom.llm.common import Scratch, new_key
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -87,6 +87,32 @@ def test_readers_decompress_only_frames_asked_for(spark, tmp_path, monkeypatch):
         tokenbin.read_frame(f, (at, packed, size, check ^ 1))
 
 
+def thue_morse(n):
+    """Two texts of n letters that sums of bytes times powers cannot tell apart."""
+    a, b = "a", "b"
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048])
+def test_words_that_polynomial_hashes_confuse(spark, n):
+    a, b = thue_morse(n)
+    rows = [(0, a, "s"), (1, b, "s"), (2, f"q {a} z", "s"), (3, f"q {b} z", "s"), (4, f"{a}\n{b}", "s")]
+    t = Tokenizer.from_file(PATH)
+    want = {i: t.encode(x, add_special_tokens=False).ids for i, x, _ in rows}
+    docs = frame(spark, rows)
+    assert {x["doc_id"]: x["n_tokens"] for x in bpecount.count_tokens(docs, PATH, public_tokenizers.PATTERN).collect()} == {i: len(v) for i, v in want.items()}
+    for x in tokenbin.token_round_trip(docs, PATH, 0).collect():
+        assert bytes(x["ids"]) == np.array([*want[x["doc_id"]], 0], "<u4").tobytes()
+    lengths = Counter()
+    for x in packing.pack_documents(docs, PATH).collect():
+        lengths[x["doc_id"]] += x["length"]
+    assert lengths == {i: len(v) + 1 for i, v in want.items()}
+    found = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs, 2, 80).collect()}
+    assert found == {i: i for i in range(5)}
+
+
 # ---------------------------------------------------------------- near duplicates
 
 
@@ -141,12 +167,37 @@ def test_prefix_filter_loses_no_pair(spark):
         rows.append((i, " ".join(copy), "s"))
     docs = frame(spark, rows)
     nodes = docs.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("comp"), F.lit(True).alias("outside"))
-    found = {(x["a"], x["b"]) for x in neardup.prefix_pairs(docs.select("doc_id", "text"), nodes, 2, 80, Scratch(spark, "t")).collect()}
+    found = {(x["a"], x["b"]) for x in neardup.prefix_pairs(docs.select("doc_id", "text"), nodes, 2, 80, Scratch(spark, "t"), new_key()).collect()}
     sets = {i: {tuple(t.split()[j : j + 2]) for j in range(59)} for i, t, _ in rows}
     links = {(a, b) for a, b in itertools.combinations(range(60), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert links <= found and links
 
 
+def test_very_long_texts_and_words(spark):
+    r = random.Random(9)
+    long = words(r, 150_000, 9000)
+    word = "".join(r.choice("abc") for _ in range(1_300_000))
+    rows = [(0, long, "s"), (1, long + " more", "s"), (2, f"{word} b", "s"), (3, f"{word.upper()}\tB", "s"), (4, f"{word}c b", "s"), (5, word, "s"), (6, "", "s")]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(frame(spark, rows), 2, 80).collect()}
+    assert got == brute_components(rows, 2, 80)
+
+
+def test_crowded_keys_are_spread(spark, monkeypatch):
+    from cardloom.llm import common
+
+    for m in (common, neardup):
+        monkeypatch.setattr(m, "HOT", 5)
+    r = random.Random(3)
+    base = words(r, 80, 3000).split()
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        copy[r.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(copy), "s"))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in neardup.near_duplicates(frame(spark, rows), 2, 80).collect()}
+    assert got == brute_components(rows, 2, 80)
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(5, "a b c d e f g", "s"), (3, "a b c d e f g", "s"), (3, "a b c d e f g", "s"), (9, "", "s"), (8, None, "s"), (None, "a b c d e f g", "s"), (7, "h i j k l m", "s")]
     kept = neardup.drop_near_duplicates(frame(spark, rows, ["hi", "kept"]))
@@ -164,32 +215,55 @@ def test_components_of_a_long_chain(spark):
 # ---------------------------------------------------------------- lines
 
 
-def brute_lines(rows, min_docs, min_contexts, depth, min_constant):
-    held = defaultdict(list)
-    for n, (i, t, _) in enumerate(rows):
-        lines = [] if t is None else t.split("\n")
-        for p, line in enumerate(lines):
-            toks = re.findall(r"[^ \t\n\x0b\f\r]+", line)
-            if toks:
-                lead = tuple("<*>" if re.search("[0-9]", x) else x for x in toks[:depth])
-                held[len(toks), lead].append((n, "" if i is None else str(i), p, line, toks, (lines[p - 1] if p else None, lines[p + 1] if p + 1 < len(lines) else None)))
-    gone = set()
-    for own in held.values():
-        if len(own) < min_docs:
+def brute_lines(texts, min_docs, depth=3, min_constant=0.5, long_words=20):
+    """Lines dropped, by text, from the module's contract: templates, texts with something of their own, long lines in unlike texts."""
+    cut = lambda line: re.findall(r"[^ \t\n\x0b\f\r]+", line)
+    key = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    texts = sorted({t for t in texts if t is not None}, key=key)
+    rows = [(t, p, line, cut(line)) for t in texts for p, line in enumerate(t.split("\n")) if cut(line)]
+    return texts, rows, cut
+
+
+def brute_kept(given, min_docs, depth=3, min_constant=0.5, long_words=20):
+    texts, rows, cut = brute_lines(given, min_docs)
+    copies = Counter(t for t in given if t is not None)
+    leaf = lambda toks: (len(toks), tuple("<*>" if re.search("[0-9]", x) else x for x in toks[:depth]))
+    leaves = defaultdict(list)
+    for t, p, line, toks in rows:
+        leaves[leaf(toks)].append((t, p, line, toks))
+    template, stands = {}, defaultdict(set)
+    for where, own in leaves.items():
+        if sum(copies[t] for t, *_ in own) < min_docs or len({t for t, *_ in own}) < 2:
             continue
-        seen = Counter((p, x) for *_, toks, _ in own for p, x in enumerate(toks))
-        groups = defaultdict(dict)
-        where = defaultdict(list)
-        for n, i, p, line, toks, ctx in own:
-            shape = [x if seen[q, x] >= min_docs else "<*>" for q, x in enumerate(toks)]
-            key = ("T", *shape) if sum(seen[q, x] >= min_docs for q, x in enumerate(toks)) >= min_constant * len(toks) else ("L", line)
-            where[key].append((n, p))
-            if i not in groups[key] or p < groups[key][i][0]:
-                groups[key][i] = (p, ctx)
-        for key, docs in groups.items():
-            if len(docs) >= min_docs and len({c for _, c in docs.values()}) >= min_contexts * len(docs):
-                gone |= set(where[key])
-    return [(i, None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (n, p) not in gone)) for n, (i, t, _) in enumerate(rows)]
+        seen = Counter()
+        for t, _, _, toks in own:
+            for q, x in enumerate(toks):
+                seen[q, x] += copies[t]
+        for t, p, line, toks in own:
+            stays = [seen[q, x] >= min_docs for q, x in enumerate(toks)]
+            shape = tuple(x if s else "<*>" for x, s in zip(toks, stays)) if sum(stays) >= min_constant * len(toks) else ("line", line)
+            template[t, p] = where, shape
+            stands[where, shape].add(t)
+    often = {x for x, own in stands.items() if len(own) >= min_docs}
+    ends, holders = defaultdict(set), defaultdict(set)
+    for t, p, line, toks in rows:
+        if template.get((t, p)) not in often:
+            for e in ((0, *toks[:3]), (1, *toks[-3:])):
+                ends[t].add(e)
+                holders[e].add(t)
+    with_frequent = {t for x in often for t in stands[x]}
+    for e in holders:
+        holders[e] &= with_frequent
+    own = {t for t in with_frequent if ends[t] and 3 * sum(len(holders[e]) == 1 for e in ends[t]) >= 2 * len(ends[t])}
+    gone = {x for x in often if len(stands[x] & own) + bool(stands[x] - own) >= min_docs}
+    held = defaultdict(list)
+    for t, p, line, toks in rows:
+        if len(toks) >= long_words and t not in held[line]:
+            held[line].append(t)
+    runs = {t: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for t in texts for w in [cut(t)]}
+    unlike = {line for line, own_ in held.items() if 2 <= len(own_) < min_docs and any(len(runs[own_[0]] & runs[t]) < 0.5 * len(runs[own_[0]] | runs[t]) for t in own_[1:])}
+    dropped = {(t, p) for t, p, line, _ in rows if template.get((t, p)) in gone or line in unlike}
+    return {t: "\n".join(x for p, x in enumerate(t.split("\n")) if (t, p) not in dropped) for t in texts}
 
 
 def test_recurring_lines_against_brute_force(spark):
@@ -202,19 +276,40 @@ def test_recurring_lines_against_brute_force(spark):
             own.append(f"page {i} of the report by {r.choice(['ann', 'bob'])} today")
         rows.append((i, "\n".join(own), "s"))
     rows += [(100 + i, "copied first line of text\ncopied second line of text", "s") for i in range(12)] + [(5, rows[5][1], "s")]
+    passage = words(r, 30, 5000)
+    rows += [(200 + i, f"{words(r, 9, 5000)}\n{passage}\n{words(r, 9, 5000)}", "s") for i in range(3)]
+    base = [words(r, 12, 5000) for _ in range(6)]
+    for i in range(30):
+        copy = [line.split() for line in base]
+        for _ in range(4):
+            copy[r.randrange(6)][r.randrange(12)] = f"w{r.randint(0, 5000)}"
+        rows.append((300 + i, "\n".join(map(" ".join, copy)), "s"))
     got = linededup.drop_recurring_lines(frame(spark, rows, ["n_dropped", "t1", "_cut"]), min_docs=8)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "t1", "_cut", "n_lines", "n_dropped"]
     result = sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=str)
-    assert result == sorted(brute_lines(rows, 8, 0.5, 3, 0.5), key=str)
+    kept = brute_kept([t for _, t, _ in rows], 8)
+    assert result == sorted(((i, kept.get(t)) for i, t, _ in rows), key=str)
     assert dict(result)[4] == "" and dict(result)[100].count("\n") == 1  # boilerplate goes, copies stay
+    assert all(passage not in dict(result)[200 + i] for i in range(3)) and all(dict(result)[300 + i].count("\n") == 5 for i in range(30))
     assert linededup.drop_recurring_lines(frame(spark, [])).count() == 0
 
 
-def test_large_cuts_are_joined_by_shuffle(spark, monkeypatch):
-    rows = [(i, f"boiler plate line\nown {i} words", "s") for i in range(30)] + [(50, "boiler plate line\nown 1 words", "s")] * 20
-    want = sorted((x["doc_id"], x["text"]) for x in linededup.drop_recurring_lines(frame(spark, rows), min_docs=10, min_contexts=0.1).collect())
-    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
-    assert sorted((x["doc_id"], x["text"]) for x in linededup.drop_recurring_lines(frame(spark, rows), min_docs=10, min_contexts=0.1).collect()) == want
+def test_large_sides_are_joined_by_shuffle(spark, monkeypatch):
+    from cardloom.llm import common
+
+    rows = [(i, f"boiler plate line\nown {words(random.Random(i), 5)}", "s") for i in range(30)] + [(50, "boiler plate line\nown w1 words", "s")] * 20
+    want = sorted((x["doc_id"], x["text"]) for x in linededup.drop_recurring_lines(frame(spark, rows), min_docs=10).collect())
+    assert all("boiler" not in t for _, t in want)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", -1)
+    assert sorted((x["doc_id"], x["text"]) for x in linededup.drop_recurring_lines(frame(spark, rows), min_docs=10).collect()) == want
+
+
+def test_a_shared_block_goes_as_a_whole(spark):
+    r = random.Random(21)
+    block = ["licensed under some licence", "you may not use this file", "except in compliance with it", "see the licence for limits"]
+    got = kept_lines(spark, ["\n".join([words(r, 9, 50000), *block, words(r, 9, 50000)]) for _ in range(100)] + ["\n".join([*block, words(r, 4, 50000)]) for _ in range(100)])
+    assert all(not set(block) & set(lines) and lines for lines in got.values())
 
 
 def kept_lines(spark, texts):
@@ -320,6 +415,15 @@ def test_packing_against_a_plain_version():
         assert all(used[b] <= size[b] and (size[b] == 10 or used[b] > size[b] // 2) for b in used)
 
 
+def test_packing_does_not_hang_on_the_layout_of_files(spark):
+    rows = [(i % 40, i * 37 % 90 + 1) for i in range(300)] + [(7, 5)] * 100
+    find = lambda n: sorted(map(tuple, packing.best_fit(spark.createDataFrame(rows, "doc_id long, length long").repartition(n), (32, 64), domain_rows=90).collect()))
+    assert find(1) == find(7)
+    least = min(find(1), key=lambda x: x[4])[4]  # of equal lengths in a bin's domain the smaller doc_id goes first
+    own = [x for x in find(1) if x[4] >> 32 == least >> 32 and x[3] == 32]
+    assert [x[0] for x in sorted(own, key=lambda x: x[4])] == sorted(x[0] for x in own)
+
+
 def test_packed_documents_lie_whole_in_their_bins(spark):
     rows = [(i, words(random.Random(i), i * 7), "s") for i in range(40)] + [(3, "again", "s"), (None, None, "s"), (60, words(random.Random(1), 3000), "s")]
     docs = frame(spark, rows, ["length", "n"])
