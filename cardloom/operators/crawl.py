@@ -62,7 +62,7 @@ def claim_plan(jobs: DataFrame, now: str, run_mode: str, parser: str) -> DataFra
     key = F.lower(F.trim("issuer"))
     mine = jobs.where(F.col("parser_version") == parser).withColumn("key", key)
     busy = mine.where((F.col("status") == "leased") & (F.col("lease_expires_at") > clock)).select("key").distinct()
-    free = mine.where(F.col("status").isin("queued", "failed") & (F.col("run_mode") == run_mode)).join(F.broadcast(busy), "key", "left_anti")
+    free = mine.where(F.col("status").isin("queued", "failed") & (F.col("run_mode") == run_mode)).join(busy, "key", "left_anti")
     return free.orderBy("key", "card_name", "created_at", "id").limit(1).select("id", "issuer", "card_name")
 
 
@@ -74,22 +74,50 @@ def rotation(candidates: DataFrame, slot: int) -> DataFrame:
     return numbered.where(F.col("turn") == F.lit(slot) % F.col("n")).select("issuer", "url")
 
 
-def pilot(candidates: DataFrame, profiles: tuple[str, ...], least_issuers: int = 3, per_profile: int = 8) -> DataFrame:
-    """The first combination, in order of ids, of one candidate for each profile with enough issuers.
+#: The profiles of a pilot, and the one that needs no approved url.
+PROFILES = ("straightforward", "redirect_or_js", "terms_linked", "known_invalid", "additional_valid")
+WITHOUT_URL = "known_invalid"
 
-    Of a profile only the first candidates of each issuer can be part of the first combination, so at most per_profile of
-    them (ids first, one for each issuer) are combined: a short list by construction, not a join of tables.
+
+def first_choice(short: list[list[tuple[int, str]]], least: int) -> list[int] | None:
+    """The first combination, in order of ids, of one (id, issuer) of each list with unlike ids and least issuers."""
+
+    def search(i: int, ids: list[int], issuers: frozenset) -> list[int] | None:
+        if len(issuers) + len(short) - i < least:
+            return None
+        if i == len(short):
+            return ids
+        for x, issuer in short[i]:
+            if x not in ids and (found := search(i + 1, [*ids, x], issuers | {issuer})):
+                return found
+        return None
+
+    return search(0, [], frozenset())
+
+
+def pilot(candidates: DataFrame, profiles: tuple[str, ...] = PROFILES, least: int = 3) -> DataFrame:
+    """(id0, id1, ...): the first combination, in order of ids, of one candidate for each profile with at least that many
+    issuers; no row if there is none. candidates: (id, issuer, profile, active, approved).
+
+    Given the choices for the other profiles, the one for a profile is the least id that they do not use and, if they have
+    one issuer too few, of none of theirs. They use less than n ids and hold back less than ``least`` issuers; so of each
+    issuer the first n ids of a profile suffice, and of these the first n * least. The search sees that many rows in all.
     """
-    order = Window.partitionBy("profile").orderBy("id")
-    firsts = candidates.groupBy("profile", F.lower(F.trim("issuer")).alias("issuer")).agg(F.min("id").alias("id"))
-    firsts = firsts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_profile)
-    out = None
-    for i, p in enumerate(profiles):
-        own = firsts.where(F.col("profile") == p).select(F.col("id").alias(f"id{i}"), F.col("issuer").alias(f"issuer{i}"))
-        out = own if out is None else out.join(F.broadcast(own), F.lit(True))
-    names, ids = [f"issuer{i}" for i in range(len(profiles))], [f"id{i}" for i in range(len(profiles))]
-    ok = (F.size(F.array_distinct(F.array(*names))) >= least_issuers) & (F.size(F.array_distinct(F.array(*ids))) == len(ids))
-    return out.where(ok).orderBy(*ids).limit(1).select(*ids)
+    n = len(profiles)
+    fits = F.col("profile").isin(*profiles) & F.col("active") & (F.col("approved") | (F.col("profile") == WITHOUT_URL))
+    rows = candidates.where(fits).select("profile", "id", F.lower(F.trim("issuer")).alias("issuer")).distinct()
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("profile", "issuer").orderBy("id"))).where(F.col("n") <= n)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("profile").orderBy("id", "issuer"))).where(F.col("n") <= n * least)
+    names = [f"id{i}" for i in range(n)]
+
+    def choose(frame):
+        import pandas as pd
+
+        short = [sorted(zip(own["id"].tolist(), own["issuer"])) for p in profiles for own in [frame[frame["profile"] == p]]]
+        found = first_choice(short, least)
+        return pd.DataFrame([found] if found else [], columns=names)
+
+    return rows.groupBy().applyInPandas(choose, ", ".join(f"{c} long" for c in names))
 
 
 # ---------------------------------------------------------------- kinds of page

@@ -137,11 +137,17 @@ def evaluated(rules: DataFrame, r: Request) -> DataFrame:
 
 
 def ranked_deals(offers: DataFrame, most: int | None = None) -> DataFrame:
-    """Place of each ranked offer in its tier, overall and among owned cards. most: keep that many a tier, for a short list."""
+    """Place of each ranked offer in its tier, overall and among owned cards. most: only the first so many of either ranking,
+    with the places up to it; then every partition ranks its own offers first, and few of them are shuffled."""
     sure = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
     order = [F.desc("savings"), F.asc("final_amount"), F.desc(sure[F.col("confidence")]), F.desc("display_priority"), F.asc("catalog_card_id"), F.asc("benefit_id")]
     rows = offers.where("tier IS NOT NULL")
     place = F.row_number().over(Window.partitionBy("tier").orderBy(*order))
-    own = F.when(F.col("is_owned"), F.row_number().over(Window.partitionBy("tier", "is_owned").orderBy(*order)))
-    out = rows.withColumns({"place": place, "owned_place": own})
-    return out if most is None else out.where((F.col("place") <= most) | (F.col("owned_place") <= most))
+    own_place = F.row_number().over(Window.partitionBy("tier", "is_owned").orderBy(*order))
+    if most is None:
+        return rows.withColumns({"place": place, "owned_place": F.when(F.col("is_owned"), own_place)})
+    none = F.lit(None).cast("int")
+    first = rows.withColumn("place", place).where(F.col("place") <= most).withColumn("owned_place", none)
+    own = rows.where("is_owned").withColumn("owned_place", own_place).where(F.col("owned_place") <= most).withColumn("place", none)
+    key = [c for c in first.columns if c not in ("place", "owned_place")]
+    return first.unionByName(own).groupBy("tier", "benefit_id").agg(*[F.first(c).alias(c) for c in key if c not in ("tier", "benefit_id")], F.max("place").alias("place"), F.max("owned_place").alias("owned_place"))

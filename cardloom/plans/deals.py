@@ -52,7 +52,7 @@ _ORDER = "ORDER BY savings DESC, final_amount, CASE confidence WHEN 'explicit' T
 
 
 @query(f"""WITH {_OFFERS}, w AS (SELECT benefit_id, tier, savings, row_number() OVER (PARTITION BY tier {_ORDER}) AS place, CASE WHEN is_owned THEN row_number() OVER (PARTITION BY tier, is_owned {_ORDER}) END AS owned_place FROM t WHERE tier IS NOT NULL)
-SELECT * FROM w WHERE place <= 20 OR owned_place <= 20""")
+SELECT benefit_id, tier, savings, CASE WHEN place <= 20 THEN place END AS place, CASE WHEN owned_place <= 20 THEN owned_place END AS owned_place FROM w WHERE place <= 20 OR owned_place <= 20""")
 def win9_deal_rank(spark, sf_dir):
     """The twenty best offers of each tier, overall and owned."""
     return D.ranked_deals(D.evaluated(_rules(spark, sf_dir), REQUEST), 20).select("benefit_id", "tier", "savings", "place", "owned_place")

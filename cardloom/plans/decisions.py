@@ -75,7 +75,7 @@ def dom15_identity_resolution(spark, sf_dir):
 @query("SELECT b.id, b.title, CASE WHEN b.p_size > 30 THEN 'high' ELSE 'medium' END AS severity FROM benefits b JOIN card_benefit_mapping m ON m.benefit_id = b.id JOIN card_catalog c ON c.id = m.card_id WHERE b.category IN ('SMALL', 'ECONOMY')")
 def dom42_benefit_inbox(spark, sf_dir):
     m = view(spark, sf_dir, "card_benefit_mapping").select(F.col("benefit_id").alias("id"), "card_id")
-    cards = F.broadcast(view(spark, sf_dir, "card_catalog").select(F.col("id").alias("card_id")))
+    cards = view(spark, sf_dir, "card_catalog").select(F.col("id").alias("card_id"))
     rows = view(spark, sf_dir, "benefits").where("category IN ('SMALL', 'ECONOMY')").join(m, "id").join(cards, "card_id", "left_semi")
     return rows.select("id", "title", F.when(F.col("p_size") > 30, F.lit("high")).otherwise(F.lit("medium")).alias("severity"))
 

@@ -18,18 +18,36 @@ def dom18_benefit_lines(spark, sf_dir):
     return X.benefits(view(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("""WITH o AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Get ' || p_size || '% cashback on dining spends, capped at Rs. 500 per month.' WHEN 1 THEN 'Get ' || p_size || ' complimentary airport lounge visits per quarter.' WHEN 2 THEN 'Earn ' || p_size || ' reward points for every Rs. 150 spent.' ELSE 'Plain words ' || p_size END AS t, p_size FROM part)
-SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'cashback' WHEN 1 THEN 'lounge_access' ELSE 'reward_points' END AS value_type, CASE WHEN p_partkey % 4 > 0 THEN CAST(p_size AS DOUBLE) END AS value, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size AS DOUBLE) END AS rate,
-CASE WHEN p_partkey % 4 = 0 THEN 500.0::DOUBLE END AS cap, CASE WHEN p_partkey % 4 = 2 THEN 150.0::DOUBLE END AS threshold, CASE p_partkey % 4 WHEN 0 THEN 'month' WHEN 1 THEN 'quarter' END AS period FROM o WHERE p_partkey % 4 < 3""")
+#: A line for each parser with a number N and an amount M, and the terms that it states: value, rate, cap, threshold, period.
+MADE = (
+    ("Get N% off on movie tickets this week", "entertainment", "percent_discount", None, "n", None, None, None), ("Buy one cinema ticket, get one free, capped at Rs. M, twice per month", "entertainment", "bogo", "m", None, None, None, "month"),
+    ("Movie vouchers worth INR N with a milestone of ₹M monthly", "entertainment", "milestone", "n", None, None, "m", "month"), ("N% fuel surcharge waived, up to Rs M per billing cycle", "fuel", "fuel_surcharge_waiver", None, "n", "m", None, "statement month"),
+    ("Nx reward points, capped at M reward points per quarter", "points", "reward_multiplier", None, "n", "m", None, "quarter"), ("Welcome gift: N reward points on spends of Rs. M", "points", "welcome_bonus", "n", None, None, "m", None),
+    ("N renewal reward points on annual spends above Rs. M", "points", "milestone_bonus", "n", None, None, "m", "year"), ("Earn N air miles for every Rs. M spent", "miles", "air_miles", "n", None, None, "m", None),
+    ("Air accident insurance cover up to Rs. N lakh", "insurance", "insurance_cover", "n * 100000", None, "n * 100000", None, None), ("N complimentary golf rounds per year", "golf", "golf_access", "n", None, None, None, "year"),
+    ("Dedicated concierge services for number N", "concierge", "concierge_access", None, None, None, None, None), ("Renewal fee reversal on spends over Rs. M", "other", "fee_waiver", None, None, None, "m", "year"),
+    ("Flat N% discount at supermarkets and grocery stores, maximum of Rs. M per day", "grocery", "percent_discount", None, "n", "m", None, "day"), ("Rs. M cashback on bills in a calendar month", "cashback", "cashback", "m", None, None, None, "calendar month"),
+    ("Getting N reward points per Rs. M", "points", "reward_points", "n", None, None, "m", None), ("Lounge access: N free domestic visits each quarter, in a quarter", "travel", "lounge_access", "n", None, None, None, "quarter"),
+    ("Is there N% cashback?", None, None, None, None, None, None, None), ("N points of order and M plain words", None, None, None, None, None, None, None),
+)
+
+
+def _made_sql() -> str:
+    """The terms of the made lines from the numbers they were made of."""
+    case = lambda i: "CASE k " + " ".join(f"WHEN {k} THEN {v}" for k, row in enumerate(MADE) if (v := row[i]) is not None) + " END"
+    text = lambda i: "CASE k " + " ".join(f"WHEN {k} THEN '{v}'" for k, row in enumerate(MADE) if (v := row[i]) is not None) + " END"
+    numbers = ", ".join(f"CAST({case(i)} AS DOUBLE) AS {name}" for i, name in ((3, "value"), (4, "rate"), (5, "cap"), (6, "threshold")))
+    return f"""WITH p AS (SELECT p_partkey, p_partkey % {len(MADE)} AS k, p_size AS n, 100 * (p_partkey % 90 + 10) AS m FROM part)
+SELECT p_partkey, {text(1)} AS category, {text(2)} AS value_type, {numbers}, {text(7)} AS period FROM p WHERE {text(2)} IS NOT NULL"""
+
+
+@query(_made_sql())
 def dom18_made_lines(spark, sf_dir):
-    """Lines made of known terms, read back."""
-    k, n = F.col("p_partkey") % 4, F.col("p_size").cast("string")
-    line = (
-        F.when(k == 0, F.concat(F.lit("Get "), n, F.lit("% cashback on dining spends, capped at Rs. 500 per month."))).when(k == 1, F.concat(F.lit("Get "), n, F.lit(" complimentary airport lounge visits per quarter.")))
-        .when(k == 2, F.concat(F.lit("Earn "), n, F.lit(" reward points for every Rs. 150 spent."))).otherwise(F.concat(F.lit("Plain words "), n))
-    )
-    rows = X.benefits(view(spark, sf_dir, "part").select("p_partkey", line.alias("line")), "p_partkey", "line")
-    return rows.select("p_partkey", "value_type", "value", "rate", "cap", "threshold", "period")
+    """A line of every parser, made of known numbers, read back."""
+    p = view(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("n"), (100 * (F.col("p_partkey") % 90 + 10)).cast("string").alias("m"))
+    line = F.get(F.array(*[F.lit(row[0]) for row in MADE]), (F.col("p_partkey") % len(MADE)).cast("int"))
+    made = p.select("p_partkey", F.regexp_replace(F.regexp_replace(line, F.lit(r"\bN(?=[ %x])"), F.col("n")), F.lit(r"M(?=[ ,]|$)"), F.col("m")).alias("line"))
+    return X.benefits(made, "p_partkey", "line").select("p_partkey", "category", "value_type", "value", "rate", "cap", "threshold", "period")
 
 
 @query("""SELECT event_id, '{"a":[' || CAST(json_extract(props, '$.k') AS BIGINT) || ',null,true],"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || ',"z":"x"}' AS canonical, sha256('{"a":[' || CAST(json_extract(props, '$.k') AS BIGINT) || ',null,true],"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || ',"z":"x"}') AS digest FROM events""")

@@ -151,15 +151,15 @@ def srt11_filter_categories(spark, sf_dir):
 @query(f"""SELECT t.pos, coalesce(upper(t.currency) <> CASE WHEN contains(lower(bank), 'hsbc uae') THEN 'AED' WHEN contains(lower(bank), 'emirates nbd') THEN 'AED' WHEN contains(lower(bank), 'union') THEN NULL ELSE 'INR' END, false) AS "foreign"
 FROM transactions t LEFT JOIN user_cards u ON t.user_card_id = u.id LEFT JOIN card_catalog c ON c.id = u.catalog_card_id""")
 def flt8_foreign_spend(spark, sf_dir):
-    cards = view(spark, sf_dir, "user_cards").join(F.broadcast(view(spark, sf_dir, "card_catalog").select(F.col("id").alias("catalog_card_id"), "bank")), "catalog_card_id", "left")
+    cards = view(spark, sf_dir, "user_cards").join(view(spark, sf_dir, "card_catalog").select(F.col("id").alias("catalog_card_id"), "bank"), "catalog_card_id", "left")
     return S.foreign_spend(_txns(spark, sf_dir), cards.select(F.col("id").alias("card_id"), "bank"), M.market_currency(T.bank_name(F.col("bank")))).select("pos", "foreign")
 
 
 @query("""SELECT pos, c.card_name, c.bank, CAST(amount AS DOUBLE) AS amount FROM transactions t LEFT JOIN user_cards u ON t.user_card_id = u.id LEFT JOIN card_catalog c ON u.catalog_card_id = c.id
-WHERE t.user_id % 10 = 3 ORDER BY transaction_date DESC, pos LIMIT 100""")
+ORDER BY transaction_date DESC, pos LIMIT 100""")
 def jn1_enriched_ledger(spark, sf_dir):
     txns = _txns(spark, sf_dir)
     cards = view(spark, sf_dir, "user_cards").select(F.col("id").alias("user_card_id"), "catalog_card_id")
-    catalog = F.broadcast(view(spark, sf_dir, "card_catalog").select(F.col("id").alias("catalog_card_id"), "card_name", "bank"))
+    catalog = view(spark, sf_dir, "card_catalog").select(F.col("id").alias("catalog_card_id"), "card_name", "bank")
     joined = txns.join(cards, "user_card_id", "left").join(catalog, "catalog_card_id", "left")
     return S.page(joined.select("pos", "card_name", "bank", F.col("amount").cast("double").alias("amount"), "transaction_date"), [F.desc("transaction_date"), "pos"], 100).drop("transaction_date")

@@ -23,7 +23,7 @@ _TITLE = "list_aggregate(list_transform(string_split_regex({0}, '\\s+'), lambda
 _BANK = _chain("lower({0})", T.BANK_RULES, _TITLE)
 _WORD = _chain("upper({0})", [((k,), c) for k, c in T.KEYWORDS], "NULL")
 _NAME = "upper(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
-_MAPPED = "CASE " + " ".join(f"WHEN {{0}} IN ({', '.join(repr(m.replace('_', ' ')) for m in ms.split())}) THEN '{c}'" for c, ms in T.MERCHANTS.items()) + " END"
+_MAPPED = "CASE {0} " + " ".join(f"WHEN '{m}' THEN '{c}'" for m, c in T.MERCHANTS.items()) + " END"
 _CATS = ", ".join(f"'{c}'" for c in T.CATEGORIES)
 
 

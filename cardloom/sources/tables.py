@@ -42,12 +42,13 @@ VIEWS = {
     "card_catalog": """SELECT p_partkey AS id, p_name AS card_name, CASE p_partkey % 10 WHEN 0 THEN 'hdfc bank ltd' WHEN 1 THEN 'ICICI' WHEN 2 THEN 'Amazon ICICI' WHEN 3 THEN 'Emirates NBD'
   WHEN 4 THEN 'SBI cards' WHEN 5 THEN 'HSBC UAE branch' WHEN 6 THEN 'hsbc' WHEN 7 THEN 'north  star union' WHEN 8 THEN 'axis' ELSE 'AU small' END AS bank,
   CASE p_partkey % 4 WHEN 0 THEN 'Visa' WHEN 1 THEN 'RuPay' WHEN 2 THEN NULL ELSE 'Mastercard' END AS network, p_type AS card_type,
-  p_partkey % 9 = 0 AS is_discontinued FROM part WHERE p_partkey < 44""",
+  p_partkey % 9 = 0 AS is_discontinued FROM part""",
     "benefits": """SELECT p_partkey AS id, p_name AS title, p_type AS category, p_brand AS benefit_type, p_partkey % 8 <> 0 AS is_active,
   CASE WHEN p_partkey % 12 = 5 THEN CAST('2001-01-01' AS DATE) END AS retired_at,
   CASE WHEN p_partkey % 3 = 0 THEN CAST('1999-01-01' AS DATE) + p_size END AS valid_from, CASE WHEN p_partkey % 4 = 0 THEN CAST('2001-08-01' AS DATE) + p_size END AS valid_until,
   CASE WHEN p_partkey % 6 = 0 THEN 'dup-' || p_brand || p_type ELSE 'b-' || CAST(p_partkey AS STRING) END AS dedupe_key, p_size FROM part""",
-    "card_benefit_mapping": "SELECT p_partkey % 44 AS card_id, CASE WHEN p_partkey % 31 = 0 THEN -p_partkey ELSE p_partkey END AS benefit_id, p_size % 3 AS display_priority, p_partkey AS id FROM part",
+    # a card has few benefits
+    "card_benefit_mapping": "SELECT p_partkey - p_partkey % 5 AS card_id, CASE WHEN p_partkey % 31 = 0 THEN -p_partkey ELSE p_partkey END AS benefit_id, p_size % 3 AS display_priority, p_partkey AS id FROM part",
     "statements": """SELECT u * 10000 + y * 12 + m AS id, u AS user_id, u * 10 + m % 3 AS user_card_id, statement_date, CAST(statement_date + INTERVAL '20' DAY AS DATE) AS due_date, total_amount,
   CASE (u + m) % 4 WHEN 0 THEN 'paid' WHEN 1 THEN 'partial' WHEN 2 THEN 'overdue' ELSE 'pending' END AS payment_status,
   CASE (u + m) % 4 WHEN 0 THEN total_amount WHEN 1 THEN CAST(100.50 AS DECIMAL(12,2)) ELSE CAST(0 AS DECIMAL(12,2)) END AS paid_amount
@@ -63,7 +64,7 @@ VIEWS = {
   CASE WHEN page_id % 6 = 0 THEN 'http_503' WHEN page_id % 6 = 5 THEN 'robots_denied' END AS error_code, page_id % 3 = 0 AS required FROM pages""",
     "observations": """SELECT conv_id AS card_id, turn, 'hash-' || CAST(length(text) % 7 AS STRING) AS semantic_hash, CAST('2001-06-01 00:00:00' AS TIMESTAMP) + CAST(turn * 5 + conv_id % 9 AS INT) * INTERVAL '1' DAY AS observed_at,
   role <> 'assistant' AS crawl_complete, CASE role WHEN 'user' THEN 0 WHEN 'system' THEN 1 ELSE 2 END AS source_priority FROM conversations""",
-    "deal_sources": """SELECT p_partkey AS benefit_id, p_partkey % 44 AS catalog_card_id, p_name AS title, p_size % 5 AS display_priority,
+    "deal_sources": """SELECT p_partkey AS benefit_id, p_partkey - p_partkey % 5 AS catalog_card_id, p_name AS title, p_size % 5 AS display_priority,
   CASE p_partkey % 9 WHEN 0 THEN '{"discount_type":"BOGO","max_discount_per_transaction":' || CAST(p_size * 20 AS STRING) || ',"max_usage_per_month":2}'
     WHEN 1 THEN '{"discount_percent":"' || CAST(p_size AS STRING) || '","max_discount_per_transaction":150}' WHEN 2 THEN '{"discount_percent":' || CAST(p_size * 3 AS STRING) || '}'
     WHEN 3 THEN '{"threshold_amount":80000,"reward_value":500}' WHEN 4 THEN '{"category":"dining, Movies","multiplier":5,"unit":"points per Rs.150"}' WHEN 5 THEN '{"unit":"Fixed","annual_cap":6000}'

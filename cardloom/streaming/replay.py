@@ -16,11 +16,14 @@ KEPT = 24
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """spark.checkpoint.dir. Where it is unset, a single machine (local[*], as in tests) gets a folder; a cluster gets an error."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cardloom-stream-")
-        spark.sparkContext.setCheckpointDir(at)
+        sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
