@@ -38,7 +38,7 @@ def op3_near_duplicates(spark, sf_dir):
 
 
 def op4_url_filter(spark, sf_dir):
-    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, LISTED_HOSTS)
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), *urlfilter.rule_tables(spark, URL_RULES, LISTED_HOSTS))
 
 
 def op5_line_dedup(spark, sf_dir):

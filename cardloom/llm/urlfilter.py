@@ -5,12 +5,15 @@ takes for listed; the third encodes the listed ones that the second takes, and s
 positive. A key is then judged by the first level that lacks it. This is exact for every key of the universe that built
 it, and the universe is all keys that the pages have.
 
-Rules are (host, path, verdict). A page's keys are its host's last labels with its path's first characters, for each
-(number of labels, length) that some rule has; a rule is looked up as such a key. Two cascades hold allow and block
-rules, a third holds the listed hosts, which judge pages without a rule: block if the host or a parent is listed.
+Rules are a table (host, path, verdict), listed hosts another. A page's keys are its host's last labels with its path's first
+characters, for each (number of labels, length) that some rule has; a rule is looked up as such a key. One cascade tells the
+keys that are rules, a second, over these alone, the blocking from the allowing ones; a third tells the listed hosts, which
+judge pages without a rule: block if the host or a parent is listed. All three come from one table of the corpus's keys. The
+plan grows with the number of such pairs (labels, length), a few hundred for any real list, not with the number of rules.
 
-Filters are arrays read by scalar subqueries. Their size is checked: above ``max_bits`` the listed keys are marked by a
-shuffled join on the key instead.
+A level's filter is sized by the ratio of the keys to encode and the others: the first lets about as many others through as
+there are listed keys, further ones half of theirs. Filters are arrays read by scalar subqueries, so their size is checked:
+a cascade with a level of more than ``max_bits`` is left, and its keys, those that the corpus has, are joined with salts.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no rule and is allowed; rules of equal
 length go to the longer host; repeated rows are judged each; extra columns stay out; an empty table gives none.
@@ -18,12 +21,14 @@ length go to the longer host; repeated rows are judged each; extra columns stay
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
 
-from cardloom.llm.common import Scratch
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-BITS_PER_KEY, PROBES = 8, 3
-MAX_BITS = 1 << 25
+from cardloom.llm.common import Scratch, meet
+
+#: The largest filter: 16 MB. At 12 bits a key, as for one listed key in 300, it holds 11 million listed keys of the corpus.
+MAX_BITS = 1 << 27
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,39 +41,45 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _places(key: Column, level: int, bits: int) -> list[Column]:
+def filter_size(n: int, others: int, first: bool) -> tuple[int, int]:
+    """(bits, probes) for n keys to be told from the others: all but about n of them at the first level, half of them later."""
+    rate = min(0.5, max(n, 1) / max(others, 1) * 0.7) if first else 0.5
+    probes = max(1, round(-math.log2(rate)))
+    return max(64, -(-math.ceil(n * probes / math.log(2)) // 64) * 64), probes
+
+
+def _places(key: Column, level: int, bits: int, probes: int) -> list[Column]:
     h, g = (F.shiftrightunsigned(F.xxhash64(F.lit(2 * level + i), key), 34) for i in (0, 1))
-    return [(h + F.lit(j) * (g + 1)) % F.lit(bits) for j in range(PROBES)]
+    return [(h + F.lit(j) * (g + 1)) % F.lit(bits) for j in range(probes)]
 
 
 class Cascade:
     """Levels of Bloom filters over (key, listed), a row for each key of the universe. keys: a table that can be read again."""
 
     def __init__(self, keys: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS):
-        self.levels: list[tuple[DataFrame, int]] = []
+        self.levels: list[tuple[DataFrame, int, int]] = []
         self.fits, encoded, others = True, keys.where("listed").select("key"), keys.where("NOT listed").select("key")
-        while self.fits:
-            n = encoded.count()
-            if not n:
-                break
-            if len(self.levels) > 40:
+        n, m = encoded.count(), others.count()
+        while n:
+            if len(self.levels) > 60:
                 raise RuntimeError("the cascade does not end")
-            bits = max(64, -(-n * BITS_PER_KEY // 64) * 64)
+            bits, probes = filter_size(n, m, not self.levels)
             if bits > max_bits:
                 self.fits = False
                 break
-            words = encoded.select(F.explode(F.array(*_places(F.col("key"), len(self.levels), bits))).alias("p"))
+            words = encoded.select(F.explode(F.array(*_places(F.col("key"), len(self.levels), bits, probes))).alias("p"))
             words = words.groupBy(F.floor(F.col("p") / 64).alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("word"))
             spine = keys.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
             level = spine.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x["word"]).alias("words"))  # at most max_bits / 64 numbers
-            self.levels.append((scratch.put(level, "level"), bits))
+            self.levels.append((scratch.put(level, "level"), bits, probes))
             # the next level holds those of the others that this one takes, and is tested on those that this one holds
-            encoded, others = scratch.put(others.where(self._in(len(self.levels) - 1, F.col("key"))), "took"), encoded
+            encoded, others, m = scratch.put(others.where(self._in(len(self.levels) - 1, F.col("key"))), "took"), encoded, n
+            n = encoded.count()
 
     def _in(self, i: int, key: Column) -> Column:
-        words, bits = self.levels[i]
+        words, bits, probes = self.levels[i]
         array = words.scalar()
-        tests = [F.call_function("shiftrightunsigned", F.get(array, F.floor(p / 64).cast("int")), (p % 64).cast("int")).bitwiseAND(1) == 1 for p in _places(key, i, bits)]
+        tests = [F.call_function("shiftrightunsigned", F.get(array, F.floor(p / 64).cast("int")), (p % 64).cast("int")).bitwiseAND(1) == 1 for p in _places(key, i, bits, probes)]
         found = tests[0]
         for t in tests[1:]:
             found = found & t
@@ -82,49 +93,57 @@ class Cascade:
         return out
 
 
-def _labels(host: str) -> int:
-    return host.count(".") + 1
+def rule_tables(spark: SparkSession, rules: list[tuple[str, str, str]], listed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Short lists as the tables that judge_urls takes."""
+    return spark.createDataFrame(rules, "host string, path string, verdict string"), spark.createDataFrame([(h,) for h in listed], "host string")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed_hosts: list[str], max_bits: int = MAX_BITS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict) for each page. rules: (host, path, "allow" or "block")."""
-    spark = pages.sparkSession
-    s = Scratch(spark, "urls")
+def judge_urls(pages: DataFrame, rules: DataFrame, listed_hosts: DataFrame, max_bits: int = MAX_BITS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(page_id, host, path, rule, verdict) for each page. rules: (host, path, verdict "allow" or "block"); listed_hosts: (host)."""
+    s = Scratch(pages.sparkSession, "urls")
     host, path = url_parts(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    shapes = sorted({(_labels(h), len(p)) for h, p, _ in rules} | {(_labels(h), 0) for h in listed_hosts})
+    block = F.col("verdict") == "block"
+    given = rules.select("host", "path", F.lit(True).alias("rule"), block.alias("block"), F.lit(False).alias("host_only"))
+    given = given.union(listed_hosts.select("host", F.lit(""), F.lit(False), F.lit(False), F.lit(True))).where("host IS NOT NULL AND path IS NOT NULL")
+    shape = given.select(F.size(F.split("host", "\\.")).alias("labels"), F.length("path").alias("n")).distinct()
+    shapes = sorted(map(tuple, shape.collect()))  # pairs of small numbers
+    given = given.groupBy(F.concat("host", F.lit(" "), "path").alias("key")).agg(F.max("rule").alias("rule"), F.max("block").alias("block"), F.max("host_only").alias("listed"))
 
     def key(labels: int, length: int) -> Column:
         fits = (F.size(F.split("host", "\\.")) >= labels) & (F.length("path") >= length) & (F.col("host") != "")
         return F.when(fits, F.concat(F.substring_index("host", ".", -labels), F.lit(" "), F.substring("path", 1, length)))
 
-    keys = rows.select(F.explode(F.array(*[key(*x) for x in shapes])).alias("key")) if shapes else spark.createDataFrame([], "key string")
+    keys = rows.select(F.explode(F.array(*[key(*x) for x in shapes])).alias("key")) if shapes else given.select("key").where("false")
     universe = s.put(keys.where("key is not null").distinct(), "universe")
-    lists = {v: [f"{h} {p}" for h, p, w in rules if w == v] for v in ("allow", "block")} | {"listed": [f"{h} " for h in listed_hosts]}
-    given = spark.createDataFrame([(k, name) for name, ks in lists.items() for k in ks], "key string, name string")
+    no = F.lit(False)
+    marked = meet(universe, given, ["key"], "left").select("key", *[F.coalesce(c, no).alias(c) for c in ("rule", "block", "listed")])
+    marked = s.put(marked, "marked")
+    s.drop(universe)
+    sources = {"rule": marked, "block": marked.where("rule"), "listed": marked.where(F.col("key").endswith(" "))}
+    rows = rows.withColumns({f"_k{i}": key(*x) for i, x in enumerate(shapes)})
     has = {}
-    for name in lists:
-        marked = universe.join(given.where(F.col("name") == name).select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
-        marked = s.put(marked, name)
-        cascade = Cascade(marked, s, max_bits)
+    for name, own in sources.items():
+        cascade = Cascade(own.select("key", F.col(name).alias("listed")), s, max_bits)
         if cascade.fits:
             has[name] = cascade.has
-        else:
-            for i, x in enumerate(shapes):
-                flag = marked.where("listed").select(F.col("key").alias(f"_{name}_key{i}"), F.lit(True).alias(f"_{name}{i}"))
-                rows = rows.join(flag, key(*x) == F.col(f"_{name}_key{i}"), "left")
-            has[name] = None
+            continue
+        has[name] = None
+        found = s.put(own.where(name).select("key"), f"found-{name}")
+        for i, x in enumerate(shapes):
+            if name != "listed" or x[1] == 0:
+                flag = found.select(F.col("key").alias(f"_k{i}"), F.lit(True).alias(f"_{name}{i}"))
+                rows = meet(rows, flag, [f"_k{i}"], "left", F.struct("page_id", "path"))
 
     def member(name: str, i: int) -> Column:
-        return F.coalesce(has[name](F.col(f"_k{i}")) if has[name] else F.col(f"_{name}{i}"), F.lit(False)) & F.col(f"_k{i}").isNotNull()
+        return F.coalesce(has[name](F.col(f"_k{i}")) if has[name] else F.col(f"_{name}{i}"), no) & F.col(f"_k{i}").isNotNull()
 
-    rows = rows.withColumns({f"_k{i}": key(*x) for i, x in enumerate(shapes)})
-    found, listed = [], F.lit(False)
+    found, listed = [], no
     for i, (labels, length) in enumerate(shapes):
         part = F.substring_index("host", ".", -labels)
         text = F.concat(part, F.substring("path", 1, length))
-        for verdict in ("block", "allow"):
-            found.append(F.when(member(verdict, i), F.struct(F.length(text).alias("n"), F.length(part).alias("h"), text.alias("rule"), F.lit(verdict).alias("verdict"))))
+        verdict = F.when(member("block", i), F.lit("block")).otherwise(F.lit("allow"))
+        found.append(F.when(member("rule", i), F.struct(F.length(text).alias("n"), F.length(part).alias("h"), text.alias("rule"), verdict.alias("verdict"))))
         if length == 0:
             listed = listed | member("listed", i)
     best = F.array_max(F.array_compact(F.array(*found))) if found else F.lit(None).cast("struct<rule:string,verdict:string>")

@@ -189,19 +189,40 @@ def test_urls_against_brute_force(spark, bits):
     """Once by the cascades, once past their size, by joins."""
     own = urls()
     rows = [(i, u, "x") for i, u in enumerate(own)] + [(3, own[7], "x")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, host string")
-    got = urlfilter.judge_urls(pages, RULES, LISTED, max_bits=bits).collect()
+    pages = spark.createDataFrame([(*x, "x", "x") for x in rows], "page_id long, url string, host string, rule string, _k0 string")
+    got = urlfilter.judge_urls(pages, *urlfilter.rule_tables(spark, RULES, LISTED), max_bits=bits).collect()
     assert sorted((x["page_id"], x["host"], x["path"], str(x["rule"]), x["verdict"]) for x in got) == sorted((i, h, p, str(rule), v) for i, u, _ in rows for h, p, rule, v in [brute_url(u)])
-    assert urlfilter.judge_urls(pages.where("false"), RULES, LISTED).count() == 0
+    assert urlfilter.judge_urls(pages.where("false"), *urlfilter.rule_tables(spark, RULES, LISTED)).count() == 0
 
 
-def test_a_cascade_is_exact_for_its_universe(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "BITS_PER_KEY", 2)  # many false positives, many levels
-    rows = [(f"key{i}", i % 3 == 0) for i in range(3000)]
-    s = Scratch(spark, "t")
-    keys = s.put(spark.createDataFrame(rows, "key string, listed boolean"), "keys")
-    cascade = urlfilter.Cascade(keys, s)
-    assert len(cascade.levels) > 2
+def test_a_cascade_is_exact_for_its_universe(spark):
     from pyspark.sql import functions as F
 
-    assert keys.where(cascade.has(F.col("key")) != F.col("listed")).count() == 0
+    s = Scratch(spark, "t")
+    for every in (2, 3, 100, 5000):  # half listed, few listed, one
+        keys = s.put(spark.createDataFrame([(f"key{i}", i % every == 0) for i in range(3000)], "key string, listed boolean"), "keys")
+        cascade = urlfilter.Cascade(keys, s)
+        assert len(cascade.levels) > 1 or every == 5000
+        assert keys.where(cascade.has(F.col("key")) != F.col("listed")).count() == 0
+
+
+def test_filters_are_sized_by_the_ratio():
+    assert urlfilter.filter_size(1000, 300_000, True) == (12992, 9)  # 13 bits a key
+    assert urlfilter.filter_size(1000, 1000, False) == (1472, 1)
+    assert urlfilter.filter_size(0, 0, True) == (64, 1)
+
+
+def test_a_table_of_many_rules(spark):
+    r = random.Random(4)
+    rules = sorted({(r.choice(["com", "a.com", "b.a.com", "org", "x.org"]), "/" + "".join(r.choice("ab/") for _ in range(r.randint(0, 6)))) for _ in range(150)})
+    rules = [(h, p, r.choice(["allow", "block"])) for h, p in rules]
+    own = [f"http://{r.choice(['', 'b.', 'c.'])}{r.choice(['a.com', 'x.org', 'org', 'com'])}/{''.join(r.choice('ab/') for _ in range(r.randint(0, 8)))}" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(own)), "page_id long, url string")
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in urlfilter.judge_urls(pages, *urlfilter.rule_tables(spark, rules, ["c.x.org"])).collect()}
+
+    def want(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        fits = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
+        return max(fits)[2:] if fits else (None, "block" if host == "c.x.org" or host.endswith(".c.x.org") else "allow")
+
+    assert got == {i: want(u) for i, u in enumerate(own)}
