@@ -48,7 +48,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.named = 0, {}
         store, path = self._store(self.at)
         store.mkdirs(path)
         store.deleteOnExit(path)
@@ -66,13 +66,17 @@ class Scratch:
         at = self.path(name)
         df.write.parquet(at)
         back = self.spark.read.schema(df.schema).parquet(at)
-        back.scratch_path = at
+        back.scratch_path = self.named[name] = at
         return back
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             self.remove(t.scratch_path)
 
+    def drop_named(self, name: str) -> None:
+        """The last table put under the name."""
+        self.remove(self.named.pop(name))
+
     def remove(self, at: str) -> None:
         store, path = self._store(at)
         store.delete(path, True)

@@ -12,9 +12,11 @@ are the first and the last words of its lines outside frequent templates, and on
 near copies, be they thousands, are not emptied.
 
 A line of ``long_words`` words or more also recurs, as it stands, in two texts and more (fewer than ``min_docs``, from which
-on its template decides), if one of them is unlike the first: if less than ``COPY`` of their runs of three words are common.
+on its template decides), if one of them is unlike the first: if less than ``COPY`` of their runs of three words are common,
+as estimated from the ``SKETCH`` least hashes of both.
 
-Leaves, lines, templates and cuts are joined by broadcast only if their bytes are counted and few, else by shuffle with
+The lines are split once and kept as numbers (some 50 bytes a line, compressed less) in the shared folder; texts are read again
+only for one example of each line of a crowded leaf, and for the result. Leaves, lines, templates and cuts are joined by broadcast only if their bytes are counted and few, else by shuffle with
 salted keys, as a third of all rows may hold one leaf, line or text.
 
 Defined results: a null text stays null with no lines; an empty one has one empty line; lines without tokens are never
@@ -32,7 +34,7 @@ from cardloom.llm.common import BROADCAST_BYTES, SALTS, Scratch, meet
 BLANK = "\t\x0b\f\r"
 FIELD = "<*>"
 #: Jaccard similarity of runs of RUN words from which two texts are copies.
-COPY, RUN = 0.5, 3
+COPY, RUN, SKETCH = 0.5, 3, 64
 #: Words of an end.
 ENDS = 3
 
@@ -48,29 +50,35 @@ def text_keys(text: Column) -> list[Column]:
 
 
 def _lines(docs: DataFrame, text_col: str, depth: int, long_words: int) -> DataFrame:
-    """(t1, t2, pos, line, lh, leaf, long) for each line; leaf: null without tokens; long: the line's hash if it is long."""
+    """(t1, t2, pos, leaf, lh, long, first, last) for each line; leaf: null without tokens; first, last: hashes of its ends."""
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(*text_keys(text), F.split(text, "\n", -1).alias("arr"))  # once a text, not once a line
-    rows = rows.select("t1", "t2", F.posexplode("arr").alias("pos", "line"))
-    rows = rows.withColumn("tokens", tokens(F.col("line")))
-    lead = F.transform(F.slice("tokens", 1, depth), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
-    # null for lines without tokens; a filter would be pushed below and split every line twice
-    rows = rows.withColumns({"leaf": F.when(F.size("tokens") > 0, F.xxhash64(F.size("tokens"), lead)), "lh": F.xxhash64("line")})
-    return rows.withColumn("long", F.when(F.size("tokens") >= long_words, F.col("lh"))).drop("tokens")
+    rows = rows.select("t1", "t2", F.posexplode("arr").alias("pos", "line")).withColumn("w", tokens(F.col("line")))
+    lead = F.transform(F.slice("w", 1, depth), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    last = F.when(F.size("w") <= ENDS, F.col("w")).otherwise(F.slice("w", -ENDS, ENDS))
+    # null for lines without tokens; a filter here would be pushed below and split every line twice
+    leaf = F.when(F.size("w") > 0, F.xxhash64(F.size("w"), lead))
+    return rows.select("t1", "t2", "pos", leaf.alias("leaf"), F.xxhash64("line").alias("lh"), (F.size("w") >= long_words).alias("long"), F.xxhash64(F.lit(0), F.slice("w", 1, ENDS)).alias("first"), F.xxhash64(F.lit(1), last).alias("last"))
 
 
-def _with_places(rows: DataFrame, places: DataFrame, column: str, how: str, salt: Column) -> DataFrame:
-    """rows with the array that places hold for their text."""
-    size = places.agg(F.sum(4 * F.size(column) + 32)).first()[0] or 0
+def _with_places(rows: DataFrame, places: DataFrame, column: str, how: str, width: int = 4) -> DataFrame:
+    """rows with the array, of entries of so many bytes, that places hold for their text."""
+    size = places.agg(F.sum(width * F.size(column) + 32)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return rows.join(F.broadcast(places), ["t1", "t2"], how)
     salted = places.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).join(salted, ["t1", "t2", "_salt"], how)
+    return rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["t1", "t2", "_salt"], how)
 
 
-def _templates(held: DataFrame, s: Scratch, min_docs: int, min_constant: float) -> DataFrame:
+def _templates(docs: DataFrame, text_col: str, held: DataFrame, s: Scratch, min_docs: int, min_constant: float) -> DataFrame:
     """(lh, template) for the lines of leaves with min_docs lines."""
-    distinct = held.where("in_leaf").groupBy("leaf", "lh").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+    distinct = held.groupBy("leaf", "lh").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "pos")).alias("at"))
+    example = F.struct(F.col("at.pos").alias("pos"), "leaf", "lh", "n")
+    places = s.put(distinct.groupBy("at.t1", "at.t2").agg(F.collect_list(example).alias("_e")), "examples")
+    text = F.col(f"`{text_col}`").cast("string")
+    found = _with_places(docs.select(*text_keys(text), text.alias("_text")), places, "_e", "inner", 40)
+    found = found.select("_e", F.split("_text", "\n", -1).alias("arr")).select(F.explode(F.transform("_e", lambda e: F.struct(e["leaf"].alias("leaf"), e["lh"].alias("lh"), e["n"].alias("n"), F.get("arr", e["pos"]).alias("line")))).alias("e"))
+    distinct = found.select("e.*").groupBy("leaf", "lh").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     words = s.put(distinct.select("leaf", "lh", "n", F.posexplode(tokens(F.col("line"))).alias("p", "token")), "words")
     common = words.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "p", "token", F.lit(True).alias("stays"))
     common = s.put(common, "common")
@@ -78,81 +86,74 @@ def _templates(held: DataFrame, s: Scratch, min_docs: int, min_constant: float)
     shape = F.transform(F.array_sort(F.collect_list(F.struct("p", F.when(F.col("stays"), F.col("token")).otherwise(F.lit(FIELD)).alias("t")))), lambda x: x["t"])
     shapes = marked.groupBy("leaf", "lh").agg(F.xxhash64(F.array_join(shape, " ")).alias("shape"), (F.count("stays") / F.count("*")).alias("share"))
     found = s.put(shapes.select("lh", F.xxhash64("leaf", F.when(F.col("share") >= min_constant, F.col("shape")).otherwise(F.col("lh"))).alias("template")), "templates")
-    s.drop(words, common)
+    s.drop(places, words, common)
     return found
 
 
-def _having_their_own(docs: DataFrame, text_col: str, stands: DataFrame, s: Scratch) -> DataFrame:
-    """(t1, own) for the texts with frequent templates that have something of their own."""
-    places = s.put(stands.groupBy("t1", "t2").agg(F.collect_set("pos").alias("_p")), "places")
-    text = F.col(f"`{text_col}`").cast("string")
-    texts = docs.select(*text_keys(text), text.alias("_text"))
-    rows = _with_places(texts, places, "_p", "inner", F.monotonically_increasing_id()).select("t1", "_p", F.split("_text", "\n", -1).alias("arr"))
-    rest = F.array_except(F.sequence(F.lit(0), F.size("arr") - 1), F.col("_p"))
-    words = rows.select("t1", F.explode(F.transform(rest, lambda i: F.get("arr", i))).alias("line")).select("t1", tokens(F.col("line")).alias("w")).where(F.size("w") > 0)
-    last = F.when(F.size("w") <= ENDS, F.col("w")).otherwise(F.slice("w", -ENDS, ENDS))
-    both = F.array(F.xxhash64(F.lit(0), F.slice("w", 1, ENDS)), F.xxhash64(F.lit(1), last))
-    ends = s.put(words.select("t1", F.explode(both).alias("end")).distinct(), "ends")
+def _having_their_own(lines: DataFrame, often: DataFrame, frequent: DataFrame, s: Scratch) -> DataFrame:
+    """(t1, own) for the texts with frequent lines that have something of their own."""
+    texts = s.put(often.select("t1").distinct(), "texts")
+    rest = meet(lines, texts, ["t1"], "left_semi", F.col("pos"))
+    rest = meet(rest, frequent.select("lh").distinct(), ["lh"], "left_anti", F.col("t1"))
+    ends = s.put(rest.select("t1", F.explode(F.array("first", "last")).alias("end")).distinct(), "ends")
     alone = ends.groupBy("end").agg(F.min("t1").alias("t1"), F.max("t1").alias("other")).where("t1 = other").groupBy("t1").agg(F.count("*").alias("mine"))
     all_ = ends.groupBy("t1").agg(F.count("*").alias("n"))
     found = s.put(alone.join(all_, "t1").where("3 * mine >= 2 * n").select("t1", F.lit(True).alias("own")), "own")
-    s.drop(places, ends)
+    s.drop(texts, ends)
     return found
 
 
-def _unlike(docs: DataFrame, text_col: str, held: DataFrame, s: Scratch, min_docs: int) -> DataFrame:
-    """(lh) of long lines whose few texts are not all copies of the first."""
-    holds = s.put(held.where("in_long").select("lh", "t1", "t2").distinct(), "holds")
-    per = holds.groupBy("lh").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2")).alias("f")).where(F.col("n") < min_docs).select("lh", F.col("f.t1").alias("f1"), F.col("f.t2").alias("f2"))
+def _unlike(docs: DataFrame, text_col: str, holds: DataFrame, s: Scratch, min_docs: int) -> DataFrame:
+    """(lh) of long lines whose few texts are not all copies of the first. holds: (lh, t1, t2), distinct."""
+    per = holds.groupBy("lh").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2")).alias("f")).where((F.col("n") > 1) & (F.col("n") < min_docs)).select("lh", F.col("f.t1").alias("f1"), F.col("f.t2").alias("f2"))
     pairs = s.put(holds.join(per, "lh").where("t1 <> f1 OR t2 <> f2"), "pairs")
-    nodes = pairs.select("t1", "t2").union(pairs.select("f1", "f2")).distinct()
+    nodes = s.put(pairs.select("t1", "t2").union(pairs.select("f1", "f2")).distinct(), "nodes")
     text = F.col(f"`{text_col}`").cast("string")
-    texts = meet(docs.select(*text_keys(text), text.alias("x")), s.put(nodes, "nodes"), ["t1", "t2"], "left_semi")
-    texts = s.put(texts.groupBy("t1", "t2").agg(F.first("x").alias("x")).select("t1", "t2", tokens(F.col("x")).alias("x")), "texts")
-    both = pairs.select("f1", "f2", "t1", "t2").distinct().join(texts, ["t1", "t2"]).join(texts.select(F.col("t1").alias("f1"), F.col("t2").alias("f2"), F.col("x").alias("y")), ["f1", "f2"])
-
-    def runs(w: str) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - RUN), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(RUN)])))
-
-    both = both.withColumns({"p": runs("x"), "q": runs("y")})
-    common = F.size(F.array_intersect("p", "q"))
-    unlike = both.where(common < COPY * (F.size("p") + F.size("q") - common)).select("f1", "f2", "t1", "t2")
+    words = meet(docs.select(*text_keys(text), text.alias("x")), nodes, ["t1", "t2"], "left_semi").select("t1", "t2", tokens(F.col("x")).alias("w"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - RUN), lambda i: F.substring(F.md5(F.concat_ws(" ", *[F.get("w", i + j) for j in range(RUN)]).cast("binary")), 1, 12))
+    least = words.withColumn("r", F.slice(F.array_sort(F.array_distinct(runs)), 1, SKETCH))
+    sketch = least.groupBy("t1", "t2").agg(F.first(F.transform("r", lambda h: F.conv(h, 16, 10).cast("long"))).alias("x"))
+    sketch = s.put(sketch, "sketches")
+    both = pairs.select("f1", "f2", "t1", "t2").distinct().join(sketch, ["t1", "t2"]).join(sketch.select(F.col("t1").alias("f1"), F.col("t2").alias("f2"), F.col("x").alias("y")), ["f1", "f2"])
+    both = both.withColumn("u", F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH))
+    unlike = both.where(F.size(F.array_intersect(F.array_intersect("u", "x"), F.col("y"))) < COPY * F.size("u")).select("f1", "f2", "t1", "t2")
     found = s.put(pairs.join(unlike, ["f1", "f2", "t1", "t2"]).select("lh").distinct(), "unlike")
-    s.drop(holds, pairs, texts)
+    s.drop(pairs, nodes, sketch)
     return found
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, depth: int = 3, min_constant: float = 0.5, text_col: str = "text", long_words: int = 20) -> DataFrame:
     """docs with the text less its recurring lines, and n_lines and n_dropped."""
     s = Scratch(docs.sparkSession, "lines")
-    lines = _lines(docs, text_col, depth, long_words)
-    both = F.array(F.struct(F.lit(False).alias("whole"), F.col("leaf").alias("h")), F.struct(F.lit(True).alias("whole"), F.col("long").alias("h")))
-    keys = lines.select("t1", F.inline(both)).where("h IS NOT NULL").groupBy("whole", "h").agg(F.count("*").alias("n"), (F.min("t1") != F.max("t1")).alias("differ"))
-    keys = s.put(keys.where(F.col("differ") & (F.col("whole") | (F.col("n") >= min_docs))).select("whole", "h"), "keys")
-    leaves = keys.where("NOT whole").select(F.col("h").alias("leaf"), F.lit(True).alias("in_leaf"))
-    longs = keys.where("whole").select(F.col("h").alias("long"), F.lit(True).alias("in_long"))
+    lines = s.put(_lines(docs, text_col, depth, long_words), "lines").where("leaf IS NOT NULL")
+    differ = F.min("t1") != F.max("t1")
+    leaves = s.put(lines.groupBy("leaf").agg(F.count("*").alias("n"), differ.alias("differ")).where(F.col("differ") & (F.col("n") >= min_docs)).select("leaf"), "leaves")
     at = F.col("t1") + F.col("pos")
-    held = meet(meet(lines, leaves, ["leaf"], "left", at), longs, ["long"], "left", at).where("in_leaf OR in_long")
-    held = s.put(held.select("t1", "t2", "pos", "leaf", "lh", F.when(F.col("in_leaf"), F.col("line")).alias("line"), "in_leaf", "in_long"), "held")
-
-    templates = _templates(held, s, min_docs, min_constant)
-    stands = s.put(meet(held.where("in_leaf").select("t1", "t2", "pos", "lh"), templates, ["lh"], "inner", at).drop("lh"), "stands")
-    frequent = stands.select("template", "t1").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
-    often = s.put(meet(stands, s.put(frequent, "frequent"), ["template"], "left_semi", at), "often")
-    own = _having_their_own(docs, text_col, often, s)
+    held = s.put(meet(lines.select("t1", "t2", "pos", "leaf", "lh"), leaves, ["leaf"], "left_semi", at), "held")
+    templates = _templates(docs, text_col, held, s, min_docs, min_constant)
+    stands = s.put(meet(held.drop("leaf"), templates, ["lh"], "inner", at), "stands")
+    many = stands.select("template", "t1").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
+    frequent = s.put(meet(templates, s.put(many, "many"), ["template"], "left_semi", F.col("lh")), "frequent")  # (lh, template)
+    often = s.put(meet(stands.drop("template"), frequent, ["lh"], "inner", at), "often")
+    own = _having_their_own(lines, often, frequent, s)
     support = meet(often.select("template", "t1").distinct(), own, ["t1"], "left", F.col("template"))
     support = support.groupBy("template").agg(F.count("own").alias("n"), F.max(F.col("own").isNull().cast("int")).alias("others"))
     recurring = s.put(support.where(F.col("n") + F.col("others") >= min_docs).select("template"), "recurring")
-    unlike = _unlike(docs, text_col, held, s, min_docs)
+
+    long = lines.where("long").select("t1", "t2", "pos", "lh")
+    twice = s.put(long.groupBy("lh").agg(differ.alias("differ")).where("differ").select("lh"), "twice")
+    long = s.put(meet(long, twice, ["lh"], "left_semi", at), "long")
+    unlike = _unlike(docs, text_col, long.select("lh", "t1", "t2").distinct(), s, min_docs)
     gone = meet(often, recurring, ["template"], "left_semi", at).select("t1", "t2", "pos")
-    gone = gone.union(meet(held.where("in_long"), unlike, ["lh"], "left_semi", at).select("t1", "t2", "pos"))
+    gone = gone.union(meet(long, unlike, ["lh"], "left_semi", at).select("t1", "t2", "pos"))
     cut = s.put(gone.groupBy("t1", "t2").agg(F.collect_set("pos").alias("_cut")), "cut")
-    s.drop(keys, held, templates, stands, often, own)
+    for name in ("lines", "held", "stands", "often", "long"):
+        s.drop_named(name)
 
     text = F.col(f"`{text_col}`").cast("string")
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in rest], text.alias("_text"), *text_keys(text))
-    rows = _with_places(rows, cut, "_cut", "left", F.monotonically_increasing_id())
+    rows = _with_places(rows, cut, "_cut", "left")
     rows = rows.withColumn("arr", F.split("_text", "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size("arr") - 1), F.col("_cut"))
     new = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("arr", i)), "\n"))

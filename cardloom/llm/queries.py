@@ -128,10 +128,10 @@ holds AS (SELECT DISTINCT line, m FROM l WHERE len(w) >= 20),
 few AS (SELECT line, min(m) AS f FROM holds GROUP BY line HAVING count(*) BETWEEN 2 AND 19),
 need AS (SELECT m FROM holds JOIN few USING (line) GROUP BY m),
 words AS (SELECT m, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM x WHERE m IN (SELECT m FROM need)),
-runs AS (SELECT m, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS r FROM words),
+runs AS (SELECT m, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: substr(md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), 1, 12))))[1:64] AS r FROM words),
 pairs AS (SELECT DISTINCT f, m FROM holds JOIN few USING (line) WHERE f <> m),
-apart AS (SELECT p.f, p.m FROM pairs p JOIN runs a ON p.f = a.m JOIN runs b ON p.m = b.m
-          WHERE len(list_intersect(a.r, b.r)) < 0.5 * (len(a.r) + len(b.r) - len(list_intersect(a.r, b.r)))),
+apart AS (SELECT f, m FROM (SELECT p.f, p.m, a.r AS x, b.r AS y, list_sort(list_distinct(list_concat(a.r, b.r)))[1:64] AS u FROM pairs p JOIN runs a ON p.f = a.m JOIN runs b ON p.m = b.m)
+          WHERE len(list_intersect(list_intersect(u, x), y)) < 0.5 * len(u)),
 unlike AS (SELECT DISTINCT line FROM holds JOIN few USING (line) JOIN apart USING (f, m)),
 cut AS (SELECT m, pos FROM often WHERE template IN (SELECT template FROM recurring) UNION SELECT m, pos FROM l WHERE line IN (SELECT line FROM unlike)),
 o AS (SELECT a.m, string_agg(line, chr(10) ORDER BY a.pos) FILTER (WHERE cut.pos IS NULL) AS text, count(*) AS n_lines, count(cut.pos) AS n_dropped

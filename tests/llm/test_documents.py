@@ -260,8 +260,13 @@ def brute_kept(given, min_docs, depth=3, min_constant=0.5, long_words=20):
     for t, p, line, toks in rows:
         if len(toks) >= long_words and t not in held[line]:
             held[line].append(t)
-    runs = {t: {tuple(w[i : i + 3]) for i in range(len(w) - 2)} for t in texts for w in [cut(t)]}
-    unlike = {line for line, own_ in held.items() if 2 <= len(own_) < min_docs and any(len(runs[own_[0]] & runs[t]) < 0.5 * len(runs[own_[0]] | runs[t]) for t in own_[1:])}
+    runs = {t: sorted({hashlib.md5(" ".join(w[i : i + 3]).encode()).hexdigest()[:12] for i in range(len(w) - 2)})[:64] for t in texts for w in [cut(t)]}
+
+    def apart(a, b):
+        least = sorted({*a, *b})[:64]
+        return len({*least} & {*a} & {*b}) < 0.5 * len(least)
+
+    unlike = {line for line, own_ in held.items() if 2 <= len(own_) < min_docs and any(apart(runs[own_[0]], runs[t]) for t in own_[1:])}
     dropped = {(t, p) for t, p, line, _ in rows if template.get((t, p)) in gone or line in unlike}
     return {t: "\n".join(x for p, x in enumerate(t.split("\n")) if (t, p) not in dropped) for t in texts}
 
