@@ -1,9 +1,10 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs, in numpy.
 
-Words are runs of ASCII letters and digits and of bytes above 127, with A-Z as a-z. A word's input has word features (the
-log-odds that documents with the word are toxic, whether enough documents had it, hashed signs) and character features
-(mean and greatest log-odds of its 3- and 5-byte grams with its ends, hashed signs of the grams, its length), so words
-that training never saw are still judged by their characters. A forward and a backward gated recurrent unit read a window
+Words are runs of ASCII letters and digits and of bytes above 127, with A-Z as a-z. A word's input has an embedding of the word
+and one of its characters, the sum of embeddings of its 3-byte grams with its ends; both are learnt with the network, by its
+gradients. Beside them stand what counting gives before training: the log-odds that documents with the word are toxic and
+whether enough documents had it, mean and greatest log-odds of its 3- and 5-byte grams, its length. So words that training
+never saw are still judged by their characters. A forward and a backward gated recurrent unit read a window
 of words, attention pools their states, and a logistic unit gives the window's score. Windows overlap by a quarter and
 cover the whole text; a text's score is that of its worst window.
 
@@ -28,10 +29,14 @@ MOST_DOCS, MOST_CHARS = 2000, 20_000
 WINDOW, STRIDE = 48, 36
 HIDDEN = 12
 WORD_BITS, TRI_BITS, FIVE_BITS = 18, 14, 18
+#: Slots (2^bits) and places of the learnt embeddings of words and of 3-byte grams.
+EMBED_BITS, EMBED = 16, 3
 #: Words and grams of fewer training documents have no log-odds.
 LEAST_DOCS = 4
 CHUNK = 1 << 19
 FEATURES = 13
+#: Where the learnt embeddings stand among them.
+WORD_AT, GRAM_AT = slice(2, 2 + EMBED), slice(9, 9 + EMBED)
 
 
 # ---------------------------------------------------------------- words and their features
@@ -139,17 +144,7 @@ class Model:
         self.p["va"] = r.normal(0, 0.3, 2 * h).astype(np.float32)
         self.p["wo"] = r.normal(0, 0.3, 2 * h).astype(np.float32)
         self.p["bo"] = np.zeros(1, np.float32)
-        self._make_signs()
-
-    def _make_signs(self):
-        self.word_signs, self.tri_signs = _signs(WORD_BITS, 3, 5), _signs(TRI_BITS, 3, 6)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("word_signs", "tri_signs")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self._make_signs()
+        self.p["words"], self.p["grams"] = _signs(EMBED_BITS, EMBED, 5), _signs(TRI_BITS, EMBED, 6)
 
     def features(self, words: Words, which: np.ndarray) -> np.ndarray:
         """(len(which), FEATURES): word features in columns 0 to 4, character features in the rest."""
@@ -159,7 +154,7 @@ class Model:
         w = _slot(words.hash[which], WORD_BITS)
         out[:, 0] = self.word_odds[w]
         out[:, 1] = out[:, 0] != 0
-        out[:, 2:5] = self.word_signs[w]
+        out[:, WORD_AT] = self.p["words"][_slot(words.hash[which], EMBED_BITS)]
         first, three, five, length = words.grams(which)
         n = length.astype(np.float32)
         t, f = self.tri_odds[three], self.five_odds[five]
@@ -167,8 +162,7 @@ class Model:
         out[:, 6] = np.maximum.reduceat(t, first)
         out[:, 7] = np.add.reduceat(f, first) / n
         out[:, 8] = np.maximum.reduceat(f, first)
-        for c in range(3):
-            out[:, 9 + c] = np.add.reduceat(self.tri_signs[three, c], first) / np.sqrt(n)
+        out[:, GRAM_AT] = np.add.reduceat(self.p["grams"][three], first) / np.sqrt(n)[:, None]
         out[:, 12] = np.log1p(n) - 1.8
         return out
 
@@ -294,7 +288,7 @@ class _Odds:
 
 
 def _gradients(model: Model, x, mask, y, weight):
-    """Loss and gradients of the logistic loss on windows; x (T, n, FEATURES)."""
+    """Gradients of the logistic loss on windows, those of weights and those of x (T, n, FEATURES)."""
     p, h = model.p, HIDDEN
     T, n, _ = x.shape
     inputs = model.gates(x.reshape(T * n, -1))
@@ -327,8 +321,60 @@ def _gradients(model: Model, x, mask, y, weight):
             ds = ds * (1 - m) + dn * z + dg @ Wh.T
         flat = dxs.reshape(T * n, -1)
         g["Wh" + side], g["Wx" + side], g["b" + side] = dWh, x_all.reshape(T * n, -1).T @ flat, flat.sum(0)
-    loss = -(weight * np.where(y > 0, np.log(prob + 1e-9), np.log(1 - prob + 1e-9))).mean()
-    return loss, g
+        back = (flat @ p["Wx" + side].T).reshape(x.shape)
+        dx = back if side == "f" else dx + back[::-1]
+    return g, dx
+
+
+class _Vocabulary:
+    """The distinct words of the windows of a round: counted features, and where their embeddings lie."""
+
+    def __init__(self):
+        self.hash, self.fixed, self.three, self.length = [], [], [], []
+
+    def add(self, words: Words, model: Model, flat: np.ndarray) -> None:
+        own, first = np.unique(words.hash[flat], return_index=True)
+        self.hash.append(own)
+        self.fixed.append(model.features(words, flat[first]))
+        _, three, _, length = words.grams(flat[first])
+        self.three.append(three)
+        self.length.append(length)
+
+    def close(self) -> None:
+        every = np.concatenate(self.hash)
+        self.length, three = np.concatenate(self.length), np.concatenate(self.three)
+        start = np.cumsum(self.length) - self.length
+        self.hash, first = np.unique(every, return_index=True)
+        self.fixed = np.concatenate(self.fixed)[first]
+        self.start, self.length, self.three = start[first], self.length[first], three
+        self.slot = _slot(self.hash, EMBED_BITS)
+
+    def grams_of(self, which: np.ndarray):
+        """(places of each word's first gram, slots of the grams) for the words at which."""
+        n = self.length[which]
+        first = np.cumsum(n) - n
+        return first, self.three[np.repeat(self.start[which] - first, n) + np.arange(n.sum())], n
+
+    def inputs(self, model: Model, index: np.ndarray):
+        """(inputs of words at index, how to bring their gradients back)."""
+        which, inverse = np.unique(index, return_inverse=True)
+        x = self.fixed[which]
+        first, three, n = self.grams_of(which)
+        x[:, WORD_AT] = model.p["words"][self.slot[which]]
+        x[:, GRAM_AT] = np.add.reduceat(model.p["grams"][three], first) / np.sqrt(n)[:, None].astype(np.float32)
+
+        def back(dx: np.ndarray, shown: np.ndarray) -> dict[str, np.ndarray]:
+            """dx: (words, FEATURES); shown: whether the word's own features were."""
+            flat = inverse.ravel()
+            by_word = np.stack([np.bincount(flat, weights=dx[:, WORD_AT.start + c] * shown, minlength=len(which)) for c in range(EMBED)], 1)
+            by_gram = np.stack([np.bincount(flat, weights=dx[:, GRAM_AT.start + c], minlength=len(which)) for c in range(EMBED)], 1) / np.sqrt(n)[:, None]
+            by_gram = np.repeat(by_gram, n, 0)
+            out = {}
+            for name, slot, d in (("words", self.slot[which], by_word), ("grams", three, by_gram)):
+                out[name] = np.stack([np.bincount(slot, weights=d[:, c], minlength=len(model.p[name])) for c in range(EMBED)], 1).astype(np.float32)
+            return out
+
+        return x[inverse].reshape(*index.shape, FEATURES), back
 
 
 def train(texts, toxic: np.ndarray, share: float, rounds: int = 4, epochs: int = 3) -> Model:
@@ -351,7 +397,7 @@ def train(texts, toxic: np.ndarray, share: float, rounds: int = 4, epochs: int =
     moment, square, step = {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}, 0
     balance = np.where(toxic > 0, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max(1 - toxic.mean(), 1e-9))
     for turn in range(rounds):
-        X, Y, W = [], [], []
+        X, Y, W, vocabulary = [], [], [], _Vocabulary()
         at = 0
         for data, edges in runs:
             text, start, y, words = model.window_scores(data, edges)
@@ -371,25 +417,31 @@ def train(texts, toxic: np.ndarray, share: float, rounds: int = 4, epochs: int =
                 place = begin[:, None] + np.arange(WINDOW)
                 mask = np.arange(WINDOW) < left[:, None]
                 flat = np.unique(place[mask]) if mask.any() else np.zeros(0, np.int64)
-                x = model.features(words, flat)
-                rows = np.zeros((len(pick), WINDOW, FEATURES), np.float32)
-                rows[mask] = x[np.searchsorted(flat, place[mask])]
+                rows = np.zeros((len(pick), WINDOW), np.uint64)
+                if len(flat):
+                    vocabulary.add(words, model, flat)
+                    rows[mask] = words.hash[place[mask]]
                 X.append(rows)
                 Y.append(np.c_[label, mask.sum(1)])
                 W.append(balance[at + text[pick]] * (0.5 if pick is more else 1))
             at += len(edges) - 1
         X, Y, W = np.concatenate(X), np.concatenate(Y), np.concatenate(W).astype(np.float32)
+        if not vocabulary.hash:
+            break  # no text has a word
+        vocabulary.close()
+        X = np.minimum(np.searchsorted(vocabulary.hash, X), len(vocabulary.hash) - 1)
         size = int(np.clip(len(X) // 10, 16, 256))
         passes = max(epochs, -(-40 * size // len(X)))  # few labels: 40 steps at least
         for epoch in range(passes):
             order = r.permutation(len(X))
             for i in range(0, len(order), size):
                 b = order[i : i + size]
-                x = X[b].transpose(1, 0, 2).copy()
+                x, back = vocabulary.inputs(model, X[b].T)
                 mask = (np.arange(WINDOW)[:, None] < Y[b, 1]).astype(np.float32)
                 hide = r.random((WINDOW, len(b))) < 0.4
                 x[hide, :5] = 0
-                _, g = _gradients(model, x, mask, Y[b, 0].astype(np.float32), W[b])
+                g, dx = _gradients(model, x, mask, Y[b, 0].astype(np.float32), W[b])
+                g |= back((dx * mask[:, :, None]).reshape(-1, FEATURES), ~hide.ravel())
                 step += 1
                 rate = 0.01 * (1 - 0.8 * (turn + epoch / passes) / rounds)
                 for k in model.p:
@@ -416,10 +468,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS, most_cha
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
     first = None
+    ids = texts.select("doc_id").distinct()  # of texts that are short enough, so that longer ones are replaced by others
     for label in (0, 1):
-        # ids first: texts are read for the chosen ones alone
-        ids = given.where(F.col("toxic") == label).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-        first = ids if first is None else first.union(ids)
+        own = given.where(F.col("toxic") == label).join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
+        first = own if first is None else first.union(own)
     chosen = texts.join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
     import pyarrow as pa
 

@@ -487,6 +487,35 @@ def test_long_texts_are_scored_in_whole(monkeypatch):
     assert whole[1] > whole[0] and parts[1] > 0.5 and whole[2] == whole[3] == parts[2]
 
 
+def test_the_network_sees_more_than_counts_of_words():
+    """Two words offend in one order only: their odds are even, so counting them tells nothing; the network must read the order."""
+    r = random.Random(3)
+
+    def text(toxic):
+        own = words(r, r.randint(8, 25), 60).split()
+        pair = ["zorp", "blick"] if toxic else ["blick", "zorp"]
+        at = r.randrange(len(own))
+        own[at:at] = pair
+        return " ".join(own)
+
+    labels = np.array([i % 2 for i in range(1200)])
+    texts = [text(y) for y in labels]
+    model = toxicity.train(pa.array(texts[:900], pa.large_string()), labels[:900], 0.5, rounds=3, epochs=12)
+    found = model.scores(pa.array(texts[900:], pa.large_string())) >= 0.5
+    run = toxicity.Words(np.frombuffer(" ".join(texts[900:]).encode(), np.uint8), np.array([0, len(" ".join(texts[900:]).encode())]))
+    odds = model.features(run, np.arange(len(run.hash)))[:, 0]
+    own = np.array([len(t.split()) for t in texts[900:]])
+    worst = np.maximum.reduceat(odds, np.cumsum(own) - own)
+    by_odds = max(((worst >= cut) == labels[900:]).mean() for cut in np.unique(worst))
+    assert (found == labels[900:]).mean() > 0.9 > by_odds + 0.2
+
+
+def test_scores_of_clashing_columns(spark):
+    docs = frame(spark, [(1, "a b", "s"), (2, None, "s")], ["predicted", "score", "k_text"])
+    got = toxicity.score(docs, 0.4, keep=["doc_id", "k_text", "predicted"])
+    assert got.columns == ["doc_id", "k_text", "held_out", "score", "predicted"] and {x["predicted"] for x in got.collect()} == {1}
+
+
 def test_toxicity_without_two_kinds_of_label(spark):
     docs = frame(spark, [(1, "a", "s"), (2, None, "s")])
     none = spark.createDataFrame([], "doc_id long, toxic int")
