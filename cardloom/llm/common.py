@@ -128,10 +128,11 @@ def meet(big: DataFrame, few: DataFrame, on: list[str], how: str = "inner", salt
 
 def spread(big: DataFrame, few: DataFrame, on: str, hot: DataFrame, salt: Column) -> DataFrame:
     """big joined with few on a key that hot rows may crowd: those of the keys in hot are dealt to SALTS tasks by salt."""
-    if not hot.take(1):
-        return big.join(few, on)
     hot = hot.select(on).withColumn("_hot", F.lit(True))
-    if small(hot):
+    n = hot.count()
+    if not n:
+        return big.join(few, on)
+    if n * row_bytes(hot) <= BROADCAST_BYTES:
         hot = F.broadcast(hot)
     big = big.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
     all_ = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

@@ -13,7 +13,7 @@
 
 With 32 bands of 4 minima a pair of similarity 0.8 shares no band with a probability of 5e-8; the signature check lets a
 true pair go with one below 1e-9. Words are hashed with a secret of the run, so no text can be made to collide, and a link
-is confirmed on the words of both whole texts, not on hashes. Buckets, leaders and centres of stars with many rows are
+is confirmed on the words of both whole texts, not on hashes. Buckets and leaders with many rows are
 spread over tasks. A batch of texts to confirm is bounded by TEXT_ROWS rows and by Spark's own bound on its bytes.
 
 Defined results: null and empty texts have empty sets and link with nothing; rows that share a doc_id are one document;
@@ -113,8 +113,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     seen = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = spread(both.where("v > u"), least, "u", least.where(F.col("n") > HOT), F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # rows of two ids; a large star's are split by the adaptive skew join
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("p"), F.col("m"), F.col("u"))
@@ -193,7 +193,7 @@ class _Links:
         pairs = s.put(pairs, "pairs")
         likely = s.put(self._likely(pairs), "likely") if by_signature else pairs
         self.tried.append(pairs)
-        if not likely.take(1):
+        if not likely.count():
             return False
         nodes = s.put(likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
         texts = meet(self.docs, nodes, ["doc_id"], "left_semi").select("doc_id", F.col("text").cast("binary").alias("x"))
@@ -203,7 +203,7 @@ class _Links:
         found = s.put(held.select("a", "b", "x", "y").mapInArrow(_confirm(self.k, self.percent), "a long, b long").distinct(), "links")
         s.drop(nodes, texts)
         self.links.append(found)
-        return bool(found.take(1))
+        return bool(found.count())
 
     @staticmethod
     def _leaders(pairs: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, tex
 
     for _ in range(leader_rounds - 1):
         rest = s.put(apart(), "rest")
-        if not rest.take(1):
+        if not rest.count():
             break
         any_link = links.check(rest.where("comp <> main").select(*ordered("node", "pick")).where("a <> b").distinct())
         s.drop(rest)
@@ -277,7 +277,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, tex
         links.join_up()
     else:
         rest = s.put(apart(), "rest")
-    if rest.take(1):
+    if rest.count():
         nodes = s.put(rest.groupBy("node").agg(F.first("comp").alias("comp"), F.bool_or(F.col("comp") != F.col("main")).alias("outside")), "apart")
         met = prefix_pairs(docs, nodes, words, percent, s, key)
         if links.check(met, by_signature=False):
@@ -307,7 +307,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     twice = s.put(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     s.drop(found)
     kept = meet(docs, gone, ["doc_id"], "left_anti")
-    if twice.take(1):
+    if twice.count():
         once = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
         one = meet(kept, twice, ["doc_id"], "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
         kept = meet(kept, twice, ["doc_id"], "left_anti").unionByName(one)
