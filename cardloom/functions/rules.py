@@ -186,3 +186,61 @@ def recommendation_verdict(baseline: Column, candidate: Column, rubric: Column,
     broken, judged = baseline & ~candidate, F.coalesce(sure & (winner == "baseline"), F.lit(False))
     chosen = F.coalesce(sure & (winner == "candidate"), F.lit(False))
     return {"passed": candidate & ~judged, "regression": broken | judged, "severe_regression": broken & severe, "requires_review": ~(rubric & schema & candidate & chosen)}
+
+
+# ---------------------------------------------------------------- statements and summaries
+
+#: Words with which a statement's small print begins, and from which character on it may be cut.
+SMALL_PRINT = (
+    "most important terms & conditions", "most important terms and conditions", "mitc", "important information for cardholders", "important information", "rights of cardholder", "cardholder agreement", "dispute redressal", "grievance redressal", "branch addresses", "list of branches",
+)
+KEPT_CHARS = 3500
+#: Merchants that tell a line of purchases.
+PURCHASED_AT = ("swiggy", "zomato", "amazon", "flipkart", "uber", "ola", "petrol", "payment received", "paytm", "gpay", "phonepe", "netflix", "spotify", "interest charged", "finance charge")
+
+
+def states_purchase(line: Column) -> Column:
+    """Whether a line of 15 to 200 characters has an amount, and a date or a merchant."""
+    low = F.lower(F.trim(line))
+    amount = low.rlike(r"(₹|\brs\b\.?|\binr\b) *[0-9]") | low.rlike(r"\b[0-9,]+\.[0-9]{2} *(cr|dr|c|d)\b")
+    date = low.rlike(r"\b[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{2,4}\b") | low.rlike(r"\b[0-9]{2} +(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* +[0-9]{2,4}\b")
+    return F.length(low).between(15, 200) & amount & (date | low.rlike("|".join(PURCHASED_AT)))
+
+
+def pruned(text: Column) -> Column:
+    """A statement without its small print: cut at the first of its words behind KEPT_CHARS characters after which no purchase comes."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(text, "\n+", "\n"), " {2,}", " "))
+    lines = F.split(t, "\n", -1)
+    last = F.array_max(F.filter(F.transform(lines, lambda x, i: F.when(states_purchase(x), i)), lambda i: i.isNotNull()))
+    start = F.greatest(F.lit(KEPT_CHARS + 1), F.coalesce(F.length(F.array_join(F.slice(lines, F.lit(1), last + 1), "\n")), F.lit(0)))
+    words = "|".join(w.replace("&", "\\&") for w in SMALL_PRINT)
+    at = F.regexp_instr(F.lower(F.substring(t, start + 1, F.length(t))), F.lit(words))
+    return F.when(at > 0, F.substring(t, F.lit(1), start + at - 1)).otherwise(t)
+
+
+#: Members that a run's summary may keep, by what they must be.
+SUMMARY = {
+    "flag": ("reused_staging", "material_proposal", "successful_no_change", "crawl_complete", "raw_body_stored", "evidence_passed", "idempotency_passed", "retry_scheduled", "lease_expired", "pilot_qualified"),
+    "count": ("source_documents", "proposals", "additions", "modifications", "possible_removals", "retirement_eligible_removals", "suppressed_removal_count", "conflicts", "unsafe_mutation_count", "approved_count", "retired_count", "rejected_count", "retained_count"),
+    "digest": ("source_manifest_hash", "canonical_benefit_hash"), "id": ("run_id",), "word": ("quarantine_reason",), "disposition": ("proposal_disposition",), "review": ("review_status",),
+}
+#: Members that an attempt at a source may keep.
+ATTEMPT = {"flag": ("required",), "count": ("http_status", "redirect_count", "content_length"), "digest": ("content_hash", "resource_identity_hash"), "word": ("status", "error_code", "role")}
+#: What a member must look like: its type in JSON and its text.
+KINDS = {
+    "flag": ("BOOLEAN", "true|false"), "count": ("BIGINT", "[0-9]{1,9}"), "digest": ("STRING", "[0-9a-f]{64}"), "id": ("STRING", "[0-9a-f-]{1,64}"), "word": ("STRING", "[a-z0-9_]{1,64}"),
+    "disposition": ("STRING", "material|removal_review|no_change|incomplete"), "review": ("STRING", "approved|rejected"),
+}
+
+
+def sanitised(json: Column, members: dict[str, tuple[str, ...]]) -> Column:
+    """The JSON object with those members alone that are allowed and look as they must, in order of their names."""
+    v = F.try_parse_json(json)
+    kept = []
+    for name, kind in sorted((n, k) for k, names in members.items() for n in names):
+        type_, shape = KINDS[kind]
+        own = F.try_variant_get(v, f"$.{name}", "variant")
+        text = F.try_variant_get(v, f"$.{name}", "string")
+        ok = (F.schema_of_variant(own) == type_) & text.rlike(f"^(?:{shape})$")
+        kept.append(F.when(ok, F.concat(F.lit(f'"{name}":'), F.concat(F.lit('"'), text, F.lit('"')) if type_ == "STRING" else text)))
+    return F.concat(F.lit("{"), F.concat_ws(",", *kept), F.lit("}"))

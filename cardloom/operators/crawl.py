@@ -170,3 +170,31 @@ def offer_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     for name, p in reversed(patterns):
         kind, value = F.when(F.col("line").rlike(p), F.lit(name)).otherwise(kind), F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)).otherwise(value)
     return lines.select(id_col, "line_no", kind.alias("kind"), value.alias("value")).where("kind IS NOT NULL")
+
+
+#: What blocks a pilot's jobs from being promoted, and the flag of a job that must hold.
+PILOT_FLAGS = {
+    "pilot_safety_metadata_invalid": "safety_valid", "pilot_computed_evidence_invalid": "evidence_valid", "deterministic_replay_failed": "replay_passed", "side_effect_proof_failed": "side_effects_passed", "pilot_crawl_incomplete": "crawl_complete", "pilot_source_mismatch": "source_valid",
+}
+#: The same for counts that must be zero.
+PILOT_COUNTS = {"pilot_suppressed_removals": "suppressed", "pilot_conflict_unresolved": "conflicts", "unsafe_mutation": "unsafe"}
+
+
+def pilot_gate(jobs: DataFrame, group: str, profiles: tuple[str, ...] = PROFILES, least: int = 3) -> DataFrame:
+    """(group, status, blockers) of each pilot: not started, running while too few jobs are in it, blocked with its reasons, or passed.
+
+    jobs: (group, promoted, profile, issuer, the flags and counts): jobs of pilots, promoted or not.
+    """
+    n = len(profiles)
+    bad = {name: F.max(~F.coalesce(F.col(c), F.lit(False))) for name, c in PILOT_FLAGS.items()} | {name: F.max(F.coalesce(F.col(c), F.lit(-1)) != 0) for name, c in PILOT_COUNTS.items()}
+    known = F.col("profile").isin(*profiles)
+    issuer = F.when(F.trim("issuer") != "", F.lower(F.trim("issuer")))
+    seen = jobs.groupBy(group).agg(
+        F.count("*").alias("jobs"), F.count_if("promoted").alias("promoted"), F.count_if(known).alias("known"), F.count_distinct(F.when(known, F.col("profile"))).alias("profiles"), F.count_distinct(issuer).alias("issuers"), *[c.alias(name) for name, c in bad.items()])
+    cohort = [F.when((F.col("jobs") != n) | (F.col("known") != n) | (F.col("profiles") != n), F.lit("pilot_profile_coverage")), F.when(F.col("issuers") < least, F.lit("pilot_issuer_diversity"))]
+    reasons = F.array_compact(F.array(*cohort, *[F.when(F.col(name), F.lit(name)) for name in bad]))
+    one = lambda x: F.array(F.lit(x))
+    handed = (F.col("promoted") == n) & (F.col("jobs") == n)
+    blockers = F.when(F.col("jobs") == 0, one("pilot_not_started")).when(F.col("jobs") < n, one("pilot_incomplete")).when((F.col("promoted") > 0) & ~handed, one("pilot_job_count")).otherwise(reasons)
+    status = F.when(F.col("jobs") == 0, F.lit("not_started")).when(F.col("jobs") < n, F.lit("running")).when((F.col("promoted") > 0) & ~handed, F.lit("blocked")).when(F.size(reasons) > 0, F.lit("blocked")).otherwise(F.lit("passed"))
+    return seen.select(group, status.alias("status"), F.array_join(blockers, ",").alias("blockers"))

@@ -163,3 +163,57 @@ def benefits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     may = lines.where(F.col("line").rlike(r"(?i)(point|cashback|waiv|%|lounge|golf|concierge|mile|cover|buy|bogo|reversal|worth)"))
     read = read_terms(may, "line").select(id_col, "line_no", benefit().alias("b"))
     return read.where("b IS NOT NULL").select(id_col, "line_no", "b.*")
+
+
+# ---------------------------------------------------------------- benefits over several lines, and what they come to
+
+#: Words with which a clause of its own begins.
+OPENINGS = ("earn", "enjoy", "buy", "avail", "complimentary", "welcome", "annual", "fuel", "insurance", "concierge")
+#: Lines behind one that may belong to it.
+REACH = 6
+
+
+def clause(i: Column, arr: str, reach: int = REACH) -> Column:
+    """The line at place i with those after it up to the next clause of its own, at most reach of them."""
+    after = F.slice(arr, i + 2, F.lit(reach))
+    opens = F.transform(after, lambda x, j: F.when(said(x).rlike(f"^ (?:{'|'.join(OPENINGS)}) "), j))
+    stop = F.array_min(F.filter(opens, lambda j: j.isNotNull()))
+    return F.concat_ws(" ", F.get(arr, i), F.array_join(F.when(stop.isNull(), after).otherwise(F.slice(after, F.lit(1), stop)), " "))
+
+
+def document_benefits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """benefits, and those that a line begins and the lines after it complete: a pair or milestone whose terms follow, a discount
+    whose limit does. (id, line_no, the terms)."""
+    rows = docs.select(id_col, F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("arr"))
+    lines = rows.select(id_col, "arr", F.posexplode("arr").alias("line_no", "line"))
+    form = said(F.col("line"))
+    lead = form.rlike(r" (?:bogo|buy 1|milestone|every spend|percent off|percent discount)(?= )")
+    may = lines.where(lead | F.col("line").rlike(r"(?i)(point|cashback|waiv|%|lounge|golf|concierge|mile|cover|worth)"))
+    may = may.withColumn("whole", F.when(lead, clause(F.col("line_no"), "arr")))
+    alone = read_terms(settled(may.select(id_col, "line_no", "line", "whole")), "line").select(id_col, "line_no", "whole", benefit().alias("one"))
+    open_ = F.col("one").isNull() | (F.col("one.value_type") == "percent_discount") & F.col("one.cap").isNull()
+    both = read_terms(settled(alone.withColumn("text", F.when(open_, F.col("whole")))), "text").select(id_col, "line_no", "one", benefit().alias("more"))
+    chosen = F.when(F.col("one").isNull() | F.col("more.cap").isNotNull(), F.coalesce("more", "one")).otherwise(F.col("one"))
+    return both.select(id_col, "line_no", chosen.alias("b")).where("b IS NOT NULL").select(id_col, "line_no", "b.*")
+
+
+#: Lines that only look like an offer: questions, refusals, limits and headings.
+NO_OFFER = (
+    r"^(q ?[0-9]* )?(what|which|how|when|where|why|can|will|does|is|are) .*\?\s*$", r"\b(not|never) (eligible|applicable|qualify|qualifies)\b", r"\b(not included in|excluded from|ineligible for)\b", r"\b(transaction amounting|capping reached)\b",
+    r"^capping (for|of)\b", r"^[0-9.]+ ?[x×] reward points?\s*$", r"^[0-9.]+ ?% cashback *[:.]?\s*$", r"^earlier,", r"\b(are|is) (stated|listed|provided) (as|below)\b", r"\b(categories|category codes?|mccs?|merchants?)\b.*\b(detailed|identified|listed|stated)\b",
+)
+
+
+def projected(found: DataFrame, card: str, url: str, excerpt: str) -> DataFrame:
+    """(card, value_type, subject, the terms, pages): observations of offers without lines that are none, those of one subject whose
+    terms agree put together; of each the terms of its strongest observation, the one that knows most."""
+    from cardloom.functions.rules import offer_subject
+    from cardloom.operators.cluster import TERMS as KNOWN, clusters
+
+    low = F.lower(F.col(excerpt))
+    rows = found.where(~low.rlike("|".join(NO_OFFER)))
+    rows = rows.withColumns({"subject": offer_subject(F.col("category"), F.col("value_type"), F.col(excerpt)), "strength": F.size(F.array_compact(F.array(*[F.col(t).cast("string") for t in KNOWN])))})
+    key = [card, "value_type", "subject"]
+    placed = clusters(rows.select(*key, F.col(url).alias("url"), "strength", *KNOWN), key)
+    named = rows.select(*key, F.col(url).alias("url"), *KNOWN).join(placed, [*key, "url"])
+    return named.groupBy(*key, "cluster").agg(*[F.min(F.when(F.col("strongest"), F.col(t))).alias(t) for t in KNOWN], F.count_distinct("url").alias("pages")).drop("cluster")

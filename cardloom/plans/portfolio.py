@@ -262,3 +262,77 @@ def dom45_jobs_list(spark, sf_dir):
     rows = view(spark, sf_dir, "jobs").select("id", "status", "attempt_count", F.coalesce("lease_expires_at", "created_at").alias("updated_at"))
     action = F.when((F.col("status") == "failed") & (F.col("attempt_count") < 3), F.lit("retry")).when(F.col("status") == "failed", F.lit("review")).otherwise(F.lit("none"))
     return rows.orderBy(F.desc("updated_at"), F.desc("id")).limit(100).select("id", "status", "updated_at", action.alias("action"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 3800 WHEN 1 THEN 3800 + length(' MITC here 11-08-2001 SWIGGY order Rs. 120.50 paid x') + 1 WHEN 2 THEN 50 + length(' mitc ' || p_name) ELSE 3800 + length(' ' || p_name) END AS kept FROM part""")
+def str25_pruned(spark, sf_dir):
+    """How much of statements is left without their small print."""
+    body = F.repeat(F.lit("ab cd "), 633)  # 3,798 characters
+    body = F.concat(body, F.lit("zz"))
+    line = F.lit("11-08-2001 SWIGGY order Rs. 120.50 paid x")
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    text = (
+        F.when(k == 0, F.concat(body, F.lit("MITC and  more of it"))).when(k == 1, F.concat(body, F.lit("\n\nMITC here\n"), line, F.lit("\nList of branches: "), name))
+        .when(k == 2, F.concat(F.substring(body, 1, 48), F.lit("zz mitc "), name)).otherwise(F.concat(body, F.lit(" "), name))
+    )
+    return view(spark, sf_dir, "part").select("p_partkey", F.length(R.pruned(text)).alias("kept"))
+
+
+@query("""SELECT p_partkey, '{' || CASE WHEN p_size < 48 THEN '"additions":' || p_size || ',' ELSE '' END || '"crawl_complete":true' || CASE WHEN p_partkey % 2 = 0 THEN ',"quarantine_reason":"why_' || p_partkey || '"' ELSE '' END || ',"source_manifest_hash":"' || sha256(p_name) || '"}' AS summary FROM part""")
+def jsn9_sanitised_summary(spark, sf_dir):
+    """Summaries with what they may keep."""
+    k = F.col("p_partkey")
+    made = F.concat(
+        F.lit('{"token":"x","crawl_complete":true,"raw_body_stored":"true","proposals":"7","review_status":"odd","additions":'), F.when(F.col("p_size") < 48, F.col("p_size").cast("string")).otherwise(F.lit("1.5")),
+        F.lit(',"source_manifest_hash":"'), F.sha2("p_name", 256), F.lit('","canonical_benefit_hash":"AB","quarantine_reason":"'), F.when(k % 2 == 0, F.concat(F.lit("why_"), k.cast("string"))).otherwise(F.lit("Not so")), F.lit('"}'))
+    return view(spark, sf_dir, "part").select("p_partkey", R.sanitised(made, R.SUMMARY).alias("summary"))
+
+
+@query("""SELECT page_id, '{' || CASE WHEN error_code IS NOT NULL THEN '"error_code":"' || error_code || '",' ELSE '' END || '"http_status":' || http_status || ',"required":' || CASE WHEN required THEN 'true' ELSE 'false' END || ',"status":"' || status || '"}' AS attempt FROM attempts""")
+def jsn10_sanitised_attempt(spark, sf_dir):
+    """Attempts at sources with what they may keep."""
+    rows = view(spark, sf_dir, "attempts")
+    made = F.to_json(F.struct("status", "http_status", "required", "error_code", "url", F.lit("secret").alias("headers"), F.lit(-1).alias("redirect_count")))
+    return rows.select("page_id", R.sanitised(made, R.ATTEMPT).alias("attempt"))
+
+
+@query("""SELECT p_partkey, l.no AS line_no, CASE l.no WHEN 1 THEN 'percent_discount' WHEN 3 THEN 'bogo' ELSE 'lounge_access' END AS value_type, CASE l.no WHEN 3 THEN 100.0 * (p_size + 1) WHEN 6 THEN CAST(p_size AS DOUBLE) END AS value, CASE l.no WHEN 1 THEN CAST(p_size AS DOUBLE) END AS rate, CASE WHEN l.no = 1 AND p_partkey % 2 = 0 THEN 300.0 END AS cap
+FROM part, (VALUES (1), (3), (6)) AS l(no) WHERE l.no <> 3 OR p_partkey % 3 > 0""")
+def dom19_document_benefits(spark, sf_dir):
+    """Benefits whose terms stand on several lines."""
+    from cardloom.operators.extraction import document_benefits
+
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    text = F.concat(
+        F.lit("About the card\n\n"), n, F.lit("% off at dining places\n"), F.when(k % 2 == 0, F.lit("maximum of Rs. 300\n")).otherwise(F.lit("on all days\n")), F.lit("Buy one cinema ticket and get one free\n"),
+        F.when(k % 3 == 0, F.lit("Enjoy the show\ncapped at Rs. 5, twice\n")).otherwise(F.concat(F.lit("valid twice per month\ncapped at Rs. "), n, F.lit("00 and Rs. 1\n"))), F.lit("Complimentary lounge: "), n, F.lit(" visits\n"))
+    text = F.regexp_replace(text, F.concat(F.lit("capped at Rs. "), n, F.lit("00")), F.concat(F.lit("capped at Rs. "), ((F.col("p_size") + 1) * 100).cast("string")))
+    return document_benefits(view(spark, sf_dir, "part").select("p_partkey", text.alias("t")), "p_partkey", "t").select("p_partkey", "line_no", "value_type", "value", "rate", "cap")
+
+
+@query("""WITH x AS (SELECT p_partkey % 50 AS card_id, p_partkey, p_size % 3 AS c FROM part WHERE p_partkey % 7 > 1) SELECT card_id, 'cashback' AS value_type, 'cashback:cashback:' || CASE WHEN card_id % 2 = 0 THEN 'fuel' ELSE 'dining' END AS subject, CAST(5 + c AS DOUBLE) AS rate, CAST(100 AS DOUBLE) AS cap, count(*) AS pages FROM x GROUP BY card_id, c""")
+def dom20_projected_offers(spark, sf_dir):
+    """What the lines of many pages come to, card by card."""
+    from cardloom.operators.extraction import benefits, projected
+
+    k = F.col("p_partkey")
+    line = F.concat((F.col("p_size") % 3 + 5).cast("string"), F.lit("% cashback on "), F.when(k % 50 % 2 == 0, F.lit("fuel")).otherwise(F.lit("dining")), F.lit(" spends, capped at Rs. 100"))
+    line = F.when(k % 7 == 0, F.concat(F.lit("Earlier, "), line)).when(k % 7 == 1, F.concat(line, F.lit(" is not eligible"))).otherwise(line)
+    part = view(spark, sf_dir, "part").select((k % 50).alias("card_id"), F.concat(F.lit("https://h/"), k.cast("string")).alias("url"), line.alias("line"))
+    found = benefits(part, "url", "line").join(part, "url")
+    return projected(found, "card_id", "url", "line").select("card_id", "value_type", "subject", "rate", "cap", "pages")
+
+
+@query("""SELECT g, CASE WHEN n < 5 THEN 'running' WHEN g % 4 = 1 THEN 'blocked' WHEN g % 5 = 0 OR g % 7 = 0 THEN 'blocked' ELSE 'passed' END AS status,
+CASE WHEN n < 5 THEN 'pilot_incomplete' WHEN g % 4 = 1 THEN 'pilot_job_count' ELSE concat_ws(',', CASE WHEN g % 5 = 0 THEN 'pilot_issuer_diversity' END, CASE WHEN g % 7 = 0 THEN 'pilot_crawl_incomplete' END, CASE WHEN g % 7 = 0 THEN 'unsafe_mutation' END) END AS blockers
+FROM (SELECT g, count(*) AS n FROM (SELECT p_partkey - p_partkey % 5 AS k, (p_partkey - p_partkey % 5) / 5 AS g FROM part) GROUP BY g)""")
+def dom33_pilot_gate(spark, sf_dir):
+    """Pilots that may be promoted, and what holds others back."""
+    from cardloom.operators import crawl as W
+
+    k = F.col("p_partkey")
+    g = ((k - k % 5) / 5)
+    rows = view(spark, sf_dir, "part").select(
+        g.alias("g"), ((g % 4 == 0) | (g % 4 == 1) & (k % 5 < 2)).alias("promoted"), F.get(F.array(*[F.lit(p) for p in W.PROFILES]), (k % 5).cast("int")).alias("profile"), F.concat(F.lit("i"), F.when(g % 5 == 0, k % 2).otherwise(k % 4).cast("string")).alias("issuer"),
+        *[F.lit(True).alias(c) for c in ("safety_valid", "evidence_valid", "replay_passed", "side_effects_passed", "source_valid")], (g % 7 != 0).alias("crawl_complete"), F.lit(0).alias("suppressed"), F.lit(0).alias("conflicts"), F.when(g % 7 == 0, 1).otherwise(0).alias("unsafe"))
+    return W.pilot_gate(rows, "g")
