@@ -15,12 +15,34 @@ def at_path(variant: Column, path: str) -> tuple[Column, Column]:
     return value.isNotNull(), F.to_json(value)
 
 
-def held(operator: Column, found: Column, actual: Column, wanted: Column, whole: Column, claim: Column) -> Column:
-    """Whether an assertion holds of an output. actual and wanted are JSON texts; whole is the output's text."""
-    a, w = actual.try_cast("double"), wanted.try_cast("double")
-    return F.coalesce(
-        F.when(operator.isin("equals", "catalog_id"), found & (actual == wanted)).when(operator == "money", found & (F.abs(a - w) <= TOLERANCE + 1e-12))
-        .when(operator == "must_not_exist", ~found).when(operator == "must_not_claim", ~F.contains(F.lower(whole), F.lower(claim))), F.lit(False))
+def holds(operator: str, variant: Column, path: str, wanted: Column | None = None, whole: Column | None = None, claims: tuple[str, ...] = ()) -> Column:
+    """Whether an assertion holds of an output: the value at a path equals what is wanted (equals, catalog_id, benefit: JSON in order
+    of its keys), is as much money, has it once among its entries, is not there, or the output makes none of the claims."""
+    found, actual = at_path(variant, path)
+    if operator in ("equals", "catalog_id", "benefit"):
+        ok = found & (actual == wanted)
+    elif operator == "money":
+        ok = found & (F.abs(actual.try_cast("double") - wanted.try_cast("double")) <= TOLERANCE + 1e-12)
+    elif operator == "exactly_once":
+        entries = F.coalesce(F.try_variant_get(variant, path, "array<variant>"), F.array(F.try_variant_get(variant, path, "variant")))
+        ok = found & (F.size(F.filter(entries, lambda e: F.to_json(e) == wanted)) == 1)
+    elif operator == "must_not_exist":
+        ok = ~found
+    elif operator == "must_not_claim":
+        ok = F.lit(True)
+        for c in claims:
+            ok = ok & ~F.contains(F.lower(F.coalesce(actual, whole)), F.lit(c.lower()))
+    else:
+        raise ValueError(f"no assertion {operator}")
+    return F.coalesce(ok, F.lit(False))
+
+
+def asserted(rows: DataFrame, assertions: list[tuple], baseline: str, candidate: str) -> DataFrame:
+    """rows once for each assertion (operator, path, wanted, claims), with op, baseline, candidate and severe; each path is read once
+    for each output, before the rows are multiplied. baseline, candidate: columns of JSON texts."""
+    read = rows.withColumns({"_b": F.try_parse_json(baseline), "_c": F.try_parse_json(candidate)})
+    each = [F.struct(F.lit(o).alias("op"), holds(o, F.col("_b"), p, w, F.col(baseline), c).alias("baseline"), holds(o, F.col("_c"), p, w, F.col(candidate), c).alias("candidate"), F.lit(o in SEVERE).alias("severe")) for o, p, w, c in assertions]
+    return read.select(*rows.columns, F.array(*each).alias("_a")).select(*rows.columns, F.inline("_a"))
 
 
 def verdicts(scored: DataFrame, case: str) -> DataFrame:

@@ -23,33 +23,29 @@ def agg23_run_histogram(spark, sf_dir):
     return histogram(view(spark, sf_dir, "eval_results"), "feature_key", "status")
 
 
-_FIX = """f AS (SELECT event_id, user_id, '{"a":{"amount":' || CAST(value AS VARCHAR) || ',"id":"c' || user_id % 7 || '"},"kind":"' || event_type || '"}' AS base, '{"a":{"amount":' || CAST(CASE WHEN event_id % 5 = 0 THEN value + 1 ELSE value END AS VARCHAR) || ',"id":"c' || CASE WHEN event_id % 11 = 0 THEN 9 ELSE user_id % 7 END || '"},"kind":"' || event_type || '"}' AS cand, value, event_type FROM events),
-r AS (SELECT event_id, o.op, o.sev, CASE o.op WHEN 'money' THEN abs(CAST(json_extract(b, '$.a.amount') AS DOUBLE) - value) <= 0.01 + 1e-12 WHEN 'catalog_id' THEN json_extract_string(b, '$.a.id') = 'c' || user_id % 7 WHEN 'must_not_claim' THEN NOT contains(lower(b), 'error') ELSE json_extract(b, '$.missing') IS NULL END AS baseline,
-  CASE o.op WHEN 'money' THEN abs(CAST(json_extract(c, '$.a.amount') AS DOUBLE) - value) <= 0.01 + 1e-12 WHEN 'catalog_id' THEN json_extract_string(c, '$.a.id') = 'c' || user_id % 7 WHEN 'must_not_claim' THEN NOT contains(lower(c), 'error') ELSE json_extract(c, '$.missing') IS NULL END AS candidate
-  FROM (SELECT *, base AS b, cand AS c FROM f) x, (VALUES ('money', true), ('catalog_id', true), ('must_not_claim', true), ('must_not_exist', true)) AS o(op, sev))"""
+#: Two outputs of the events as JSON: what the second has wrong hangs on event_id.
+_OUTPUT = """'{{"a":{{"amount":' || CAST({amount} AS STRING) || ',"id":"c' || CAST({id} AS STRING) || '"}},"b":{{"rate":' || CAST({rate} AS STRING) || ',"type":"t"}},"kind":"' || {kind} || '","list":[' || CAST({once} AS STRING) || ',1]}}'"""
+_BASE = _OUTPUT.format(amount="value", id="user_id % 7", rate="event_id % 3", kind="event_type", once="event_id % 2")
+_CAND = _OUTPUT.format(
+    amount="CASE WHEN event_id % 5 = 0 THEN value + 1 ELSE value END", id="CASE WHEN event_id % 11 = 0 THEN 9 ELSE user_id % 7 END", rate="CASE WHEN event_id % 13 = 0 THEN 7 ELSE event_id % 3 END", kind="CASE WHEN event_id % 17 = 0 THEN 'an ERROR' ELSE event_type END", once="CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END",
+)
+_OPS = ("equals", "money", "catalog_id", "benefit", "exactly_once", "must_not_claim", "must_not_exist")
+_HOLDS = """CASE o.op WHEN 'equals' THEN json_extract_string({j}, '$.kind') = event_type WHEN 'money' THEN abs(CAST(json_extract({j}, '$.a.amount') AS DOUBLE) - value) <= 0.01 + 1e-12 WHEN 'catalog_id' THEN json_extract_string({j}, '$.a.id') = 'c' || user_id % 7
+  WHEN 'benefit' THEN CAST(json_extract({j}, '$.b.rate') AS BIGINT) = event_id % 3 AND json_extract_string({j}, '$.b.type') = 't' WHEN 'exactly_once' THEN CAST(json_extract({j}, '$.list[0]') AS BIGINT) <> 1 WHEN 'must_not_claim' THEN NOT contains(lower({j}), 'error') ELSE json_extract({j}, '$.missing') IS NULL END"""
+_FIX = f"""f AS (SELECT event_id, user_id, value, event_type, {_BASE} AS b, {_CAND} AS c FROM events),
+r AS (SELECT event_id, o.op, o.op NOT IN ('equals', 'exactly_once') AS sev, {_HOLDS.format(j='b')} AS baseline, {_HOLDS.format(j='c')} AS candidate FROM f, (VALUES {", ".join(f"('{o}')" for o in _OPS)}) AS o(op))"""
 
 
 def _assertions(spark, sf_dir):
-    """Four assertions of each of two outputs, made of the events."""
+    """Seven assertions, one of each operator, of each of two outputs."""
     k, v = F.col("event_id"), F.col("value")
-
-    def output(amount, ident):
-        return F.concat(F.lit('{"a":{"amount":'), amount.cast("string"), F.lit(',"id":"c'), ident.cast("string"), F.lit('"},"kind":"'), F.col("event_type"), F.lit('"}'))
-
-    rows = view(spark, sf_dir, "events").select("event_id", "user_id", "value", output(v, F.col("user_id") % 7).alias("b"), output(F.when(k % 5 == 0, v + 1).otherwise(v), F.when(k % 11 == 0, F.lit(9)).otherwise(F.col("user_id") % 7)).alias("c"))
-    rows = rows.withColumns({"bv": F.try_parse_json("b"), "cv": F.try_parse_json("c"), "op": F.explode(F.array(*[F.lit(o) for o in ("money", "catalog_id", "must_not_claim", "must_not_exist")]))})
-    path = {"money": "$.a.amount", "catalog_id": "$.a.id", "must_not_claim": "$", "must_not_exist": "$.missing"}
-    op = F.col("op")
-    wanted = F.when(op == "money", v.cast("string")).when(op == "catalog_id", F.concat(F.lit('"c'), (F.col("user_id") % 7).cast("string"), F.lit('"')))
-
-    def holds(variant, text):
-        found, actual = F.lit(False), F.lit(None).cast("string")
-        for o, p in path.items():
-            f, a = E.at_path(F.col(variant), p)
-            found, actual = F.when(op == o, f).otherwise(found), F.when(op == o, a).otherwise(actual)
-        return E.held(op, found, actual, wanted, F.col(text), F.lit("error"))
-
-    return rows.select("event_id", "op", holds("bv", "b").alias("baseline"), holds("cv", "c").alias("candidate"), op.isin(*E.SEVERE).alias("severe"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    rows = view(spark, sf_dir, "events").selectExpr("event_id", "user_id", "value", "event_type", f"{_BASE} AS b", f"{_CAND} AS c")
+    wanted = [
+        ("equals", "$.kind", quoted(F.col("event_type")), ()), ("money", "$.a.amount", v.cast("string"), ()), ("catalog_id", "$.a.id", quoted(F.concat(F.lit("c"), (F.col("user_id") % 7).cast("string"))), ()),
+        ("benefit", "$.b", F.concat(F.lit('{"rate":'), (k % 3).cast("string"), F.lit(',"type":"t"}')), ()), ("exactly_once", "$.list", F.lit("1"), ()), ("must_not_claim", "$", None, ("Error",)), ("must_not_exist", "$.missing", None, ()),
+    ]
+    return E.asserted(rows, wanted, "b", "c").select("event_id", "op", "baseline", "candidate", "severe")
 
 
 @query(f"WITH {_FIX} SELECT event_id, op, baseline, candidate FROM r")

@@ -233,8 +233,7 @@ def test_assertions_and_verdicts(spark):
     v = F.try_parse_json(F.col("x"))
 
     def check(op, path, wanted, x, claim=""):
-        found, actual = evals.at_path(v, path)
-        return value(spark, evals.held(F.lit(op), found, actual, F.lit(wanted), F.col("x"), F.lit(claim)), x=x)
+        return value(spark, evals.holds(op, v, path, F.lit(wanted), F.col("x"), (claim,)), x=x)
 
     x = '{"a":{"n":10.005,"z":null},"t":"No Fees"}'
     assert check("money", "$.a.n", "10", x) and not check("money", "$.a.n", "9", x) and not check("money", "$.b", "9", x)
