@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from cardloom.plans.register import query
-from cardloom.sources.tables import view
 from cardloom.streaming import replay as R
 
 
@@ -18,10 +17,9 @@ def stm1_rate_windows(spark, sf_dir):
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS recent, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) <= 10 AS allowed FROM events")
 def stm2_sliding(spark, sf_dir):
-    """Requests of a user in the hour up to each request."""
-    rows = view(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
-    hour = Window.partitionBy("user_id").orderBy("at").rangeBetween(-3_600_000_000, 0)
-    return rows.withColumn("recent", F.count("*").over(hour)).select("event_id", "recent", (F.col("recent") <= 10).alias("allowed"))
+    """Requests of a user in the hour up to each request, as they stream in."""
+    out = R.run(R.sliding(R.source(spark, sf_dir, "events")), "append")
+    return out.select("event_id", "recent", (F.col("recent") <= 10).alias("allowed"))
 
 
 @query("WITH k AS (SELECT user_id, event_type, max(event_id) AS id FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type || '@' || id, ',' ORDER BY id DESC) AS entries FROM k GROUP BY user_id")

@@ -80,3 +80,28 @@ def histories(events: DataFrame, most: int = KEPT) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "entries": [",".join(f"{k}@{n}" for k, n in kept)]})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, entries string", "kinds array<string>, ids array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def sliding(events: DataFrame, span_us: int = 3_600_000_000) -> DataFrame:
+    """(event_id, recent): of each event how many of its user's came in the span up to it, itself and those of its instant included.
+
+    A stream in order of time, as a log is: the state of a user is the instants of the last span, no more.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, batches: Iterator, state: GroupState):
+        import numpy as np
+        import pandas as pd
+
+        held = np.array(state.get[0] if state.exists else [], dtype="int64")
+        for b in batches:
+            b = b.sort_values("at", kind="stable")
+            at = b["at"].to_numpy()
+            every = np.sort(np.concatenate([held, at]))
+            recent = np.searchsorted(every, at, "right") - np.searchsorted(every, at - span_us, "left")
+            held = every[every >= every[-1] - span_us]
+            yield pd.DataFrame({"event_id": b["event_id"].to_numpy(), "recent": recent})
+        state.update((held.tolist(),))
+
+    rows = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, recent long", "at array<long>", "append", GroupStateTimeout.NoTimeout)
