@@ -56,3 +56,54 @@ def hide_secrets(text: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def without_secret_urls(texts: pd.Series) -> pd.Series:
     return texts.map(hide_secrets, na_action=None)
+
+
+# ---------------------------------------------------------------- text of PDF files
+
+#: A longer document is cut after so many pages and characters.
+MOST_PAGES, MOST_CHARS = 64, 1_000_000
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\bT[dDm*]|\bT[jJ]|\bET\b|['\"](?=\s)", re.DOTALL)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _literal(token: bytes) -> str:
+    if token.startswith(b"<"):
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+        return raw.decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
+    raw = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.DOTALL)
+    return raw.decode("latin-1")
+
+
+def pdf_text(data: bytes | None) -> str | None:
+    """What a PDF's content streams show, a line for each that they begin; null for what is no PDF. Fonts with encodings of their own
+    and encrypted files are not read."""
+    import zlib
+
+    if data is None or not data.startswith(b"%PDF"):
+        return None
+    pages: list[str] = []
+    for m in re.finditer(rb"<<(?P<head>.*?)>>\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", data, re.DOTALL):
+        body = m["body"]
+        if b"/FlateDecode" in m["head"]:
+            try:
+                body = zlib.decompressobj().decompress(body, 16 * MOST_CHARS)
+            except zlib.error:
+                continue
+        if not re.search(rb"\bBT\b", body):
+            continue
+        lines = [""]
+        for token in _SHOWN.findall(body):
+            if token[:1] in b"(<":
+                lines[-1] += _literal(token)
+            elif token in (b"Td", b"TD", b"T*", b"Tm", b"'", b'"', b"ET") and lines[-1]:
+                lines.append("")
+        pages.append("\n".join(x for x in lines if x))
+        if len(pages) == MOST_PAGES:
+            break
+    return "\n".join(pages)[:MOST_CHARS]
+
+
+@F.pandas_udf(StringType())
+def text_of_pdf(files: pd.Series) -> pd.Series:
+    return files.map(pdf_text, na_action=None)

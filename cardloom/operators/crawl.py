@@ -25,16 +25,6 @@ def terminal_attempts(attempts: DataFrame, group: str) -> DataFrame:
     return last.join(clear, group).withColumn("status", F.when(F.col("clear"), F.col("status")))
 
 
-def completeness(attempts: DataFrame, crawl: str, group: str) -> DataFrame:
-    """(crawl, complete, reason): complete if every required source's last attempt succeeded; else the first reason."""
-    last = terminal_attempts(attempts, group)
-    ok = F.coalesce((F.col("status") == "fetched") & F.col("http_status").between(200, 299), F.lit(False))
-    need = F.col("required")
-    flags = last.groupBy(crawl).agg(F.count_if(need).alias("required"), F.count_if(need & ~ok).alias("missing"), F.count_if(~need & (F.col("status") == "blocked")).alias("blocked"))
-    reason = F.when(F.col("required") == 0, F.lit("missing_primary")).when(F.col("missing") > 0, F.lit("required_incomplete")).when(F.col("blocked") > 0, F.lit("fallback_blocked")).otherwise(F.lit("complete"))
-    return flags.select(crawl, (reason == "complete").alias("complete"), reason.alias("reason"))
-
-
 def retirement(observed: DataFrame, key: str, end: Column, now: str) -> DataFrame:
     """(key, eligible, reason) from complete absences (key, observed_at, end_date): a past end date, or two absences seven days apart."""
     today = F.lit(now).cast("date")
@@ -198,3 +188,31 @@ def pilot_gate(jobs: DataFrame, group: str, profiles: tuple[str, ...] = PROFILES
     blockers = F.when(F.col("jobs") == 0, one("pilot_not_started")).when(F.col("jobs") < n, one("pilot_incomplete")).when((F.col("promoted") > 0) & ~handed, one("pilot_job_count")).otherwise(reasons)
     status = F.when(F.col("jobs") == 0, F.lit("not_started")).when(F.col("jobs") < n, F.lit("running")).when((F.col("promoted") > 0) & ~handed, F.lit("blocked")).when(F.size(reasons) > 0, F.lit("blocked")).otherwise(F.lit("passed"))
     return seen.select(group, status.alias("status"), F.array_join(blockers, ",").alias("blockers"))
+
+
+#: Failures of a supporting source that leave a crawl open.
+FALLBACK_FAILURES = ("corrupt_pdf", "empty_shell", "challenge_page", "js_challenge", "identity_mismatch", "identity_ambiguous", "unapproved_query", "invalid_source_url")
+
+
+def crawl_reason(attempts: DataFrame, crawl: str, most: int = KEPT) -> DataFrame:
+    """(crawl, complete, reason) from attempts (crawl, role, source_key, status, http_status, error_code, identity, attempted_at, page_id).
+
+    The first reason that holds, in this order: a source with two final identities, one with too long a history, no primary source
+    or several, an unsuccessful primary one, the failure of a supporting one (the first by key) that must be followed up, an
+    unsuccessful required one. A source's last attempt counts; two at its last instant are none.
+    """
+    key = [crawl, "role", "source_key"]
+    per = attempts.groupBy(*key).agg(F.count_distinct("identity").alias("identities"), F.count("*").alias("n"), F.max_by(F.struct("status", "http_status", "error_code"), F.struct("attempted_at", "page_id")).alias("last"), F.max("attempted_at").alias("at"))
+    ties = attempts.groupBy(*key, "attempted_at").agg(F.count("*").alias("same"))
+    per = per.join(ties.withColumnRenamed("attempted_at", "at"), [*key, "at"]).withColumn("last", F.when(F.col("same") == 1, F.col("last")))
+    ok = F.coalesce((F.col("last.status") == "fetched") & F.col("last.http_status").between(200, 299), F.lit(False))
+    role = lambda r: F.col("role") == r
+    failed = role("supporting") & (F.col("last.status") == "failed") & F.col("last.error_code").isin(*FALLBACK_FAILURES)
+    seen = per.groupBy(crawl).agg(
+        F.max("identities").alias("identities"), F.max("n").alias("n"), F.count_if(role("primary")).alias("primaries"), F.count_if(role("primary") & ok).alias("fetched"),
+        F.min_by(F.when(failed, F.col("last.error_code")), F.when(failed, F.col("source_key"))).alias("fallback"), F.count_if(role("required_supporting") & ~ok).alias("lacking"))
+    reason = (
+        F.when(F.col("identities") > 1, F.lit("final_resource_identity_conflict")).when(F.col("n") > most, F.lit("attempt_history_overflow")).when(F.col("primaries") == 0, F.lit("missing_primary")).when(F.col("primaries") > 1, F.lit("multiple_primary"))
+        .when(F.col("fetched") == 0, F.lit("primary_incomplete")).when(F.col("fallback").isNotNull(), F.col("fallback")).when(F.col("lacking") > 0, F.lit("required_supporting_incomplete")).otherwise(F.lit("complete"))
+    )
+    return seen.select(crawl, (reason == "complete").alias("complete"), reason.alias("reason"))

@@ -25,12 +25,22 @@ def win10_terminal_attempt(spark, sf_dir):
     return W.terminal_attempts(view(spark, sf_dir, "attempts"), "source_key").select("source_key", "status", "page_id")
 
 
-@query("""WITH a AS (SELECT *, page_id % 10 AS crawl FROM attempts), l AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY attempted_at DESC, page_id DESC) AS n, count(*) OVER (PARTITION BY source_key) AS c FROM a), d AS (SELECT source_key, count(DISTINCT attempted_at) AS d FROM a GROUP BY source_key),
-t AS (SELECT l.*, CASE WHEN c = d THEN status END AS st FROM l JOIN d USING (source_key) WHERE n = 1),
-f AS (SELECT crawl, count(*) FILTER (WHERE required) AS required, count(*) FILTER (WHERE required AND NOT coalesce(st = 'fetched' AND http_status BETWEEN 200 AND 299, false)) AS missing, count(*) FILTER (WHERE NOT required AND st = 'blocked') AS blocked FROM t GROUP BY crawl),
-r AS (SELECT crawl, CASE WHEN required = 0 THEN 'missing_primary' WHEN missing > 0 THEN 'required_incomplete' WHEN blocked > 0 THEN 'fallback_blocked' ELSE 'complete' END AS reason FROM f) SELECT crawl, reason = 'complete' AS complete, reason FROM r""")
+_ROLES = (
+    "CASE WHEN page_id % 40 < 10 AND page_id % 10 <> 4 OR page_id % 40 = 13 THEN 'primary' WHEN page_id % 40 < 25 THEN 'supporting' ELSE 'required_supporting' END AS role",
+    "CASE WHEN page_id % 10 = 5 THEN page_id % 80 ELSE page_id % 40 END AS identity", "CASE WHEN page_id % 12 = 0 THEN 'empty_shell' ELSE error_code END AS code",
+)
+
+
+@query(f"""WITH a AS (SELECT *, page_id % 10 AS crawl, {', '.join(_ROLES)} FROM attempts), t AS (SELECT crawl, role, source_key, count(DISTINCT identity) AS ids, count(*) AS n, max(attempted_at) AS at FROM a GROUP BY 1, 2, 3),
+l AS (SELECT t.crawl, t.role, t.source_key, t.ids, t.n, count(*) AS same, min(a.status) AS status, min(a.http_status) AS http, min(a.code) AS code FROM t JOIN a ON a.crawl = t.crawl AND a.role = t.role AND a.source_key = t.source_key AND a.attempted_at = t.at GROUP BY 1, 2, 3, 4, 5),
+k AS (SELECT *, same = 1 AND status = 'fetched' AND http BETWEEN 200 AND 299 AS ok, role = 'supporting' AND same = 1 AND status = 'failed' AND code IN ('empty_shell') AS open FROM l),
+g AS (SELECT crawl, max(ids) AS ids, max(n) AS n, count(*) FILTER (WHERE role = 'primary') AS p, count(*) FILTER (WHERE role = 'primary' AND ok) AS f, arg_min(code, source_key) FILTER (WHERE open) AS fallback, count(*) FILTER (WHERE role = 'required_supporting' AND NOT ok) AS lacking FROM k GROUP BY crawl),
+r AS (SELECT crawl, CASE WHEN ids > 1 THEN 'final_resource_identity_conflict' WHEN n > 24 THEN 'attempt_history_overflow' WHEN p = 0 THEN 'missing_primary' WHEN p > 1 THEN 'multiple_primary' WHEN f = 0 THEN 'primary_incomplete' WHEN fallback IS NOT NULL THEN fallback WHEN lacking > 0 THEN 'required_supporting_incomplete' ELSE 'complete' END AS reason FROM g)
+SELECT crawl, reason = 'complete' AS complete, reason FROM r""")
 def dom29_completeness(spark, sf_dir):
-    return W.completeness(view(spark, sf_dir, "attempts").withColumn("crawl", F.col("page_id") % 10), "crawl", "source_key")
+    """Whether crawls are complete, and the first reason why not."""
+    rows = view(spark, sf_dir, "attempts").selectExpr("*", "page_id % 10 AS crawl", *_ROLES).drop("error_code").withColumnRenamed("code", "error_code")
+    return W.crawl_reason(rows, "crawl")
 
 
 @query("""WITH g AS (SELECT card_id, max(CASE WHEN card_id % 5 = 0 THEN DATE '2001-06-15' WHEN card_id % 5 = 1 THEN DATE '2001-12-31' END) AS e, count(DISTINCT observed_at) AS n, min(observed_at) AS f, max(observed_at) AS l FROM observations WHERE crawl_complete GROUP BY card_id),

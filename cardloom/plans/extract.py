@@ -132,7 +132,7 @@ def mth6_confidence(spark, sf_dir):
     return view(spark, sf_dir, "card_catalog").select("id", T.evidence_confidence(k % 3, k % 4 == 0, k % 3 == 0, k % 2 == 0).alias("confidence"))
 
 
-@query()
+@query("SELECT o_orderkey, '2001-08-' || lpad(CAST(o_orderkey % 28 + 1 AS VARCHAR), 2, '0') AS day FROM orders")
 def dt4_recovered_date(spark, sf_dir):
     """Dates that a page break has split, by the description before them; tested on small texts."""
     from cardloom.functions.recover import recovered_date
@@ -143,7 +143,7 @@ def dt4_recovered_date(spark, sf_dir):
     return rows.select("o_orderkey", recovered_date(text, F.concat(F.lit("corner shop "), k.cast("string")), F.lit("2001-09-01").cast("date")).cast("string").alias("day"))
 
 
-@query()
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 AND regexp_matches(url, '(?i)^https?:') THEN '[redacted-url]' WHEN page_id % 5 = 0 THEN url || '&to%256ben=1' ELSE url END AS url FROM pages")
 def str22_secret_urls(spark, sf_dir):
     """Page urls with those hidden that carry a secret."""
     from cardloom.functions.recover import without_secret_urls

@@ -336,3 +336,25 @@ def dom33_pilot_gate(spark, sf_dir):
         g.alias("g"), ((g % 4 == 0) | (g % 4 == 1) & (k % 5 < 2)).alias("promoted"), F.get(F.array(*[F.lit(p) for p in W.PROFILES]), (k % 5).cast("int")).alias("profile"), F.concat(F.lit("i"), F.when(g % 5 == 0, k % 2).otherwise(k % 4).cast("string")).alias("issuer"),
         *[F.lit(True).alias(c) for c in ("safety_valid", "evidence_valid", "replay_passed", "side_effects_passed", "source_valid")], (g % 7 != 0).alias("crawl_complete"), F.lit(0).alias("suppressed"), F.lit(0).alias("conflicts"), F.when(g % 7 == 0, 1).otherwise(0).alias("unsafe"))
     return W.pilot_gate(rows, "g")
+
+
+@query("""SELECT p_partkey, p_name || chr(10) || 'size ' || p_size AS text FROM part""")
+def src15_pdf_text(spark, sf_dir):
+    """Text of PDF files made of parts."""
+    from cardloom.functions.recover import text_of_pdf
+
+    made = F.concat(F.lit("%PDF-1.4\n1 0 obj <</Length 9>> stream\nBT /F1 12 Tf ("), "p_name", F.lit(") Tj 0 -14 Td [(si) -20 (ze\\040)] TJ ("), F.col("p_size").cast("string"), F.lit(") Tj ET\nendstream endobj"))
+    return view(spark, sf_dir, "part").select("p_partkey", text_of_pdf(made.cast("binary")).alias("text"))
+
+
+_ENDS = """CASE p_partkey % 8 WHEN 0 THEN 'The Orbit ' || p_brand || ' card is discontinued since May' WHEN 1 THEN 'This card has been withdrawn' END"""
+
+
+@query(f"SELECT p_partkey, {_ENDS} AS evidence FROM part")
+def str37_ended_product(spark, sf_dir):
+    """Evidence that a product is no longer issued."""
+    name = F.concat(F.lit("Orbit "), "p_brand")
+    said = F.get(F.array(
+        F.concat(F.lit("News. The "), name, F.lit(" card is discontinued since May. More")), F.concat(name, F.lit(" Card\nThis card has been withdrawn")), F.concat(F.lit("Lounge benefit of "), name, F.lit(" is discontinued")), F.concat(F.lit("If "), name, F.lit(" is discontinued, tell us")),
+        F.lit("The Zenith card is no longer available"), F.concat(name, F.lit(" has not been discontinued")), F.lit("Zenith Card\nThis card has been withdrawn"), F.concat(name, F.lit(" is great"))), (F.col("p_partkey") % 8).cast("int"))
+    return view(spark, sf_dir, "part").select("p_partkey", R.ended_product(said, name).alias("evidence"))
