@@ -126,14 +126,26 @@ def product_part(html: Column, name: Column) -> Column:
     return F.when(F.size(wanted) == 0, cleaned).otherwise(F.coalesce(F.get(own, F.lit(0)), cleaned))
 
 
+#: Words before a person, and words behind one.
+PERSON_CUES, PERSON_VERBS, MOST_NAMES = ("for", "to"), ("is", "get", "gets", "receive", "receives", "will"), 4
+
+
 def names_person(text: Column, known: Column) -> Column:
-    """Whether a text speaks of a person: one to four words of letters after "for" or "to", before a verb, a stop or the end, that
-    are not all words of cards, nor a phrase known."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}0-9_])(?:for|to)\s+(\p{L}\S+(?:\s+\p{L}\S+){0,3}?)(?:\s+(?:is|gets?|receives?|will)(?![\p{L}0-9_])|\s*[.,;:!?]|\s*$)"), F.lit(1))
+    """Whether a text speaks of a person: of one to four words of letters between a cue and a verb, a stop or the end, that are not
+    all words of cards, nor a phrase known."""
+    clauses = F.transform(F.split(F.lower(text), "[.,;:!?]"), lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+
+    def phrase(words, i):
+        rest = F.slice(words, i + 2, F.lit(MOST_NAMES + 1))
+        verb = F.array_min(F.filter(F.transform(rest, lambda w, j: F.when(w.isin(*PERSON_VERBS), j)), lambda j: j.isNotNull()))
+        own = F.when(verb.isNull(), rest).otherwise(F.slice(rest, F.lit(1), verb))
+        return F.when(F.get(words, i).isin(*PERSON_CUES) & F.size(own).between(1, MOST_NAMES), own)
+
+    found = F.filter(F.flatten(F.transform(clauses, lambda words: F.transform(words, lambda _, i: phrase(words, i)))), lambda p: p.isNotNull())
 
-    def person(p):
-        words = F.split(p, r"\s+")
-        return ~F.array_contains(known, p) & p.rlike(r"^[\p{L}\p{M}' -]+$") & F.exists(words, lambda w: ~w.isin(*NO_PERSON))
+    def person(words):
+        named = F.forall(words, lambda w: w.rlike(r"^\p{L}[\p{L}\p{M}'-]+$"))
+        return named & ~F.array_contains(known, F.array_join(words, " ")) & F.exists(words, lambda w: ~w.isin(*NO_PERSON))
 
     return F.coalesce(F.exists(found, person), F.lit(True))
 

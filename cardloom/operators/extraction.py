@@ -197,11 +197,21 @@ def document_benefits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return both.select(id_col, "line_no", chosen.alias("b")).where("b IS NOT NULL").select(id_col, "line_no", "b.*")
 
 
-#: Lines that only look like an offer: questions, refusals, limits and headings.
-NO_OFFER = (
-    r"^(q ?[0-9]* )?(what|which|how|when|where|why|can|will|does|is|are) .*\?\s*$", r"\b(not|never) (eligible|applicable|qualify|qualifies)\b", r"\b(not included in|excluded from|ineligible for)\b", r"\b(transaction amounting|capping reached)\b",
-    r"^capping (for|of)\b", r"^[0-9.]+ ?[x×] reward points?\s*$", r"^[0-9.]+ ?% cashback *[:.]?\s*$", r"^earlier,", r"\b(are|is) (stated|listed|provided) (as|below)\b", r"\b(categories|category codes?|mccs?|merchants?)\b.*\b(detailed|identified|listed|stated)\b",
-)
+#: Words with which a question begins; words that refuse, that speak of a limit reached or of former terms; words of
+#: lists of merchants, and words that point to one.
+QUESTIONS = ("what", "which", "how", "when", "where", "why", "can", "will", "does", "is", "are")
+REFUSALS = ("not eligible", "never eligible", "not applicable", "never applicable", "not qualify", "not included in", "excluded from", "ineligible for", "transaction amounting", "capping reached")
+FORMER = ("earlier", "capping")
+LISTS, POINTERS = ("category", "categories", "code", "codes", "mcc", "mccs", "merchant", "merchants"), ("stated", "listed", "provided", "detailed", "identified")
+
+
+def no_offer(line: Column) -> Column:
+    """Whether a line only looks like an offer: it asks, refuses, tells of former terms, is a bare rate, or points to a list."""
+    x = Line(said(line))
+    first = F.substring_index(F.ltrim(x.c), " ", 1)
+    asks = first.isin(*QUESTIONS) & F.rtrim(line).endswith("?")
+    bare = x.c.rlike(f"^ {NUMBER} (?:percent cashback|fold reward point) $")
+    return asks | x.has(*REFUSALS) | first.isin(*FORMER) | bare | x.has(*LISTS) & x.has(*POINTERS)
 
 
 def projected(found: DataFrame, card: str, url: str, excerpt: str) -> DataFrame:
@@ -210,8 +220,7 @@ def projected(found: DataFrame, card: str, url: str, excerpt: str) -> DataFrame:
     from cardloom.functions.rules import offer_subject
     from cardloom.operators.cluster import TERMS as KNOWN, clusters
 
-    low = F.lower(F.col(excerpt))
-    rows = found.where(~low.rlike("|".join(NO_OFFER)))
+    rows = found.where(~no_offer(F.col(excerpt)))
     rows = rows.withColumns({"subject": offer_subject(F.col("category"), F.col("value_type"), F.col(excerpt)), "strength": F.size(F.array_compact(F.array(*[F.col(t).cast("string") for t in KNOWN])))})
     key = [card, "value_type", "subject"]
     placed = clusters(rows.select(*key, F.col(url).alias("url"), "strength", *KNOWN), key)
