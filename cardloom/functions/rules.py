@@ -221,7 +221,7 @@ def states_purchase(line: Column) -> Column:
 
 def pruned(text: Column) -> Column:
     """A statement without its small print: cut at the first of its words behind KEPT_CHARS characters after which no purchase comes."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(text, "\n+", "\n"), " {2,}", " "))
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\n+", "\n"), " {2,}", " "), r"^\s+|\s+$", "")
     lines = F.split(t, "\n", -1)
     last = F.array_max(F.filter(F.transform(lines, lambda x, i: F.when(states_purchase(x), i)), lambda i: i.isNotNull()))
     start = F.greatest(F.lit(KEPT_CHARS + 1), F.coalesce(F.length(F.array_join(F.slice(lines, F.lit(1), last + 1), "\n")), F.lit(0)))
