@@ -13,8 +13,8 @@
 
 With 32 bands of 4 minima a pair of similarity 0.8 shares no band with a probability of 5e-8; the signature check lets a
 true pair go with one below 1e-9. Words are hashed with a secret of the run, so no text can be made to collide, and a link
-is confirmed on the words of both whole texts, not on hashes. Buckets and leaders with many rows are
-spread over tasks. A batch of texts to confirm is bounded by TEXT_ROWS rows and by Spark's own bound on its bytes.
+is confirmed on the words of both whole texts, not on hashes. Leaders with many pairs are spread over
+tasks with their texts; large buckets and stars, rows of a few numbers, are left to the adaptive skew join. A batch of texts to confirm is bounded by TEXT_ROWS rows and by Spark's own bound on its bytes.
 
 Defined results: null and empty texts have empty sets and link with nothing; rows that share a doc_id are one document;
 a null doc_id links with nothing and is kept; extra columns are ignored; an empty table gives an empty result.
@@ -244,9 +244,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, tex
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS)), i))
     entries = classes.select("node", "n_shingles", F.explode(band).alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high")
-    shared = s.put(shared.select("bucket", "size", F.col("low").alias("leader")), "shared")
-    members = s.put(spread(entries, shared, "bucket", shared.where(F.col("size") > HOT), F.col("node")), "members")
-    s.drop(shared)
+    members = s.put(entries.join(shared.select("bucket", "size", F.col("low").alias("leader")), "bucket"), "members")
 
     links = _Links(docs, classes, s, words, percent)
     any_link = links.check(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
@@ -258,9 +256,8 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, tex
         own = members.where("size > 2").select("bucket", "node", "n_shingles")
         own = own.join(links.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if links.comp is not None else own.withColumn("comp", F.col("node"))
         per = own.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(len(links.tried)))).alias("pick"))
-        top = per.groupBy("bucket").agg(F.max_by(F.struct("comp", "pick"), F.struct("n", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("n").alias("size")).where("comps > 1")
-        top = s.put(top.select("bucket", F.col("top.comp").alias("main"), F.col("top.pick").alias("pick"), "size"), "top")
-        return spread(own, top, "bucket", top.where(F.col("size") > HOT), F.col("node"))
+        top = per.groupBy("bucket").agg(F.max_by(F.struct("comp", "pick"), F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+        return own.join(top.select("bucket", F.col("top.comp").alias("main"), F.col("top.pick").alias("pick")), "bucket")
 
     def ordered(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
