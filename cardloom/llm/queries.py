@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.llm import bpecount, linededup, mixing, neardup, packing, tokenbin, topk, toxicity, urlfilter, vptree
+from cardloom.llm import align, bpecount, linededup, lm, mixing, neardup, packing, tokenbin, topk, toxicity, urlfilter, vectorcodes, vptree
 from cardloom.llm.common import table
 
 #: Target shares of characters; all other sources together have the rest.
@@ -16,13 +16,13 @@ LISTED_HOSTS = ["spam-farm.example.org", "spam-farm.example.net", "spam-farm.exa
 
 TOXIC_FROM = 0.3
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_mix_sources(spark, sf_dir):
@@ -68,6 +68,18 @@ def op10_exact_top_k(spark, sf_dir):
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vectorcodes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    return align.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
+def op13_lm_scores(spark, sf_dir):
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_shards": op2_token_shards,
@@ -79,10 +91,39 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_lm_scores": op13_lm_scores,
 }
 
 _WEIGHTS = ", ".join(f"('{s}', CAST({w} AS DOUBLE))" for s, w in MIX_WEIGHTS.items())
 
+def _codes_sql() -> str:
+    """Lloyd in SQL: assignments a0 to a2 by codebooks b0 to b2, each entry (part, entry, e1 to e4)."""
+    def nearest(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (SELECT rid, part, min(d * 64 + entry) % 64 AS entry, min(d * 64 + entry) // 64 AS d FROM (
+      SELECT rid, p.part, entry, (x1 - e1) * (x1 - e1) + (x2 - e2) * (x2 - e2) + (x3 - e3) * (x3 - e3) + (x4 - e4) * (x4 - e4) AS d FROM p JOIN b{r} b ON p.part = b.part) GROUP BY rid, part)"""
+
+    def moved(r: int) -> str:
+        means = ", ".join(f"coalesce(CAST(floor(sum(x{i})::DOUBLE / count(x{i})) AS BIGINT), any_value(e{i})) AS e{i}" for i in range(1, 5))
+        return f"""b{r + 1} AS MATERIALIZED (SELECT b.part, b.entry, {means} FROM b{r} b LEFT JOIN (SELECT * FROM p JOIN a{r} USING (rid, part)) m ON m.part = b.part AND m.entry = b.entry GROUP BY b.part, b.entry)"""
+
+    return f"""
+WITH v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id, e) AS rid FROM (
+      SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+p AS MATERIALIZED (SELECT rid, CAST(i AS INTEGER) AS part, e[4 * i + 1] AS x1, e[4 * i + 2] AS x2, e[4 * i + 3] AS x3, e[4 * i + 4] AS x4 FROM v, unnest(range(0, 16)) AS t(i)),
+b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x1 AS e1, x2 AS e2, x3 AS e3, x4 AS e4 FROM p WHERE rid <= 64),
+{nearest(0)},
+{moved(0)},
+{nearest(1)},
+{moved(1)},
+{nearest(2)},
+coded AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY rid),
+book AS (SELECT sha256(string_agg(concat_ws(',', e1, e2, e3, e4), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN v USING (rid), book"""
+
+
 SQL: dict[str, str] = {
     "op1_mix_sources": f"""
 WITH weights(src, w) AS (VALUES {_WEIGHTS}, (NULL, CAST({MIX_REST} AS DOUBLE))),
@@ -143,4 +184,5 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x
 p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_vector_codes": _codes_sql(),
 }
