@@ -30,7 +30,7 @@ def op1_mix_sources(spark, sf_dir):
 
 
 def op2_token_shards(spark, sf_dir):
-    return tokenbin.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0).drop("ids")
+    return tokenbin.token_round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, with_ids=False)
 
 
 def op3_near_duplicates(spark, sf_dir):

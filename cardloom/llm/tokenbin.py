@@ -26,6 +26,9 @@ from cardloom.llm.bpecount import visible_bytes
 from cardloom.llm.common import Pieces, Scratch, slices, text_batches
 
 FRAME_BYTES = 1 << 20
+#: Ids that a reading task gives out at a time, by their bytes; a document of more comes alone.
+READ_BYTES = 32 << 20
+READ = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
 #: Text of a shard; a table that has less of it for each shuffle partition gets one shard for each of those.
 SHARD_BYTES = 256 << 20
 #: Fixed values of the public zstandard seekable format: magic of a skippable frame, magic of the seek table, flag "has checksums".
@@ -195,35 +198,49 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     return index.join(F.broadcast(base), "shard").withColumn("start", F.col("start") + F.col("base")).select("doc_id", "shard", "frame", "at", "start", "n_tokens")
 
 
-def _reading(folder: str):
+def _reading(folder: str, with_ids: bool):
     def run(batches):
         import pyarrow as pa
 
         store, root = open_store(folder)
         now, file, table, raw = (None, None), None, None, b""
+
+        def given(batch, at, crcs, ids):
+            part = batch.slice(at, len(crcs))
+            columns = [part.column(0), part.column(4), part.column(5), pa.array(crcs, pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.binary())] if with_ids else [])], names=READ[: len(columns) + with_ids])
+
         for batch in slices(batches):
-            ids = []
-            for shard, frame, at, n in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5))):
+            begun, crcs, ids, size = 0, [], [], 0
+            for i, (shard, frame, at, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 5)))):
                 if now != (shard, frame):
                     if now[0] != shard:
                         file = store.open_input_file(f"{root}/shard-{shard:06d}.bin")
                         table = read_seek_table(file)
                     raw, now = read_frame(file, table[frame]), (shard, frame)
-                ids.append(raw[at : at + 4 * n])
-            crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(5), crc, pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                if with_ids and crcs and size + 4 * n > READ_BYTES:  # what is held is given out before it grows past the bound
+                    yield given(batch, begun, crcs, ids)
+                    begun, crcs, ids, size = i, [], [], 0
+                own = memoryview(raw)[at : at + 4 * n]
+                crcs.append(zlib.crc32(own))
+                if with_ids:
+                    ids.append(bytes(own))
+                    size += 4 * n
+            if crcs:
+                yield given(batch, begun, crcs, ids)
 
     return run
 
 
-def read_documents(index: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of the index rows given, all or some; only their frames are decompressed."""
+def read_documents(index: DataFrame, folder: str, partitions: int | None = None, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of the index rows given, all or some; only their frames are decompressed. A task holds
+    one frame, which is one document where that is longer than a frame, and READ_BYTES of ids, none without with_ids."""
     n = partitions or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = index.select("doc_id", "shard", "frame", "at", "start", "n_tokens").repartition(n, "shard", "frame").sortWithinPartitions("shard", "frame", "at")
-    return rows.mapInArrow(_reading(folder), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(_reading(folder, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
-def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """Writes docs to shards in the shared folder and reads every document back."""
     folder = Scratch(docs.sparkSession, "tokens").at
-    return read_documents(write_token_shards(docs, folder, tokenizer, end_id), folder)
+    return read_documents(write_token_shards(docs, folder, tokenizer, end_id), folder, with_ids=with_ids)

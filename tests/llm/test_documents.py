@@ -59,6 +59,23 @@ def test_counts_and_ids_are_the_library_s(spark):
         start += len(ids) // 4
 
 
+def test_reading_holds_few_bytes(spark, monkeypatch, tmp_path):
+    """Documents of more ids than a task gives out at a time come one by one, in the rows of the index."""
+    texts = ["word " * 3000, "a b c", "x", *["some longer text here " * 200] * 8]
+    docs = frame(spark, [(i, x, "s") for i, x in enumerate(texts)])
+    index = tokenbin.write_token_shards(docs, f"file://{tmp_path}/t", PATH, frame_bytes=4000)
+    monkeypatch.setattr(tokenbin, "READ_BYTES", 2000)
+    rows = [r.asDict() for r in index.orderBy("shard", "frame", "at").collect()]
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, pa.int32() if c == "shard" else pa.int64()) for c in ("doc_id", "shard", "frame", "at", "start", "n_tokens")]))
+    given = list(tokenbin._reading(f"file://{tmp_path}/t", True)([batch]))
+    assert all(b.num_rows == 1 or b.column(4).nbytes <= 2100 for b in given) and len(given) > 8
+    back = [x for b in given for x in b.to_pylist()]
+    assert [x["doc_id"] for x in back] == [r["doc_id"] for r in rows] and all(len(x["ids"]) == 4 * x["n_tokens"] and zlib.crc32(x["ids"]) == x["ids_crc32"] for x in back)
+    bare = [x for b in tokenbin._reading(f"file://{tmp_path}/t", False)([batch]) for x in b.to_pylist()]
+    assert [x["ids_crc32"] for x in bare] == [x["ids_crc32"] for x in back] and "ids" not in bare[0]
+
+
+
 def test_repeated_ids_and_empty_tables(spark):
     rows = [(1, "b b", "s"), (1, "a", "s"), (None, "n", "s"), (1, "a", "s")]
     back = tokenbin.token_round_trip(frame(spark, rows), PATH, 0).collect()
