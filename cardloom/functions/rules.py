@@ -256,31 +256,3 @@ def sanitised(json: Column, members: dict[str, tuple[str, ...]]) -> Column:
         ok = (F.schema_of_variant(own) == type_) & text.rlike(f"^(?:{shape})$")
         kept.append(F.when(ok, F.concat(F.lit(f'"{name}":'), F.concat(F.lit('"'), text, F.lit('"')) if type_ == "STRING" else text)))
     return F.concat(F.lit("{"), F.concat_ws(",", *kept), F.lit("}"))
-
-
-# ---------------------------------------------------------------- products that are no longer issued
-
-#: What is said of a product that is no longer issued.
-ENDED = ("discontinued", "no longer available", "no longer offered", "no longer issued", "withdrawn", "closed for new applications", "not accepting new applications")
-#: Words that make such a clause no statement of fact.
-HEDGES = ("if", "may be", "might be", "could be", "whether", "unless", "not discontinued", "not been discontinued", "never", "rumour", "when")
-#: Parts of a product that may end while it goes on.
-FEATURES = ("benefit", "benefits", "offer", "offers", "lounge", "points", "rewards", "cashback", "waiver", "insurance", "programme", "program", "feature", "milestone", "voucher", "facility", "fee", "partner")
-
-
-def ended_product(text: Column, product: Column) -> Column:
-    """The first clause of a text that says that a product is no longer issued, or null: before what is said of it the clause names
-    all words of the product and none of its features, or calls it "this card" under a heading that names it; hedged clauses say nothing."""
-    wanted = T.product_tokens(product)
-    lines = F.filter(F.transform(F.split(text, r"[\n.!;]+"), lambda x: F.trim(x)), lambda x: x != "")
-    names = lambda x: F.size(F.array_except(wanted, T.product_tokens(x))) == 0
-    any_of = lambda words: r"\b(?:" + "|".join(words) + r")\b"
-
-    def evidence(x, i):
-        low = F.lower(x)
-        before = F.regexp_extract(low, r"(?s)^(.*?)" + any_of(ENDED), 1)
-        under = F.coalesce(F.get(F.reverse(F.filter(F.slice(lines, F.lit(1), i), lambda h: (F.size(F.split(h, " +")) <= 8) & ~F.lower(h).rlike(any_of(ENDED)))), F.lit(0)), F.lit(""))
-        own = names(before) | before.rlike(r"^(?:this|the) (?:credit )?card\b") & names(under)
-        return F.when(low.rlike(any_of(ENDED)) & ~low.rlike(any_of(HEDGES)) & ~before.rlike(any_of(FEATURES)) & own, x)
-
-    return F.when(F.size(wanted) > 0, F.get(F.filter(F.transform(lines, evidence), lambda x: x.isNotNull()), F.lit(0)))

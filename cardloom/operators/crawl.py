@@ -118,16 +118,6 @@ PRODUCT = r"(?i)(credit[ -]?cards?|apply now|card benefits)"
 SUPPORTING = r"(?i)(terms|fees|charges|conditions|faq|guide)"
 
 
-def page_kind(url: Column, text: Column, named: Column) -> tuple[Column, Column]:
-    """(kind, confidence) of a page; named: whether it names a product."""
-    kind = (
-        F.when(url.rlike(UNSAFE), F.lit("not_a_card")).when(named & url.rlike(SUPPORTING), F.lit("supporting_document")).when(named & (url.rlike(PRODUCT) | text.rlike(PRODUCT)), F.lit("card_product"))
-        .when(named & text.rlike(SUPPORTING), F.lit("supporting_document")).otherwise(F.lit("ambiguous"))
-    )
-    confidence = F.when(kind == "not_a_card", 0.99).when(kind == "card_product", 0.95).when(kind == "supporting_document", 0.86).otherwise(0.2)
-    return kind, confidence
-
-
 def url_score(url: Column, tokens: list[str]) -> Column:
     """A hundred for each word of the product in the url, a thousand more for all, less for length."""
     hits = sum((F.contains(F.lower(url), F.lit(t)).cast("int") for t in tokens), F.lit(0))

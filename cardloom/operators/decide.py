@@ -36,30 +36,7 @@ def publish_reasons(official: Column, confidence: Column, product: Column, state
         F.when(candidates > 1, F.lit("ambiguous_catalog"))))
 
 
-def removals(possible: DataFrame, crawls: DataFrame, key: str) -> DataFrame:
-    """Possible removals with whether they are suppressed: an incomplete crawl removes nothing."""
-    return possible.join(crawls.select(key, "complete"), key, "left").withColumn("suppressed", ~F.coalesce("complete", F.lit(False)))
-
-
 def paused_alert(jobs: DataFrame, enabled: bool) -> DataFrame:
     """One row if work waits while the pipeline is paused: the backlog and its oldest job."""
     waiting = jobs.where(F.col("status").isin("queued", "failed")).agg(F.count("*").alias("backlog"), F.min("created_at").alias("oldest"))
     return waiting.where((F.col("backlog") > 0) & F.lit(not enabled))
-
-
-def resolved_identity(urls: DataFrame, families: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
-    """(key, card_id, outcome) from candidate cards by bound url, by family and by alias, each (key, card_id).
-
-    A bound url decides if its card is among the candidates; else exactly one candidate does. Several are ambiguous.
-    """
-    candidates = families.select(key, "card_id").union(aliases.select(key, "card_id")).distinct()
-    named = candidates.groupBy(key).agg(F.array_sort(F.collect_set("card_id")).alias("named"))
-    bound = urls.groupBy(key).agg(F.array_sort(F.collect_set("card_id")).alias("bound"))
-    both = named.join(bound, key, "full")
-    b, n = F.coalesce("bound", F.array().cast("array<bigint>")), F.coalesce("named", F.array().cast("array<bigint>"))
-    outcome = (
-        F.when(F.size(b) > 1, F.lit("conflicting_url_identity")).when((F.size(b) == 1) & F.array_contains(n, F.get(b, F.lit(0))), F.lit("bound")).when(F.size(b) == 1, F.lit("url_identity_incompatible"))
-        .when(F.size(n) > 1, F.lit("ambiguous_catalog_identity")).when(F.size(n) == 1, F.lit("matched")).otherwise(F.lit("new"))
-    )
-    card = F.when(outcome == "bound", F.get(b, F.lit(0))).when(outcome == "matched", F.get(n, F.lit(0)))
-    return both.select(key, card.alias("card_id"), outcome.alias("outcome"))

@@ -75,15 +75,3 @@ def only_match(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     fits = (F.size("_own") > 0) & (F.size(F.array_except("_own", "_words")) == 0) & (F.col("_network").isNull() | F.col("_seen").eqNullSafe(F.col("_network"))) & (F.col("_grade").isNull() | F.col("_tier").eqNullSafe(F.col("_grade")))
     rows = seen.join(cards, "_issuer", "left").groupBy("page_id").agg(F.count_if(F.coalesce(fits, F.lit(False))).alias("n"), F.min(F.when(fits, F.col("card_id"))).alias("card_id"))
     return rows.select("page_id", F.when(F.col("n") == 1, F.col("card_id")).alias("card_id"))
-
-
-def compacted_attempts(attempts: DataFrame, group: str, source: str, most: int = 9) -> DataFrame:
-    """The last attempt of each source of a group, required sources first, then the newest, at most so many a group; with how many
-    were left out."""
-    last = attempts.groupBy(group, source).agg(F.max_by(F.struct("status", "http_status", "required", "page_id"), F.struct("attempted_at", "page_id")).alias("r"), F.max("attempted_at").alias("attempted_at"))
-    rows = last.select(group, source, "attempted_at", "r.*")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(group).orderBy(F.desc("required"), F.desc("attempted_at"), source)
-    kept = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    return kept.join(rows.groupBy(group).agg(F.greatest(F.count("*") - most, F.lit(0)).alias("left_out")), group)

@@ -85,13 +85,6 @@ def srt8_pilot(spark, sf_dir):
     return W.pilot(jobs)
 
 
-@query(f"""WITH p AS (SELECT page_id, url, html, page_id % 3 <> 0 AS named FROM pages), k AS (SELECT page_id, CASE WHEN regexp_matches(url, '{W.UNSAFE}') THEN 'not_a_card' WHEN named AND regexp_matches(url, '{W.SUPPORTING}') THEN 'supporting_document' WHEN named AND (regexp_matches(url, '{W.PRODUCT}') OR regexp_matches(html, '{W.PRODUCT}')) THEN 'card_product'
-WHEN named AND regexp_matches(html, '{W.SUPPORTING}') THEN 'supporting_document' ELSE 'ambiguous' END AS kind FROM p) SELECT page_id, kind, CASE kind WHEN 'not_a_card' THEN 0.99 WHEN 'card_product' THEN 0.95 WHEN 'supporting_document' THEN 0.86 ELSE 0.2 END AS confidence FROM k""")
-def dom26_page_class(spark, sf_dir):
-    kind, confidence = W.page_kind(F.col("url"), F.col("html"), F.col("page_id") % 3 != 0)
-    return view(spark, sf_dir, "pages").select("page_id", kind.alias("kind"), confidence.alias("confidence"))
-
-
 @query("""WITH s AS (SELECT page_id, url, CAST(contains(lower(url), 'www') AS INT) + CAST(contains(lower(url), 'en') AS INT) AS h FROM pages) SELECT page_id, h * 100 + CASE WHEN h = 2 THEN 1000 ELSE 0 END - length(url) / 1000.0::DOUBLE AS score FROM s ORDER BY score DESC, page_id LIMIT 50""")
 def srt4_url_rank(spark, sf_dir):
     rows = view(spark, sf_dir, "pages").select("page_id", W.url_score(F.col("url"), ["www", "en"]).alias("score"))

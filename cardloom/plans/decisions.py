@@ -51,27 +51,6 @@ def dom17_publish_gate(spark, sf_dir):
     return view(spark, sf_dir, "part").select("p_partkey", F.array_join(reasons, ",").alias("reasons"))
 
 
-@query("""WITH c AS (SELECT page_id % 10 AS crawl, bool_and(status = 'fetched') AS complete FROM attempts WHERE page_id % 10 < 8 GROUP BY 1) SELECT p.page_id, NOT coalesce(c.complete, false) AS suppressed FROM pages p LEFT JOIN c ON c.crawl = p.page_id % 10""")
-def dom31_removals(spark, sf_dir):
-    """An incomplete crawl suppresses every removal."""
-    crawls = view(spark, sf_dir, "attempts").where("page_id % 10 < 8").groupBy((F.col("page_id") % 10).alias("crawl")).agg(F.bool_and(F.col("status") == "fetched").alias("complete"))
-    possible = view(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 10).alias("crawl"))
-    return D.removals(possible, crawls, "crawl").select("page_id", "suppressed")
-
-
-@query("""WITH f AS (SELECT p_partkey AS k, p_partkey % 97 AS card FROM part WHERE p_partkey % 3 = 0 UNION SELECT p_partkey, p_partkey % 89 FROM part WHERE p_partkey % 4 = 0), u AS (SELECT p_partkey AS k, p_partkey % 97 AS card FROM part WHERE p_partkey % 5 = 0 UNION SELECT p_partkey, 7 FROM part WHERE p_partkey % 50 = 0),
-n AS (SELECT k, list(DISTINCT card ORDER BY card) AS n FROM f GROUP BY k), b AS (SELECT k, list(DISTINCT card ORDER BY card) AS b FROM u GROUP BY k), j AS (SELECT coalesce(n.k, b.k) AS k, coalesce(n, []) AS n, coalesce(b, []) AS b FROM n FULL JOIN b ON n.k = b.k),
-o AS (SELECT *, CASE WHEN len(b) > 1 THEN 'conflicting_url_identity' WHEN len(b) = 1 AND list_contains(n, b[1]) THEN 'bound' WHEN len(b) = 1 THEN 'url_identity_incompatible' WHEN len(n) > 1 THEN 'ambiguous_catalog_identity' WHEN len(n) = 1 THEN 'matched' ELSE 'new' END AS outcome FROM j)
-SELECT k, CASE outcome WHEN 'bound' THEN b[1] WHEN 'matched' THEN n[1] END AS card_id, outcome FROM o""")
-def dom15_identity_resolution(spark, sf_dir):
-    """Which catalogue card a page is about: its bound url first, then the one candidate by name."""
-    part = view(spark, sf_dir, "part").withColumn("k", F.col("p_partkey"))
-    family = part.where("k % 3 = 0").select("k", (F.col("k") % 97).alias("card_id"))
-    alias = part.where("k % 4 = 0").select("k", (F.col("k") % 89).alias("card_id"))
-    urls = part.where("k % 5 = 0").select("k", (F.col("k") % 97).alias("card_id")).union(part.where("k % 50 = 0").select("k", F.lit(7).cast("bigint")))
-    return D.resolved_identity(urls, family, alias, "k")
-
-
 @query("SELECT b.id, b.title, CASE WHEN b.p_size > 30 THEN 'high' ELSE 'medium' END AS severity FROM benefits b JOIN card_benefit_mapping m ON m.benefit_id = b.id JOIN card_catalog c ON c.id = m.card_id WHERE b.category IN ('SMALL', 'ECONOMY')")
 def dom42_benefit_inbox(spark, sf_dir):
     m = view(spark, sf_dir, "card_benefit_mapping").select(F.col("benefit_id").alias("id"), "card_id")
@@ -138,14 +117,6 @@ def flt5_calendar_range(spark, sf_dir):
     return rows.groupBy("user_card_id").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("amount") > 0, F.to_date("transaction_date"))).alias("days"))
 
 
-@query("WITH o AS (SELECT * FROM orders WHERE o_orderkey % 3 > 0) SELECT coalesce(a.k, b.k) AS k, a.n IS DISTINCT FROM b.n AS changed FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM o GROUP BY 1) b ON a.k = b.k")
-def agg36_snapshot_diff(spark, sf_dir):
-    """Which keys differ between two snapshots; nulls compare as values."""
-    o = view(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey"))
-    a, b = o.groupBy("k").agg(F.count("*").alias("a")), o.where("o_orderkey % 3 > 0").groupBy("k").agg(F.count("*").alias("b"))
-    return a.join(b, "k", "full").select("k", (~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
-
-
 @query("SELECT id, 10 - attempt_count * 2 + CASE WHEN run_mode = 'manual' THEN 1 ELSE 0 END AS score FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY 10 - attempt_count * 2 + CASE WHEN run_mode = 'manual' THEN 1 ELSE 0 END DESC, id) AS n FROM jobs) WHERE n = 1")
 def win11_strongest(spark, sf_dir):
     """The strongest of each card's rows, ties to the smaller id."""
@@ -166,13 +137,6 @@ def flt9_outstanding(spark, sf_dir):
     return view(spark, sf_dir, "statements").select("id", F.col("due_date").cast("string").alias("due_date"), C.outstanding().cast("double").alias("outstanding"), paid.alias("is_paid"), (~paid & (F.col("due_date") < F.lit("2001-06-01").cast("date"))).alias("is_overdue"))
 
 
-@query("""WITH h AS (SELECT card_id, count(*) AS observations, count(*) FILTER (WHERE crawl_complete) AS complete, count(DISTINCT semantic_hash) AS meanings FROM observations GROUP BY card_id)
-SELECT count(*) AS cards, sum(observations)::BIGINT AS observations, round(sum(complete) / sum(observations)::DOUBLE, 6) AS success_rate, max(meanings) AS most_meanings FROM h""")
-def agg29_crawl_metrics(spark, sf_dir):
-    h = view(spark, sf_dir, "observations").groupBy("card_id").agg(F.count("*").alias("o"), F.count_if("crawl_complete").alias("c"), F.count_distinct("semantic_hash").alias("m"))
-    return h.agg(F.count("*").alias("cards"), F.sum("o").alias("observations"), F.round(F.sum("c") / F.sum("o").cast("double"), 6).alias("success_rate"), F.max("m").alias("most_meanings"))
-
-
 @query(f"SELECT page_id, CASE WHEN regexp_matches(url, '{W.UNSAFE}') THEN -1 WHEN regexp_matches(url, '{W.PRODUCT}') THEN 2 WHEN regexp_matches(url, '{W.SUPPORTING}') THEN 1 ELSE 0 END AS score FROM pages")
 def srt5_candidate_score(spark, sf_dir):
     u = F.col("url")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import rules as R
 from cardloom.operators import portfolio as P
+from cardloom.operators.lifecycle import ended_products
 from cardloom.plans.register import query
 from cardloom.sources.tables import CLOCK, view
 
@@ -218,14 +219,6 @@ def dom16_only_match(spark, sf_dir):
     return P.only_match(pages, cards)
 
 
-@query("""WITH a AS (SELECT *, page_id % 3 AS crawl FROM attempts), l AS (SELECT *, row_number() OVER (PARTITION BY crawl, source_key ORDER BY attempted_at DESC, page_id DESC) AS n FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY crawl ORDER BY required DESC, attempted_at DESC, source_key) AS place, count(*) OVER (PARTITION BY crawl) AS c FROM l WHERE n = 1)
-SELECT crawl, source_key, page_id, status, CAST(place AS INTEGER) AS place, greatest(c - 9, 0) AS left_out FROM r WHERE place <= 9""")
-def dom30_compacted_attempts(spark, sf_dir):
-    """The nine attempts of a crawl that tell most."""
-    rows = view(spark, sf_dir, "attempts").withColumn("crawl", F.col("page_id") % 3)
-    return P.compacted_attempts(rows, "crawl", "source_key").select("crawl", "source_key", "page_id", "status", "place", "left_out")
-
-
 @query("SELECT k, min(pos) AS pos FROM transactions WHERE lower(category) = 'groceries' OR lower(category) = 'food' GROUP BY k, lower(category)")
 def flt6_category_after_dedup(spark, sf_dir):
     """Purchases of categories, in any case, of the rows that stay when repeated ones have gone."""
@@ -350,11 +343,19 @@ def src15_pdf_text(spark, sf_dir):
 _ENDS = """CASE p_partkey % 8 WHEN 0 THEN 'The Orbit ' || p_brand || ' card is discontinued since May' WHEN 1 THEN 'This card has been withdrawn' END"""
 
 
-@query(f"SELECT p_partkey, {_ENDS} AS evidence FROM part")
+_ORBIT = "'Orbit ' || CASE page_id % 3 WHEN 0 THEN 'Nova' WHEN 1 THEN 'Lyra' ELSE 'Vega' END"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_ORBIT} AS name FROM pages WHERE html IS NOT NULL)
+SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'Star ' || name || ' Credit Card This card has been discontinued.' WHEN 1 THEN 'Star ' || name || ' Credit Card Status Withdrawn' WHEN 2 THEN 'Star ' || name || ' Credit Card ' || name || ' is no longer issued.'
+  WHEN 3 THEN 'Star ' || name || ' Credit Card Status: discontinued effective 31 August 2026.' WHEN 4 THEN 'Star ' || name || ' Credit Card No longer available' END AS evidence
+FROM p""")
 def str37_ended_product(spark, sf_dir):
-    """Evidence that a product is no longer issued."""
-    name = F.concat(F.lit("Orbit "), "p_brand")
-    said = F.get(F.array(
-        F.concat(F.lit("News. The "), name, F.lit(" card is discontinued since May. More")), F.concat(name, F.lit(" Card\nThis card has been withdrawn")), F.concat(F.lit("Lounge benefit of "), name, F.lit(" is discontinued")), F.concat(F.lit("If "), name, F.lit(" is discontinued, tell us")),
-        F.lit("The Zenith card is no longer available"), F.concat(name, F.lit(" has not been discontinued")), F.lit("Zenith Card\nThis card has been withdrawn"), F.concat(name, F.lit(" is great"))), (F.col("p_partkey") % 8).cast("int"))
-    return view(spark, sf_dir, "part").select("p_partkey", R.ended_product(said, name).alias("evidence"))
+    """Evidence that a page's product is no longer issued: whole pages, with what their issuer says of it at their end."""
+    head, other = "'<h2>Star ' || name || ' Credit Card</h2>'", "'<h3>Star Comet Credit Card</h3>'"
+    said = f"""CASE page_id % 12 WHEN 0 THEN {head} || '<h3>Important notice</h3><p>This card has been discontinued.</p>' WHEN 1 THEN '<table><tr><th>Star ' || name || ' Credit Card</th><td>Status</td><td>Withdrawn</td></tr></table>'
+      WHEN 2 THEN {head} || '<p>' || name || ' is no longer issued.</p>' WHEN 3 THEN {head} || '<p>Status: discontinued effective 31 August 2026.</p>' WHEN 4 THEN {head} || '<div class="status">No longer available</div>'
+      WHEN 5 THEN {head} || {other} || '<p>This card has been discontinued.</p>' WHEN 6 THEN {head} || '<p>Compare it with Comet. This card has been discontinued.</p>' WHEN 7 THEN {head} || '<p>This card has not been discontinued.</p>'
+      WHEN 8 THEN '<table><tr><td>Star ' || name || ' Credit Card</td><td>Comet</td><td>Discontinued</td></tr></table>' WHEN 9 THEN {head} || '<p>Lounge access of the partner programme was discontinued.</p>' WHEN 10 THEN {other} || '<p>This card has been withdrawn.</p>' ELSE {head} END"""
+    pages = _case(spark, sf_dir, "pages", "page_id", f"{_ORBIT} AS name", "html").where("html IS NOT NULL").selectExpr("page_id", "name", f"html || {said} AS html", "'Star Bank' AS issuer")
+    return ended_products(pages, "html", "name", "issuer").select("page_id", "evidence")

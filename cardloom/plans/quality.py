@@ -76,14 +76,6 @@ def agg35_fingerprint(spark, sf_dir):
     return rows.select("issuer", "n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string")), 256).alias("row_hash"))
 
 
-@query("SELECT date_trunc('month', ts) AS cohort, count(*) FILTER (WHERE event_type = 'signup') AS signups, count(*) FILTER (WHERE event_type = 'purchase') AS purchases, CASE WHEN count(*) FILTER (WHERE event_type = 'signup') > 0 THEN round(count(*) FILTER (WHERE event_type = 'purchase') / CAST(count(*) FILTER (WHERE event_type = 'signup') AS DOUBLE), 6) END AS ratio FROM events WHERE ts < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY GROUP BY 1")
-def agg38_funnel(spark, sf_dir):
-    """Ratios of matured cohorts."""
-    kind = F.col("event_type")
-    rows = view(spark, sf_dir, "events").where(F.col("ts") < F.lit("2024-01-24").cast("timestamp_ntz")).groupBy(F.date_trunc("month", "ts").alias("cohort"))
-    return rows.agg(F.count_if(kind == "signup").alias("signups"), F.count_if(kind == "purchase").alias("purchases")).withColumn("ratio", F.when(F.col("signups") > 0, F.round(F.col("purchases") / F.col("signups").cast("double"), 6)))
-
-
 @query("""WITH k AS (SELECT id, lower(trim(title)) || '|' || lower(category) || '|' || p_size AS k FROM benefits), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS n FROM k)
 SELECT id, CASE WHEN n = 1 THEN k ELSE 'legacy:' || id END AS canonical_key FROM r""")
 def win1_canonical_key(spark, sf_dir):

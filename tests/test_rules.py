@@ -45,12 +45,6 @@ def test_small_print_goes_unless_purchases_follow(spark):
     assert got[0] == body + " " and got[1].endswith("99.00") and got[2].endswith("99.00\n ") and got[3:] == ["mitc short", "", None]
 
 
-def test_ended_products(spark):
-    say = R.ended_product(F.col("x"), F.lit("Orbit Gold"))
-    texts = ["The Orbit Gold is discontinued.", "Orbit Gold\nThis card is no longer available", "Orbit\nThis card is no longer available", "Orbit Gold lounge benefit is discontinued", "If Orbit Gold is discontinued", "", None]
-    assert [x is not None for x in of(spark, say, *texts)] == [True, True, False, False, False, False, False]
-
-
 def test_subjects(spark):
     df = spark.createDataFrame([("cashback", "cashback", "on movies, not eligible for fuel"), ("points", None, None), ("travel", "lounge_access", "global")], "c string, k string, t string")
     assert [x["v"] for x in df.select(R.offer_subject(F.col("c"), F.col("k"), F.col("t")).alias("v")).collect()] == ["cashback:cashback:movie", "rewards:benefit:general", "travel:lounge_access:international"]
