@@ -130,7 +130,7 @@ def resolve_identities(requests: DataFrame, catalog: DataFrame, aliases: DataFra
     against = lambda mine, theirs: F.col(theirs).isNotNull() & ~F.col(theirs).eqNullSafe(F.col(mine))
     unfit = ~F.col("b_bank").eqNullSafe(F.col("_bank")) | ~F.coalesce("_credit", F.lit(False)) | against("_network", "b_network") | against("_tier", "b_tier") | F.col("_there").isNull()
     outcome = (
-        F.when((F.length("_bank") < 2) | bare, F.lit("invalid_catalog_identity")).when(~F.trim("url").eqNullSafe(T.canonical_url(F.col("url"))) | ~F.startswith("url", F.lit("https://")), F.lit("noncanonical_source_url")).when(F.col("_approved").isNull(), F.lit("unapproved_domain"))
+        F.when((F.length("_bank") < 2) | bare, F.lit("invalid_catalog_identity")).when(~F.coalesce((F.trim("url") == T.canonical_url(F.col("url"))) & F.startswith("url", F.lit("https://")), F.lit(False)), F.lit("noncanonical_source_url")).when(F.col("_approved").isNull(), F.lit("unapproved_domain"))
         .when(~F.coalesce(F.regexp_like("_one", whole) & F.regexp_like("_two", whole), F.lit(False)), F.lit("invalid_url_hash")).when(F.coalesce(torn, F.lit(False)), F.lit("conflicting_url_identity"))
         .when(F.col("_card").isNotNull(), F.when(unfit, F.lit("url_identity_incompatible")).otherwise(F.lit("bound")))
         .when(F.col("_low") != F.col("_high"), F.lit("ambiguous_catalog_identity")).when(F.col("_low").isNotNull(), F.lit("matched")).when(F.coalesce("_all", F.lit(0)) > 0, F.lit("strong_catalog_identity_conflict")).otherwise(F.lit("new"))
