@@ -5,11 +5,12 @@ digit counting as a field. In a leaf of ``min_docs`` lines a token stays in the
 place; the others become the field ``<*>``. A line with too few constant tokens is its own template. Nothing depends on
 the order of lines.
 
-A template is frequent if it stands in ``min_docs`` different texts, and it recurs if these are not copies of one another:
-if ``min_docs`` of them have something of their own. A text has if at least two thirds of its ends are its own; its ends
-are the first and the last words of its lines outside frequent templates, and one is its own if no other text has it there
-(a line copied with a word changed still has one of the two). Texts without anything of their own count as one together. So a passage goes as a whole, whatever stands around its lines, and
-near copies, be they thousands, are not emptied.
+A template is frequent if it stands in ``min_docs`` different texts, and it recurs if so many of them are no near copies of one
+another. A text is a near copy of an earlier one (in the order of their hashes) if at least a third of what it says outside
+frequent templates also stands, anywhere, in that one: the first, middle and last words of its lines are compared, of
+which a line with a word changed keeps most. A text whose every line is of frequent templates, as a log is, is compared by
+whole lines. So a passage goes as a whole, whatever stands around its lines and however much of a page it is; pages of shared
+parts count each, and so do logs of other numbers; near copies, be they thousands, count once and are not emptied.
 
 A line of ``long_words`` words or more also recurs, as it stands, in two texts and more (fewer than ``min_docs``, from which
 on its template decides), if one of them is unlike the first: if less than ``COPY`` of their runs of three words are common,
@@ -29,14 +30,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardloom.llm.common import BROADCAST_BYTES, SALTS, Scratch, meet
+from cardloom.llm.common import BROADCAST_BYTES, HOT, SALTS, Scratch, meet, spread
 
 BLANK = "\t\x0b\f\r"
 FIELD = "<*>"
 #: Jaccard similarity of runs of RUN words from which two texts are copies.
 COPY, RUN, SKETCH = 0.5, 3, 64
-#: Words of an end.
-ENDS = 3
+#: Words compared at three places of a line; the share of them in one earlier text from which a text is its copy, as 1 / SHARE.
+ENDS, SHARE = 3, 3
 
 
 def tokens(line: Column) -> Column:
@@ -50,15 +51,16 @@ def text_keys(text: Column) -> list[Column]:
 
 
 def _lines(docs: DataFrame, text_col: str, depth: int, long_words: int) -> DataFrame:
-    """(t1, t2, pos, leaf, lh, long, first, last) for each line; leaf: null without tokens; first, last: hashes of its ends."""
+    """(t1, t2, pos, leaf, lh, long, first, mid, last) for each line; leaf: null without tokens; first, mid, last: hashes of words there."""
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(*text_keys(text), F.split(text, "\n", -1).alias("arr"))  # once a text, not once a line
     rows = rows.select("t1", "t2", F.posexplode("arr").alias("pos", "line")).withColumn("w", tokens(F.col("line")))
     lead = F.transform(F.slice("w", 1, depth), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
     last = F.when(F.size("w") <= ENDS, F.col("w")).otherwise(F.slice("w", -ENDS, ENDS))
+    middle = F.slice("w", F.greatest(F.lit(1), F.floor(F.size("w") / 2).cast("int")), F.lit(ENDS))
     # null for lines without tokens; a filter here would be pushed below and split every line twice
     leaf = F.when(F.size("w") > 0, F.xxhash64(F.size("w"), lead))
-    return rows.select("t1", "t2", "pos", leaf.alias("leaf"), F.xxhash64("line").alias("lh"), (F.size("w") >= long_words).alias("long"), F.xxhash64(F.lit(0), F.slice("w", 1, ENDS)).alias("first"), F.xxhash64(F.lit(1), last).alias("last"))
+    return rows.select("t1", "t2", "pos", leaf.alias("leaf"), F.xxhash64("line").alias("lh"), (F.size("w") >= long_words).alias("long"), F.xxhash64(F.lit(0), F.slice("w", 1, ENDS)).alias("first"), F.xxhash64(F.lit(2), middle).alias("mid"), F.xxhash64(F.lit(1), last).alias("last"))
 
 
 def _with_places(rows: DataFrame, places: DataFrame, column: str, how: str, width: int = 4) -> DataFrame:
@@ -90,16 +92,25 @@ def _templates(docs: DataFrame, text_col: str, held: DataFrame, s: Scratch, min_
     return found
 
 
-def _having_their_own(lines: DataFrame, often: DataFrame, frequent: DataFrame, s: Scratch) -> DataFrame:
-    """(t1, own) for the texts with frequent lines that have something of their own."""
+def _copies(lines: DataFrame, often: DataFrame, frequent: DataFrame, s: Scratch) -> DataFrame:
+    """(t1, class) for the texts with frequent lines that are near copies of an earlier one of them."""
     texts = s.put(often.select("t1").distinct(), "texts")
-    rest = meet(lines, texts, ["t1"], "left_semi", F.col("pos"))
-    rest = meet(rest, frequent.select("lh").distinct(), ["lh"], "left_anti", F.col("t1"))
-    ends = s.put(rest.select("t1", F.explode(F.array("first", "last")).alias("end")).distinct(), "ends")
-    alone = ends.groupBy("end").agg(F.min("t1").alias("t1"), F.max("t1").alias("other")).where("t1 = other").groupBy("t1").agg(F.count("*").alias("mine"))
-    all_ = ends.groupBy("t1").agg(F.count("*").alias("n"))
-    found = s.put(alone.join(all_, "t1").where("3 * mine >= 2 * n").select("t1", F.lit(True).alias("own")), "own")
-    s.drop(texts, ends)
+    own = s.put(meet(lines, texts, ["t1"], "left_semi", F.col("pos")).select("t1", "pos", "lh", "first", "mid", "last"), "own")
+    whole = F.xxhash64(F.lit(3), "lh").alias("f")
+    rest = meet(own, frequent.select("lh").distinct(), ["lh"], "left_anti", F.col("t1"))
+    rest = s.put(rest.select("t1", F.explode(F.array("first", "mid", "last")).alias("f")).distinct(), "rest")
+    bare = s.put(texts.join(rest.select("t1").distinct(), "t1", "left_anti"), "bare")
+    asked = s.put(rest.union(meet(own, bare, ["t1"], "left_semi", F.col("pos")).select("t1", whole).distinct()), "asked")
+    holders = own.select("t1", F.explode(F.array("first", "mid", "last", whole)).alias("f")).groupBy("f").agg(F.min("t1").alias("holder"), F.max("t1").alias("other")).where("holder <> other").select("f", "holder")
+    hot = s.put(asked.groupBy("f").count().where(F.col("count") > HOT), "hot")
+    met = spread(asked, s.put(holders, "holders"), "f", hot, F.col("t1")).where("holder < t1")
+    most = met.groupBy("t1", "holder").agg(F.count("*").alias("n")).groupBy("t1").agg(F.max(F.struct("n", (-F.col("holder")).alias("h"))).alias("m"))
+    all_ = asked.groupBy("t1").agg(F.count("*").alias("n"))
+    copies = s.put(all_.join(most, "t1").where(SHARE * F.col("m.n") >= F.col("n")).select("t1", (-F.col("m.h")).alias("class")), "copies")
+    first = copies.select(F.col("t1").alias("class"), F.col("class").alias("_of"))  # what a copy is a copy of may be one too
+    found = s.put(meet(copies, first, ["class"], "left", F.col("t1")).select("t1", F.coalesce("_of", "class").alias("class")), "classes")
+    s.drop(texts, own, rest, bare, asked, hot, copies)
+    s.drop_named("holders")
     return found
 
 
@@ -135,10 +146,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 20, depth: int = 3, mi
     many = stands.select("template", "t1").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
     frequent = s.put(meet(templates, s.put(many, "many"), ["template"], "left_semi", F.col("lh")), "frequent")  # (lh, template)
     often = s.put(meet(stands.drop("template"), frequent, ["lh"], "inner", at), "often")
-    own = _having_their_own(lines, often, frequent, s)
-    support = meet(often.select("template", "t1").distinct(), own, ["t1"], "left", F.col("template"))
-    support = support.groupBy("template").agg(F.count("own").alias("n"), F.max(F.col("own").isNull().cast("int")).alias("others"))
-    recurring = s.put(support.where(F.col("n") + F.col("others") >= min_docs).select("template"), "recurring")
+    copies = _copies(lines, often, frequent, s)
+    support = meet(often.select("template", "t1").distinct(), copies, ["t1"], "left", F.col("template")).select("template", F.coalesce("class", "t1").alias("class")).distinct()
+    support = support.groupBy("template").agg(F.count("*").alias("n"))
+    recurring = s.put(support.where(F.col("n") >= min_docs).select("template"), "recurring")
 
     long = lines.where("long").select("t1", "t2", "pos", "lh")
     twice = s.put(long.groupBy("lh").agg(differ.alias("differ")).where("differ").select("lh"), "twice")

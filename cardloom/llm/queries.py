@@ -161,10 +161,15 @@ s AS (SELECT k.leaf, line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY k.p
       FROM k LEFT JOIN c ON k.leaf = c.leaf AND k.p = c.p AND k.token = c.token GROUP BY k.leaf, line),
 stands AS (SELECT h.m, h.pos, h.leaf || CASE WHEN general THEN ' T ' || shape ELSE ' L ' || h.line END AS template FROM h JOIN s ON h.leaf = s.leaf AND h.line = s.line),
 often AS (SELECT * FROM stands WHERE template IN (SELECT template FROM stands GROUP BY template HAVING count(DISTINCT m) >= 20)),
-ends AS (SELECT DISTINCT m, unnest(['first ' || array_to_string(w[1:3], ' '), 'last ' || array_to_string(w[greatest(1, len(w) - 2):], ' ')]) AS e
-         FROM l WHERE m IN (SELECT m FROM often) AND NOT EXISTS (SELECT 1 FROM often o WHERE o.m = l.m AND o.pos = l.pos)),
-own AS (SELECT m FROM (SELECT m, count(*) OVER (PARTITION BY e) AS holders FROM ends) GROUP BY m HAVING 3 * count(*) FILTER (WHERE holders = 1) >= 2 * count(*)),
-recurring AS (SELECT template FROM (SELECT DISTINCT template, m FROM often) LEFT JOIN (SELECT m, 1 AS has FROM own) USING (m) GROUP BY template HAVING count(has) + max(CASE WHEN has IS NULL THEN 1 ELSE 0 END) >= 20),
+places AS (SELECT m, pos, ['first ' || array_to_string(w[1:3], ' '), 'mid ' || array_to_string(w[greatest(1, len(w) // 2):greatest(1, len(w) // 2) + 2], ' '), 'last ' || array_to_string(w[greatest(1, len(w) - 2):], ' ')] AS f, 'line ' || line AS g FROM l WHERE m IN (SELECT m FROM often)),
+rest AS (SELECT DISTINCT m, unnest(f) AS f FROM places p WHERE NOT EXISTS (SELECT 1 FROM often o WHERE o.m = p.m AND o.pos = p.pos)),
+asked AS (SELECT * FROM rest UNION SELECT m, g FROM places WHERE m NOT IN (SELECT m FROM rest)),
+holders AS (SELECT f, min(m) AS holder FROM (SELECT m, unnest(list_append(f, g)) AS f FROM places) GROUP BY f),
+parts AS (SELECT a.m, holder, count(*) AS n FROM asked a JOIN holders h ON a.f = h.f AND holder < a.m GROUP BY a.m, holder),
+most AS (SELECT m, holder, n FROM parts QUALIFY row_number() OVER (PARTITION BY m ORDER BY n DESC, holder) = 1),
+copied AS (SELECT m, holder FROM most JOIN (SELECT m, count(*) AS c FROM asked GROUP BY m) USING (m) WHERE 3 * n >= c),
+classes AS (SELECT c.m, coalesce(d.holder, c.holder) AS class FROM copied c LEFT JOIN copied d ON d.m = c.holder),
+recurring AS (SELECT template FROM often LEFT JOIN classes USING (m) GROUP BY template HAVING count(DISTINCT coalesce(class, m)) >= 20),
 holds AS (SELECT DISTINCT line, m FROM l WHERE len(w) >= 20),
 few AS (SELECT line, min(m) AS f FROM holds GROUP BY line HAVING count(*) BETWEEN 2 AND 19),
 need AS (SELECT m FROM holds JOIN few USING (line) GROUP BY m),

@@ -233,7 +233,7 @@ def test_components_of_a_long_chain(spark):
 
 
 def brute_lines(texts, min_docs, depth=3, min_constant=0.5, long_words=20):
-    """Lines dropped, by text, from the module's contract: templates, texts with something of their own, long lines in unlike texts."""
+    """Lines dropped, by text, from the module's contract: templates, near copies of earlier texts, long lines in unlike texts."""
     cut = lambda line: re.findall(r"[^ \t\n\x0b\f\r]+", line)
     key = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
     texts = sorted({t for t in texts if t is not None}, key=key)
@@ -243,6 +243,7 @@ def brute_lines(texts, min_docs, depth=3, min_constant=0.5, long_words=20):
 
 def brute_kept(given, min_docs, depth=3, min_constant=0.5, long_words=20):
     texts, rows, cut = brute_lines(given, min_docs)
+    key = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
     copies = Counter(t for t in given if t is not None)
     leaf = lambda toks: (len(toks), tuple("<*>" if re.search("[0-9]", x) else x for x in toks[:depth]))
     leaves = defaultdict(list)
@@ -262,17 +263,27 @@ def brute_kept(given, min_docs, depth=3, min_constant=0.5, long_words=20):
             template[t, p] = where, shape
             stands[where, shape].add(t)
     often = {x for x, own in stands.items() if len(own) >= min_docs}
-    ends, holders = defaultdict(set), defaultdict(set)
-    for t, p, line, toks in rows:
-        if template.get((t, p)) not in often:
-            for e in ((0, *toks[:3]), (1, *toks[-3:])):
-                ends[t].add(e)
-                holders[e].add(t)
     with_frequent = {t for x in often for t in stands[x]}
-    for e in holders:
-        holders[e] &= with_frequent
-    own = {t for t in with_frequent if ends[t] and 3 * sum(len(holders[e]) == 1 for e in ends[t]) >= 2 * len(ends[t])}
-    gone = {x for x in often if len(stands[x] & own) + bool(stands[x] - own) >= min_docs}
+    said, lines, holder = defaultdict(set), defaultdict(set), {}
+    for t, p, line, toks in rows:
+        if t in with_frequent:
+            at = max(0, len(toks) // 2 - 1)
+            places = {(0, *toks[:3]), (1, *toks[-3:]), (2, *toks[at : at + 3])}
+            lines[t].add((3, line))
+            for f in places | {(3, line)}:
+                holder[f] = min(holder.get(f, t), t, key=key)
+            if template.get((t, p)) not in often:
+                said[t] |= places
+    copy_of = {}
+    for t in with_frequent:
+        own = said[t] or lines[t]
+        found = Counter(holder[f] for f in own if key(holder[f]) < key(t))
+        if found:
+            best = max(found, key=lambda h: (found[h], -key(h)))
+            if 3 * found[best] >= len(own):
+                copy_of[t] = best
+    group = {t: copy_of.get(copy_of.get(t, t), copy_of.get(t, t)) for t in with_frequent}
+    gone = {x for x in often if len({group[t] for t in stands[x]}) >= min_docs}
     held = defaultdict(list)
     for t, p, line, toks in rows:
         if len(toks) >= long_words and t not in held[line]:
@@ -355,6 +366,43 @@ def test_passages_recur_whatever_stands_around_their_lines(spark):
     assert all("\n".join(got[i]) == texts[i] for i in range(270, 310))
 
 
+def test_boilerplate_of_pages_of_shared_parts_goes(spark):
+    r = random.Random(31)
+    pool = [words(r, 8, 50000) for _ in range(400)]
+    said = "subscribe to our letter and never miss a thing"
+    parts = [r.sample(pool, 10) for _ in range(400)]
+    often = {line for line, n in Counter(x for own in parts for x in own).items() if n >= 20}
+    got = kept_lines(spark, ["\n".join([*own, said]) for own in parts])
+    assert all(got[i] == [x for x in own if x not in often] for i, own in enumerate(parts)) and len(often) < 8
+
+
+def test_recurring_lines_of_logs_go(spark):
+    r = random.Random(32)
+    log = lambda: "\n".join(f"host {r.randint(0, 10**9)} served {r.randint(0, 10**9)} bytes to user {r.randint(0, 10**9)} today" for _ in range(6))
+    texts = [log() for _ in range(60)]
+    assert all(lines == [""] for lines in kept_lines(spark, texts).values())
+
+
+def test_near_copies_are_not_emptied_whatever_changed(spark):
+    """Groups of hundreds of copies: a word changed, several words changed, a line left out, a line put in."""
+    r = random.Random(33)
+    texts = []
+    for kind in range(4):
+        base = [words(r, 14, 50000).split() for _ in range(12)]
+        for _ in range(150):
+            copy = [list(line) for line in base]
+            for _ in range((1, 6, 0, 0)[kind]):
+                copy[r.randrange(12)][r.randrange(14)] = f"w{r.randint(0, 50000)}"
+            if kind == 2:
+                del copy[r.randrange(12)]
+            if kind == 3:
+                copy.insert(r.randrange(12), words(r, 14, 50000).split())
+            texts.append("\n".join(map(" ".join, copy)))
+    got = kept_lines(spark, texts)
+    lost = [i for i, t in enumerate(texts) if "\n".join(got[i]) != t]
+    assert [sum(i // 150 == k for i in lost) for k in range(3)] == [0, 0, 0]
+
+
 def test_long_passages_recur_in_few_documents(spark):
     r = random.Random(12)
     own = lambda: words(r, 30, 50000)
