@@ -13,8 +13,8 @@
 
 With 32 bands of 4 minima a pair of similarity 0.8 shares no band with a probability of 5e-8; the signature check lets a
 true pair go with one below 1e-9. Words are hashed with a secret of the run, so no text can be made to collide, and a link
-is confirmed on the words of both whole texts, not on hashes. Leaders with many pairs are spread over
-tasks with their texts; large buckets and stars, rows of a few numbers, are left to the adaptive skew join. A batch of texts to confirm is bounded by TEXT_ROWS rows and by Spark's own bound on its bytes.
+is confirmed on the words of both whole texts, not on hashes. Keys with more than HOT rows, be they
+leaders with their texts, buckets or centres of stars, are counted and dealt to SALTS tasks each. A batch of texts to confirm is bounded by TEXT_ROWS rows and by Spark's own bound on its bytes.
 
 Defined results: null and empty texts have empty sets and link with nothing; rows that share a doc_id are one document;
 a null doc_id links with nothing and is kept; extra columns are ignored; an empty table gives an empty result.
@@ -110,20 +110,26 @@ def _confirm(k: int, percent: int):
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) for every node of edges (a, b), comp the smallest node reachable, by alternating large-star and small-star."""
     now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    seen = None
+    seen, n = None, now.count()
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hubs = scratch.put(both.groupBy("u").count().where(F.col("count") > HOT), "hubs") if n > HOT else None  # fewer edges make no hub
+
+        def centred(rows, least):
+            return rows.join(least, "u") if hubs is None else spread(rows, least, "u", hubs, F.col("v"))
+
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # rows of two ids; a large star's are split by the adaptive skew join
+        large = centred(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.greatest("v", "m").alias("p"), F.col("m"), F.col("u"))
+        small = centred(large, least).select(F.greatest("v", "m").alias("p"), F.col("m"), F.col("u"))
         pairs = F.array(F.struct(F.col("p").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
         new = small.select(F.inline(pairs)).where("u <> v").distinct()
         new = scratch.put(new, "star")
-        scratch.drop(now)
+        scratch.drop(now, *([hubs] if hubs is not None else []))
         now = new
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        n = mark[0]
         if mark == seen:
             break
         seen = mark
@@ -244,7 +250,10 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, tex
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS)), i))
     entries = classes.select("node", "n_shingles", F.explode(band).alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low < high")
-    members = s.put(entries.join(shared.select("bucket", "size", F.col("low").alias("leader")), "bucket"), "members")
+    shared = s.put(shared.select("bucket", "size", F.col("low").alias("leader")), "shared")
+    crowded = s.put(shared.where(F.col("size") > HOT).select("bucket"), "crowded")
+    members = s.put(spread(entries, shared, "bucket", crowded, F.col("node")), "members")
+    s.drop(shared)
 
     links = _Links(docs, classes, s, words, percent)
     any_link = links.check(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
@@ -257,7 +266,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, tex
         own = own.join(links.comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if links.comp is not None else own.withColumn("comp", F.col("node"))
         per = own.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(len(links.tried)))).alias("pick"))
         top = per.groupBy("bucket").agg(F.max_by(F.struct("comp", "pick"), F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        return own.join(top.select("bucket", F.col("top.comp").alias("main"), F.col("top.pick").alias("pick")), "bucket")
+        return spread(own, top.select("bucket", F.col("top.comp").alias("main"), F.col("top.pick").alias("pick")), "bucket", crowded, F.col("node"))
 
     def ordered(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
@@ -280,7 +289,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, tex
         if links.check(met, by_signature=False):
             links.join_up()
         s.drop(met, nodes)
-    s.drop(rest, members, *links.tried, *links.links)
+    s.drop(rest, members, crowded, *links.tried, *links.links)
 
     by_key = classes.select("hi", "lo", "node")
     if links.comp is not None:

@@ -215,6 +215,35 @@ def test_crowded_keys_are_spread(spark, monkeypatch):
     assert got == brute_components(rows, 2, 80)
 
 
+def test_large_buckets_and_stars_are_spread(spark, monkeypatch):
+    """A bucket of all documents and a star of all nodes: their rows are dealt to several tasks by every join that meets them."""
+    from cardloom.llm import common
+
+    calls, plain = [], common.spread
+
+    def watched(big, few, on, hot, salt):
+        out, keys = plain(big, few, on, hot, salt), [x[0] for x in hot.select(on).distinct().collect()]
+        for key in keys:
+            own = big.where(big[on] == key)
+            calls.append((on, own.count(), own.select((salt % common.SALTS).alias("s")).distinct().count()))
+        return out
+
+    monkeypatch.setattr(neardup, "HOT", 30)
+    monkeypatch.setattr(neardup, "spread", watched)
+    r = random.Random(8)
+    base = words(r, 200, 9000).split()
+    texts = []
+    for i in range(120):  # all alike, each with a word of its own
+        copy = list(base)
+        copy[i] = f"own{i}"
+        texts.append(" ".join(copy))
+    got = neardup.near_duplicates(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), words=2, percent=80).collect()
+    assert {x["component_id"] for x in got} == {0} and sum(x["kept"] for x in got) == 1
+    large = {(on, n > 30 and tasks > 4) for on, n, tasks in calls if n > 30}
+    assert ("bucket", True) in large and ("u", True) in large and not any(not ok for _, ok in large)
+
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(5, "a b c d e f g", "s"), (3, "a b c d e f g", "s"), (3, "a b c d e f g", "s"), (9, "", "s"), (8, None, "s"), (None, "a b c d e f g", "s"), (7, "h i j k l m", "s")]
     kept = neardup.drop_near_duplicates(frame(spark, rows, ["hi", "kept"]))
