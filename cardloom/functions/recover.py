@@ -9,7 +9,7 @@ from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StringType
+from pyspark.sql.types import DateType, IntegerType, StringType, StructField, StructType
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 #: A cycle reaches no further back than this, so that another purchase at the same shop is no evidence.
@@ -60,9 +60,10 @@ def without_secret_urls(texts: pd.Series) -> pd.Series:
 
 # ---------------------------------------------------------------- text of PDF files
 
-#: A longer document is cut after so many pages and characters.
+#: A file of more pages, or of more characters in all, is refused.
 MOST_PAGES, MOST_CHARS = 64, 1_000_000
-_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\bT[dDm*]|\bT[jJ]|\bET\b|['\"](?=\s)", re.DOTALL)
+#: What a compressed stream may come to.
+MOST_BYTES = 16 * MOST_CHARS
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
@@ -75,35 +76,97 @@ def _literal(token: bytes) -> str:
     return raw.decode("latin-1")
 
 
-def pdf_text(data: bytes | None) -> str | None:
-    """What a PDF's content streams show, a line for each that they begin; null for what is no PDF. Fonts with encodings of their own
-    and encrypted files are not read."""
+class Oversized(ValueError):
+    """A file over a limit."""
+
+
+def _streams(data: bytes):
+    """(what stands before a stream, its bytes) for each stream of a file that can be read."""
     import zlib
 
-    if data is None or not data.startswith(b"%PDF"):
-        return None
-    pages: list[str] = []
-    for m in re.finditer(rb"<<(?P<head>.*?)>>\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", data, re.DOTALL):
+    for m in re.finditer(rb"<<(?P<head>(?:[^<>]|<(?!<)|>(?!>)|<<.*?>>)*)>>\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", data, re.DOTALL):
         body = m["body"]
         if b"/FlateDecode" in m["head"]:
             try:
-                body = zlib.decompressobj().decompress(body, 16 * MOST_CHARS)
+                unpack = zlib.decompressobj()
+                body = unpack.decompress(body, MOST_BYTES)
             except zlib.error:
                 continue
-        if not re.search(rb"\bBT\b", body):
-            continue
-        lines = [""]
-        for token in _SHOWN.findall(body):
-            if token[:1] in b"(<":
-                lines[-1] += _literal(token)
-            elif token in (b"Td", b"TD", b"T*", b"Tm", b"'", b'"', b"ET") and lines[-1]:
-                lines.append("")
-        pages.append("\n".join(x for x in lines if x))
-        if len(pages) == MOST_PAGES:
-            break
-    return "\n".join(pages)[:MOST_CHARS]
+            if unpack.unconsumed_tail:
+                raise Oversized
+        yield m["head"], body
 
 
-@F.pandas_udf(StringType())
-def text_of_pdf(files: pd.Series) -> pd.Series:
-    return files.map(pdf_text, na_action=None)
+_NUMBERED = re.compile(rb"[-+]?\d*\.?\d+|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\bT[dDmLjJ*]|T\*|\bBT\b|\bET\b|['\"](?=\s)", re.DOTALL)
+
+
+def _lines(body: bytes) -> list[str]:
+    """Lines that a content stream shows, from the top of the page to its bottom; lines at one height from left to right."""
+    placed: list[tuple[float, float, int, str]] = []
+    x = y = lead = 0.0
+    own, pending, operands = "", "", []
+
+    def line(dx: float = 0.0, dy: float = 0.0, at: tuple[float, float] | None = None):
+        """Ends the line and goes on elsewhere."""
+        nonlocal own, x, y
+        if own:
+            placed.append((-y, x, len(placed), own))
+        own, (x, y) = "", at or (x + dx, y + dy)
+
+    for token in _NUMBERED.findall(body):
+        if token[:1] in b"(<":
+            pending += _literal(token)
+            continue
+        if token[:1] in b"+-.0123456789":
+            operands.append(float(token))
+            continue
+        if token in (b"Tj", b"TJ"):
+            own += pending
+        elif token in (b"'", b'"'):  # a new line, and the string on it
+            line(dy=-lead)
+            own = pending
+        elif token == b"T*":
+            line(dy=-lead)
+        elif token in (b"Td", b"TD") and len(operands) >= 2:
+            line(*operands[-2:])
+            lead = -operands[-1] if token == b"TD" else lead
+        elif token == b"Tm" and len(operands) >= 6:
+            line(at=tuple(operands[-2:]))
+        elif token == b"TL" and operands:
+            lead = operands[-1]
+        elif token in (b"BT", b"ET"):
+            line(at=(0.0, 0.0) if token == b"BT" else None)
+        pending, operands = "", []
+    line()
+    return [shown for *_, shown in sorted(placed)]
+
+
+def read_pdf(data: bytes | None) -> tuple[str | None, int | None, str | None]:
+    """(text, pages, reason). Lines of each content stream from top to bottom. What is no PDF has the reason not_pdf, an encrypted file encrypted, and
+    one over a limit oversized; they have no text, as a part of it would pass for the whole. Fonts with encodings of their own are not read."""
+    if data is None:
+        return None, None, None
+    if not data.startswith(b"%PDF"):
+        return None, None, "not_pdf"
+    if re.search(rb"/Encrypt\b", data):
+        return None, None, "encrypted"
+    try:
+        pages, shown, size = len(re.findall(rb"/Type\s*/Page\b(?!s)", data)), [], 0
+        for head, body in _streams(data):
+            if b"/ObjStm" in head:
+                pages += len(re.findall(rb"/Type\s*/Page\b(?!s)", body))
+            elif re.search(rb"\bBT\b", body):
+                shown.append("\n".join(_lines(body)))
+                size += len(shown[-1]) + 1
+        pages = pages or len(shown)
+        if pages > MOST_PAGES or size > MOST_CHARS + 1:
+            raise Oversized
+    except Oversized:
+        return None, None, "oversized"
+    return "\n".join(shown), pages, None
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("pages", IntegerType()), StructField("reason", StringType())]))
+def read_pdfs(files: pd.Series) -> pd.DataFrame:
+    found = pd.DataFrame([read_pdf(f) for f in files], columns=["text", "pages", "reason"])
+    return found.astype({"pages": "Int32"})

@@ -46,14 +46,29 @@ def expired_leases(jobs: DataFrame, now: str) -> DataFrame:
     return late.select("id", status.alias("status"), F.when(status == "failed", clock + wait).alias("next_retry_at"))
 
 
+def claimable(jobs: DataFrame, run_mode: str, parser: str) -> DataFrame:
+    """(key, issuer, busy_until, first): each issuer's last lease of the parser and the first job that could be claimed of it."""
+    mine = jobs.where(F.col("parser_version") == parser).withColumn("key", F.lower(F.trim("issuer")))
+    waits = F.col("status").isin("queued", "failed") & (F.col("run_mode") == run_mode)
+    return mine.groupBy("key").agg(F.max(F.when(F.col("status") == "leased", F.col("lease_expires_at"))).alias("busy_until"), F.min(F.when(waits, F.struct("card_name", "created_at", "id", "issuer"))).alias("first"))
+
+
 def claim_plan(jobs: DataFrame, now: str, run_mode: str, parser: str) -> DataFrame:
     """The one job to claim: first issuer without a live lease, then card, age and id."""
     clock = F.lit(now).cast("timestamp_ntz")
-    key = F.lower(F.trim("issuer"))
-    mine = jobs.where(F.col("parser_version") == parser).withColumn("key", key)
-    busy = mine.where((F.col("status") == "leased") & (F.col("lease_expires_at") > clock)).select("key").distinct()
-    free = mine.where(F.col("status").isin("queued", "failed") & (F.col("run_mode") == run_mode)).join(busy, "key", "left_anti")
-    return free.orderBy("key", "card_name", "created_at", "id").limit(1).select("id", "issuer", "card_name")
+    free = claimable(jobs, run_mode, parser).where(F.col("first").isNotNull() & (F.col("busy_until").isNull() | (F.col("busy_until") <= clock)))
+    return free.orderBy("key").limit(1).select("first.id", "first.issuer", "first.card_name")
+
+
+def claim_timeline(jobs: DataFrame, run_mode: str, parser: str) -> DataFrame:
+    """(moment, id, issuer, card_name): the job to claim at each moment at which an issuer's last lease ends, were none claimed before.
+
+    One pass groups the jobs to a row an issuer; the window runs over those.
+    """
+    rows = claimable(jobs, run_mode, parser).withColumn("since", F.coalesce("busy_until", F.lit("0001-01-01").cast("timestamp_ntz")))
+    free = Window.orderBy("since").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    best = F.min(F.when(F.col("first").isNotNull(), F.struct("key", "first"))).over(free)
+    return rows.withColumn("best", best).where("busy_until IS NOT NULL").select(F.col("busy_until").alias("moment"), "best.first.id", "best.first.issuer", "best.first.card_name").distinct()
 
 
 def rotation(candidates: DataFrame, slot: int) -> DataFrame:

@@ -110,9 +110,11 @@ def jn5_orphans(spark, sf_dir):
     return m.join(cards, "card_id", "left").join(benefits, "benefit_id", "left").where("has_card IS NULL OR has_benefit IS NULL").select("id")
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def jn6_anti(spark, sf_dir):
-    return view(spark, sf_dir, "customer").select("c_custkey").join(view(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an urgent order that is done."""
+    urgent = view(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return view(spark, sf_dir, "customer").select("c_custkey").join(urgent, "c_custkey", "left_anti")
 
 
 @query("SELECT id FROM card_catalog c WHERE NOT is_discontinued OR EXISTS (SELECT 1 FROM user_cards u WHERE u.catalog_card_id = c.id AND u.is_active)")

@@ -57,10 +57,12 @@ def que1_expired_leases(spark, sf_dir):
     return W.expired_leases(view(spark, sf_dir, "jobs"), NOW)
 
 
-@query(f"""WITH m AS (SELECT * FROM jobs WHERE parser_version = 'v6'), b AS (SELECT DISTINCT lower(trim(issuer)) AS k FROM m WHERE status = 'leased' AND lease_expires_at > TIMESTAMP '{NOW}')
-SELECT id, issuer, card_name FROM m WHERE status IN ('queued', 'failed') AND run_mode = 'manual' AND lower(trim(issuer)) NOT IN (SELECT k FROM b) ORDER BY lower(trim(issuer)), card_name, created_at, id LIMIT 1""")
+@query("""WITH i AS (SELECT lower(trim(issuer)) AS k, max(lease_expires_at) FILTER (WHERE status = 'leased') AS busy, arg_min({'id': id, 'issuer': issuer, 'card_name': card_name}, (card_name, created_at, id)) FILTER (WHERE status IN ('queued', 'failed') AND run_mode = 'manual') AS c FROM jobs WHERE parser_version = 'v6' GROUP BY 1),
+t AS (SELECT DISTINCT busy AS moment FROM i WHERE busy IS NOT NULL), j AS (SELECT moment, arg_min(c, k) AS c FROM t LEFT JOIN i ON (busy IS NULL OR busy <= moment) AND c IS NOT NULL GROUP BY moment)
+SELECT CAST(moment AS VARCHAR) AS moment, c.id AS id, c.issuer AS issuer, c.card_name AS card_name FROM j""")
 def que1_claim_plan(spark, sf_dir):
-    return W.claim_plan(view(spark, sf_dir, "jobs"), NOW, "manual", "v6")
+    """The job to claim at each moment at which an issuer comes free; busy issuers are passed over."""
+    return W.claim_timeline(view(spark, sf_dir, "jobs"), "manual", "v6").withColumn("moment", F.col("moment").cast("string"))
 
 
 @query("SELECT id, created_at + INTERVAL 7 DAY AS due FROM jobs WHERE status = 'succeeded' AND created_at + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20' ORDER BY created_at, id LIMIT 200")

@@ -12,12 +12,6 @@ from cardloom.plans.register import query
 from cardloom.sources.tables import CLOCK, view
 
 
-@query()
-def dom18_benefit_lines(spark, sf_dir):
-    """Benefits that the lines of all documents state; the parsers are tested on golden lines."""
-    return X.benefits(view(spark, sf_dir, "documents"), "doc_id", "text")
-
-
 #: A line for each parser with a number N and an amount M, and the terms that it states: value, rate, cap, threshold, period.
 MADE = (
     ("Get N% off on movie tickets this week", "entertainment", "percent_discount", None, "n", None, None, None), ("Buy one cinema ticket, get one free, capped at Rs. M, twice per month", "entertainment", "bogo", "m", None, None, None, "month"),
@@ -32,24 +26,39 @@ MADE = (
 )
 
 
-def _made_sql() -> str:
+_OF_PARTS = "SELECT p_partkey, p_partkey % {k} AS k, p_size AS n, 100 * (p_partkey % 90 + 10) AS m FROM part"
+_OF_DOCUMENTS = "SELECT doc_id, doc_id % {k} AS k, doc_id % 50 + 1 AS n, 100 * (doc_id % 90 + 10) AS m FROM documents"
+
+
+def _made_sql(source: str, key: str) -> str:
     """The terms of the made lines from the numbers they were made of."""
     case = lambda i: "CASE k " + " ".join(f"WHEN {k} THEN {v}" for k, row in enumerate(MADE) if (v := row[i]) is not None) + " END"
     text = lambda i: "CASE k " + " ".join(f"WHEN {k} THEN '{v}'" for k, row in enumerate(MADE) if (v := row[i]) is not None) + " END"
     numbers = ", ".join(f"CAST({case(i)} AS DOUBLE) AS {name}" for i, name in ((3, "value"), (4, "rate"), (5, "cap"), (6, "threshold")))
-    return f"""WITH p AS (SELECT p_partkey, p_partkey % {len(MADE)} AS k, p_size AS n, 100 * (p_partkey % 90 + 10) AS m FROM part)
-SELECT p_partkey, {text(1)} AS category, {text(2)} AS value_type, {numbers}, {text(7)} AS period FROM p WHERE {text(2)} IS NOT NULL"""
+    return f"""WITH p AS ({source.format(k=len(MADE))})
+SELECT {key}, {text(1)} AS category, {text(2)} AS value_type, {numbers}, {text(7)} AS period FROM p WHERE {text(2)} IS NOT NULL"""
 
 
-@query(_made_sql())
+def _made_line(key: str, n, m):
+    line = F.get(F.array(*[F.lit(row[0]) for row in MADE]), (F.col(key) % len(MADE)).cast("int"))
+    return F.regexp_replace(F.regexp_replace(line, F.lit(r"\bN(?=[ %x])"), n.cast("string")), F.lit(r"M(?=[ ,]|$)"), m.cast("string"))
+
+
+@query(_made_sql(_OF_PARTS, "p_partkey"))
 def dom18_made_lines(spark, sf_dir):
     """A line of every parser, made of known numbers, read back."""
-    p = view(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("n"), (100 * (F.col("p_partkey") % 90 + 10)).cast("string").alias("m"))
-    line = F.get(F.array(*[F.lit(row[0]) for row in MADE]), (F.col("p_partkey") % len(MADE)).cast("int"))
-    made = p.select("p_partkey", F.regexp_replace(F.regexp_replace(line, F.lit(r"\bN(?=[ %x])"), F.col("n")), F.lit(r"M(?=[ ,]|$)"), F.col("m")).alias("line"))
+    made = view(spark, sf_dir, "part").select("p_partkey", _made_line("p_partkey", F.col("p_size"), 100 * (F.col("p_partkey") % 90 + 10)).alias("line"))
     return X.benefits(made, "p_partkey", "line").select("p_partkey", "category", "value_type", "value", "rate", "cap", "threshold", "period")
 
 
+@query(_made_sql(_OF_DOCUMENTS, "doc_id"))
+def dom18_benefit_lines(spark, sf_dir):
+    """Benefits that the lines of all documents state; each whole text has one such line, or one that only looks like it, put to its end."""
+    planted = F.concat_ws("\n", "text", _made_line("doc_id", F.col("doc_id") % 50 + 1, 100 * (F.col("doc_id") % 90 + 10)))
+    docs = view(spark, sf_dir, "documents").select("doc_id", planted.alias("text"))
+    return X.benefits(docs, "doc_id", "text").select("doc_id", "category", "value_type", "value", "rate", "cap", "threshold", "period")
+
+
 @query("""SELECT event_id, '{"a":[' || CAST(json_extract(props, '$.k') AS BIGINT) || ',null,true],"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || ',"z":"x"}' AS canonical, sha256('{"a":[' || CAST(json_extract(props, '$.k') AS BIGINT) || ',null,true],"k":' || CAST(json_extract(props, '$.k') AS BIGINT) || ',"z":"x"}') AS digest FROM events""")
 def jsn1_canonical(spark, sf_dir):
     """Objects with unsorted keys and spaces, in canonical form, and its digest."""

@@ -331,13 +331,19 @@ def dom33_pilot_gate(spark, sf_dir):
     return W.pilot_gate(rows, "g")
 
 
-@query("""SELECT p_partkey, p_name || chr(10) || 'size ' || p_size AS text FROM part""")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'size ' || p_size || chr(10) || p_name WHEN 1 THEN p_name || chr(10) || 'size ' || p_size WHEN 2 THEN p_name || chr(10) || 'two' END AS text, CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 END AS pages,
+  CASE p_partkey % 6 WHEN 3 THEN 'oversized' WHEN 4 THEN 'not_pdf' WHEN 5 THEN 'encrypted' END AS reason FROM part""")
 def src15_pdf_text(spark, sf_dir):
-    """Text of PDF files made of parts."""
-    from cardloom.functions.recover import text_of_pdf
-
-    made = F.concat(F.lit("%PDF-1.4\n1 0 obj <</Length 9>> stream\nBT /F1 12 Tf ("), "p_name", F.lit(") Tj 0 -14 Td [(si) -20 (ze\\040)] TJ ("), F.col("p_size").cast("string"), F.lit(") Tj ET\nendstream endobj"))
-    return view(spark, sf_dir, "part").select("p_partkey", text_of_pdf(made.cast("binary")).alias("text"))
+    """Text and pages of PDF files, or why there are none: lines out of order, two pages, 65 pages, another format, an encrypted file."""
+    from cardloom.functions.recover import read_pdfs
+
+    page, end = "1 0 obj <</Type /Page>> endobj\n", "\nendstream endobj\n"
+    stream = lambda *shown: F.concat(F.lit("2 0 obj <</Length 9>> stream\nBT /F1 12 Tf "), *[F.lit(x) if isinstance(x, str) else x for x in shown], F.lit(" ET" + end))
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    made = F.get(F.array(
+        F.concat(F.lit("%PDF-1.4\n" + page), stream("1 0 0 1 50 100 Tm (", name, ") Tj 1 0 0 1 50 700 Tm [(si) -20 (ze\\040)] TJ (", size, ") Tj")), F.concat(F.lit("%PDF-1.7\n" + page), stream("14 TL 0 700 Td (", name, ") Tj T* (size ", size, ") Tj")),
+        F.concat(F.lit("%PDF-1.4\n" + page * 2), stream("(", name, ") Tj"), stream("(two) Tj")), F.concat(F.lit("%PDF-1.4\n" + page * 65), stream("(", name, ") Tj")), F.concat(F.lit("PK"), name), F.concat(F.lit("%PDF-1.4\ntrailer <</Encrypt 3 0 R>>"), name)), (F.col("p_partkey") % 6).cast("int"))
+    return view(spark, sf_dir, "part").select("p_partkey", read_pdfs(made.cast("binary")).alias("r")).select("p_partkey", "r.text", "r.pages", "r.reason")
 
 
 _ENDS = """CASE p_partkey % 8 WHEN 0 THEN 'The Orbit ' || p_brand || ' card is discontinued since May' WHEN 1 THEN 'This card has been withdrawn' END"""

@@ -187,3 +187,21 @@ def test_kinds_of_pages(spark):
     df = spark.createDataFrame([(i, "Star Bank", u, h) for i, (u, h) in enumerate(rows)], "page_id int, issuer string, url string, html string")
     got = [(r["kind"], r["name"]) for r in P.page_classes(df).orderBy("page_id").collect()]
     assert got == [("card_product", "nova"), ("supporting_document", "nova"), ("supporting_document", "nova"), ("ambiguous", None), ("ambiguous", None), ("not_a_card", None), ("not_a_card", None), ("card_product", "blue moon"), ("card_product", "blue moon"), ("ambiguous", None), ("ambiguous", None), ("card_product", "wealth")]
+
+
+# ---------------------------------------------------------------- queues
+
+
+def test_busy_issuers_are_passed_over(spark):
+    from cardloom.operators import crawl as W
+
+    at = lambda h: T0 + timedelta(hours=h)
+    jobs = [
+        (1, "alpha", "b", "queued", "manual", "v6", at(0), None), (2, " Alpha ", "a", "failed", "manual", "v6", at(1), None), (3, "alpha", "c", "leased", "manual", "v6", at(0), at(5)), (4, "beta", "a", "queued", "manual", "v6", at(0), None), (5, "beta", "z", "leased", "other", "v6", at(0), at(3)),
+        (6, "gamma", "a", "queued", "automatic", "v6", at(0), None), (7, "delta", "a", "queued", "manual", "v6", at(2), None), (8, "aaa", "a", "queued", "manual", "v5", at(0), None), (9, "beta", "a", "queued", "manual", "v6", at(-1), None),
+    ]
+    df = spark.createDataFrame(jobs, "id int, issuer string, card_name string, status string, run_mode string, parser_version string, created_at timestamp_ntz, lease_expires_at timestamp_ntz")
+    plan = lambda h: [r["id"] for r in W.claim_plan(df, at(h).strftime("%Y-%m-%d %H:%M:%S"), "manual", "v6").collect()]
+    assert [plan(2), plan(3), plan(5)] == [[7], [9], [2]]
+    assert {(r["moment"], r["id"]) for r in W.claim_timeline(df, "manual", "v6").collect()} == {(at(3), 9), (at(5), 2)}
+    assert W.claim_plan(df.where("issuer = 'gamma'"), "2024-05-09 00:00:00", "manual", "v6").collect() == []

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardloom.functions import rules as R
-from cardloom.functions.recover import pdf_text
+from cardloom.functions.recover import read_pdf
 from cardloom.operators import extraction as X, portfolio as P
 
 
@@ -56,7 +56,24 @@ def test_text_of_pdf_files():
     shown = b"BT (A \\(b\\) \\101) Tj T* <0041> Tj [(c) -3 (d)] TJ ET"
     packed = zlib.compress(shown)
     file = b"%PDF-1.7\n1 0 obj << /Length 5 /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream\nendobj"
-    assert pdf_text(file) == "A (b) A\n\x00Acd" and pdf_text(b"%PDF-1.4 nothing") == "" and pdf_text(b"x") is None and pdf_text(None) is None
+    assert read_pdf(file) == ("A (b) A\n\x00Acd", 1, None) and read_pdf(b"%PDF-1.4 nothing") == ("", 0, None) and read_pdf(b"x") == (None, None, "not_pdf") and read_pdf(None) == (None, None, None)
+
+
+def test_lines_of_a_page_in_reading_order():
+    shown = b"BT 1 0 0 1 50 100 Tm (low) Tj 1 0 0 1 300 700 Tm (right) Tj 1 0 0 1 50 700 Tm (left) Tj 0 -20 Td (under) Tj 12 TL T* (next) Tj (quoted) ' ET BT 5 800 TD [(t) 3 (op)] TJ ET"
+    assert read_pdf(b"%PDF-1.4\n<<>> stream\n" + shown + b"\nendstream")[0].split("\n") == ["top", "left", "right", "under", "next", "quoted", "low"]
+
+
+def test_files_over_a_limit_are_refused_not_cut():
+    import zlib
+
+    page, body = b"<</Type /Page>>\n", b"<<>> stream\nBT (some text) Tj ET\nendstream\n"
+    assert read_pdf(b"%PDF-1.4\n" + page * 64 + body) == ("some text", 64, None) and read_pdf(b"%PDF-1.4\n" + page * 65 + body) == (None, None, "oversized")
+    assert read_pdf(b"%PDF-1.4\n<</Type /Pages /Kids []>>" + page + body)[1] == 1 and read_pdf(b"%PDF-1.4\n/Encrypt 1 0 R" + body)[2] == "encrypted"
+    long = b"BT (" + b"x" * 999 + b") Tj ET "
+    assert len(read_pdf(b"%PDF-1.4\n<<>> stream\n" + long * 900 + b"\nendstream")[0]) == 900 * 1000 - 1 and read_pdf(b"%PDF-1.4\n<<>> stream\n" + long * 1001 + b"\nendstream")[2] == "oversized"
+    bomb = zlib.compress(b"BT" + b" " * 20_000_000 + b"ET")
+    assert read_pdf(b"%PDF-1.4\n<</Filter /FlateDecode>> stream\n" + bomb + b"\nendstream")[2] == "oversized"
 
 
 def test_the_card_of_a_mail(spark):
