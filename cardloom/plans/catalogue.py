@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cardloom.operators import attempts as A
-from cardloom.operators import growth, identity, pages, removals, snapshots
+from cardloom.operators import growth, identity, pages, removals, replay, snapshots
 from cardloom.plans.register import query
 from cardloom.sources.tables import CLOCK, view
 
@@ -241,3 +241,31 @@ def dom26_page_class(spark, sf_dir):
       WHEN 7 THEN '<script type="application/ld+json">{"@type":"Product","name":"Orbit Nova Card"}</script><h2>Our charges.</h2>' WHEN 8 THEN '<script type="application/ld+json">{"@graph":[{"@type":"Thing","name":"x"},{"@type":"CreditCard","name":"Star Orbit Nova Card"}]}</script><h1>Why this credit card?</h1>' ELSE '<h1>Orbit Nova Credit Card</h1>' END"""
     rows = view(spark, sf_dir, "pages").selectExpr("page_id", "'Star Bank' AS issuer", f"{_PLACE} AS url", f"{head} || coalesce(html, '') AS html")
     return pages.page_classes(rows)
+
+
+# ---------------------------------------------------------------- portfolios
+
+_SPENT = "SELECT o_custkey AS user_id, o_orderkey AS txn_id, o_orderdate AS bought_at, CAST(o_totalprice AS DOUBLE) AS amount, CASE o_orderkey % 4 WHEN 0 THEN 'food' WHEN 1 THEN 'fuel' WHEN 2 THEN 'travel' END AS category FROM orders"
+#: Six cards: a capped rule for a category and a lower one for all, with or without a cap, a rule for large purchases alone.
+_RULES = """SELECT card_id, 'c' || CAST(card_id AS STRING) AS rule_id, CASE card_id % 3 WHEN 0 THEN 'food' WHEN 1 THEN 'fuel' ELSE 'travel' END AS category, 0.05E0 AS rate, CASE WHEN card_id < 4 THEN 4000.0E0 END AS cap, CASE WHEN card_id = 2 THEN 100000.0E0 END AS least FROM (SELECT DISTINCT p_partkey % 6 AS card_id FROM part) c
+  UNION ALL SELECT card_id, 'a' || CAST(card_id AS STRING), CAST(NULL AS STRING), 0.01E0, CASE WHEN card_id % 2 = 1 THEN 900.0E0 END, CAST(NULL AS DOUBLE) FROM (SELECT DISTINCT p_partkey % 6 AS card_id FROM part) c"""
+_OFFERED = "SELECT c_custkey AS user_id, card_id, (c_custkey + card_id) % 5 = 0 AS is_owned, CAST(card_id * 500 AS DOUBLE) AS annual_fee FROM customer JOIN (SELECT DISTINCT p_partkey % 6 AS card_id, p_partkey % 2 AS half FROM part) c ON c_custkey % 2 = half"
+#: Used in the last month: known of some rules, not known of others.
+_USED = "SELECT user_id, card_id, 'c' || CAST(card_id AS STRING) AS rule_id, CAST('2001-08-01' AS DATE) AS cycle, CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(user_id % 3 * 1500 AS DOUBLE) END AS used FROM (SELECT c_custkey AS user_id, half + 2 AS card_id FROM customer JOIN (SELECT DISTINCT p_partkey % 2 AS half FROM part) h ON c_custkey % 2 = half) o WHERE user_id % 7 < 4"
+#: The gain of a month by its sums: as each card has one rule for a category and one for all, the order of purchases is without effect.
+_FOLD = "least({cap}, 0.05 * s) AS {n}1, least(coalesce(acap, 1e300), 0.01 * (w - least({cap}, 0.05 * s) / 0.05)) AS {n}2"
+
+
+@query(f"""WITH t AS (SELECT *, date_trunc('month', bought_at)::DATE AS cycle FROM ({_SPENT}) WHERE bought_at > TIMESTAMP '{CLOCK}' - INTERVAL 90 DAY AND bought_at <= TIMESTAMP '{CLOCK}' AND amount > 0),
+r AS (SELECT card_id, max(category) AS category, max(cap) FILTER (WHERE rule_id LIKE 'c%') AS cap, max(least) AS least_, max(cap) FILTER (WHERE rule_id LIKE 'a%') AS acap FROM ({_RULES}) GROUP BY card_id), o AS ({_OFFERED}), u AS ({_USED}),
+g AS (SELECT o.user_id, o.card_id, t.cycle, r.cap, r.acap, sum(CASE WHEN t.category = r.category AND amount >= coalesce(r.least_, 0) THEN amount ELSE 0 END) AS s, sum(amount) AS w FROM o JOIN r USING (card_id) JOIN t USING (user_id) GROUP BY ALL),
+k AS (SELECT g.*, CASE WHEN cap IS NULL THEN 1e300 WHEN u.user_id IS NULL THEN cap WHEN used IS NULL THEN 0 ELSE greatest(cap - used, 0) END AS lo, CASE WHEN cap IS NULL THEN 1e300 ELSE greatest(cap - coalesce(used, 0), 0) END AS hi FROM g LEFT JOIN u ON u.user_id = g.user_id AND u.card_id = g.card_id AND u.cycle = g.cycle),
+m AS (SELECT user_id, card_id, {_FOLD.format(cap='lo', n='l')}, {_FOLD.format(cap='hi', n='h')} FROM k), f AS (SELECT user_id, card_id, sum(l1 + l2) AS low, sum(h1 + h2) AS high FROM m GROUP BY ALL)
+SELECT o.user_id, o.card_id, is_owned, round(coalesce(low, 0), 2) AS low, round(coalesce(high, 0), 2) AS high, round(coalesce(low, 0) * (365.0::DOUBLE / 90.0::DOUBLE) - CASE WHEN is_owned THEN 0 ELSE annual_fee END, 2) AS year_low, round(coalesce(high, 0) * (365.0::DOUBLE / 90.0::DOUBLE) - CASE WHEN is_owned THEN 0 ELSE annual_fee END, 2) AS year_high, coalesce(abs(low - high) < 1e-6, true) AS certain
+FROM o LEFT JOIN f ON f.user_id = o.user_id AND f.card_id = o.card_id""")
+def dom48_portfolio_replay(spark, sf_dir):
+    """What each candidate card would have earned its user in ninety days: purchases folded through its rules, caps and cycles."""
+    table = lambda sql, **of: spark.sql(sql.replace("FROM orders", "FROM {o}").replace("FROM part", "FROM {p}").replace("FROM customer", "FROM {c}"), **of)
+    orders, part, customer = (view(spark, sf_dir, t) for t in ("orders", "part", "customer"))
+    out = replay.portfolio_values(table(_SPENT, o=orders).withColumnRenamed("bought_at", "at"), table(_OFFERED, c=customer, p=part), table(_RULES, p=part), table(_USED, c=customer, p=part), CLOCK)
+    return out.withColumns({c: F.round(c, 2) for c in ("low", "high", "year_low", "year_high")})

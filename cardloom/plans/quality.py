@@ -90,17 +90,44 @@ def win2_latest_revision(spark, sf_dir):
     return last.where("role <> 'assistant'").select("conv_id", F.col("turn").alias("revision"))
 
 
-@query("""WITH i AS (SELECT 'review' AS kind, id, CASE WHEN attempt_count >= 3 THEN 'high' ELSE 'low' END AS severity, epoch(TIMESTAMP '2024-02-01' - created_at)::BIGINT AS age FROM jobs WHERE status = 'review'
-UNION ALL SELECT 'failed', id, 'medium', epoch(TIMESTAMP '2024-02-01' - created_at)::BIGINT FROM jobs WHERE status = 'failed')
-SELECT kind, id, severity, age FROM i ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, age DESC, id LIMIT 100""")
+_REVIEWS = "SELECT page_id AS id, CASE WHEN page_id % 3 = 0 THEN 'pending' ELSE 'approved' END AS status, CAST('2024-01-01 00:00:00' AS TIMESTAMP) + CAST(page_id % 700 AS INT) * INTERVAL '1' HOUR AS created_at FROM pages"
+_WORK = """SELECT id, CASE WHEN status = 'review' THEN 'review_required' WHEN status = 'succeeded' AND id % 9 = 0 THEN 'quarantined' WHEN status = 'succeeded' AND id % 9 = 1 THEN 'staged' ELSE status END AS status, card_id, CASE WHEN id % 10 = 3 THEN 'catalog-v1' ELSE 'benefits-v5' END AS parser_version,
+  CASE WHEN run_mode = 'automatic' THEN 'scheduled' ELSE run_mode END AS run_mode, CASE WHEN id % 4 = 1 THEN CAST('2024-03-01 00:00:00' AS TIMESTAMP) END AS next_retry_at, created_at FROM jobs"""
+_SHOWN = "SELECT id AS card_id, CASE WHEN id % 13 = 0 THEN ' x ' ELSE bank END AS bank, card_name FROM card_catalog"
+_PAUSED = "SELECT true AS is_paused, max(created_at) AS updated_at FROM jobs"
+_SAID = """SELECT CAST(conv_id * 100 + turn AS STRING) AS id, CASE conv_id % 4 WHEN 0 THEN 'statement_processing' WHEN 1 THEN 'card_data' WHEN 2 THEN 'recommendation' END AS feature_key, CASE WHEN conv_id % 7 = 0 THEN 'critical' WHEN conv_id % 7 = 1 THEN 'high' WHEN conv_id % 7 = 2 THEN 'low' END AS severity,
+  CASE WHEN role = 'user' THEN 'pending' ELSE 'reviewed' END AS review_status, CAST('2024-01-15 00:00:00' AS TIMESTAMP) + CAST(turn * 31 + conv_id % 17 AS INT) * INTERVAL '1' HOUR AS created_at FROM conversations"""
+_SECONDS = "greatest(CAST(floor(epoch(TIMESTAMP '2024-02-01' - {})) AS BIGINT), 0)"
+_NAMED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_INBOX = f"""WITH r AS ({_REVIEWS}), w AS ({_WORK}), s AS ({_SHOWN}), p AS ({_PAUSED}), f AS ({_SAID}),
+i AS (SELECT 'card-identity:' || id AS id, 'card_identity_review' AS type, 'normal' AS severity, 'Review card identity' AS title, status AS source_status, {_SECONDS.format('created_at')} AS age_seconds FROM r WHERE status = 'pending'
+UNION ALL SELECT 'benefit-enrichment:' || w.id, 'benefit_enrichment_review', CASE w.status WHEN 'staged' THEN 'normal' ELSE 'high' END, CASE w.status WHEN 'failed' THEN 'Recover benefits' WHEN 'quarantined' THEN 'Review quarantined benefits' ELSE 'Review benefits' END
+  || CASE WHEN length({_NAMED.format('bank')}) >= 2 AND length({_NAMED.format('card_name')}) >= 2 THEN ': ' || {_NAMED.format('bank')} || ' — ' || {_NAMED.format('card_name')} ELSE '' END, w.status, {_SECONDS.format('created_at')} FROM w JOIN s ON s.card_id = w.card_id WHERE w.status IN ('review_required', 'failed', 'quarantined', 'staged') AND parser_version <> 'catalog-v1'
+UNION ALL SELECT 'system:benefit_enrichment_scheduled:paused', 'paused_pipeline', 'critical', 'Scheduled benefit enrichment is paused', 'paused', {_SECONDS.format('updated_at')} FROM p WHERE EXISTS (SELECT 1 FROM w WHERE run_mode = 'scheduled' AND status IN ('queued', 'failed') AND parser_version <> 'catalog-v1' AND next_retry_at IS NULL)
+UNION ALL SELECT 'feedback:' || id, 'feedback_review', CASE WHEN severity IN ('critical', 'high') THEN severity ELSE 'normal' END, 'Review ' || CASE feature_key WHEN 'statement_processing' THEN 'statement processing' WHEN 'card_data' THEN 'card data' WHEN 'recommendation' THEN 'recommendation' ELSE 'AI output' END || ' feedback', review_status, {_SECONDS.format('created_at')} FROM f WHERE review_status = 'pending')"""
+
+
+def _inbox(spark, sf_dir):
+    from cardloom.operators import inbox
+
+    def table(sql: str, name: str):
+        return spark.sql(sql.replace("AS TIMESTAMP)", "AS TIMESTAMP_NTZ)").replace(f"FROM {name}", "FROM {t}"), t=view(spark, sf_dir, name))
+
+    return inbox.items(table(_REVIEWS, "pages"), table(_WORK, "jobs"), table(_SHOWN, "card_catalog"), table(_PAUSED, "jobs"), table(_SAID, "conversations"), "2024-02-01 00:00:00")
+
+
+@query(f"{_INBOX} SELECT id, type, severity, title, source_status, age_seconds FROM i ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, age_seconds DESC, id LIMIT 100")
 def srt2_inbox(spark, sf_dir):
-    """The hundred most pressing items of several sources: severity, then age."""
-    jobs = view(spark, sf_dir, "jobs")
-    age = F.floor(F.unix_micros(F.lit("2024-02-01").cast("timestamp_ntz").cast("timestamp")) / 1e6 - F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6 + 0.5).cast("long")
-    a = jobs.where("status = 'review'").select(F.lit("review").alias("kind"), "id", F.when(F.col("attempt_count") >= 3, F.lit("high")).otherwise(F.lit("low")).alias("severity"), age.alias("age"))
-    b = jobs.where("status = 'failed'").select(F.lit("failed").alias("kind"), "id", F.lit("medium").alias("severity"), age.alias("age"))
-    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-    return S.page(a.unionByName(b), [rank, F.desc("age"), "id"], 100)
+    """The hundred most pressing items of all five sources: severity, then age."""
+    from cardloom.operators import inbox
+
+    return inbox.ranked(_inbox(spark, sf_dir))
+
+
+@query(f"{_INBOX} SELECT id, type, severity, title, source_status, age_seconds FROM i")
+def dom41_inbox_items(spark, sf_dir):
+    """Every item of the inbox."""
+    return _inbox(spark, sf_dir)
 
 
 _WAIT = """w AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN '1-2' WHEN 1 THEN '3-6' WHEN 2 THEN '7+' WHEN 3 THEN 'legacy-6-plus' END AS cards, CASE c_custkey % 4 WHEN 0 THEN 'under-25k' WHEN 1 THEN '25k-50k' WHEN 2 THEN '50k-1l' ELSE '1l-plus' END AS band,

@@ -82,10 +82,12 @@ def histories(events: DataFrame, most: int = KEPT) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, entries string", "kinds array<string>, ids array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
-def sliding(events: DataFrame, span_us: int = 3_600_000_000) -> DataFrame:
+def sliding(events: DataFrame, span_us: int = 3_600_000_000, late_us: int = 86_400_000_000) -> DataFrame:
     """(event_id, recent): of each event how many of its user's came in the span up to it, itself and those of its instant included.
 
-    A stream in order of time, as a log is: the state of a user is the instants of the last span, no more.
+    Events may come late and out of order: one that comes later raises the counts of those after it, which are given out again
+    (in update mode the last row of an event counts). A user's state is the events of the last late_us and the span before;
+    what is older changes no more. An event that comes later still counts among those that are held.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -93,15 +95,17 @@ def sliding(events: DataFrame, span_us: int = 3_600_000_000) -> DataFrame:
         import numpy as np
         import pandas as pd
 
-        held = np.array(state.get[0] if state.exists else [], dtype="int64")
+        ids, at, given = (np.array(x, dtype="int64") for x in (state.get if state.exists else ([], [], [])))
         for b in batches:
-            b = b.sort_values("at", kind="stable")
-            at = b["at"].to_numpy()
-            every = np.sort(np.concatenate([held, at]))
-            recent = np.searchsorted(every, at, "right") - np.searchsorted(every, at - span_us, "left")
-            held = every[every >= every[-1] - span_us]
-            yield pd.DataFrame({"event_id": b["event_id"].to_numpy(), "recent": recent})
-        state.update((held.tolist(),))
+            ids, at, given = np.concatenate([ids, b["event_id"]]), np.concatenate([at, b["at"]]), np.concatenate([given, np.zeros(len(b), "int64")])
+        order = np.argsort(at, kind="stable")
+        ids, at, given = ids[order], at[order], given[order]
+        recent = np.searchsorted(at, at, "right") - np.searchsorted(at, at - span_us, "left")
+        recent = np.maximum(recent, given)  # of old events what came before them may be gone
+        new = recent != given
+        yield pd.DataFrame({"event_id": ids[new], "recent": recent[new]})
+        held = at >= at[-1] - late_us - span_us
+        state.update((ids[held].tolist(), at[held].tolist(), recent[held].tolist()))
 
     rows = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, recent long", "at array<long>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, recent long", "ids array<long>, at array<long>, given array<long>", "update", GroupStateTimeout.NoTimeout)

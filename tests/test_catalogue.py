@@ -205,3 +205,49 @@ def test_busy_issuers_are_passed_over(spark):
     assert [plan(2), plan(3), plan(5)] == [[7], [9], [2]]
     assert {(r["moment"], r["id"]) for r in W.claim_timeline(df, "manual", "v6").collect()} == {(at(3), 9), (at(5), 2)}
     assert W.claim_plan(df.where("issuer = 'gamma'"), "2024-05-09 00:00:00", "manual", "v6").collect() == []
+
+
+# ---------------------------------------------------------------- portfolios
+
+
+def test_purchases_use_up_caps_in_order(spark):
+    from cardloom.operators import replay as P
+
+    day = lambda d: datetime(2024, 5, d, 10)
+    bought = [(1, 1, day(1), 100.0, "food"), (1, 2, day(2), 300.0, "food"), (1, 3, day(3), 100.0, "fuel"), (1, 4, datetime(2024, 4, 30, 10), 200.0, "food"), (1, 5, day(4), -50.0, "food"), (1, 6, datetime(2023, 12, 1), 900.0, "food"), (2, 7, day(1), 10.0, None), (3, 8, day(1), 1000.0, "food")]
+    rules = [("A", "best", "food", 0.10, 30.0, None), ("A", "next", "food", 0.05, 4.0, 200.0), ("A", "all", None, 0.01, None, None), ("B", "all", None, 0.02, None, None), ("C", "none", "food", 0.0, None, None)]
+    wanted = [(1, "A", True, 99.0), (1, "B", False, 10.0), (1, "C", False, 5.0), (2, "A", False, None), (3, "A", True, None), (4, "A", True, None)]
+    usage = [(1, "A", "best", datetime(2024, 4, 1).date(), 15.0), (3, "A", "best", datetime(2024, 5, 1).date(), None)]
+    got = P.portfolio_values(spark.createDataFrame(bought, "user_id int, txn_id int, at timestamp_ntz, amount double, category string"), spark.createDataFrame(wanted, "user_id int, card_id string, is_owned boolean, annual_fee double"), spark.createDataFrame(rules, "card_id string, rule_id string, category string, rate double, cap double, least double"), spark.createDataFrame(usage, "user_id int, card_id string, rule_id string, cycle date, used double"), "2024-05-31 00:00:00")
+    by = {(r["user_id"], r["card_id"]): (round(r["low"], 6), round(r["high"], 6), r["certain"]) for r in got.collect()}
+    # May: 100 by best 10; 300: 200 of it by best 20, 80 by next 4, 20 by all 0.2; fuel 1. April: 15 of 30 are left: 150 by best, 50 by next 2.5
+    assert by[1, "A"] == (10 + 20 + 4 + 0.2 + 1 + 15 + 2.5, 52.7, True) and by[1, "B"] == (14.0, 14.0, True) and by[1, "C"] == (0.0, 0.0, True)
+    assert by[2, "A"] == (0.1, 0.1, True) and by[4, "A"] == (0.0, 0.0, True)
+    # not known: nothing left of best, or all of it
+    assert by[3, "A"] == (4 + 9.2, 30 + 4 + 6.2, False)
+    year = {(r["user_id"], r["card_id"]): r["year_low"] for r in got.collect()}
+    assert abs(year[1, "B"] - (14 * 365 / 90 - 10)) < 1e-9 and abs(year[1, "A"] - 52.7 * 365 / 90) < 1e-9
+
+
+# ---------------------------------------------------------------- the inbox
+
+
+def test_items_of_the_inbox(spark):
+    from cardloom.operators import inbox
+
+    at = lambda h: T0 + timedelta(hours=h)
+    reviews = spark.createDataFrame([("a", "pending", at(0)), ("b", "done", at(0)), (None, "pending", at(0))], "id string, status string, created_at timestamp_ntz")
+    jobs = [("j1", "failed", 1, "v", "scheduled", None, at(-3)), ("j2", "staged", 1, "v", "manual", None, at(1)), ("j3", "review_required", 2, "v", "manual", None, None), ("j4", "failed", 1, "catalog-v1", "scheduled", None, at(0)), ("j5", "queued", 1, "v", "scheduled", at(90), at(0)), ("j6", "quarantined", 9, "v", "manual", None, at(0))]
+    cards = spark.createDataFrame([(1, "Star\u200b  Bank", " Nova\tCard " + "x" * 90), (2, "S", "Nova")], "card_id int, bank string, card_name string")
+    said = [("f1", "card_data", "critical", "pending", at(2)), ("f2", None, "odd", "pending", at(50)), ("f3", "card_data", "high", "read", at(0))]
+    make = lambda paused: inbox.items(
+        reviews, spark.createDataFrame(jobs, "id string, status string, card_id int, parser_version string, run_mode string, next_retry_at timestamp_ntz, created_at timestamp_ntz"), cards, spark.createDataFrame([(paused, at(-1))], "is_paused boolean, updated_at timestamp_ntz"),
+        spark.createDataFrame(said, "id string, feature_key string, severity string, review_status string, created_at timestamp_ntz"), at(3).strftime("%Y-%m-%d %H:%M:%S"))
+    got = [tuple(r) for r in inbox.ranked(make(True)).collect()]
+    name = ("Star Bank — Nova Card " + "x" * 90)[: len("Star Bank — ") + 80]
+    assert got == [
+        ("system:benefit_enrichment_scheduled:paused", "paused_pipeline", "critical", "Scheduled benefit enrichment is paused", "paused", 14400), ("feedback:f1", "feedback_review", "critical", "Review card data feedback", "pending", 3600),
+        ("benefit-enrichment:j1", "benefit_enrichment_review", "high", f"Recover benefits: {name}", "failed", 21600), ("benefit-enrichment:j3", "benefit_enrichment_review", "high", "Review benefits", "review_required", 0),
+        ("card-identity:a", "card_identity_review", "normal", "Review card identity", "pending", 10800), ("benefit-enrichment:j2", "benefit_enrichment_review", "normal", f"Review benefits: {name}", "staged", 7200), ("feedback:f2", "feedback_review", "normal", "Review AI output feedback", "pending", 0),
+    ]
+    assert make(False).where("type = 'paused_pipeline'").count() == 0 and inbox.ranked(make(True), 2).count() == 2

@@ -242,3 +242,21 @@ def test_assertions_and_verdicts(spark):
     rows = spark.createDataFrame([(1, True, True, True), (1, True, False, False), (2, True, False, True), (3, False, False, True)], "id long, baseline boolean, candidate boolean, severe boolean")
     got = {x["id"]: (x["regression"], x["severe_regression"]) for x in evals.verdicts(rows, "id").collect()}
     assert got == {1: (True, False), 2: (True, True), 3: (False, False)}
+
+
+def test_late_events_revise_what_was_given_out(spark, tmp_path):
+    """Files whose events go back in time: at the end each event has the count that a batch query gives."""
+    from datetime import datetime, timedelta
+
+    from cardloom.streaming import replay as R
+
+    minutes = [[0, 50, 100], [40, 55, 200], [10, 70, 130, 195], [300, 65]]
+    schema = "event_id long, user_id long, ts timestamp_ntz"
+    rows = []
+    for i, file in enumerate(minutes):
+        own = [(10 * i + j, 1, datetime(2024, 1, 1) + timedelta(minutes=m)) for j, m in enumerate(file)]
+        rows += own
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    out = R.run(R.sliding(R.source(spark, str(tmp_path), "events")), "update", ["event_id"])
+    want = {i: sum(t - timedelta(hours=1) <= x <= t for _, _, x in rows) for i, _, t in rows}
+    assert {r["event_id"]: r["recent"] for r in out.collect()} == want
