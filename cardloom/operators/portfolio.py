@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardloom.functions import text as T
+from cardloom.operators.settle import settled
 
 #: What may become of a mail.
 OUTCOMES = ("succeeded", "needsPassword", "needsCardAssignment", "discoveryQueued", "failed")
@@ -66,12 +67,21 @@ def only_match(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     """(page_id, card_id): the one credit card of the page's issuer all of whose words the page has, of no other network or tier
     than the page names; null if there is none or several.
 
-    pages: (page_id, issuer, content); candidates: (card_id, issuer, card_type, card_name, network).
+    pages: (page_id, issuer, content), distinct; candidates: (card_id, issuer, card_type, card_name, network). Cards alike in words, network and tier
+    count once with their number; a card meets the pages that have its rarest word, so an issuer's cards and pages do not all meet.
     """
-    key = lambda c: F.lower(F.trim(c))
+    key = lambda c: F.lower(F.trim(c)).alias("_issuer")
     content = T.page_text(F.col("content"))
-    seen = pages.select("page_id", key("issuer").alias("_issuer"), T.product_tokens(content).alias("_words"), T.network(content).alias("_seen"), T.tier(content).alias("_tier"))
-    cards = candidates.where(key("card_type") == "credit").select("card_id", key("issuer").alias("_issuer"), T.product_tokens(F.col("card_name")).alias("_own"), F.coalesce(T.network(F.col("network")), T.network(F.col("card_name"))).alias("_network"), T.tier(F.col("card_name")).alias("_grade"))
-    fits = (F.size("_own") > 0) & (F.size(F.array_except("_own", "_words")) == 0) & (F.col("_network").isNull() | F.col("_seen").eqNullSafe(F.col("_network"))) & (F.col("_grade").isNull() | F.col("_tier").eqNullSafe(F.col("_grade")))
-    rows = seen.join(cards, "_issuer", "left").groupBy("page_id").agg(F.count_if(F.coalesce(fits, F.lit(False))).alias("n"), F.min(F.when(fits, F.col("card_id"))).alias("card_id"))
-    return rows.select("page_id", F.when(F.col("n") == 1, F.col("card_id")).alias("card_id"))
+    seen = settled(pages.select("page_id", key("issuer"), F.array_distinct(T.product_tokens(content)).alias("_words"), T.network(content).alias("_seen"), T.tier(content).alias("_tier")))
+    cards = candidates.where(F.lower(F.trim("card_type")) == "credit").select("card_id", key("issuer"), T.product_tokens(F.col("card_name")).alias("_own"), F.coalesce(T.network(F.col("network")), T.network(F.col("card_name"))).alias("_network"), T.tier(F.col("card_name")).alias("_grade"))
+    kinds = cards.where(F.size("_own") > 0).groupBy("_issuer", "_own", "_network", "_grade").agg(F.count("*").alias("n"), F.min("card_id").alias("card_id"))
+    each = kinds.select("_issuer", "_own", F.explode(F.array_distinct("_own")).alias("token")).distinct()
+    often = each.groupBy("_issuer", "token").agg(F.count("*").alias("often"))
+    rarest = each.join(often, ["_issuer", "token"]).groupBy("_issuer", "_own").agg(F.min_by("token", F.struct("often", "token")).alias("token"))
+    wanted = rarest.select("_issuer", "token").distinct()
+    spoken = seen.select("page_id", "_issuer", F.explode("_words").alias("token")).join(wanted, ["_issuer", "token"], "left_semi")
+    met = spoken.join(rarest, ["_issuer", "token"]).select("page_id", "_issuer", "_own").join(seen.drop("_issuer"), "page_id").where(F.size(F.array_except("_own", "_words")) == 0)
+    kinds = kinds.withColumnsRenamed({"_issuer": "i", "_own": "o"})
+    fits = (F.col("_network").isNull() | F.col("_seen").eqNullSafe(F.col("_network"))) & (F.col("_grade").isNull() | F.col("_tier").eqNullSafe(F.col("_grade")))
+    rows = met.join(kinds, (F.col("_issuer") == F.col("i")) & (F.col("_own") == F.col("o"))).where(fits).groupBy("page_id").agg(F.sum("n").alias("n"), F.min("card_id").alias("card_id"))
+    return pages.select("page_id").join(rows, "page_id", "left").select("page_id", F.when(F.col("n") == 1, F.col("card_id")).alias("card_id"))

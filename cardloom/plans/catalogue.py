@@ -228,6 +228,24 @@ def dom15_identity_resolution(spark, sf_dir):
     return identity.resolve_identities(*tables, domains)
 
 
+#: What pages say of the card of their number: its name with or without its tier, and a network, which may be another's.
+_TOLD = f"""SELECT page_id, n, CASE WHEN page_id % 5 = 1 THEN '' ELSE CASE page_id % 3 WHEN 0 THEN ' Gold' WHEN 1 THEN ' Platinum' ELSE '' END END AS tier, CASE WHEN page_id % 5 = 3 THEN 'RuPay' WHEN page_id % 5 = 4 THEN NULL ELSE {_SHORT.replace('k %', 'page_id %')} END AS network, html
+  FROM (SELECT page_id, html, translate(CAST(page_id - page_id % 24 + CASE WHEN page_id % 24 IN (22, 23) THEN 20 ELSE page_id % 24 END AS STRING), '0123456789', 'bcdfghjkmn') AS n FROM pages) p"""
+
+
+@query(f"""WITH c AS (SELECT card_id, regexp_extract(card_name, '^Zo([a-z]+)', 1) AS n, CASE WHEN card_name LIKE '% Gold %' THEN ' Gold' WHEN card_name LIKE '% Platinum %' THEN ' Platinum' END AS tier, network FROM ({_CARDS}) WHERE lower(card_type) = 'credit'), q AS ({_TOLD})
+SELECT page_id, CASE WHEN count(card_id) = 1 THEN min(card_id) END AS card_id FROM q LEFT JOIN c ON c.n = q.n AND (c.tier IS NULL OR c.tier = q.tier) AND (c.network IS NULL OR c.network = q.network) GROUP BY page_id""")
+def dom16_only_match(spark, sf_dir):
+    """The one card of a catalogue that a whole page can be about."""
+    from cardloom.operators.portfolio import only_match
+
+    told = spark.sql(_TOLD.replace("FROM pages", "FROM {p}"), p=view(spark, sf_dir, "pages"))
+    content = F.concat_ws(" ", F.lit("<h1>All about the Zo"), F.concat("n", "tier"), F.lit(" credit card</h1>"), F.concat(F.lit("<p>on "), "network", F.lit("</p>")), "html")
+    pages_ = told.select("page_id", F.lit("Star trust ").alias("issuer"), F.regexp_replace(content, "the Zo ", "the Zo").alias("content"))
+    cards = spark.sql(_CARDS.replace("FROM part", "FROM {p}"), p=view(spark, sf_dir, "part")).withColumnRenamed("bank", "issuer")
+    return only_match(pages_, cards)
+
+
 # ---------------------------------------------------------------- pages
 
 _PLACE = "'https://www.star.example' || CASE page_id % 10 WHEN 0 THEN '/credit-cards/orbit-nova' WHEN 1 THEN '/cards/orbitnova' WHEN 2 THEN '/orbit-nova/fees' WHEN 3 THEN '/blog/orbit-nova' WHEN 4 THEN '/calculator/orbit' WHEN 5 THEN '/savings/plan' WHEN 6 THEN '/credit-card/orbit-nova' WHEN 7 THEN '/orbit-nova' WHEN 8 THEN '/orbit/nova-card' ELSE '/comet' END"

@@ -211,14 +211,6 @@ def set3_bindings(spark, sf_dir):
     return P.bindings(keys, seen, part.selectExpr(f"{_HASHES} AS url_hash").union(spark.sql("SELECT 'Z7'")))
 
 
-@query("""SELECT p_partkey AS page_id, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN NULL END AS card_id FROM part""")
-def dom16_only_match(spark, sf_dir):
-    """The one catalogue card that a page can be about."""
-    pages = _case(spark, sf_dir, "part", "p_partkey AS page_id", "' Star Bank' AS issuer", "CASE p_partkey % 4 WHEN 0 THEN '<h1>Zenith Travel Platinum Visa</h1>' WHEN 1 THEN 'The Orbit card by RuPay' WHEN 2 THEN 'Moon or Sun?' ELSE 'Orbit on Mastercard' END AS content")
-    cards = spark.createDataFrame([(1, "star bank", "Credit", "Zenith Travel Platinum", "Visa"), (2, "Star Bank ", "credit", "Orbit", "RuPay"), (3, "star bank", "debit", "Orbit", None), (4, "moon", "credit", "Orbit", None), (5, "star bank", "credit", "Moon", None), (6, "star bank", "credit", "Sun", None)], "card_id int, issuer string, card_type string, card_name string, network string")
-    return P.only_match(pages, cards)
-
-
 @query("SELECT k, min(pos) AS pos FROM transactions WHERE lower(category) = 'groceries' OR lower(category) = 'food' GROUP BY k, lower(category)")
 def flt6_category_after_dedup(spark, sf_dir):
     """Purchases of categories, in any case, of the rows that stay when repeated ones have gone."""

@@ -251,3 +251,12 @@ def test_items_of_the_inbox(spark):
         ("card-identity:a", "card_identity_review", "normal", "Review card identity", "pending", 10800), ("benefit-enrichment:j2", "benefit_enrichment_review", "normal", f"Review benefits: {name}", "staged", 7200), ("feedback:f2", "feedback_review", "normal", "Review AI output feedback", "pending", 0),
     ]
     assert make(False).where("type = 'paused_pipeline'").count() == 0 and inbox.ranked(make(True), 2).count() == 2
+
+
+def test_the_only_card_of_a_page(spark):
+    from cardloom.operators.portfolio import only_match
+
+    cards = [(1, "star", "Credit", "Zenith Travel Platinum", "Visa"), (2, "Star ", "credit", "Orbit", "RuPay"), (3, "star", "debit", "Orbit", None), (4, "moon", "credit", "Orbit", None), (5, "star", "credit", "Moon", None), (6, "star", "credit", "Sun", None), (7, "star", "credit", "Sun", None), (8, "star", "credit", "Credit card", None), (9, "star", None, "Orbit", None)]
+    pages = [(1, " Star", "<h1>Zenith Travel Platinum Visa</h1>"), (2, "star", "The Orbit card by RuPay"), (3, "star", "Moon or Sun?"), (4, "star", "Orbit on Mastercard"), (5, "star", "<p>moon moon</p>"), (6, "star", "sun"), (7, None, "moon"), (8, "star", None), (9, "star", "Zenith Travel Gold Visa"), (10, "moon", "orbit")]
+    got = only_match(spark.createDataFrame(pages, "page_id int, issuer string, content string"), spark.createDataFrame(cards, "card_id int, issuer string, card_type string, card_name string, network string"))
+    assert {r["page_id"]: r["card_id"] for r in got.collect()} == {1: 1, 2: 2, 3: None, 4: None, 5: 5, 6: None, 7: None, 8: None, 9: None, 10: 4}
