@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cardloom.operators.settle import settled
+
 #: Operators whose failure is severe.
 SEVERE = ("money", "catalog_id", "benefit", "must_not_exist", "must_not_claim")
 TOLERANCE = 0.01
@@ -37,12 +39,25 @@ def holds(operator: str, variant: Column, path: str, wanted: Column | None = Non
     return F.coalesce(ok, F.lit(False))
 
 
-def asserted(rows: DataFrame, assertions: list[tuple], baseline: str, candidate: str) -> DataFrame:
-    """rows once for each assertion (operator, path, wanted, claims), with op, baseline, candidate and severe; each path is read once
-    for each output, before the rows are multiplied. baseline, candidate: columns of JSON texts."""
-    read = rows.withColumns({"_b": F.try_parse_json(baseline), "_c": F.try_parse_json(candidate)})
+def assertions_of(rows: DataFrame, assertions: list[tuple], baseline: str, candidate: str) -> DataFrame:
+    """rows with assertions: an array of (op, baseline, candidate, severe), one for each assertion (operator, path, wanted, claims).
+    baseline, candidate: columns of JSON texts, each parsed once a row."""
+    read = settled(rows.withColumns({"_b": F.try_parse_json(baseline), "_c": F.try_parse_json(candidate)}))
     each = [F.struct(F.lit(o).alias("op"), holds(o, F.col("_b"), p, w, F.col(baseline), c).alias("baseline"), holds(o, F.col("_c"), p, w, F.col(candidate), c).alias("candidate"), F.lit(o in SEVERE).alias("severe")) for o, p, w, c in assertions]
-    return read.select(*rows.columns, F.array(*each).alias("_a")).select(*rows.columns, F.inline("_a"))
+    return read.select(*rows.columns, F.array(*each).alias("assertions"))
+
+
+def asserted(rows: DataFrame, assertions: list[tuple], baseline: str, candidate: str) -> DataFrame:
+    """rows once for each assertion, with op, baseline, candidate and severe."""
+    return assertions_of(rows, assertions, baseline, candidate).select(*rows.columns, F.inline("assertions"))
+
+
+def verdict(assertions: Column) -> dict[str, Column]:
+    """What verdicts gives, of a row's own array of assertions: nothing is multiplied, grouped or shuffled."""
+    some = F.when(F.size(assertions) > 0, True)
+    base, cand = some & F.forall(assertions, lambda a: a["baseline"]), some & F.forall(assertions, lambda a: a["candidate"])
+    severe = F.exists(assertions, lambda a: a["severe"] & a["baseline"] & ~a["candidate"])
+    return {"baseline_passed": base, "passed": cand, "regression": base & ~cand, "severe_regression": base & ~cand & severe, "requires_review": ~cand}
 
 
 def verdicts(scored: DataFrame, case: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cardloom.operators import evals as E
 from cardloom.operators.quality import histogram
+from cardloom.operators.settle import settled
 from cardloom.plans.register import query
 from cardloom.sources.tables import view
 
@@ -45,17 +46,19 @@ def _assertions(spark, sf_dir):
         ("equals", "$.kind", quoted(F.col("event_type")), ()), ("money", "$.a.amount", v.cast("string"), ()), ("catalog_id", "$.a.id", quoted(F.concat(F.lit("c"), (F.col("user_id") % 7).cast("string"))), ()),
         ("benefit", "$.b", F.concat(F.lit('{"rate":'), (k % 3).cast("string"), F.lit(',"type":"t"}')), ()), ("exactly_once", "$.list", F.lit("1"), ()), ("must_not_claim", "$", None, ("Error",)), ("must_not_exist", "$.missing", None, ()),
     ]
-    return E.asserted(rows, wanted, "b", "c").select("event_id", "op", "baseline", "candidate", "severe")
+    return E.assertions_of(rows, wanted, "b", "c").select("event_id", "assertions")
 
 
 @query(f"WITH {_FIX} SELECT event_id, op, baseline, candidate FROM r")
 def dom35_assertions(spark, sf_dir):
-    return _assertions(spark, sf_dir).select("event_id", "op", "baseline", "candidate")
+    return _assertions(spark, sf_dir).select("event_id", F.inline("assertions")).select("event_id", "op", "baseline", "candidate")
 
 
 @query(f"WITH {_FIX}, g AS (SELECT event_id, bool_and(baseline) AS bp, bool_and(candidate) AS cp, bool_or(sev AND baseline AND NOT candidate) AS s FROM r GROUP BY event_id) SELECT event_id, bp AS baseline_passed, cp AS passed, bp AND NOT cp AS regression, bp AND NOT cp AND s AS severe_regression, NOT cp AS requires_review FROM g")
 def dom34_eval_verdict(spark, sf_dir):
-    return E.verdicts(_assertions(spark, sf_dir), "event_id")
+    """A verdict on each case from its seven assertions, in the row."""
+    rows = settled(_assertions(spark, sf_dir))
+    return rows.select("event_id", *[c.alias(n) for n, c in E.verdict(F.col("assertions")).items()])
 
 
 @query("SELECT doc_id, CASE WHEN ('0x' || substr(sha256('run-1:' || doc_id), 1, 2))::INT % 2 = 0 THEN 'baseline_is_a' ELSE 'baseline_is_b' END AS side FROM documents")
