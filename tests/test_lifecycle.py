@@ -55,13 +55,13 @@ def test_evidence_of_odd_products(spark):
     page = under("This card is withdrawn.")
     named = "<p>Lumen Orbit card has been discontinued.</p>"
     rows = [(page, "Credit Card", "Lumen Bank"), (page, None, "Lumen Bank"), (page, "Orbit", None), (named, "Orbit (1.0+)", "Lumen"), (named + "x " * 200_000, "Orbit", "Lumen")]
-    assert of(spark, rows) == [None, None, f"{OWN} This card is withdrawn.", None, "Lumen Orbit card has been discontinued."]
+    assert of(spark, rows) == [None, None, f"{OWN} This card is withdrawn.", *["Lumen Orbit card has been discontinued."] * 2]
 
 
 def test_excerpts_hide_what_urls_carry_and_are_short(spark):
-    page = under("Status: withdrawn, update https://a.b/notice?token=1 " + "status " * 200)
-    [found] = of(spark, [(page.replace("a.b", "status"), "Orbit", "Lumen Bank")])
-    assert found is not None and "https://status/notice" in found and "token" not in found and len(found) <= L.EXCERPT
+    page = under("This card is withdrawn, see https://lumen.example/notice?token=1 " + "status " * 200)
+    [found] = of(spark, [(page, "Orbit", "Lumen Bank")])
+    assert found is not None and "https://lumen.example/notice " in found and "token" not in found and len(found) <= L.EXCERPT
 
 
 def test_the_first_heading_and_the_plainest_rule_give_the_excerpt(spark):
