@@ -7,9 +7,10 @@ these share their part by their smoothed counts, an unknown token counting half.
 rare and unknown ones count too. Probabilities are normalised over all tokens by one matrix product for a block of contexts.
 
 Training never normalises: scores learn to tell tokens of the texts from ones drawn by frequency (noise-contrastive
-estimation), starting from the frequencies. Every task learns from a share of the positions of all its texts, by gradients of
-its own from the weights that the round starts with; Spark averages the weights of all tasks by the positions they saw.
-The weights have a fixed size, what they learn from grows with the corpus.
+estimation), starting from the frequencies. The positions of every training text are dealt to the rounds, so that together
+they learn from all of them, each once. A task learns from those of its texts, by gradients of its own from the weights that
+the round starts with; Spark averages the weights of all tasks by the positions they saw. The weights have a fixed size, what
+they learn from grows with the corpus.
 
 Texts are split once. A run of about ``RUN`` bytes becomes a row: its distinct tokens and the order in which they stand. Counts
 are summed over runs and come back to each run: those of the ``FREQUENT`` most frequent tokens are sent to every task, those
@@ -30,10 +31,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from cardloom.llm.common import _LOWER, _runs, Scratch, new_key, slices, span_hashes, text_batches, word_spans
 
 CONTEXT, TARGETS, WIDTH, BUCKET_BITS = 4, 512, 16, 14
-#: Draws that a batch of positions shares, positions of a batch, share of positions that a round learns from, rounds.
-NOISE, BATCH, SHARE, ROUNDS = 64, 2048, 0.15, 2
-#: Positions scored together.
-BLOCK = 4096
+#: Draws that a batch of positions shares, positions of a batch, rounds, share of positions dealt to each: all together.
+NOISE, BATCH, ROUNDS = 64, 2048, 2
+SHARE = 1 / ROUNDS
+#: Positions whose contexts are held together for learning, and those scored together: their scores fit the cache.
+HELD, BLOCK = 1 << 16, 512
 #: Rows of runs in an Arrow batch.
 RUN_ROWS = 4
 #: Bytes of texts in a run.
@@ -186,6 +188,18 @@ class Model:
         top = y.max(1)
         return y - (top + np.log(np.exp(y - top[:, None]).sum(1)))[:, None]
 
+    def log_probability(self, contexts: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """(n): that of one target each."""
+        y = self.vectors(contexts) @ self.w["targets"].T
+        y += self.w["bias"]
+        own = y[np.arange(len(y)), target]
+        with np.errstate(over="ignore", divide="ignore"):
+            out = own - np.log(np.exp(y, out=y) @ np.ones(y.shape[1], y.dtype))
+        odd = np.flatnonzero(~np.isfinite(out))  # beyond what exponents hold
+        if len(odd):
+            out[odd] = self.log_probabilities(contexts[odd])[np.arange(len(odd)), target[odd]]
+        return out
+
 
 class Learner:
     """Steps of noise-contrastive estimation with gradients scaled by their history."""
@@ -202,9 +216,14 @@ class Learner:
         self.m.w[name][at] -= self.rate * grad / np.sqrt(self.past[name][at])
 
     def _move_rows(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        own, place = np.unique(rows, return_inverse=True)
-        total = np.stack([np.bincount(place.ravel(), weights=grad[:, c], minlength=len(own)) for c in range(grad.shape[1])], 1).astype(np.float32)
-        self._move(name, own, total)
+        rows = rows.astype(np.uint16 if len(self.past[name]) <= 1 << 16 else np.uint32)  # 16 bits are sorted by radix
+        order, width = np.argsort(rows, kind="stable"), grad.shape[1]
+        new = np.r_[True, rows[order[1:]] != rows[order[:-1]]]
+        place = np.empty(len(rows), np.int64)
+        place[order] = np.cumsum(new) - 1
+        own = rows[order[new]].astype(np.int64)
+        total = np.bincount((place[:, None] * width + np.arange(width)).ravel(), weights=grad.ravel(), minlength=len(own) * width)
+        self._move(name, own, total.reshape(-1, width).astype(np.float32))
 
     def step(self, contexts: np.ndarray, target: np.ndarray) -> None:
         w, n = self.m.w, len(target)
@@ -296,14 +315,18 @@ def _learning(model, turn: int, share: float):
             if learner is None:
                 learner = Learner(start, own.run & 0x7FFFFFFF)
             at = own.places()
-            at = at[r.random(len(at)) < share]
+            dealt = np.random.default_rng(own.run).random(len(at))  # the same in every round
+            at = at[(dealt - turn * share) % 1.0 < share]
             at = at[~own.held[np.searchsorted(own.first, at, "right") - 1]]
-            contexts.append(own.contexts(at))
-            targets.append(own.target[own.order[at]])
-            n += len(at)
-            if n >= BATCH * 4:
-                _steps(learner, contexts, targets, r, n - n % BATCH)
-                n %= BATCH
+            parts = -(-len(at) // HELD)
+            for i in range(parts):
+                part = at[i::parts]
+                contexts.append(own.contexts(part))
+                targets.append(own.target[own.order[part]])
+                n += len(part)
+                if n >= BATCH * 4:
+                    _steps(learner, contexts, targets, r, n - n % BATCH)
+                    n %= BATCH
         if learner is None:
             return
         if n:
@@ -330,7 +353,7 @@ def _steps(learner: Learner, contexts: list, targets: list, r, n: int) -> None:
 
 
 def train(known: DataFrame, counts: Counts, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """The model after rounds over all training texts."""
+    """The model after rounds over all training texts, each from the next share of their positions; round the clock, if they are more."""
     model, sc = Model(counts), known.sparkSession.sparkContext
     for turn in range(rounds):
         sent = sc.broadcast(model)
@@ -356,7 +379,7 @@ def score_run(own: Run, model: Model | None, counts: Counts) -> list[np.ndarray]
         target, others = own.target[own.order[at]], len(counts.count)
         for i in range(0, len(at), BLOCK):
             part = slice(i, i + BLOCK)
-            score[part] = model.log_probabilities(own.contexts(at[part]))[np.arange(len(at[part])), target[part]]
+            score[part] = model.log_probability(own.contexts(at[part]), target[part])
         score = (score + np.where(target == others, np.log((c + 0.5) / counts.rest), 0.0)) / np.log(10)
     edges = np.maximum(own.first - own.skip, 0)
     return [s[edges[1:]] - s[edges[:-1]] for s in (np.r_[0, np.cumsum(x)] for x in (np.ones(len(at), np.int64), (c > 0).astype(np.int64), base, score))]

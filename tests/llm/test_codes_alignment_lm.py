@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -240,6 +241,31 @@ def test_probabilities_are_normalised_and_context_helps(spark):
     assert own / n > base / n + 0.1  # log10: the language alone is worth 0.3 a word
 
 
+def test_rounds_learn_from_every_training_position(spark, monkeypatch):
+    r = random.Random(4)
+    long = " ".join(f"w{r.randint(0, 90)}" for _ in range(400_000))  # 1.5 MB: several rows
+    s = Scratch(spark, "lm-test")
+    runs = lm.split_texts(documents(spark, [*speech(r, 300), long], [*range(300), next(i for i in range(300, 400) if not held(i))]), s)
+    counts, table = lm.count_tokens(runs, s)
+    batches = lm.known_runs(runs, counts, table, s).toArrow().to_batches(max_chunksize=1)
+    monkeypatch.setattr(lm, "HELD", 1000)
+    learnt = []
+    monkeypatch.setattr(lm.Learner, "step", lambda self, contexts, target: learnt.append(len(target)) or setattr(self, "seen", self.seen + len(target)))
+    start = SimpleNamespace(value=lm.Model(counts))
+    for turn in range(lm.ROUNDS):
+        list(lm._learning(start, turn, lm.SHARE)(iter(batches)))
+    assert sum(learnt) == counts.total and max(learnt) <= lm.BATCH
+
+
+def test_one_probability_of_many(spark):
+    counts = lm.Counts(1000, 50, [(i, 20 - i) for i in range(20)])
+    model, r = lm.Model(counts), np.random.default_rng(5)
+    contexts, target = r.integers(0, 1 << lm.BUCKET_BITS, (300, lm.CONTEXT)), r.integers(0, 21, 300)
+    for bias in (0, 1000, -1000):  # beyond what a float's exponent holds, too
+        model.w["bias"] = (np.log(counts.share) + bias).astype(np.float32)
+        assert np.allclose(model.log_probability(contexts, target), model.log_probabilities(contexts)[np.arange(300), target], atol=1e-3)
+
+
 def test_texts_longer_than_a_run_of_bytes(spark, monkeypatch):
     r = random.Random(2)
     long = " ".join(f"w{r.randint(0, 900)}" for _ in range(400_000))  # 1.8 MB
