@@ -26,6 +26,11 @@ CALLED = {"groceries": "grocery", "movies": "movie", "e-shopping": "online", "e
 LIMITING = ("except", "excluding", "exclude", "excludes", "not valid", "not eligible", "does not apply")
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def named_network(text: Column) -> Column:
     """The network whose words a text holds, the first of NETWORKS."""
     words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))

@@ -12,7 +12,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cardloom.operators.settle import settled
+from cardloom.functions.rules import once
+from cardloom.operators.settle import settled, spread
 
 TERMS = ("category", "value_type", "value", "rate", "cap", "threshold", "period", "effective_to")
 
@@ -71,8 +72,7 @@ class Line:
         return self.c.rlike(f" (?:{'|'.join(phrases)})(?= )")
 
     def _read(self, pattern: str, group: int = 1) -> Column:
-        found = F.regexp_extract(self.c, pattern, group)
-        return F.when(found != "", found)
+        return once(F.regexp_extract(self.c, pattern, group), lambda found: F.when(found != "", found))
 
     def before(self, *phrases: str) -> Column:
         """The number right before one of the phrases."""
@@ -85,11 +85,15 @@ class Line:
     def amount(self, *phrases: str, then: str = "") -> Column:
         """The amount of money right after one of the phrases, and before then."""
         lead = f" (?:{'|'.join(phrases)})" if phrases else ""
-        pattern = f"{lead} sum {NUMBER}(?: ({'|'.join(UNITS)}))?{' ' + then if then else ''}(?= )"
-        times = F.lit(1.0)
-        for unit, n in UNITS.items():
-            times = F.when(self._read(pattern, 2) == unit, float(n)).otherwise(times)
-        return self._read(pattern).cast("double") * times
+        pattern = f"{lead} sum ([0-9]+(?:\\.[0-9]+)?(?: (?:{'|'.join(UNITS)}))?){' ' + then if then else ''}(?= )"
+
+        def read(found):
+            times, unit = F.lit(1.0), F.substring_index(found, " ", -1)
+            for name, n in UNITS.items():
+                times = F.when(unit == name, float(n)).otherwise(times)
+            return F.when(found != "", F.substring_index(found, " ", 1).cast("double") * times)
+
+        return F.when(F.contains(self.c, F.lit(" sum ")), once(F.regexp_extract(self.c, pattern, 1), read))
 
     def period(self) -> Column:
         name = self._read(f" (?:{'|'.join(PERIOD_CUES)}) ({'|'.join(PERIODS)})(?= )")
@@ -101,9 +105,9 @@ class Line:
         return F.concat_ws("-", self._read(pattern, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(self._read(pattern, 1), 2, "0"))
 
 
-def read_terms(lines: DataFrame, text: str) -> DataFrame:
-    """lines with the terms that the parsers ask for, each read once."""
-    lines = settled(lines.withColumn("form", said(F.col(text))))
+def read_terms(lines: DataFrame, text: str, form: str | None = None) -> DataFrame:
+    """lines with the terms that the parsers ask for, each read once. form: their one form, where it is known."""
+    lines = lines if form else settled(lines.withColumn("form", said(F.col(text))))
     x = Line(F.col("form"))
     denied = F.rtrim(F.col(text)).endswith("?")
     for words in NEGATIVE:
@@ -161,7 +165,7 @@ def benefits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
     # most lines are prose: a cheap test comes before the parsers
     may = lines.where(F.col("line").rlike(r"(?i)(point|cashback|waiv|%|lounge|golf|concierge|mile|cover|buy|bogo|reversal|worth)"))
-    read = read_terms(may, "line").select(id_col, "line_no", benefit().alias("b"))
+    read = read_terms(spread(may, id_col), "line").select(id_col, "line_no", benefit().alias("b"))
     return read.where("b IS NOT NULL").select(id_col, "line_no", "b.*")
 
 
@@ -173,24 +177,31 @@ OPENINGS = ("earn", "enjoy", "buy", "avail", "complimentary", "welcome", "annual
 REACH = 6
 
 
-def clause(i: Column, arr: str, reach: int = REACH) -> Column:
-    """The line at place i with those after it up to the next clause of its own, at most reach of them."""
-    after = F.slice(arr, i + 2, F.lit(reach))
-    opens = F.transform(after, lambda x, j: F.when(said(x).rlike(f"^ (?:{'|'.join(OPENINGS)}) "), j))
-    stop = F.array_min(F.filter(opens, lambda j: j.isNotNull()))
-    return F.concat_ws(" ", F.get(arr, i), F.array_join(F.when(stop.isNull(), after).otherwise(F.slice(after, F.lit(1), stop)), " "))
+def opens(form: Column) -> Column:
+    """Whether a clause of its own begins with a line in its one form."""
+    return form.rlike(f"^ (?:{'|'.join(OPENINGS)}) ")
+
+
+def clause(i: Column, arr: str, forms: str, reach: int = REACH) -> Column:
+    """The line at place i with those after it up to the next clause of its own, at most reach of them. forms: all lines in their one form."""
+
+    def joined(n):
+        return F.concat_ws(" ", F.get(arr, i), F.array_join(F.slice(arr, i + 2, n), " "))
+
+    stop = F.array_position(F.transform(F.slice(forms, i + 2, F.lit(reach)), opens), F.lit(True)).cast("int")
+    return once(stop, lambda s: joined(F.when(s > 0, s - 1).otherwise(F.lit(reach))))
 
 
 def document_benefits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """benefits, and those that a line begins and the lines after it complete: a pair or milestone whose terms follow, a discount
     whose limit does. (id, line_no, the terms)."""
-    rows = docs.select(id_col, F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("arr"))
-    lines = rows.select(id_col, "arr", F.posexplode("arr").alias("line_no", "line"))
-    form = said(F.col("line"))
-    lead = form.rlike(r" (?:bogo|buy 1|milestone|every spend|percent off|percent discount)(?= )")
+    rows = spread(docs.select(id_col, text_col), id_col).select(id_col, F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("arr"))
+    rows = settled(settled(rows).withColumn("forms", F.transform("arr", said)))
+    lines = settled(rows.select(id_col, "arr", "forms", F.posexplode("arr").alias("line_no", "line")).withColumn("form", F.get("forms", F.col("line_no"))))
+    lead = F.col("form").rlike(r" (?:bogo|buy 1|milestone|every spend|percent off|percent discount)(?= )")
     may = lines.where(lead | F.col("line").rlike(r"(?i)(point|cashback|waiv|%|lounge|golf|concierge|mile|cover|worth)"))
-    may = may.withColumn("whole", F.when(lead, clause(F.col("line_no"), "arr")))
-    alone = read_terms(settled(may.select(id_col, "line_no", "line", "whole")), "line").select(id_col, "line_no", "whole", benefit().alias("one"))
+    may = may.withColumn("whole", F.when(lead, clause(F.col("line_no"), "arr", "forms")))
+    alone = read_terms(settled(may.select(id_col, "line_no", "line", "form", "whole")), "line", "form").select(id_col, "line_no", "whole", benefit().alias("one"))
     open_ = F.col("one").isNull() | (F.col("one.value_type") == "percent_discount") & F.col("one.cap").isNull()
     both = read_terms(settled(alone.withColumn("text", F.when(open_, F.col("whole")))), "text").select(id_col, "line_no", "one", benefit().alias("more"))
     chosen = F.when(F.col("one").isNull() | F.col("more.cap").isNotNull(), F.coalesce("more", "one")).otherwise(F.col("one"))
