@@ -226,13 +226,19 @@ def states_purchase(line: Column) -> Column:
 
 def pruned(text: Column) -> Column:
     """A statement without its small print: cut at the first of its words behind KEPT_CHARS characters after which no purchase comes."""
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\n+", "\n"), " {2,}", " "), r"^\s+|\s+$", "")
-    lines = F.split(t, "\n", -1)
-    last = F.array_max(F.filter(F.transform(lines, lambda x, i: F.when(states_purchase(x), i)), lambda i: i.isNotNull()))
-    start = F.greatest(F.lit(KEPT_CHARS + 1), F.coalesce(F.length(F.array_join(F.slice(lines, F.lit(1), last + 1), "\n")), F.lit(0)))
     words = "|".join(w.replace("&", "\\&") for w in SMALL_PRINT)
-    at = F.regexp_instr(F.lower(F.substring(t, start + 1, F.length(t))), F.lit(words))
-    return F.when(at > 0, F.substring(t, F.lit(1), start + at - 1)).otherwise(t)
+
+    def purchased(lines):
+        """Characters up to the end of the last purchase."""
+        last = F.array_max(F.filter(F.transform(lines, lambda x, i: F.when(states_purchase(x), i)), lambda i: i.isNotNull()))
+        return F.length(F.array_join(F.slice(lines, F.lit(1), last + 1), "\n"))
+
+    def cut(t):
+        start = F.greatest(F.lit(KEPT_CHARS + 1), F.coalesce(once(F.split(t, "\n", -1), purchased), F.lit(0)))
+        found = once(start, lambda s: F.struct(s.alias("start"), F.regexp_instr(F.lower(F.substring(t, s + 1, F.length(t))), F.lit(words)).alias("at")))
+        return once(found, lambda f: F.when(f["at"] > 0, F.substring(t, F.lit(1), f["start"] + f["at"] - 1)).otherwise(t))
+
+    return once(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\n+", "\n"), " {2,}", " "), r"^\s+|\s+$", ""), cut)
 
 
 #: Members that a run's summary may keep, by what they must be.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cardloom.functions import rules as R
 from cardloom.operators import portfolio as P
 from cardloom.operators.lifecycle import ended_products
+from cardloom.operators.settle import spread
 from cardloom.plans.register import query
 from cardloom.sources.tables import CLOCK, view
 
@@ -260,7 +261,7 @@ def str25_pruned(spark, sf_dir):
         F.when(k == 0, F.concat(body, F.lit("MITC and  more of it"))).when(k == 1, F.concat(body, F.lit("\n\nMITC here\n"), line, F.lit("\nList of branches: "), name))
         .when(k == 2, F.concat(F.substring(body, 1, 48), F.lit("zz mitc "), name)).otherwise(F.concat(body, F.lit(" "), name))
     )
-    return view(spark, sf_dir, "part").select("p_partkey", F.length(R.pruned(text)).alias("kept"))
+    return spread(view(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.length(R.pruned(text)).alias("kept"))
 
 
 @query("""SELECT p_partkey, '{' || CASE WHEN p_size < 48 THEN '"additions":' || p_size || ',' ELSE '' END || '"crawl_complete":true' || CASE WHEN p_partkey % 2 = 0 THEN ',"quarantine_reason":"why_' || p_partkey || '"' ELSE '' END || ',"source_manifest_hash":"' || sha256(p_name) || '"}' AS summary FROM part""")
