@@ -8,6 +8,7 @@ from cardloom.functions import canonical as J
 from cardloom.functions import dates as D
 from cardloom.functions import text as T
 from cardloom.operators import extraction as X
+from cardloom.operators.settle import spread
 from cardloom.plans.register import query
 from cardloom.sources.tables import CLOCK, view
 
@@ -148,7 +149,7 @@ def dt4_recovered_date(spark, sf_dir):
 
     k = F.col("o_orderkey")
     text = F.concat(F.lit("Details\n "), (k % 28 + 1).cast("string"), F.lit("  Corner   shop "), k.cast("string"), F.lit(" 100.00\n Aug 2001 more"))
-    rows = view(spark, sf_dir, "orders")
+    rows = spread(view(spark, sf_dir, "orders"), "o_orderkey")
     return rows.select("o_orderkey", recovered_date(text, F.concat(F.lit("corner shop "), k.cast("string")), F.lit("2001-09-01").cast("date")).cast("string").alias("day"))
 
 
