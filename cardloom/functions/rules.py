@@ -258,12 +258,15 @@ KINDS = {
 
 def sanitised(json: Column, members: dict[str, tuple[str, ...]]) -> Column:
     """The JSON object with those members alone that are allowed and look as they must, in order of their names."""
-    v = F.try_parse_json(json)
-    kept = []
-    for name, kind in sorted((n, k) for k, names in members.items() for n in names):
-        type_, shape = KINDS[kind]
-        own = F.try_variant_get(v, f"$.{name}", "variant")
-        text = F.try_variant_get(v, f"$.{name}", "string")
-        ok = (F.schema_of_variant(own) == type_) & text.rlike(f"^(?:{shape})$")
-        kept.append(F.when(ok, F.concat(F.lit(f'"{name}":'), F.concat(F.lit('"'), text, F.lit('"')) if type_ == "STRING" else text)))
-    return F.concat(F.lit("{"), F.concat_ws(",", *kept), F.lit("}"))
+
+    def of(v):
+        kept = []
+        for name, kind in sorted((n, k) for k, names in members.items() for n in names):
+            type_, shape = KINDS[kind]
+            own = F.try_variant_get(v, f"$.{name}", "variant")
+            text = F.try_variant_get(v, f"$.{name}", "string")
+            ok = (F.schema_of_variant(own) == type_) & text.rlike(f"^(?:{shape})$")
+            kept.append(F.when(ok, F.concat(F.lit(f'"{name}":'), F.concat(F.lit('"'), text, F.lit('"')) if type_ == "STRING" else text)))
+        return F.concat(F.lit("{"), F.concat_ws(",", *kept), F.lit("}"))
+
+    return once(F.try_parse_json(json), of)

@@ -271,13 +271,13 @@ def jsn9_sanitised_summary(spark, sf_dir):
     made = F.concat(
         F.lit('{"token":"x","crawl_complete":true,"raw_body_stored":"true","proposals":"7","review_status":"odd","additions":'), F.when(F.col("p_size") < 48, F.col("p_size").cast("string")).otherwise(F.lit("1.5")),
         F.lit(',"source_manifest_hash":"'), F.sha2("p_name", 256), F.lit('","canonical_benefit_hash":"AB","quarantine_reason":"'), F.when(k % 2 == 0, F.concat(F.lit("why_"), k.cast("string"))).otherwise(F.lit("Not so")), F.lit('"}'))
-    return view(spark, sf_dir, "part").select("p_partkey", R.sanitised(made, R.SUMMARY).alias("summary"))
+    return spread(view(spark, sf_dir, "part"), "p_partkey").select("p_partkey", R.sanitised(made, R.SUMMARY).alias("summary"))
 
 
 @query("""SELECT page_id, '{' || CASE WHEN error_code IS NOT NULL THEN '"error_code":"' || error_code || '",' ELSE '' END || '"http_status":' || http_status || ',"required":' || CASE WHEN required THEN 'true' ELSE 'false' END || ',"status":"' || status || '"}' AS attempt FROM attempts""")
 def jsn10_sanitised_attempt(spark, sf_dir):
     """Attempts at sources with what they may keep."""
-    rows = view(spark, sf_dir, "attempts")
+    rows = spread(view(spark, sf_dir, "attempts"), "page_id")
     made = F.to_json(F.struct("status", "http_status", "required", "error_code", "url", F.lit("secret").alias("headers"), F.lit(-1).alias("redirect_count")))
     return rows.select("page_id", R.sanitised(made, R.ATTEMPT).alias("attempt"))
 
