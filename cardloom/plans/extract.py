@@ -65,14 +65,14 @@ def jsn1_canonical(spark, sf_dir):
     """Objects with unsorted keys and spaces, in canonical form, and its digest."""
     n = F.get_json_object("props", "$.k")
     made = F.concat(F.lit('{ "z": "x", "k": '), n, F.lit('.0, "a": ['), n, F.lit(", null, true] }"))
-    return view(spark, sf_dir, "events").select("event_id", J.canonical_json(made).alias("canonical")).withColumn("digest", F.sha2("canonical", 256))
+    return spread(view(spark, sf_dir, "events"), "event_id").select("event_id", J.canonical_json(made).alias("canonical")).withColumn("digest", F.sha2("canonical", 256))
 
 
 @query()
 def jsn12_condition_hash(spark, sf_dir):
     """Hash of each offer's condition; byte for byte that of the golden cases in the tests."""
     benefit = F.concat(F.lit('{"benefitType":"offer","partners":["'), F.trim("partners"), F.lit('"],"valueConfig":'), "value_config", F.lit("}"))
-    return view(spark, sf_dir, "deal_sources").select("benefit_id", J.condition_hash(benefit).alias("condition_hash"))
+    return spread(view(spark, sf_dir, "deal_sources"), "benefit_id").select("benefit_id", J.condition_hash(benefit).alias("condition_hash"))
 
 
 @query()
@@ -95,7 +95,7 @@ def jsn11_manifest(spark, sf_dir):
 
 @query("""SELECT event_id, true AS bounded, false AS sensitive FROM events""")
 def jsn4_bounds(spark, sf_dir):
-    return view(spark, sf_dir, "events").select("event_id", J.within_bounds("props").alias("bounded"), J.sensitive_url("props").alias("sensitive"))
+    return spread(view(spark, sf_dir, "events"), "event_id").select("event_id", J.within_bounds("props").alias("bounded"), J.sensitive_url("props").alias("sensitive"))
 
 
 @query()
@@ -201,7 +201,7 @@ def str5_message_fields(spark, sf_dir):
 def jsn7_stripped(spark, sf_dir):
     """Observations without what only tells how they came about, and with only the members allowed."""
     made = F.concat(F.lit('{"etag":"e","v":{"a":"x","headers":{"b":1},"c":[]},"http_status":200,"k":'), F.get_json_object("props", "$.k"), F.lit("}"))
-    return view(spark, sf_dir, "events").select("event_id", J.allowed_json({"k": int, "v": {"z": str}, "etag": int})(made).alias("kept"), J.semantic_json(made).alias("semantic"))
+    return spread(view(spark, sf_dir, "events"), "event_id").select("event_id", J.allowed_json({"k": int, "v": {"z": str}, "etag": int})(made).alias("kept"), J.semantic_json(made).alias("semantic"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'index' WHEN c_custkey % 4 = 3 THEN 'invalid' ELSE 'urlset' END AS kind, CASE WHEN c_custkey % 4 < 3 THEN 'https://h/' || c_custkey || '?a=1&b=2' || ',https://h/x' ELSE '' END AS urls FROM customer")
