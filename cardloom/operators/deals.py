@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cardloom.operators.settle import settled
+from cardloom.operators.settle import settled, spread
 
 #: Booking platforms by the names that partners have.
 PLATFORMS = {"bookmyshow": "BookMyShow", "district": "Zomato", "zomato": "Zomato", "pvr": "PVR", "inox": "INOX", "cinepolis": "Cinepolis", "moviemax": "Moviemax"}
@@ -27,13 +27,19 @@ class Request:
 
 
 class Config:
-    """Getters of an open JSON object: a number may be written as text, a text must be one."""
+    """Getters of the members of an open JSON object, read into columns of their own: a number may be written as text, a text must be one."""
 
     def __init__(self, column: str):
-        self.text, self.v = F.col(column), F.try_parse_json(F.col(column))
+        self.text = F.col(column)
+
+    def read(self, rows: DataFrame, numbers: tuple[str, ...], texts: tuple[str, ...]) -> DataFrame:
+        """rows with each member read once, as text, and of texts the type too; the object is parsed once for all types."""
+        rows = settled(rows.withColumn("_parsed", F.try_parse_json(self.text)))
+        kinds = {f"kind_{k}": F.schema_of_variant(F.try_variant_get("_parsed", f"$.{k}", "variant")) for k in texts}
+        return settled(rows.withColumns({f"own_{k}": F.get_json_object(self.text, f"$.{k}") for k in numbers + texts} | kinds).drop("_parsed"))
 
     def number(self, key: str) -> Column:
-        n = F.get_json_object(self.text, f"$.{key}").try_cast("double")
+        n = F.col(f"own_{key}").try_cast("double")
         return F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n)
 
     def integer(self, key: str) -> Column:
@@ -41,17 +47,17 @@ class Config:
         return F.when(n == F.round(n), n.cast("int"))
 
     def string(self, key: str) -> Column:
-        t = F.trim(F.get_json_object(self.text, f"$.{key}"))
-        is_text = F.schema_of_variant(F.try_variant_get(self.v, f"$.{key}", "variant")) == "STRING"
-        return F.when(is_text & (t != ""), t)
+        t = F.trim(f"own_{key}")
+        return F.when((F.col(f"kind_{key}") == "STRING") & (t != ""), t)
 
 
 def normalised_rules(sources: DataFrame) -> DataFrame:
     """Sources with offer_type, its terms, and reason where no offer can be made of the object. Nothing is ever made up."""
     c = Config("value_config")
     numbers = ("discount_percent", "threshold_amount", "reward_value", "multiplier", "base_rate", "annual_cap", "currency_unit", "discount_amount", "max_discount_per_transaction", "monthly_cap", "min_transaction")
-    read = {f"n_{k}": c.number(k) for k in numbers} | {f"i_{k}": c.integer(k) for k in ("max_usage_per_month", "max_usage_per_period")} | {f"s_{k}": c.string(k) for k in ("discount_type", "unit", "milestone_type", "category", "usage_period")}
-    rows = sources.select("*", *[v.alias(k) for k, v in read.items()])  # each member is read once
+    integers, texts = ("max_usage_per_month", "max_usage_per_period"), ("discount_type", "unit", "milestone_type", "category", "usage_period")
+    read = {f"n_{k}": c.number(k) for k in numbers} | {f"i_{k}": c.integer(k) for k in integers} | {f"s_{k}": c.string(k) for k in texts}
+    rows = settled(c.read(spread(sources, "benefit_id"), numbers + integers, texts).select("*", *[v.alias(k) for k, v in read.items()]))
     monthly, given = F.col("i_max_usage_per_month"), F.lower("s_usage_period")
     rows = rows.withColumns({
         "kind": F.lower("s_discount_type"), "percent": F.col("n_discount_percent"), "threshold": F.col("n_threshold_amount"), "reward": F.col("n_reward_value"), "unit": F.col("s_unit"), "cap": F.col("n_max_discount_per_transaction"),
