@@ -79,7 +79,7 @@ def jsn12_condition_hash(spark, sf_dir):
 def jsn16_set_hash(spark, sf_dir):
     """Hash of a card's conditions whatever their order; a card has few."""
     benefit = F.concat(F.lit('{"benefitType":"offer","valueConfig":'), "value_config", F.lit("}"))
-    rows = view(spark, sf_dir, "deal_sources").select("catalog_card_id", J.condition_json(benefit).alias("c"))
+    rows = spread(view(spark, sf_dir, "deal_sources"), "benefit_id").select("catalog_card_id", J.condition_json(benefit).alias("c"))
     joined = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("c")), ","), F.lit("]"))
     return rows.groupBy("catalog_card_id").agg(F.sha2(joined, 256).alias("set_hash"))
 
