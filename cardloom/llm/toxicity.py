@@ -492,15 +492,17 @@ def score(docs: DataFrame, model, threshold: float = 0.3, keep: list[str] | None
 
     keep = [c for c in keep or [] if c not in ("held_out", "score", "predicted")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
+    once = "text" in keep and docs.schema["text"].dataType == T.StringType()  # a text that is kept crosses to Python once
+    own_text = [] if once else [F.col("text").cast("string").alias("text")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in keep], F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), *own_text)
     fields = [f for f in rows.schema.fields if f.name != "text"] + [T.StructField("score", T.DoubleType())]
+    text_at, kept = keep.index("text") if once else len(fields) - 1, len(fields) - 1
 
     def run(batches):
         own = sent.value
         for batch in slices(batches):
-            texts = batch.column(batch.num_columns - 1)
-            s = np.full(batch.num_rows, own, float) if isinstance(own, float) else own.scores(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64())], names=[f.name for f in fields])
+            s = np.full(batch.num_rows, own, float) if isinstance(own, float) else own.scores(batch.column(text_at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(s, pa.float64())], names=[f.name for f in fields])
 
     scored = rows.mapInArrow(run, T.StructType(fields))
     return scored.select(*[F.col(f"`k_{c}`").alias(c) for c in keep], *[] if "doc_id" in keep else ["doc_id"], "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,7 +1,8 @@
 """A training corpus in five stages, each by one operator of the package's training-data part.
 
 Stages take (spark, docs, sf_dir) and return a DataFrame; each works on all that the stage before has kept, and all but
-the last return the columns of documents. ``run`` writes every stage's result to the shared folder and reads it back.
+the last return the columns of documents. ``run`` writes every stage's result to the shared folder and reads it back, once
+if the stage has done so itself.
 
 Toxic documents go; recurring lines go, while their documents stay, with an empty text if nothing else is left; of near
 duplicates (five words, similarity 0.8) one document stays; sources are repeated to their weights; the rest is packed into
@@ -13,15 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardloom.llm import linededup, mixing, neardup, packing, queries, toxicity
-from cardloom.llm.common import Scratch, table
+from cardloom.llm.common import Scratch, table, text_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the model, fitted on the labelled ones among them, does not predict to be toxic."""
+    """The documents that the model, fitted on the labelled ones among them, does not predict to be toxic. They are written here,
+    as batches of whole texts that go to Python and come back stay small only while a table is written."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, threshold=queries.TOXIC_FROM, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
+    with text_batches(spark):
+        return Scratch(spark, "clean").put(toxicity.score(docs, model, threshold=queries.TOXIC_FROM, keep=COLUMNS).where("predicted = 0").select(*COLUMNS), "documents")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +63,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        new = s.put(stage(spark, docs, sf_dir), name)
+        new = stage(spark, docs, sf_dir)
+        new = new if hasattr(new, "scratch_path") else s.put(new, name)
         if hasattr(docs, "scratch_path"):
             s.drop(docs)
         docs = new

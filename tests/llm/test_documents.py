@@ -617,6 +617,32 @@ def test_toxicity_without_two_kinds_of_label(spark):
     assert toxicity.score(frame(spark, []), 0.0).count() == 0
 
 
+def test_texts_of_the_toxicity_stage_cross_once_in_small_batches(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    texts = [f"w{i} w{i % 7}" for i in range(1500)] + ["", None]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = f"{tmp_path}/seen"
+
+    def slices(batches):
+        for batch in batches:
+            with open(seen, "a") as f:
+                f.write(f"{batch.num_rows} {sum(pa.types.is_string(x.type) or pa.types.is_large_string(x.type) for x in batch.columns)}\n")
+            yield batch
+
+    monkeypatch.setattr(toxicity, "slices", slices)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        got = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((x["doc_id"], x["text"]) for x in got) == list(enumerate(texts))
+    batches = [tuple(map(int, line.split())) for line in open(seen)]
+    assert sum(n for n, _ in batches) == len(texts) and max(n for n, _ in batches) <= 512 and {k for _, k in batches} == {3}  # text, lang, source
+
+
 def test_planted_cases_of_the_pipeline(spark, tmp_path):
     import corpus_pipeline
 
