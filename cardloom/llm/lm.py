@@ -180,7 +180,11 @@ class Model:
 
     def vectors(self, contexts: np.ndarray) -> np.ndarray:
         """What is predicted from contexts (n, CONTEXT) of embedding places."""
-        return sum(self.w["context"][contexts[:, i]] * self.w["places"][i] for i in range(contexts.shape[1]))
+        return np.einsum("niw,iw->nw", self.w["context"].take(contexts, axis=0), self.w["places"][: contexts.shape[1]])
+
+    def tied(self) -> np.ndarray:
+        """(WIDTH + 1, targets + 1): target embeddings above their biases."""
+        return np.concatenate([self.w["targets"].T, self.w["bias"][None]])
 
     def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
         """(n, targets + 1): natural logarithms, normalised."""
@@ -190,8 +194,7 @@ class Model:
 
     def log_probability(self, contexts: np.ndarray, target: np.ndarray) -> np.ndarray:
         """(n): that of one target each."""
-        y = self.vectors(contexts) @ self.w["targets"].T
-        y += self.w["bias"]
+        y = biased(self.vectors(contexts)) @ self.tied()
         own = y[np.arange(len(y)), target]
         with np.errstate(over="ignore", divide="ignore"):
             out = own - np.log(np.exp(y, out=y) @ np.ones(y.shape[1], y.dtype))
@@ -201,6 +204,13 @@ class Model:
         return out
 
 
+def biased(v: np.ndarray) -> np.ndarray:
+    """v with a column of ones, so that one product adds the bias too."""
+    out = np.ones((len(v), v.shape[1] + 1), v.dtype)
+    out[:, :-1] = v
+    return out
+
+
 class Learner:
     """Steps of noise-contrastive estimation with gradients scaled by their history."""
 
@@ -212,33 +222,40 @@ class Learner:
         self.seen = 0
 
     def _move(self, name: str, at, grad: np.ndarray) -> None:
-        self.past[name][at] += grad * grad
-        self.m.w[name][at] -= self.rate * grad / np.sqrt(self.past[name][at])
+        past = grad * grad
+        past += self.past[name][at]
+        self.past[name][at] = past
+        self.m.w[name][at] -= self.rate * grad / np.sqrt(past)
 
     def _move_rows(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
         rows = rows.astype(np.uint16 if len(self.past[name]) <= 1 << 16 else np.uint32)  # 16 bits are sorted by radix
-        order, width = np.argsort(rows, kind="stable"), grad.shape[1]
-        new = np.r_[True, rows[order[1:]] != rows[order[:-1]]]
-        place = np.empty(len(rows), np.int64)
-        place[order] = np.cumsum(new) - 1
-        own = rows[order[new]].astype(np.int64)
-        total = np.bincount((place[:, None] * width + np.arange(width)).ravel(), weights=grad.ravel(), minlength=len(own) * width)
-        self._move(name, own, total.reshape(-1, width).astype(np.float32))
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        grad, rows = np.add.reduceat(grad.take(order, axis=0), first, axis=0), rows[first].astype(np.int64)
+        past, w = self.past[name], self.m.w[name]
+        total = grad * grad
+        total += past.take(rows, axis=0)
+        past[rows] = total
+        np.divide(grad, np.sqrt(total, out=total), out=total)
+        w[rows] = w.take(rows, axis=0) - self.rate * total
 
     def step(self, contexts: np.ndarray, target: np.ndarray) -> None:
         w, n = self.m.w, len(target)
         noise = np.minimum(np.searchsorted(self.drawn, self.r.random(NOISE)), len(self.drawn) - 1)
-        parts = [w["context"][contexts[:, i]] for i in range(CONTEXT)]
-        v = sum(p * w["places"][i] for i, p in enumerate(parts))
-        own = (v * w["targets"][target]).sum(1) + w["bias"][target] - self.log_noise[target]
-        other = v @ w["targets"][noise].T + w["bias"][noise] - self.log_noise[noise]
-        g_own = (1 / (1 + np.exp(-np.clip(own, -30, 30))) - 1) / n
-        g_other = 1 / (1 + np.exp(-np.clip(other, -30, 30))) / n
-        dv = g_own[:, None] * w["targets"][target] + g_other @ w["targets"][noise]
-        rows, grad = np.r_[target, noise], np.concatenate([g_own[:, None] * v, g_other.T @ v])
-        bias = np.bincount(rows, weights=np.r_[g_own, g_other.sum(0)], minlength=len(self.drawn)).astype(np.float32)
-        places = np.stack([(dv * p).sum(0) for p in parts])
-        self._move_rows("context", contexts.T.ravel(), np.concatenate([dv * w["places"][i] for i in range(CONTEXT)]))
+        parts = w["context"].take(contexts, axis=0)
+        v = np.einsum("niw,iw->nw", parts, w["places"])
+        near, tie = w["targets"].take(target, axis=0), np.concatenate([-w["targets"][noise].T, (self.log_noise - w["bias"])[noise][None]])
+        with np.errstate(over="ignore"):
+            g_own = (1 / (1 + np.exp(self.log_noise[target] - w["bias"][target] - (v * near).sum(1))) - 1) / n
+            g_other = np.exp(other := biased(v) @ tie, out=other)
+        g_other += 1
+        np.reciprocal(g_other, out=g_other)
+        dv = g_own[:, None] * near + g_other @ (w["targets"][noise] / n)
+        rows, grad = np.r_[target, noise], np.concatenate([g_own[:, None] * v, g_other.T @ (v / n)])
+        bias = np.bincount(rows, weights=np.r_[g_own, np.ones(n, np.float32) @ g_other / n], minlength=len(self.drawn)).astype(np.float32)
+        places = np.einsum("nw,niw->iw", dv, parts)
+        self._move_rows("context", contexts.ravel(), (np.tile(dv, CONTEXT) * w["places"].ravel()).reshape(-1, WIDTH))
         self._move_rows("targets", rows, grad)
         self._move("places", slice(None), places)
         self._move("bias", slice(None), bias)
@@ -255,12 +272,16 @@ class Run:
         self.target, self.bucket = get("target"), get("bucket")
         self.skip, self.run = batch.column(columns["skip"])[0].as_py(), batch.column(columns["run"])[0].as_py()
 
+    def text(self, at: np.ndarray) -> np.ndarray:
+        """Number of the text at each of the places, which ascend."""
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(np.searchsorted(at, self.first)))
+
     def contexts(self, at: np.ndarray) -> np.ndarray:
         """Embedding places of the words before those at the places."""
-        start = self.first[np.searchsorted(self.first, at, "right") - 1]
+        start = self.first[self.text(at)]
         back = at[:, None] - np.arange(1, CONTEXT + 1)
         inside = back >= start[:, None]
-        return np.where(inside, self.bucket[self.order[np.maximum(back, 0)]], 1 << BUCKET_BITS)
+        return np.where(inside, self.bucket.take(self.order.take(np.maximum(back, 0))), 1 << BUCKET_BITS)
 
     def places(self) -> np.ndarray:
         """All but the words that an earlier row has."""
@@ -317,7 +338,7 @@ def _learning(model, turn: int, share: float):
             at = own.places()
             dealt = np.random.default_rng(own.run).random(len(at))  # the same in every round
             at = at[(dealt - turn * share) % 1.0 < share]
-            at = at[~own.held[np.searchsorted(own.first, at, "right") - 1]]
+            at = at[~own.held[own.text(at)]]
             parts = -(-len(at) // HELD)
             for i in range(parts):
                 part = at[i::parts]
@@ -348,7 +369,7 @@ def _steps(learner: Learner, contexts: list, targets: list, r, n: int) -> None:
     order = r.permutation(len(t))
     for i in range(0, n, BATCH):
         b = order[i : min(i + BATCH, n)]
-        learner.step(c[b], t[b])
+        learner.step(c.take(b, axis=0), t[b])
     contexts[:], targets[:] = [c[order[n:]]], [t[order[n:]]]
 
 
@@ -377,9 +398,10 @@ def score_run(own: Run, model: Model | None, counts: Counts) -> list[np.ndarray]
     score = base if model is None else np.empty(len(at))
     if model is not None:
         target, others = own.target[own.order[at]], len(counts.count)
-        for i in range(0, len(at), BLOCK):
-            part = slice(i, i + BLOCK)
-            score[part] = model.log_probability(own.contexts(at[part]), target[part])
+        for i in range(0, len(at), HELD):
+            contexts = own.contexts(at[i : i + HELD])
+            for j in range(i, i + len(contexts), BLOCK):
+                score[j : j + BLOCK] = model.log_probability(contexts[j - i : j - i + BLOCK], target[j : min(j + BLOCK, i + HELD)])
         score = (score + np.where(target == others, np.log((c + 0.5) / counts.rest), 0.0)) / np.log(10)
     edges = np.maximum(own.first - own.skip, 0)
     return [s[edges[1:]] - s[edges[:-1]] for s in (np.r_[0, np.cumsum(x)] for x in (np.ones(len(at), np.int64), (c > 0).astype(np.int64), base, score))]

@@ -257,6 +257,40 @@ def test_rounds_learn_from_every_training_position(spark, monkeypatch):
     assert sum(learnt) == counts.total and max(learnt) <= lm.BATCH
 
 
+def test_a_step_is_that_of_the_plain_formulas():
+    counts, r = lm.Counts(1000, 50, [(i, 20 - i) for i in range(20)]), np.random.default_rng(7)
+    model = lm.Model(counts)
+    model.w["bias"] += r.normal(0, 40, 21).astype(np.float32)  # beyond what exponents hold, too
+    contexts, target = r.integers(0, 30, (200, lm.CONTEXT)), r.integers(0, 21, 200)
+    learner = lm.Learner(model, 3)
+    noise = np.searchsorted(learner.drawn, np.random.default_rng(3).random(lm.NOISE))
+    w, log_noise = {k: v.astype(float) for k, v in model.w.items()}, np.log(lm.NOISE * counts.share)
+    grad = {k: np.zeros(v.shape) for k, v in w.items()}
+    for c, t in zip(contexts, target):
+        v = (w["context"][c] * w["places"]).sum(0)
+        for k, real in [(t, 1), *((k, 0) for k in noise)]:
+            y = v @ w["targets"][k] + w["bias"][k] - log_noise[k]
+            g = (1 / (1 + math.exp(-min(max(y, -700), 700))) - real) / len(target)
+            grad["targets"][k] += g * v
+            grad["bias"][k] += g
+            for i, x in enumerate(c):
+                grad["context"][x] += g * w["targets"][k] * w["places"][i]
+                grad["places"][i] += g * w["targets"][k] * w["context"][x]
+    with np.errstate(all="raise", under="ignore", over="ignore"):
+        learner.step(contexts, target)
+    for k, g in grad.items():
+        np.testing.assert_allclose(learner.m.w[k], w[k] - learner.rate * g / np.sqrt(1e-4 + g * g), rtol=2e-4, atol=2e-5, err_msg=k)
+
+
+def test_texts_of_places_and_one_product_with_biases():
+    run = lm.Run.__new__(lm.Run)
+    run.first = np.array([0, 3, 4, 9])
+    at = np.array([0, 2, 3, 4, 8])
+    assert run.text(at).tolist() == [0, 0, 1, 2, 2] and run.text(at[:0]).tolist() == [] and run.text(at[3:]).tolist() == [2, 2]
+    model, v = lm.Model(lm.Counts(1000, 50, [(i, 20 - i) for i in range(20)])), np.random.default_rng(1).normal(size=(9, lm.WIDTH)).astype(np.float32)
+    np.testing.assert_allclose(lm.biased(v) @ model.tied(), v @ model.w["targets"].T + model.w["bias"], rtol=1e-5, atol=1e-5)
+
+
 def test_one_probability_of_many(spark):
     counts = lm.Counts(1000, 50, [(i, 20 - i) for i in range(20)])
     model, r = lm.Model(counts), np.random.default_rng(5)
