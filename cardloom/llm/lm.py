@@ -4,7 +4,8 @@ Tokens are words and one end a text. Counts of tokens come from all training tex
 ``CONTEXT`` tokens before it: their embeddings, each weighted by its place, add up to a vector whose product with a token's
 embedding, plus its bias, is the token's score. It tells apart the ``TARGETS`` most frequent tokens and all others together;
 these share their part by their smoothed counts, an unknown token counting half. Context words have embeddings by a hash, so
-rare and unknown ones count too. Probabilities are normalised over all tokens by one matrix product for a block of contexts.
+rare and unknown ones count too. Probabilities are normalised over all tokens by one matrix product for a block of contexts,
+whose powers are taken by a polynomial to a float's precision, or by exponentials where scores may lie beyond ``REACH``.
 
 Training never normalises: scores learn to tell tokens of the texts from ones drawn by frequency (noise-contrastive
 estimation), starting from the frequencies. The positions of every training text are dealt to the rounds, so that together
@@ -45,6 +46,13 @@ FREQUENT = 1 << 19
 #: Gives the places of embeddings; the hash that tells tokens apart has a secret key.
 OPEN_KEY = bytes(range(16))
 END, END_BUCKET = np.uint64(0x656E64), 0
+#: Scores of targets that may lie beyond are normalised by exponentials, those within by powers_sum.
+REACH = 60
+#: Added to a float, leaves it as a whole number in its last bits.
+ROUNDING = np.float32(1.5 * 2**23)
+#: 2**(f / 2) for -0.5 <= f <= 0.5 is sqrt(LEAD) * (f**4 + ROOT[3] * f**3 + ... + ROOT[0]), to 1e-7 of it.
+_FIT = np.polynomial.Polynomial.cast(np.polynomial.Chebyshev.interpolate(lambda f: np.exp2(f / 2), 4, (-0.5, 0.5))).coef
+ROOT, LEAD = (_FIT[:4] / _FIT[4]).astype(np.float32), np.float32(_FIT[4] ** 2)
 
 _LONGS, _INTS, _BOOLS = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()), T.ArrayType(T.BooleanType())
 #: Texts i of a run stand at order[first[i] : first[i + 1]], in places of its distinct tokens, the most frequent first; skip: words before the first text's part.
@@ -69,6 +77,13 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed, max_output_size=4 * n), np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
 
 
+def one_row(x: np.ndarray, kind):
+    """One list of all of x, as an Arrow array."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+
+
 def _splitting(secret: bytes):
     def run(batches):
         import pyarrow as pa
@@ -79,18 +94,22 @@ def _splitting(secret: bytes):
         def table(at, counts, tokens, buckets, ids, held, skip):
             """A row for the texts from at on."""
             nonlocal k
-            token, first, place, times = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+            by = np.argsort(tokens)
+            token = tokens.take(by)
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(by)])
+            token, one, times = token.take(first), by.take(first), np.diff(first, append=len(by))
             order = np.argsort(-times, kind="stable")
             rank = np.empty_like(order)
             rank[order] = np.arange(len(order))
-            place = rank[place]
+            place = np.empty_like(by)
+            place[by] = np.repeat(rank, times)
             learns = np.repeat(~np.asarray(held), counts)
             learns[:skip] = False
             learnt = np.bincount(place[learns], minlength=len(order))
             times = np.bincount(place[skip:], minlength=len(order))
-            n, one_row = len(counts), lambda x, kind: pa.array([np.asarray(x)], pa.list_(kind))
+            n = len(counts)
             out = [pa.array([base + k], pa.int64()), one_row(base + at + np.arange(n), pa.int64()), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), held), pa.array([skip], pa.int32())]
-            out += [one_row(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array([_packed(place)], pa.binary()), one_row(buckets[first][order], pa.int32()), one_row(token[order].view(np.int64), pa.int64()), one_row(learnt, pa.int32()), one_row(times, pa.int32())]
+            out += [one_row(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array([_packed(place)], pa.binary()), one_row(buckets.take(one)[order], pa.int32()), one_row(token[order].view(np.int64), pa.int64()), one_row(learnt, pa.int32()), one_row(times, pa.int32())]
             k += 1
             return pa.RecordBatch.from_arrays(out, names=[f.name for f in RUNS.fields])
 
@@ -194,16 +213,42 @@ class Model:
 
     def log_probability(self, contexts: np.ndarray, target: np.ndarray) -> np.ndarray:
         """(n): that of one target each."""
-        y = biased(self.vectors(contexts)) @ self.tied()
-        own = y[np.arange(len(y)), target]
-        with np.errstate(over="ignore", divide="ignore"):
-            out = own - np.log(np.exp(y, out=y) @ np.ones(y.shape[1], y.dtype))
-        odd = np.flatnonzero(~np.isfinite(out))  # beyond what exponents hold
-        if len(odd):
-            out[odd] = self.log_probabilities(contexts[odd])[np.arange(len(odd)), target[odd]]
+        placed, tie = [self.w["context"] * p for p in self.w["places"]], self.tied() * np.float32(1 / np.log(2))
+        long, high = np.sqrt((self.w["targets"] ** 2).sum(1).max()), np.abs(self.w["bias"]).max()
+        out, room = np.empty(len(contexts), np.float32), np.empty((3, BLOCK, tie.shape[1]), np.float32)
+        for i in range(0, len(out), BLOCK):
+            part, own = contexts[i : i + BLOCK], target[i : i + BLOCK]
+            v = placed[0].take(part[:, 0], axis=0)
+            for j in range(1, part.shape[1]):
+                v += placed[j].take(part[:, j], axis=0)
+            y, *spare = room[:, : len(v)]
+            np.matmul(biased(v), tie, out=y)
+            own_y = y[np.arange(len(v)), own]
+            with np.errstate(all="ignore"):
+                out[i : i + BLOCK] = (own_y - np.log2(powers_sum(y, *spare))) * np.float32(np.log(2))
+            odd = np.flatnonzero(~(np.sqrt(np.vecdot(v, v)) * long + high < REACH))  # perhaps beyond what exponents hold
+            if len(odd):
+                out[i + odd] = self.log_probabilities(part[odd])[np.arange(len(odd)), own[odd]]
         return out
 
 
+def powers_sum(y: np.ndarray, whole: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Sums of the rows of 2**y, for |y| <= REACH / log(2), to a float's precision; all three arrays are overwritten.
+
+    y is a whole number and a rest f. The square root of 2**f is a polynomial; the whole number goes into the exponent of one of
+    two factors of its square. These are a few additions and products of arrays, which take less than exponentials do."""
+    np.add(y, ROUNDING, out=whole)  # its last bits are the whole number
+    y -= np.subtract(whole, ROUNDING, out=root)
+    exponent = whole.view(np.int32)
+    exponent <<= 23
+    np.add(y, ROOT[-1], out=root)
+    for c in ROOT[-2::-1]:
+        root *= y
+        root += c
+    exponent += root.view(np.int32)
+    return np.vecdot(whole, root) * LEAD
+
+
 def biased(v: np.ndarray) -> np.ndarray:
     """v with a column of ones, so that one product adds the bias too."""
     out = np.ones((len(v), v.shape[1] + 1), v.dtype)
@@ -211,6 +256,32 @@ def biased(v: np.ndarray) -> np.ndarray:
     return out
 
 
+def whole_rows(x: np.ndarray) -> np.ndarray:
+    """The rows of x as one element each, which are put in place faster."""
+    return x.view(f"V{x.shape[1] * x.itemsize}").ravel()
+
+
+def summed(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order and the sum of each one's gradients. Most rows come once or a few times: these are added place
+    by place, as a sum costs reduceat a call for each component."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    new = np.empty(len(rows), bool)
+    new[:1] = True
+    np.not_equal(rows[1:], rows[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    times = np.diff(first, append=len(rows))
+    out, more = grad.take(order[first], axis=0), np.flatnonzero(times > 1)
+    for i in (1, 2, 3):
+        out[more] += grad.take(order[first[more] + i], axis=0)
+        more = more[times[more] > i + 1]
+    if len(more):
+        left = times[more] - 4
+        start = np.cumsum(left) - left
+        out[more] += np.add.reduceat(grad.take(order[np.repeat(first[more] + 4 - start, left) + np.arange(left.sum())], axis=0), start, axis=0)
+    return rows[first].astype(np.int64), out
+
+
 class Learner:
     """Steps of noise-contrastive estimation with gradients scaled by their history."""
 
@@ -229,16 +300,15 @@ class Learner:
 
     def _move_rows(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
         rows = rows.astype(np.uint16 if len(self.past[name]) <= 1 << 16 else np.uint32)  # 16 bits are sorted by radix
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        grad, rows = np.add.reduceat(grad.take(order, axis=0), first, axis=0), rows[first].astype(np.int64)
+        rows, grad = summed(rows, grad)
         past, w = self.past[name], self.m.w[name]
         total = grad * grad
         total += past.take(rows, axis=0)
-        past[rows] = total
+        whole_rows(past)[rows] = whole_rows(total)
         np.divide(grad, np.sqrt(total, out=total), out=total)
-        w[rows] = w.take(rows, axis=0) - self.rate * total
+        total *= -self.rate
+        total += w.take(rows, axis=0)
+        whole_rows(w)[rows] = whole_rows(total)
 
     def step(self, contexts: np.ndarray, target: np.ndarray) -> None:
         w, n = self.m.w, len(target)
@@ -313,17 +383,18 @@ def _known(counts: Counts, sent):
             at, hit = found(sent.value[0], token)
             count = np.where(hit, sent.value[1][at] if len(sent.value[0]) else 0, 0)
             count[rare] = their
-            yield pa.RecordBatch.from_arrays([*batch.columns[:8], pa.array([count], pa.list_(pa.int64())), pa.array([counts.target(token)], pa.list_(pa.int32()))], names=[f.name for f in KNOWN.fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:8], one_row(count, pa.int64()), one_row(counts.target(token), pa.int32())], names=[f.name for f in KNOWN.fields])
 
     return run
 
 
 KNOWN = T.StructType([*_OWN, T.StructField("counts", _LONGS), T.StructField("target", _INTS)])
 _AT = {f.name: i for i, f in enumerate(KNOWN.fields)}
+_SUMS = [f"v{i}" for i in range(WIDTH)]
 
 
 def _learning(model, turn: int, share: float):
-    """Weights of a task times the positions it learnt from: (place, value, seen)."""
+    """Weights of a task times the positions it learnt from, WIDTH of them a row; at place -1 the positions."""
 
     def run(batches):
         import pyarrow as pa
@@ -354,11 +425,11 @@ def _learning(model, turn: int, share: float):
             _steps(learner, contexts, targets, np.random.default_rng(turn), n)
         if learner.seen:
             change = (learner.m.flat().astype(np.float64) - start.flat()) * learner.seen
-            at = np.flatnonzero(change)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([float(learner.seen)])], names=["place", "value"])
-            for i in range(0, len(at), 1 << 16):
-                part = at[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(change[part])], names=["place", "value"])
+            change = np.r_[np.full(WIDTH, float(learner.seen)), change, np.zeros(-len(change) % WIDTH)].reshape(-1, WIDTH)
+            at = np.flatnonzero(change.any(1))
+            for i in range(0, len(at), 1 << 12):
+                part = at[i : i + (1 << 12)]
+                yield pa.RecordBatch.from_arrays([pa.array((part - 1).astype(np.int32)), *(pa.array(x) for x in change[part].T.copy())], names=["place", *_SUMS])
 
     return run
 
@@ -378,15 +449,16 @@ def train(known: DataFrame, counts: Counts, rounds: int = ROUNDS, share: float =
     model, sc = Model(counts), known.sparkSession.sparkContext
     for turn in range(rounds):
         sent = sc.broadcast(model)
-        sums = known.mapInArrow(_learning(sent, turn, share), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()  # as many rows as weights, at most
-        place, value = (np.asarray(sums.column(c).combine_chunks()) for c in ("place", "value"))
+        changes = known.mapInArrow(_learning(sent, turn, share), "place int, " + ", ".join(f"{c} double" for c in _SUMS))
+        sums = changes.groupBy("place").agg(*[F.sum(c).alias(c) for c in _SUMS]).toArrow()  # as many values as weights, at most
+        place, *values = (np.asarray(sums.column(c).combine_chunks()) for c in ("place", *_SUMS))
         sent.destroy()
         if not len(place):
             break
         flat = model.flat().astype(np.float64)
-        at = place >= 0
-        flat[place[at]] += value[at] / value[~at][0]
-        model = model.with_flat(flat)
+        change = np.zeros((-(-len(flat) // WIDTH) + 1, WIDTH))
+        change[place + 1] = np.stack(values, axis=1)
+        model = model.with_flat(flat + change[1:].ravel()[: len(flat)] / change[0, 0])
     return model
 
 
@@ -399,9 +471,7 @@ def score_run(own: Run, model: Model | None, counts: Counts) -> list[np.ndarray]
     if model is not None:
         target, others = own.target[own.order[at]], len(counts.count)
         for i in range(0, len(at), HELD):
-            contexts = own.contexts(at[i : i + HELD])
-            for j in range(i, i + len(contexts), BLOCK):
-                score[j : j + BLOCK] = model.log_probability(contexts[j - i : j - i + BLOCK], target[j : min(j + BLOCK, i + HELD)])
+            score[i : i + HELD] = model.log_probability(own.contexts(at[i : i + HELD]), target[i : i + HELD])
         score = (score + np.where(target == others, np.log((c + 0.5) / counts.rest), 0.0)) / np.log(10)
     edges = np.maximum(own.first - own.skip, 0)
     return [s[edges[1:]] - s[edges[:-1]] for s in (np.r_[0, np.cumsum(x)] for x in (np.ones(len(at), np.int64), (c > 0).astype(np.int64), base, score))]
@@ -420,7 +490,7 @@ def _scoring(sent, counts: Counts):
 
 def count_tokens(runs: DataFrame, s: Scratch, targets: int = TARGETS) -> tuple[Counts, DataFrame]:
     """Counts over all training texts, and a table (token, bucket, count, times) of all tokens: count in training, times in all."""
-    each = runs.select(F.explode(F.arrays_zip("token", "bucket", "learnt", "times")).alias("t")).select("t.token", "t.bucket", F.col("t.learnt").cast("long").alias("learnt"), F.col("t.times").cast("long").alias("times"))
+    each = runs.select(F.posexplode("token").alias("i", "token"), "bucket", "learnt", "times").select("token", *[F.col(c)[F.col("i")].cast(kind).alias(c) for c, kind in (("bucket", "int"), ("learnt", "long"), ("times", "long"))])
     table = s.put(each.groupBy("token", "bucket").agg(F.sum("learnt").alias("count"), F.sum("times").alias("times")), "counts")
     seen = table.where("count > 0")
     total, distinct = seen.agg(F.sum("count"), F.count("*")).first()

@@ -300,6 +300,69 @@ def test_one_probability_of_many(spark):
         assert np.allclose(model.log_probability(contexts, target), model.log_probabilities(contexts)[np.arange(300), target], atol=1e-3)
 
 
+def test_sums_of_powers_are_those_of_exponentials():
+    r = np.random.default_rng(11)
+    for scale in (0.01, 1, 8, lm.REACH / 3.5):
+        y = np.clip(r.normal(0, scale, (300, 77)), -lm.REACH, lm.REACH).astype(np.float32)
+        y[0], y[1], y[2] = lm.REACH, -lm.REACH, np.arange(77) * 0.5 - 19  # edges of the range, and of the rest
+        want = np.exp2(y.astype(float) / math.log(2)).sum(1)
+        z = (y / np.float32(math.log(2))).astype(np.float32)
+        exact = np.exp2(z.astype(float)).sum(1)
+        got = lm.powers_sum(z, np.empty_like(z), np.empty_like(z))
+        assert np.isfinite(got).all() and np.allclose(got, exact, rtol=1e-6, atol=0) and np.allclose(got, want, rtol=2e-5, atol=0)
+
+
+def test_scores_on_both_sides_of_the_reach():
+    counts = lm.Counts(1000, 50, [(i, 20 - i) for i in range(20)])
+    model, r = lm.Model(counts), np.random.default_rng(6)
+    model.w["context"][::3] *= 150  # some contexts lie beyond, some within
+    contexts, target = r.integers(0, 1 << lm.BUCKET_BITS, (1500, lm.CONTEXT)), r.integers(0, 21, 1500)
+    v = model.vectors(contexts).astype(float)
+    y = v @ model.w["targets"].T.astype(float) + model.w["bias"]
+    far = np.sqrt((v * v).sum(1)) * np.sqrt((model.w["targets"] ** 2).sum(1).max()) + np.abs(model.w["bias"]).max() > lm.REACH
+    assert 100 < far.sum() < 1400
+    want = y[np.arange(1500), target] - y.max(1) - np.log(np.exp(y - y.max(1)[:, None]).sum(1))
+    np.testing.assert_allclose(model.log_probability(contexts, target), want, rtol=1e-5, atol=2e-5)
+    assert len(model.log_probability(contexts[:0], target[:0])) == 0
+
+
+def test_gradients_of_a_row_are_summed_however_often_it_comes():
+    r = np.random.default_rng(8)
+    for often in ([1], [5], [1, 2, 3, 4, 5, 6, 1, 90], [1] * 50, [4] * 9):
+        rows = np.repeat(r.permutation(1000)[: len(often)], often).astype(np.uint16)
+        rows = rows[r.permutation(len(rows))]
+        grad = r.normal(size=(len(rows), 16)).astype(np.float32)
+        own, total = lm.summed(rows, grad)
+        assert own.tolist() == sorted(set(rows.tolist()))
+        np.testing.assert_allclose(total, [grad[rows == i].astype(float).sum(0) for i in own], rtol=1e-4, atol=1e-5)
+
+
+def test_a_task_sends_its_weights_in_rows_of_many(spark):
+    s = Scratch(spark, "lm-test")
+    runs = lm.split_texts(documents(spark, speech(random.Random(4), 300)), s)
+    counts, table = lm.count_tokens(runs, s)
+    known = lm.known_runs(runs, counts, table, s)
+    start = lm.Model(counts)
+    rows = [b for b in lm._learning(SimpleNamespace(value=start), 0, 1.0)(iter(known.toArrow().to_batches(max_chunksize=1)))]
+    size = len(start.flat())
+    sent = {x["place"]: [x[f"v{i}"] for i in range(lm.WIDTH)] for b in rows for x in b.to_pylist()}
+    assert sum(b.num_rows for b in rows) == len(sent) <= -(-size // lm.WIDTH) + 1 and set(sent[-1]) == {float(counts.total)}
+    change = np.zeros(-(-size // lm.WIDTH) * lm.WIDTH)
+    for place, values in sent.items():
+        if place >= 0:
+            change[place * lm.WIDTH : (place + 1) * lm.WIDTH] = values
+    whole = known.coalesce(1)
+    np.testing.assert_allclose(lm.train(whole, counts, 1, 1.0).flat(), start.flat() + change[:size] / counts.total, rtol=1e-5, atol=1e-6)
+
+
+def test_a_long_part_without_words(spark):
+    texts, ids = ["a b", "a" + " " * 2_500_000 + "b", " " * 2_500_000, "a"], [10, 12, 13, 14]
+    _, want = base_scores(texts, ids)
+    got = {x["doc_id"]: x for x in lm.score_texts(documents(spark, texts, ids)).collect()}
+    for i, t in zip(ids, texts):
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == want[i, t][:2] and math.isclose(got[i]["base_score"], want[i, t][2], rel_tol=1e-9)
+
+
 def test_texts_longer_than_a_run_of_bytes(spark, monkeypatch):
     r = random.Random(2)
     long = " ".join(f"w{r.randint(0, 900)}" for _ in range(400_000))  # 1.8 MB
