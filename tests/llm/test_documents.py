@@ -367,6 +367,31 @@ def test_large_sides_are_joined_by_shuffle(spark, monkeypatch):
     assert sorted((x["doc_id"], x["text"]) for x in linededup.drop_recurring_lines(frame(spark, rows), min_docs=10).collect()) == want
 
 
+def test_a_salted_table_is_never_broadcast(spark, monkeypatch):
+    """Spark reckons it by its files, which hold each row once: below its threshold it would send all copies to the driver."""
+    from pyspark.sql import functions as F
+
+    from cardloom.llm import common
+
+    s = common.Scratch(spark, "salted")
+    few = s.put(spark.range(100).select("id", F.col("id").alias("t1"), F.col("id").alias("t2"), F.array("id").alias("_cut")), "few")
+    big = spark.range(1000).select("id", F.col("id").alias("t1"), F.col("id").alias("t2"))
+    for name in (common, linededup):
+        monkeypatch.setattr(name, "BROADCAST_BYTES", -1)
+    met = [common.meet(big, few.select("id"), ["id"], how, F.col("t1")) for how in ("inner", "left", "left_semi", "left_anti")]
+    for df, rows in zip([*met, linededup._with_places(big, few.drop("id"), "_cut", "left")], (100, 1000, 100, 900, 1000)):
+        assert df.count() == rows
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_broadcast_is_counted_with_what_its_entries_take(spark):
+    """A million rows of one number, 8 MB of columns, are a relation of 67 MB on the driver and every executor."""
+    from cardloom.llm import common
+
+    assert not common.small(spark.range(1_000_000))
+    assert common.small(spark.range(200_000))
+
+
 def test_a_shared_block_goes_as_a_whole(spark):
     r = random.Random(21)
     block = ["licensed under some licence", "you may not use this file", "except in compliance with it", "see the licence for limits"]
