@@ -11,7 +11,8 @@ entry with a space behind another character, it never merges across the beginnin
 
 An id pair's count is the number of documents that hold it linked. A run keeps its distinct pairs with the number of its
 documents that hold each, and its documents' pairs as places in that list: one row a run. Counts of pairs are summed over
-runs, broadcast if their bytes are counted and few, else joined with salted keys, and come back to each run as one array.
+runs, broadcast if their bytes are counted and few, else joined with salted keys, and meet their run, a run at a time, as rows
+of two numbers: sorts of such rows go to disk where memory ends, which lists of them in an aggregate do not.
 
 Defined results: texts that are null, empty, or whose tokens of either kind do not spell out space and text (one with U+2581
 in it) have no tokens: zeros and an empty digest; special strings inside texts are plain text; rows are aligned each,
@@ -26,13 +27,13 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cardloom.llm.bpecount import visible_bytes
-from cardloom.llm.common import Pieces, Scratch, meet, slices, text_batches
+from cardloom.llm.common import Pieces, Scratch, meet, read_batches, slices, text_batches
 from cardloom.llm.tokenbin import Encoder
 
 RUN = 1 << 20
 #: Ids are written into a digest so many at a time.
 SHOWN = 1 << 19
-#: Rows of runs in an Arrow batch.
+#: Rows of runs, some MB each, in a batch that is read.
 RUN_ROWS = 8
 LOW = np.uint64(32)
 _LETTER = np.zeros(256, bool)
@@ -308,17 +309,19 @@ _LONGS, _INTS = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
 RUNS = T.StructType([T.StructField("run", T.LongType())] + [T.StructField(c, _LONGS) for c in ("doc_ids", "n_a", "n_b", "n_groups", "n_links")] + [T.StructField("digests", T.ArrayType(T.StringType())), T.StructField("pairs", _LONGS)] + [T.StructField(c, _INTS) for c in ("holders", "first", "place", "times")])
 
 
-def _counted(batches):
-    """Runs with the count of each of their pairs (negative where it is its A id's highest) to a row a document."""
+def _counted(run, counts):
+    """A run, with the counts of its pairs by their place (negative where it is its A id's highest), to a row a document."""
     import pyarrow as pa
 
-    for batch in slices(batches, 1):
-        get = lambda i: np.asarray(batch.column(i).flatten())
-        first, place, times, count = get(6), get(7), get(8).astype(np.int64), get(9)
-        best, count = (count < 0)[place], np.abs(count)[place]
-        total = [np.r_[0, np.cumsum(x)] for x in (times * best, times * count)]
-        sums = [t[first[1:]] - t[first[:-1]] for t in total]
-        yield pa.RecordBatch.from_arrays([batch.column(i).flatten() for i in range(5)] + [pa.array(x, pa.int64()) for x in sums] + [batch.column(5).flatten()], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+    whole = run.select(run.column_names[1:]).combine_chunks()
+    get = lambda c: np.asarray(whole.column(c).combine_chunks().flatten())
+    first, place, times, count = get("first"), get("place"), get("times").astype(np.int64), np.zeros(counts.num_rows, np.int64)
+    count[np.asarray(counts.column("pos"))] = np.asarray(counts.column("count"))
+    best, count = (count < 0)[place], np.abs(count)[place]
+    total = [np.r_[0, np.cumsum(x)] for x in (times * best, times * count)]
+    sums = [pa.array(t[first[1:]] - t[first[:-1]], pa.int64()) for t in total]
+    flat = [whole.column(c).combine_chunks().flatten() for c in ("doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests")]
+    return pa.Table.from_arrays(flat[:5] + sums + flat[5:], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
 def aligned_runs(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,12 +345,11 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     highest = counts.groupBy("a").agg(F.max("count").alias("most"))  # a row for each id of A
     marked = s.put(meet(counts, highest, ["a"]).select("pair", F.when(F.col("count") == F.col("most"), -F.col("count")).otherwise(F.col("count")).alias("count")), "marked")
     s.drop(counts)
-    each = runs.select("run", F.posexplode("pairs").alias("pos", "pair"))
-    known = meet(each, marked, ["pair"], "inner", F.col("run")).groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "count"))), lambda x: x["count"]).alias("counts"))
-    columns = ["doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests", "first", "place", "times"]
-    whole = runs.select("run", *columns).join(known, "run", "left")
-    out = whole.select(*columns, F.coalesce("counts", F.array().cast("array<bigint>")).alias("counts")).mapInArrow(_counted, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
-    with text_batches(docs.sparkSession, RUN_ROWS):
+    with read_batches(docs.sparkSession, RUN_ROWS):
+        each = runs.select("run", F.posexplode("pairs").alias("pos", "pair"))
+        known = meet(each, marked, ["pair"], "inner", F.col("run")).select(F.col("run").alias("of"), "pos", "count")  # a name of its own: both sides read runs
+        whole = runs.select("run", "doc_ids", "n_a", "n_b", "n_groups", "n_links", "digests", "first", "place", "times")
+        out = whole.groupBy("run").cogroup(known.groupBy("of")).applyInArrow(_counted, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
         out = s.put(out, "aligned")
     s.drop(runs, marked)
     return out

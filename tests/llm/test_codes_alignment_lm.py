@@ -182,6 +182,20 @@ def test_alignment_of_a_table_without_rows_and_of_repeated_ids(spark):
     assert sorted((x["doc_id"] or 0, x["n_links"], x["count_sum"]) for x in got) == [(0, 0, 0), (5, 2, 4), (5, 2, 4)]
 
 
+def test_counts_meet_their_run_as_rows_that_can_go_to_disk(spark, monkeypatch):
+    """Lists in an aggregate stay in memory, and so does a row group of runs that is decoded at once."""
+    key, put, seen = "spark.sql.parquet.columnarReaderBatchSize", align.Scratch.put, {}
+
+    def watched(self, df, name):
+        seen[name] = df._jdf.queryExecution().executedPlan().toString(), int(spark.conf.get(key))
+        return put(self, df, name)
+
+    monkeypatch.setattr(align.Scratch, "put", watched)
+    assert align.align_documents(documents(spark, ["the end", "an end", None]), A, B).count() == 3
+    plan, rows = seen["aligned"]
+    assert "collect_list" not in plan and rows <= align.RUN_ROWS < int(spark.conf.get(key))
+
+
 # ---------------------------------------------------------------- LM scores
 
 
